@@ -136,3 +136,65 @@ def customers_nplus_days_month(sl: DataFrame, n: int = 3) -> DataFrame:
             .select("order_date", "customer_id", "customer_name").distinct())
     freq = F.count("customer_id").over(Window.partitionBy("customer_name"))
     return days.withColumn("order_frequency", freq).orderBy("customer_id", "order_date")
+
+
+def _monthly_activity(sl: DataFrame) -> DataFrame:
+    """One row per month present: active customers and customers also active
+    in the previous calendar month."""
+    flagged = _with_previous(customer_months(sl))
+    return flagged.groupBy("month").agg(F.count(F.lit(1)).alias("active"),
+                                        F.count("prev_month").alias("retained"))
+
+
+def true_churn(sl: DataFrame) -> DataFrame:
+    """Customer churn in the usual sense: for month M, customers active in M-1
+    (prior_customers), those of them not active in M (lost) and lost / prior
+    (half-up 2 dp). M runs over the month after each active month, up to the
+    last month of the data (later months are not observed yet)."""
+    act = _monthly_activity(sl)
+    last = F.max("month").over(Window.partitionBy())           # one row per month: bounded
+    prior = act.select(F.add_months("month", 1).alias("month"), F.col("active").alias("prior_customers"),
+                       last.alias("_last"))
+    cur = act.select("month", F.col("retained").alias("_kept"))
+    j = prior.where(F.col("month") <= F.col("_last")).join(cur, "month", "left")
+    lost = F.col("prior_customers") - F.coalesce(F.col("_kept"), F.lit(0))
+    return j.select("month", "prior_customers", lost.alias("lost"),
+                    half_up_div(lost, "prior_customers", 2).cast("double").alias("churn_rate"))
+
+
+def churn_retention_corr(sl: DataFrame) -> DataFrame:
+    """Correlation, over months, of the reference's retention rate with the
+    churn rate in the usual sense (months present in both)."""
+    from tillroll.functions.stats import corr_from_moments, pair_moments
+    ret = retention_monthly(sl).select(F.col("monthly").alias("month"), F.col("retention_rate").alias("r"))
+    ch = true_churn(sl).select("month", F.col("churn_rate").alias("c"))
+    j = ret.join(ch, "month")
+    row = j.agg(*pair_moments("r", "c", "m", 2, 2))
+    return row.select(corr_from_moments("m").alias("corr"), F.col("m_n").cast("bigint").alias("n"))
+
+
+def customer_lifetime_value(sl: DataFrame) -> DataFrame:
+    """Per customer: orders, sales, average order value (half-up 2 dp), first
+    and last order, active span in days, profit, and clv (= historic profit)."""
+    a = sl.groupBy("customer_id").agg(
+        F.count_distinct("order_id").alias("orders"), F.sum("sales").alias("_s"), F.sum("profit").alias("_p"),
+        F.min("order_date").alias("first_order"), F.max("order_date").alias("last_order"))
+    return a.select("customer_id", "orders", F.col("_s").cast("double").alias("sales"),
+                    half_up_div("_s", "orders", 2).alias("aov"), "first_order", "last_order",
+                    F.datediff("last_order", "first_order").alias("span_days"),
+                    F.col("_p").cast("double").alias("profit"), F.col("_p").alias("clv"))
+
+
+def clv_drivers(sl: DataFrame) -> DataFrame:
+    """Correlation of customer lifetime value with its drivers (orders, average
+    order value, active span), from exact moments in one aggregate."""
+    from functools import reduce
+
+    from tillroll.functions.stats import corr_from_moments, pair_moments
+    clv = customer_lifetime_value(sl)
+    drivers = {"orders": 0, "aov": 2, "span_days": 0}
+    aggs = [m for name, s in drivers.items() for m in pair_moments(name, "clv", name, s, 2)]
+    row = clv.agg(*aggs)
+    parts = [row.select(F.lit(name).alias("driver"), corr_from_moments(name).alias("corr"),
+                        F.col(f"{name}_n").cast("bigint").alias("n")) for name in drivers]
+    return reduce(DataFrame.unionAll, parts)

@@ -95,3 +95,16 @@ def lines_above_month_region_subcat_avg(sl: DataFrame) -> DataFrame:
     return (lines.join(avg, keys).where(F.col("sales") > F.col("avg_sales"))
             .select("customer_id", "month_wise", "region", "product_sub_category", "product_name",
                     _d("sales").alias("sales"), _d("profit").alias("profit"), _d("avg_sales").alias("avg_sales")))
+
+
+def snowflake_join(fact: DataFrame, dims: list[tuple]) -> DataFrame:
+    """Join a fact with a chain of dimensions and sub-dimensions (snowflake).
+
+    ``dims`` is a list of (dim, left_key, right_key) applied in order, each key
+    already present after the previous joins. Dimension sizes are measured by
+    Spark (broadcast when small, sort-merge otherwise); nothing is forced.
+    """
+    out = fact
+    for dim, left_key, right_key in dims:
+        out = out.join(dim, F.col(left_key) == dim[right_key])
+    return out

@@ -1,9 +1,11 @@
 """All registered keys and their oracle SQL."""
 
+from tillroll.plans.described import DESCRIBED
 from tillroll.plans.named import NAMED
 from tillroll.plans.oracle import ORACLE
 
 QUERIES = {}
 QUERIES.update(NAMED)
+QUERIES.update(DESCRIBED)
 
 ORACLE_SQL = {k: v for k, v in ORACLE.items() if k in QUERIES}

@@ -160,3 +160,83 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return region.select(F.col("r_name").alias("region"),
                          F.coalesce(mapping[F.col("r_name")], F.concat(F.lit("Manager of "), F.col("r_name")))
                          .alias("manager"))
+
+
+# --- workforce (HR) binding ------------------------------------------------
+# employee := customer. Fixed values of the binding: business-travel labels by
+# c_custkey % 4, in this order.
+TRAVEL_LABELS = ("Non-Travel", "Travel_Rarely", "Travel_Frequently", "Travel_Rarely")
+EXIT_AFTER_DAYS = 180
+
+
+def employees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per employee (a customer with orders).
+
+    employee_id, department, job_role, ethnicity, gender, age, salary (decimal),
+    overtime, business_travel, hire_date (first order), exit_date (last order
+    when it is more than 180 days before the data's last order date), attrition.
+    The data's last date is an uncorrelated scalar subquery, not a join.
+    """
+    orders = read_table(spark, sf_dir, "orders")
+    per = orders.groupBy("o_custkey").agg(F.min(F.to_date("o_orderdate")).alias("hire_date"),
+                                          F.max(F.to_date("o_orderdate")).alias("_last"))
+    data_end = orders.agg(F.max(F.to_date("o_orderdate"))).scalar()
+    geo = _customer_geo(spark, sf_dir, need_customer=False, need_nation=False, need_region=True)
+    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    emp = cust.join(geo, "c_custkey").join(per, F.col("c_custkey") == F.col("o_custkey"))
+    key = F.col("c_custkey")
+    exit_date = F.when(F.col("_last") < F.date_sub(data_end, EXIT_AFTER_DAYS), F.col("_last"))
+    travel = F.element_at(F.array(*[F.lit(t) for t in TRAVEL_LABELS]), (key % 4 + 1).cast("int"))
+    return emp.select(
+        key.alias("employee_id"),
+        F.col("c_mktsegment").alias("department"),
+        F.concat(F.lit("ROLE_"), (key % 12).cast("string")).alias("job_role"),
+        F.col("region").alias("ethnicity"),
+        F.when(key % 2 == 0, "F").otherwise("M").alias("gender"),
+        (F.lit(18) + key % 45).cast("int").alias("age"),
+        F.col("c_acctbal").cast(MONEY).alias("salary"),
+        F.when(key % 3 == 0, "Yes").otherwise("No").alias("overtime"),
+        travel.alias("business_travel"),
+        "hire_date",
+        exit_date.alias("exit_date"),
+        F.when(exit_date.isNotNull(), "Yes").otherwise("No").alias("attrition"),
+    )
+
+
+# --- make-versus-buy binding ------------------------------------------------
+# item := part. Fixed values of the binding (parameters of the cost model):
+MAKE_SHARES = {"raw_material": "0.50", "labour": "0.30", "energy": "0.10"}
+MAKE_NRE = 2000
+SUPPLIER_NRE_STEP = 1000          # supplier NRE = step * (suppkey % 3)
+CAPACITY_UNITS = 600              # units the existing line can make
+MACHINE_CAPACITY = 600            # units one extra machine adds
+MACHINE_COST = 5000
+
+
+def item_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item, volume = total ordered quantity per part."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.groupBy(F.col("l_partkey").alias("item")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("volume"))
+
+
+def supplier_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item, supplier, unit_price (quantity-weighted average price, half-up 2 dp), nre."""
+    li = read_table(spark, sf_dir, "lineitem")
+    agg = li.groupBy(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("suppkey")).agg(
+        F.sum(F.col("l_extendedprice").cast(MONEY)).alias("_v"),
+        F.sum(F.col("l_quantity").cast("bigint")).alias("_q"))
+    price = F.round(F.try_divide(F.col("_v").cast("decimal(20,2)"), F.col("_q").cast("decimal(20,2)")), 2)
+    return agg.select("item", F.concat(F.lit("SUPPLIER_"), F.col("suppkey").cast("string")).alias("supplier"),
+                      price.cast(MONEY).alias("unit_price"),
+                      (F.lit(SUPPLIER_NRE_STEP) * (F.col("suppkey") % 3)).cast(MONEY).alias("nre"))
+
+
+def make_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item, component, unit_cost: fixed shares of the part's retail price (half-up 2 dp)."""
+    part = read_table(spark, sf_dir, "part")
+    price = F.col("p_retailprice").cast(MONEY)
+    parts = [F.struct(F.lit(name).alias("component"),
+                      F.round(price * F.lit(share).cast("decimal(3,2)"), 2).cast(MONEY).alias("unit_cost"))
+             for name, share in MAKE_SHARES.items()]
+    return (part.select(F.col("p_partkey").alias("item"), F.explode(F.array(*parts)).alias("c"))
+            .select("item", "c.component", "c.unit_cost"))
