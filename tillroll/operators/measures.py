@@ -163,7 +163,11 @@ def sales_by_weekday(sl: DataFrame) -> DataFrame:
 def region_sales_net_of_returns(sl: DataFrame, returns: DataFrame) -> DataFrame:
     """Gross sales, sales of returned orders and net sales per region."""
     r = returns.select(F.col("order_id").alias("_rid"))
-    j = sl.join(r, sl.order_id == r._rid, "left")
+    return region_sales_net_of_returns_joined(sl.join(r, sl.order_id == r._rid, "left"))
+
+
+def region_sales_net_of_returns_joined(j: DataFrame) -> DataFrame:
+    """As above, for lines already carrying ``_rid`` (the returned order key or NULL)."""
     a = j.groupBy("region").agg(F.sum("sales").alias("_g"),
                                 F.sum(F.when(F.col("_rid").isNotNull(), F.col("sales"))).alias("_r"))
     ret = F.coalesce(F.col("_r"), F.lit(0).cast("decimal(18,2)"))

@@ -97,14 +97,16 @@ def category_frequency(df: DataFrame, column: str) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, cols: list[str], scale: int = 2) -> DataFrame:
-    """col_a, col_b, n, corr for every pair, all moments in one aggregate."""
+    """col_a, col_b, n, corr for every pair: all moments in one aggregate, and the
+    one result row unpivoted with ``stack`` (a UNION of per-pair selects would let
+    column pruning split it into one aggregate -- one scan -- per pair)."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     aggs = [m for i, (a, b) in enumerate(pairs) for m in pair_moments(a, b, f"p{i}", scale, scale)]
-    row = df.agg(*aggs)
-    parts = [row.select(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"p{i}_n").cast("bigint").alias("n"),
-                        corr_from_moments(f"p{i}").alias("corr"))
-             for i, (a, b) in enumerate(pairs)]
-    return reduce(DataFrame.unionAll, parts)
+    row = df.agg(*aggs).select(*[c for i in range(len(pairs)) for c in (
+        F.col(f"p{i}_n").cast("bigint").alias(f"n{i}"), corr_from_moments(f"p{i}").alias(f"c{i}"))])
+    return _stack(row, [f"{a}|{b}" for a, b in pairs], [[f"n{i}", f"c{i}"] for i in range(len(pairs))],
+                  ["n", "corr"]).select(F.split("_label", r"\|")[0].alias("col_a"),
+                                        F.split("_label", r"\|")[1].alias("col_b"), "n", "corr")
 
 
 def binned_pairs(df: DataFrame, x: str, y: str, x_width: float, y_width: float) -> DataFrame:
@@ -133,16 +135,23 @@ def duplicate_summary(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def validate(checks: dict[str, DataFrame]) -> DataFrame:
-    """rule, violations: each check is a one-row DataFrame with a ``violations`` column."""
-    parts = [d.select(F.lit(rule).alias("rule"), F.col("violations").cast("bigint").alias("violations"))
-             for rule, d in checks.items()]
+    """rule, violations: each check is a one-row DataFrame with a ``violations`` column
+    (``row_rules`` returns one such DataFrame holding many rules)."""
+    parts = []
+    for rule, d in checks.items():
+        if "rule" in d.columns:
+            parts.append(d.select("rule", F.col("violations").cast("bigint").alias("violations")))
+        else:
+            parts.append(d.select(F.lit(rule).alias("rule"), F.col("violations").cast("bigint").alias("violations")))
     return reduce(DataFrame.unionAll, parts)
 
 
-def row_rules(df: DataFrame, rules: dict[str, Column]) -> dict[str, DataFrame]:
-    """Row-level rules (True = violation) evaluated in one aggregate, one check each."""
+def row_rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Row-level rules (True = violation) counted in one aggregate and unpivoted:
+    rule, violations (one scan for all rules)."""
     row = df.agg(*[F.count_if(cond).alias(f"_r{i}") for i, cond in enumerate(rules.values())])
-    return {name: row.select(F.col(f"_r{i}").alias("violations")) for i, name in enumerate(rules)}
+    return _stack(row, list(rules), [[f"_r{i}"] for i in range(len(rules))], ["violations"]) \
+        .withColumnRenamed("_label", "rule")
 
 
 def unique_rule(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -168,17 +177,23 @@ def normalize(df: DataFrame, numeric: list[str], text: list[str] | None = None,
     out = df
     for c in text or []:
         out = out.withColumn(c + suffix, F.upper(F.trim(F.col(c))))
-    for c in numeric:
-        if method == "minmax":
-            lo = df.agg(F.min(c)).scalar()
-            hi = df.agg(F.max(c)).scalar()
+    if method == "minmax":
+        # one aggregate (one scan) for every bound, attached as one scalar subquery
+        bounds = df.agg(F.struct(*[x for c in numeric for x in (F.min(c).alias(f"lo_{c}"),
+                                                                F.max(c).alias(f"hi_{c}"))]).alias("b"))
+        b = bounds.scalar()
+        for c in numeric:
+            lo, hi = b[f"lo_{c}"], b[f"hi_{c}"]
             span = (hi - lo).cast("double")
             out = out.withColumn(c + suffix, F.try_divide((F.col(c) - lo).cast("double"), F.when(span != 0, span)))
-        elif method == "zscore":
-            mu = df.agg(F.avg(F.col(c).cast("double"))).scalar()
-            sd = df.agg(F.stddev_samp(F.col(c).cast("double"))).scalar()
-            out = out.withColumn(c + suffix, (F.col(c).cast("double") - mu) / sd)
-        else:
-            raise ValueError(method)
+    elif method == "zscore":
+        stats = df.agg(F.struct(*[x for c in numeric for x in (
+            F.avg(F.col(c).cast("double")).alias(f"mu_{c}"),
+            F.stddev_samp(F.col(c).cast("double")).alias(f"sd_{c}"))]).alias("b"))
+        b = stats.scalar()
+        for c in numeric:
+            out = out.withColumn(c + suffix, (F.col(c).cast("double") - b[f"mu_{c}"]) / b[f"sd_{c}"])
+    else:
+        raise ValueError(method)
     return out
 

@@ -30,6 +30,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """Re-alias every column: a checkpointed DataFrame keeps the attribute ids of
+    the plan it came from, and a later join with another branch of that plan
+    must not see the same ids on both sides."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     if not keys:
         return left.join(right, "_pid")
@@ -47,7 +54,7 @@ def grouped_positions(df: DataFrame, group_cols: list[str], order_cols: list, na
     keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
     ranged = (df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
               .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = ranged.checkpoint(eager=True).withColumn("_pid", F.shiftright("_mid", 33))
+    ranged = _fresh(ranged.checkpoint(eager=True)).withColumn("_pid", F.shiftright("_mid", 33))
     per = ranged.groupBy(*group_cols, "_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
     w_group = Window.partitionBy(*group_cols)
     before = w_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import month_of_year
+from tillroll.operators.quantile import _fresh
 
 
 def _d(c):
@@ -162,8 +163,7 @@ def global_position(df: DataFrame, order_cols: list, name: str = "position",
     ranged = (df.repartitionByRange(n_parts, *order_cols)
               .sortWithinPartitions(*order_cols)
               .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = ranged.checkpoint(eager=True)
-    ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33))
+    ranged = _fresh(ranged.checkpoint(eager=True)).withColumn("_pid", F.shiftright("_mid", 33))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",

@@ -124,8 +124,9 @@ def shipping_effectiveness_by_state(spark, sf_dir):
 
 
 def region_sales_net_of_returns(spark, sf_dir):
-    return measures.region_sales_net_of_returns(_sl(spark, sf_dir, "region", "order_id", "sales"),
-                                                o_return(spark, sf_dir))
+    sl = sales_line(spark, sf_dir, ["region", "sales"],
+                    order_join=(o_return(spark, sf_dir), "left", {"_rid": "order_id"}))
+    return measures.region_sales_net_of_returns_joined(sl)
 
 
 def state_revenue(spark, sf_dir):
@@ -180,7 +181,8 @@ def clv_drivers(spark, sf_dir):
 # --- EDA / quality ----------------------------------------------------------------
 
 def _lines_with_returns(spark, sf_dir):
-    return jn.orders_with_returns(_sl(spark, sf_dir), o_return(spark, sf_dir))
+    keep = {"return_order_id": "order_id", "order_status": "order_status"}
+    return _out(sales_line(spark, sf_dir, order_join=(o_return(spark, sf_dir), "left", keep)))
 
 
 def null_profile(spark, sf_dir):
@@ -237,13 +239,13 @@ def duplicate_summary(spark, sf_dir):
 def validate(spark, sf_dir):
     sl = _sl(spark, sf_dir, "row_id", "customer_id", "order_id", "order_date", "ship_date", "sales", "discount")
     li = read_table(spark, sf_dir, "lineitem")
-    checks = quality.row_rules(sl, {
+    checks = {"row_rules": quality.row_rules(sl, {
         "customer_id_not_null": F.col("customer_id").isNull(),
         "order_id_not_null": F.col("order_id").isNull(),
         "ship_before_order": F.col("ship_date") < F.col("order_date"),
         "negative_sales": F.col("sales") < 0,
         "discount_out_of_range": (F.col("discount") < 0) | (F.col("discount") > 1),
-    })
+    })}
     checks["row_id_unique"] = quality.unique_rule(sl, ["row_id"])
     checks["return_order_unique"] = quality.unique_rule(o_return(spark, sf_dir), ["order_id"])
     checks["users_region_unique"] = quality.unique_rule(users(spark, sf_dir), ["region"])

@@ -10,6 +10,9 @@ stay the reference's.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tillroll.functions.columns import decimals_to_double, month_of_year
 from tillroll.operators import aggregate as agg
 from tillroll.operators import customer as cust
 from tillroll.operators import join as jn
@@ -41,10 +44,6 @@ DRIVER_PARAMS = {
 P = DRIVER_PARAMS
 
 
-def _sl(*cols):
-    return lambda spark, sf_dir: sales_line(spark, sf_dir, cols)
-
-
 def q(fn, *cols, **kw):
     """Bind an operator over the order-line columns it needs."""
     def run(spark, sf_dir):
@@ -53,13 +52,6 @@ def q(fn, *cols, **kw):
     return run
 
 
-def q_ret(fn, *cols, **kw):
-    def run(spark, sf_dir):
-        return fn(sales_line(spark, sf_dir, cols), o_return(spark, sf_dir), **kw)
-    run.__name__ = fn.__name__
-    return run
-
-
 def q_users(fn, *cols, **kw):
     def run(spark, sf_dir):
         return fn(sales_line(spark, sf_dir, cols), users(spark, sf_dir), **kw)
@@ -67,9 +59,6 @@ def q_users(fn, *cols, **kw):
     return run
 
 
-ALL = None  # every sales_line column
-
-
 def _all(fn, **kw):
     def run(spark, sf_dir):
         return fn(sales_line(spark, sf_dir), **kw)
@@ -77,15 +66,7 @@ def _all(fn, **kw):
     return run
 
 
-def _all_ret(fn, **kw):
-    def run(spark, sf_dir):
-        return fn(sales_line(spark, sf_dir), o_return(spark, sf_dir), **kw)
-    run.__name__ = fn.__name__
-    return run
-
-
 def _scan_orders(spark, sf_dir):
-    from tillroll.functions.columns import decimals_to_double
     return decimals_to_double(sales_line(spark, sf_dir))
 
 
@@ -93,6 +74,28 @@ def _scan_returns(spark, sf_dir):
     return o_return(spark, sf_dir)
 
 
+_RETURN_COLS = {"return_order_id": "order_id", "order_status": "order_status"}
+
+
+def _returned_orders_by_region(period):
+    def run(spark, sf_dir):
+        sl = sales_line(spark, sf_dir, ["order_id", "region", "order_date"],
+                        order_join=(o_return(spark, sf_dir), "inner", {"return_order_id": "order_id"}))
+        when = F.col("order_date") if period == "date" else month_of_year("order_date").alias("monthly")
+        return sl.select("order_id", "return_order_id", "region", when)
+    return run
+
+
+def _returned_order_details(spark, sf_dir):
+    """Q13 with the returns semi join applied to lineitem, before the dimensions."""
+    return decimals_to_double(sales_line(spark, sf_dir, order_join=(o_return(spark, sf_dir), "left_semi", {})))
+
+
+def _orders_with_returns(spark, sf_dir):
+    """Q69 with the returns left join applied to lineitem, before the dimensions."""
+    return decimals_to_double(sales_line(spark, sf_dir, order_join=(o_return(spark, sf_dir), "left", _RETURN_COLS)))
+
+
 def _lookup_return(spark, sf_dir):
     return jn.lookup_return(o_return(spark, sf_dir), P["order_id"])
 
@@ -112,13 +115,12 @@ NAMED = {
     "sales_month_subcat_rollup": q(agg.sales_month_subcat_rollup, "order_date", "product_sub_category", "sales"),
     "customer_totals": q(agg.customer_totals, "customer_id", "customer_name", "quantity_ordered_new",
                          "sales", "profit"),
-    "returned_orders_by_region": q_ret(jn.returned_orders_by_region, "order_id", "region", "order_date"),
-    "returned_orders_by_region_month": q_ret(jn.returned_orders_by_region, "order_id", "region", "order_date",
-                                             period="month"),
+    "returned_orders_by_region": _returned_orders_by_region("date"),
+    "returned_orders_by_region_month": _returned_orders_by_region("month"),
     "refined_order_priority": _all(tx.refined_order_priority, old="NOT SPECIFIED"),
     "region_sales_contribution": q(agg.region_sales_contribution, "region", "sales"),
     "month_region_contribution": q(agg.month_region_contribution, "order_date", "region", "sales", "profit"),
-    "returned_order_details": _all_ret(jn.returned_order_details),
+    "returned_order_details": _returned_order_details,
     "lookup_row": _all(jn.lookup_row, order_id=P["order_id"]),
     "lookup_return": _lookup_return,
     "long_subcategory_names": q(tx.long_subcategory_names, "product_sub_category", min_len=P["subcat_min_len"]),
@@ -191,7 +193,7 @@ NAMED = {
     "retention_crosscheck": q(cust.retention_crosscheck, "customer_id", "order_date"),
     "churn_monthly": q(cust.churn_monthly, "customer_id", "order_date"),
     "product_name_regex": q(tx.product_name_regex, "product_name"),
-    "orders_with_returns": _all_ret(jn.orders_with_returns),
+    "orders_with_returns": _orders_with_returns,
     "state_share_of_totals": q(agg.state_share_of_totals, "region", "state_province", "sales", state=P["state"]),
     "nth_sales_value": q(rk.nth_sales_value, "row_id", "sales", n=P["nth_position"]),
     "sales_value_index": q(rk.sales_value_index, "row_id", "sales", max_value=P["max_value"]),

@@ -83,10 +83,17 @@ def _customer_geo(spark: SparkSession, sf_dir: str, need_customer: bool, need_na
     return cust.select(*cols)
 
 
-def sales_line(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
+def sales_line(spark: SparkSession, sf_dir: str, columns=None, order_join=None) -> DataFrame:
     """The order-line table, restricted to ``columns`` (all when None).
 
     Columns come out in the declared order of ``SALES_LINE_COLUMNS``.
+
+    ``order_join = (table, how, keep)`` joins an order-keyed table (column
+    ``order_id``) to ``lineitem`` *before* any dimension: ``how`` is 'left_semi',
+    'inner' or 'left', ``keep`` maps output names to the table's columns
+    (appended after the order-line columns). Joined here, the table shares the
+    order-key partitioning of the orders join, so a semi join shrinks the fact
+    before the part join instead of re-shuffling every wide line afterwards.
     """
     want = list(SALES_LINE_COLUMNS) if columns is None else [c for c in SALES_LINE_COLUMNS if c in set(columns)]
     missing = set(columns or ()) - set(SALES_LINE_COLUMNS)
@@ -101,6 +108,13 @@ def sales_line(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
 
     li = read_table(spark, sf_dir, "lineitem")
     fact = li
+    keep = {}
+    if order_join is not None:
+        table, how, keep = order_join
+        keep = dict(keep or {})
+        right = table.select(F.col("order_id").alias("_oj_key"),
+                             *[F.col(src).alias(f"_oj_{name}") for name, src in keep.items()])
+        fact = fact.join(right, fact.l_orderkey == right._oj_key, how)
     if need_orders:
         orders = read_table(spark, sf_dir, "orders")
         if need_customer or need_nation or need_region:
@@ -141,7 +155,7 @@ def sales_line(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
         "sales": sales,
         "order_id": F.col("l_orderkey"),
     }
-    return fact.select(*[exprs[c].alias(c) for c in want])
+    return fact.select(*[exprs[c].alias(c) for c in want], *[F.col(f"_oj_{n}").alias(n) for n in keep])
 
 
 def o_return(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,18 +227,23 @@ MACHINE_CAPACITY = 600            # units one extra machine adds
 MACHINE_COST = 5000
 
 
+def _part_supplier_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One aggregate of lineitem per (part, supplier): value and quantity. Demand
+    and quotes are both derived from it, so lineitem is scanned once for both."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.groupBy(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("suppkey")).agg(
+        F.sum(F.col("l_extendedprice").cast(MONEY)).alias("_v"),
+        F.sum(F.col("l_quantity").cast("bigint")).alias("_q"))
+
+
 def item_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item, volume = total ordered quantity per part."""
-    li = read_table(spark, sf_dir, "lineitem")
-    return li.groupBy(F.col("l_partkey").alias("item")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("volume"))
+    return _part_supplier_totals(spark, sf_dir).groupBy("item").agg(F.sum("_q").alias("volume"))
 
 
 def supplier_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item, supplier, unit_price (quantity-weighted average price, half-up 2 dp), nre."""
-    li = read_table(spark, sf_dir, "lineitem")
-    agg = li.groupBy(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("suppkey")).agg(
-        F.sum(F.col("l_extendedprice").cast(MONEY)).alias("_v"),
-        F.sum(F.col("l_quantity").cast("bigint")).alias("_q"))
+    agg = _part_supplier_totals(spark, sf_dir)
     price = F.round(F.try_divide(F.col("_v").cast("decimal(20,2)"), F.col("_q").cast("decimal(20,2)")), 2)
     return agg.select("item", F.concat(F.lit("SUPPLIER_"), F.col("suppkey").cast("string")).alias("supplier"),
                       price.cast(MONEY).alias("unit_price"),
