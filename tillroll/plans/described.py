@@ -36,6 +36,11 @@ def _sl(spark, sf_dir, *cols):
     return sales_line(spark, sf_dir, cols or None)
 
 
+def _slo(spark, sf_dir, *cols):
+    """Order-grain binding: for order-level groupings of additive measures."""
+    return sales_line(spark, sf_dir, cols, grain="order")
+
+
 def _data_end(spark, sf_dir):
     return read_table(spark, sf_dir, "orders").agg(F.max(F.to_date("o_orderdate"))).scalar()
 
@@ -43,11 +48,11 @@ def _data_end(spark, sf_dir):
 # --- measures ---------------------------------------------------------------
 
 def total_ytd(spark, sf_dir):
-    return measures.total_ytd(_sl(spark, sf_dir, "order_date", "region", "sales"), "order_date", "sales", ["region"])
+    return measures.total_ytd(_slo(spark, sf_dir, "order_date", "region", "sales"), "order_date", "sales", ["region"])
 
 
 def same_period_last_year(spark, sf_dir):
-    return measures.same_period_last_year(_sl(spark, sf_dir, "order_date", "sales"), "order_date", "sales")
+    return measures.same_period_last_year(_slo(spark, sf_dir, "order_date", "sales"), "order_date", "sales")
 
 
 def _summary(spark, sf_dir):
@@ -65,7 +70,7 @@ def add_columns(spark, sf_dir):
 
 
 def categorize(spark, sf_dir):
-    per = (_sl(spark, sf_dir, "customer_id", "sales").groupBy("customer_id")
+    per = (_slo(spark, sf_dir, "customer_id", "sales").groupBy("customer_id")
            .agg(F.sum("sales").alias("t_sales")))
     return _out(measures.categorize(per, "t_sales", SEGMENT_BANDS, name="band"))
 
@@ -109,7 +114,7 @@ def orders_by_category(spark, sf_dir):
 
 
 def sales_by_weekday(spark, sf_dir):
-    return measures.sales_by_weekday(_sl(spark, sf_dir, "order_date", "sales"))
+    return measures.sales_by_weekday(_slo(spark, sf_dir, "order_date", "sales"))
 
 
 def shipping_effectiveness(spark, sf_dir):
@@ -130,7 +135,7 @@ def region_sales_net_of_returns(spark, sf_dir):
 
 
 def state_revenue(spark, sf_dir):
-    return measures.state_revenue(_sl(spark, sf_dir, "state_province", "sales"))
+    return measures.state_revenue(_slo(spark, sf_dir, "state_province", "sales"))
 
 
 def priority_by_customer(spark, sf_dir):
@@ -144,29 +149,29 @@ def mom_change(spark, sf_dir):
 
 
 def weekly_trend(spark, sf_dir):
-    return tm.period_trend(_sl(spark, sf_dir, "order_date", "sales"), "week")
+    return tm.period_trend(_slo(spark, sf_dir, "order_date", "sales"), "week")
 
 
 def monthly_trend(spark, sf_dir):
-    return tm.period_trend(_sl(spark, sf_dir, "order_date", "sales"), "month")
+    return tm.period_trend(_slo(spark, sf_dir, "order_date", "sales"), "month")
 
 
 def seasonality_index(spark, sf_dir):
-    return tm.seasonality_index(_sl(spark, sf_dir, "order_date", "sales"))
+    return tm.seasonality_index(_slo(spark, sf_dir, "order_date", "sales"))
 
 
 def sales_anomalies(spark, sf_dir):
-    return tm.sales_anomalies(_sl(spark, sf_dir, "order_date", "sales"))
+    return tm.sales_anomalies(_slo(spark, sf_dir, "order_date", "sales"))
 
 
 # --- customers ----------------------------------------------------------------
 
 def true_churn(spark, sf_dir):
-    return cust.true_churn(_sl(spark, sf_dir, "customer_id", "order_date"))
+    return cust.true_churn(_slo(spark, sf_dir, "customer_id", "order_date"))
 
 
 def churn_retention_corr(spark, sf_dir):
-    return cust.churn_retention_corr(_sl(spark, sf_dir, "customer_id", "order_date"))
+    return cust.churn_retention_corr(_slo(spark, sf_dir, "customer_id", "order_date"))
 
 
 def customer_lifetime_value(spark, sf_dir):

@@ -52,6 +52,15 @@ def q(fn, *cols, **kw):
     return run
 
 
+def qo(fn, *cols, **kw):
+    """Bind an operator that groups by order-level attributes and only sums
+    additive measures (or needs no measure) to the order-grain binding."""
+    def run(spark, sf_dir):
+        return fn(sales_line(spark, sf_dir, cols, grain="order"), **kw)
+    run.__name__ = fn.__name__
+    return run
+
+
 def q_users(fn, *cols, **kw):
     def run(spark, sf_dir):
         return fn(sales_line(spark, sf_dir, cols), users(spark, sf_dir), **kw)
@@ -110,15 +119,15 @@ NAMED = {
     "segment_order_count": q(agg.segment_order_count, "customer_segment"),
     "product_subcat_region_count": q(agg.product_subcat_region_count, "product_category",
                                      "product_sub_category", "region"),
-    "sales_by_month": q(agg.sales_by_month, "order_date", "sales"),
-    "sales_by_month_state": q(agg.sales_by_month_state, "order_date", "state_province", "sales"),
+    "sales_by_month": qo(agg.sales_by_month, "order_date", "sales"),
+    "sales_by_month_state": qo(agg.sales_by_month_state, "order_date", "state_province", "sales"),
     "sales_month_subcat_rollup": q(agg.sales_month_subcat_rollup, "order_date", "product_sub_category", "sales"),
     "customer_totals": q(agg.customer_totals, "customer_id", "customer_name", "quantity_ordered_new",
                          "sales", "profit"),
     "returned_orders_by_region": _returned_orders_by_region("date"),
     "returned_orders_by_region_month": _returned_orders_by_region("month"),
     "refined_order_priority": _all(tx.refined_order_priority, old="NOT SPECIFIED"),
-    "region_sales_contribution": q(agg.region_sales_contribution, "region", "sales"),
+    "region_sales_contribution": qo(agg.region_sales_contribution, "region", "sales"),
     "month_region_contribution": q(agg.month_region_contribution, "order_date", "region", "sales", "profit"),
     "returned_order_details": _returned_order_details,
     "lookup_row": _all(jn.lookup_row, order_id=P["order_id"]),
@@ -138,7 +147,7 @@ NAMED = {
                             low=P["bonus_low"], high=P["bonus_high"]),
     "cities_per_region": q(agg.cities_per_region, "state_province", "city", "region"),
     "states_per_city": q(agg.states_per_city, "state_province", "city", "region"),
-    "customers_in_city": q(agg.customers_in_city, "city", "customer_name", city=P["city"]),
+    "customers_in_city": qo(agg.customers_in_city, "city", "customer_name", city=P["city"]),
     "city_repeated_in_region": q(agg.city_repeated_in_region, "state_province", "city", "region"),
     "city_drilldown": q(agg.city_drilldown, "state_province", "city", "region", "sales", "profit",
                         city=P["city"]),
@@ -153,7 +162,7 @@ NAMED = {
                                      "order_date"),
     "customer_month_lines": _all(tx.customer_month_lines, customer_name=P["customer_name"],
                                  month=P["customer_month"]),
-    "customers_3plus_days_month": q(cust.customers_nplus_days_month, "customer_id", "customer_name",
+    "customers_3plus_days_month": qo(cust.customers_nplus_days_month, "customer_id", "customer_name",
                                     "order_date"),
     "top2_products_per_category": q(rk.top_products_per_category, "product_category", "product_name", "sales"),
     "product_sales": q(agg.product_sales, "product_name", "sales"),
@@ -162,8 +171,8 @@ NAMED = {
     "lines_below_product_avg": q(jn.lines_below_product_avg, "product_name", "sales"),
     "customer_day_below_product_avg": q(jn.customer_day_below_product_avg, "order_date", "customer_name",
                                         "product_name", "sales"),
-    "region_active_customers": q(agg.region_active_customers, "region", "customer_id", "sales"),
-    "month_region_engagement": q(agg.month_region_engagement, "order_date", "region", "customer_id", "sales"),
+    "region_active_customers": qo(agg.region_active_customers, "region", "customer_id", "sales"),
+    "month_region_engagement": qo(agg.month_region_engagement, "order_date", "region", "customer_id", "sales"),
     "customers_in_n_categories": q(rk.customers_in_n_categories, "customer_id", "product_category",
                                    n=P["n_categories"]),
     "customers_by_value_bracket": q(agg.customers_by_value_bracket, "customer_id", "sales"),
@@ -174,11 +183,11 @@ NAMED = {
     "subcat_cumulative_pct": q(agg.subcat_cumulative_pct, "product_sub_category", "sales"),
     "top_subcat_per_region": q(rk.top_subcat_per_region, "product_sub_category", "region"),
     "top_subcat_per_region_rank": q(rk.top_subcat_per_region_rank, "product_sub_category", "region"),
-    "customer_first_order": q(cust.customer_first_order, "customer_id", "customer_name", "order_date"),
-    "customer_lifespan": q(cust.customer_lifespan, "customer_id", "customer_name", "order_date"),
-    "lifespan_bins": q(cust.lifespan_bins, "customer_id", "customer_name", "order_date"),
+    "customer_first_order": qo(cust.customer_first_order, "customer_id", "customer_name", "order_date"),
+    "customer_lifespan": qo(cust.customer_lifespan, "customer_id", "customer_name", "order_date"),
+    "lifespan_bins": qo(cust.lifespan_bins, "customer_id", "customer_name", "order_date"),
     "customer_lines": _all(tx.customer_lines, customer_name=P["customer_name"]),
-    "coupon_eligibility": q(cust.coupon_eligibility, "customer_id", "customer_name", "order_date",
+    "coupon_eligibility": qo(cust.coupon_eligibility, "customer_id", "customer_name", "order_date",
                             today=P["coupon_today"], days=P["coupon_days"]),
     "top_product_per_state": q(rk.top_product_per_state, "state_province", "product_name"),
     "lines_above_month_avg": q(jn.lines_above_month_avg, "customer_id", "order_date", "product_name", "sales",
@@ -189,21 +198,21 @@ NAMED = {
                               "product_sub_category", "sales"),
     "priority_by_region_state": q(agg.priority_by_region_state, "region", "state_province", "order_priority"),
     "priority_counts": q(agg.priority_counts, "order_priority"),
-    "retention_monthly": q(cust.retention_monthly, "customer_id", "order_date"),
-    "retention_crosscheck": q(cust.retention_crosscheck, "customer_id", "order_date"),
-    "churn_monthly": q(cust.churn_monthly, "customer_id", "order_date"),
+    "retention_monthly": qo(cust.retention_monthly, "customer_id", "order_date"),
+    "retention_crosscheck": qo(cust.retention_crosscheck, "customer_id", "order_date"),
+    "churn_monthly": qo(cust.churn_monthly, "customer_id", "order_date"),
     "product_name_regex": q(tx.product_name_regex, "product_name"),
     "orders_with_returns": _orders_with_returns,
     "state_share_of_totals": q(agg.state_share_of_totals, "region", "state_province", "sales", state=P["state"]),
     "nth_sales_value": q(rk.nth_sales_value, "row_id", "sales", n=P["nth_position"]),
     "sales_value_index": q(rk.sales_value_index, "row_id", "sales", max_value=P["max_value"]),
-    "mom_sales_diff": q(tm.mom_sales_diff, "order_date", "sales"),
-    "avg_mom_pct_change": q(tm.avg_mom_pct_change, "order_date", "sales"),
+    "mom_sales_diff": qo(tm.mom_sales_diff, "order_date", "sales"),
+    "avg_mom_pct_change": qo(tm.avg_mom_pct_change, "order_date", "sales"),
     "avg_line_vs_avg_month": q(agg.avg_line_vs_avg_month, "order_date", "sales"),
-    "month_region_sales": q(agg.month_region_sales, "order_date", "region", "sales"),
-    "customer_months": q(cust.customer_month_of_year, "customer_id", "order_date"),
-    "customer_month_retained_flag": q(cust.customer_month_retained_flag, "customer_id", "order_date"),
-    "retained_flag_by_geo": q(cust.retained_flag_by_geo, "customer_id", "order_date", "state_province", "region"),
+    "month_region_sales": qo(agg.month_region_sales, "order_date", "region", "sales"),
+    "customer_months": qo(cust.customer_month_of_year, "customer_id", "order_date"),
+    "customer_month_retained_flag": qo(cust.customer_month_retained_flag, "customer_id", "order_date"),
+    "retained_flag_by_geo": qo(cust.retained_flag_by_geo, "customer_id", "order_date", "state_province", "region"),
     "describe_orders": _describe_orders,
     "ship_mode_counts": q(agg.ship_mode_counts, "ship_mode", "order_id"),
     "order_line_vs_order_count": q(agg.order_line_vs_order_count, "order_id"),
@@ -213,6 +222,6 @@ NAMED = {
     "top_state_per_month": q(rk.top_state_per_month, "order_date", "state_province", "profit"),
     "month_share_of_sales_profit": q(agg.month_share_of_sales_profit, "order_date", "sales", "profit"),
     "total_sales": q(agg.total_sales, "sales"),
-    "pct_growth_per_month": q(tm.pct_growth_per_month, "order_date", "sales"),
+    "pct_growth_per_month": qo(tm.pct_growth_per_month, "order_date", "sales"),
     "row_count": q(agg.row_count, "row_id"),
 }
