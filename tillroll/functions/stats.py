@@ -1,8 +1,8 @@
 """Exact moment aggregates and the statistics built from them.
 
 Correlation and z-scores are computed from exact integer moments (values
-scaled to integers, summed as DECIMAL(38,0)) in one partial+final aggregate,
-and only the final formula runs in DOUBLE. The result therefore does not
+scaled to 64-bit integers, products exact in 64 bits, sums in DECIMAL(38,0))
+in one partial+final aggregate, and only the final formula runs in DOUBLE. The result therefore does not
 depend on how rows are split into tasks, unlike a streaming (Welford) update
 whose rounding follows the merge order. Valid while the scaled moments stay
 below 1e38.
@@ -17,21 +17,32 @@ WIDE = "decimal(38,0)"
 
 
 def scaled(c, scale: int = 2) -> Column:
-    """Value times 10**scale as an exact integer (DECIMAL(38,0))."""
+    """Value times 10**scale as an exact 64-bit integer (values with at most
+    ``scale`` decimals and |value * 10**scale| < 3e9, so products fit in 64 bits)."""
     col = F.col(c) if isinstance(c, str) else c
-    return (col.cast("decimal(38,10)") * F.lit(10 ** scale)).cast(WIDE)
+    return (col * F.lit(10 ** scale)).cast("long") if scale else col.cast("long")
 
 
-def pair_moments(x, y, prefix: str, sx: int = 2, sy: int = 2) -> list[Column]:
-    """n, Σx, Σy, Σx², Σy², Σxy over rows where both are not NULL."""
+def pair_moments(x, y, prefix: str, sx: int = 2, sy: int = 2, wide: bool = False) -> list[Column]:
+    """n, Σx, Σy, Σx², Σy², Σxy over rows where both are not NULL.
+
+    Values and their products are exact 64-bit integers; only the running sums
+    are DECIMAL(38,0), which cannot overflow the way a 64-bit sum of squares would.
+    ``wide`` keeps values and products in DECIMAL(38,0) too, for inputs that are
+    themselves large totals.
+    """
     both = (F.col(x).isNotNull() & F.col(y).isNotNull()) if isinstance(x, str) else (x.isNotNull() & y.isNotNull())
-    xv = F.when(both, scaled(x, sx))
-    yv = F.when(both, scaled(y, sy))
+    xv = F.when(both, scaled(x, sx).cast(WIDE) if wide else scaled(x, sx))
+    yv = F.when(both, scaled(y, sy).cast(WIDE) if wide else scaled(y, sy))
+
+    def wide_sum(e):
+        return F.sum(e.cast(WIDE))
+
     return [
         F.count(xv).cast(WIDE).alias(f"{prefix}_n"),
-        F.sum(xv).alias(f"{prefix}_sx"), F.sum(yv).alias(f"{prefix}_sy"),
-        F.sum(xv * xv).alias(f"{prefix}_sxx"), F.sum(yv * yv).alias(f"{prefix}_syy"),
-        F.sum(xv * yv).alias(f"{prefix}_sxy"),
+        wide_sum(xv).alias(f"{prefix}_sx"), wide_sum(yv).alias(f"{prefix}_sy"),
+        wide_sum(xv * xv).alias(f"{prefix}_sxx"), wide_sum(yv * yv).alias(f"{prefix}_syy"),
+        wide_sum(xv * yv).alias(f"{prefix}_sxy"),
     ]
 
 

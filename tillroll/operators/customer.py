@@ -193,7 +193,7 @@ def clv_drivers(sl: DataFrame) -> DataFrame:
     from tillroll.functions.stats import corr_from_moments, pair_moments
     clv = customer_lifetime_value(sl)
     drivers = {"orders": 0, "aov": 2, "span_days": 0}
-    aggs = [m for name, s in drivers.items() for m in pair_moments(name, "clv", name, s, 2)]
+    aggs = [m for name, s in drivers.items() for m in pair_moments(name, "clv", name, s, 2, wide=True)]
     row = clv.agg(*aggs)
     parts = [row.select(F.lit(name).alias("driver"), corr_from_moments(name).alias("corr"),
                         F.col(f"{name}_n").cast("bigint").alias("n")) for name in drivers]

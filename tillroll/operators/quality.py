@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.columns import pct
 from tillroll.functions.stats import corr_from_moments, pair_moments
-from tillroll.operators.quantile import grouped_quantiles
+from tillroll.operators.quantile import grouped_quantiles, grouped_quantiles_by_histogram
 
 
 def _d(c):
@@ -50,12 +50,15 @@ def _attach(df: DataFrame, stats: DataFrame, by: list[str], cols: list[str]) ->
     return df.withColumns({c: stats.select(c).scalar() for c in cols})
 
 
-def impute_median(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
-    """Replace NULLs of ``cols`` by the group's exact (discrete) median."""
+def impute_median(df: DataFrame, cols: list[str], by: list[str] | None = None,
+                  bounded_domain: bool = False) -> DataFrame:
+    """Replace NULLs of ``cols`` by the group's exact (discrete) median.
+    ``bounded_domain`` selects the histogram method (whole days, ages, ...)."""
     by = list(by or [])
     out = df
+    quantiles = grouped_quantiles_by_histogram if bounded_domain else grouped_quantiles
     for c in cols:
-        med = grouped_quantiles(df, by, c, {f"_med_{c}": 0.5})
+        med = quantiles(df, by, c, {f"_med_{c}": 0.5})
         out = _attach(out, med, by, [f"_med_{c}"])
         out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"_med_{c}"))).drop(f"_med_{c}")
     return out

@@ -74,9 +74,9 @@ def sales_anomalies(sl: DataFrame, trailing: int = 12, z_threshold: float = 2.0,
 
     Moments are exact integers (cents); only the final formula is DOUBLE.
     """
-    from tillroll.functions.stats import scaled
     monthly = sl.groupBy(F.trunc("order_date", "MM").alias("month")).agg(F.sum("sales").alias("_s"))
-    x = scaled("_s", 2)
+    # monthly totals in cents can exceed the 64-bit product range: keep them DECIMAL(38,0)
+    x = (F.col("_s") * 100).cast("decimal(38,0)")
     w = Window.orderBy("month").rowsBetween(-trailing, -1)
     m = monthly.select("month", "_s", x.alias("_x"), F.count("_s").over(w).alias("_n"),
                        F.sum(x).over(w).alias("_sx"), F.sum(x * x).over(w).alias("_sxx"))

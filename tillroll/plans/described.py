@@ -203,7 +203,7 @@ def _delivery(spark, sf_dir):
 
 
 def impute_median(spark, sf_dir):
-    return quality.impute_median(_delivery(spark, sf_dir), ["delivery_days"], ["ship_mode"])
+    return quality.impute_median(_delivery(spark, sf_dir), ["delivery_days"], ["ship_mode"], bounded_domain=True)
 
 
 def iqr_outliers(spark, sf_dir):
