@@ -20,7 +20,8 @@ def scaled(c, scale: int = 2) -> Column:
     """Value times 10**scale as an exact 64-bit integer (values with at most
     ``scale`` decimals and |value * 10**scale| < 3e9, so products fit in 64 bits)."""
     col = F.col(c) if isinstance(c, str) else c
-    return (col * F.lit(10 ** scale)).cast("long") if scale else col.cast("long")
+    # round first: a DOUBLE such as 0.29 is 28.999999999999996 after * 100
+    return F.round(col * F.lit(10 ** scale), 0).cast("long")
 
 
 def pair_moments(x, y, prefix: str, sx: int = 2, sy: int = 2, wide: bool = False) -> list[Column]:
