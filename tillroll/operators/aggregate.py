@@ -301,10 +301,11 @@ def ship_mode_cities_by_state(sl: DataFrame) -> DataFrame:
 
 def widest_ship_mode_by_state(sl: DataFrame) -> DataFrame:
     """The ship mode(s) used in most cities of each state (ties kept): the
-    reference's correlated scalar subquery as a max over a state window."""
+    reference's correlated scalar subquery (count = the state's max count) as
+    RANK = 1, which lets Spark limit each group map-side (WindowGroupLimit)."""
     per = ship_mode_cities_by_state(sl)
-    best = F.max("mode_count").over(Window.partitionBy("state"))
-    return per.withColumn("_best", best).where(F.col("mode_count") == F.col("_best")).drop("_best")
+    ranked = per.withColumn("_r", F.rank().over(Window.partitionBy("state").orderBy(F.desc("mode_count"))))
+    return ranked.where(F.col("_r") == 1).drop("_r")
 
 
 def customers_nplus_lines_month(sl: DataFrame, n: int = 3) -> DataFrame:

@@ -93,12 +93,12 @@ def product_region_drill(sl: DataFrame, product: str = "Accessory34") -> DataFra
 
 
 def top_subcat_per_region(sl: DataFrame) -> DataFrame:
-    """Most ordered sub-category per region, ties kept (max over a region window;
-    the reference's correlated HAVING subquery)."""
+    """Most ordered sub-category per region, ties kept: the reference's correlated
+    HAVING subquery (count = the region's max count), written as RANK = 1 so
+    Spark applies a partial top-k before the shuffle (WindowGroupLimit)."""
     agg = sl.groupBy("product_sub_category", "region").agg(F.count("product_sub_category").alias("occurance"))
-    best = F.max("occurance").over(Window.partitionBy("region"))
-    return (agg.withColumn("_best", best).where(F.col("occurance") == F.col("_best"))
-            .select("region", "product_sub_category", F.col("occurance").alias("max_occurance")))
+    top = top_k_per_group(agg, ["region"], [F.desc("occurance")], 1, "rank", name="_r")
+    return top.select("region", "product_sub_category", F.col("occurance").alias("max_occurance"))
 
 
 def top_subcat_per_region_rank(sl: DataFrame) -> DataFrame:
