@@ -21,9 +21,28 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+# Resolved tables, per Spark application: a relation's file listing and Parquet
+# footers are read once, not once per query (on a large table, listing its
+# files is itself a distributed job). DataFrames are immutable and lazy, so
+# sharing one between queries is safe; ``refresh_tables`` forgets them when the
+# files change.
+_RESOLVED: dict[tuple[str, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table as a DataFrame (lazy; nothing is read until an action)."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    path = table_path(sf_dir, name)
+    key = (spark.sparkContext.applicationId, path)
+    df = _RESOLVED.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _RESOLVED[key] = df
+    return df
+
+
+def refresh_tables() -> None:
+    """Forget resolved tables (after their files were rewritten)."""
+    _RESOLVED.clear()
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> None:
