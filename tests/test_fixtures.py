@@ -203,3 +203,21 @@ def test_grouped_quantiles_match_naive(spark, sf_small):
         F.max(F.when(F.col("rn") == F.ceil(F.col("count") * F.lit(Decimal("0.25"))), F.col("sales"))).alias("q1"),
         F.max(F.when(F.col("rn") == F.ceil(F.col("count") * F.lit(Decimal("0.9"))), F.col("sales"))).alias("q9"))
     assert rows(fast, "product_category", "q1", "q9") == rows(naive, "product_category", "q1", "q9")
+
+
+def test_hot_value_and_group_split_exactly(spark):
+    """A third of all rows share one group and one value: positions and
+    quantiles stay exact (the hash tie-break spreads the hot value)."""
+    from pyspark.sql import Window
+    from tillroll.operators.quantile import grouped_quantiles
+    rows_ = [("hot", Decimal("5.00"), i) for i in range(300)] + \
+            [("hot", Decimal(i % 97), 1000 + i) for i in range(300)] + \
+            [(f"g{i % 7}", Decimal(i % 13), 2000 + i) for i in range(300)]
+    df = spark.createDataFrame(rows_, "g string, v decimal(18,2), id int")
+    fast = rk.global_position(df, ["v", "id"], "pos", num_partitions=6)
+    naive = df.withColumn("pos", F.row_number().over(Window.orderBy("v", "id")))
+    assert rows(fast, "id", "pos") == rows(naive, "id", "pos")
+    q = {r["g"]: (r["q1"], r["median"], r["n"]) for r in
+         grouped_quantiles(df, ["g"], "v", {"q1": 0.25, "median": 0.5}, num_partitions=6).collect()}
+    hot = sorted([Decimal("5.00")] * 300 + [Decimal(i % 97) for i in range(300)])
+    assert q["hot"] == (hot[150 - 1], hot[300 - 1], 600)

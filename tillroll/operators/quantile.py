@@ -29,6 +29,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.session import ensure_checkpoint_dir
+
 
 def _fresh(df: DataFrame) -> DataFrame:
     """Re-alias every column: a checkpointed DataFrame keeps the attribute ids of
@@ -50,6 +52,7 @@ def grouped_positions(df: DataFrame, group_cols: list[str], order_cols: list, na
     """Attach ``name`` (1-based position inside the group in ``order_cols`` order)
     and ``{name}_n`` (group size). ``order_cols`` should end with a tie-break."""
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)          # the shared folder of spark.checkpoint.dir
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
     ranged = (df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)

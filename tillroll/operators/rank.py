@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.columns import month_of_year
 from tillroll.operators.quantile import _fresh
+from tillroll.session import ensure_checkpoint_dir
 
 
 def _d(c):
@@ -159,6 +160,7 @@ def global_position(df: DataFrame, order_cols: list, name: str = "position",
       5. join the offsets back (broadcast: one row per partition, bounded).
     """
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)          # the shared folder of spark.checkpoint.dir
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n_parts, *order_cols)
               .sortWithinPartitions(*order_cols)
