@@ -318,3 +318,14 @@ def make_components(spark: SparkSession, sf_dir: str) -> DataFrame:
              for name, share in MAKE_SHARES.items()]
     return (part.select(F.col("p_partkey").alias("item"), F.explode(F.array(*parts)).alias("c"))
             .select("item", "c.component", "c.unit_cost"))
+
+
+def register_analytic_views(spark: SparkSession, sf_dir: str, prefix: str = "") -> None:
+    """Register the bound shapes as temp views under the reference's table names
+    (``orders`` = order lines, ``o_return``, ``users``) so analyses can also be
+    written in Spark SQL. The views are lazy plans over the Parquet tables;
+    Catalyst prunes the columns and joins each statement does not use only as
+    far as the plan allows (the DataFrame binding prunes whole joins)."""
+    sales_line(spark, sf_dir).createOrReplaceTempView(f"{prefix}orders")
+    o_return(spark, sf_dir).createOrReplaceTempView(f"{prefix}o_return")
+    users(spark, sf_dir).createOrReplaceTempView(f"{prefix}users")
