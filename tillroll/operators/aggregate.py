@@ -74,11 +74,12 @@ def sales_month_subcat_rollup(sl: DataFrame, with_grouping_id: bool = False) ->
 
 
 def customer_totals(sl: DataFrame) -> DataFrame:
+    """Quantity, sales and profit per customer. The reference's ORDER BY sales is
+    presentation and is left out: on one row per customer it would be a global
+    range sort of the whole result."""
     return (sl.groupBy("customer_id", "customer_name")
             .agg(F.sum("quantity_ordered_new").cast("bigint").alias("quantity"),
-                 F.sum("sales").alias("_s"), _d(F.sum("profit")).alias("t_profit"))
-            .orderBy(F.desc("_s"))
-            .select("customer_id", "customer_name", "quantity", _d("_s").alias("t_sales"), "t_profit"))
+                 _d(F.sum("sales")).alias("t_sales"), _d(F.sum("profit")).alias("t_profit")))
 
 
 def region_sales_contribution(sl: DataFrame) -> DataFrame:

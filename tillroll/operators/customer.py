@@ -101,11 +101,12 @@ def customer_first_order(sl: DataFrame) -> DataFrame:
 
 
 def customer_lifespan(sl: DataFrame) -> DataFrame:
+    """First and last order per customer and the days between (one row per
+    customer; the reference's ORDER BY is presentation, not a global sort here)."""
     return (sl.groupBy("customer_id", "customer_name")
             .agg(F.min("order_date").alias("first_order"), F.max("order_date").alias("last_order"))
             .select("first_order", "customer_id", "customer_name", "last_order",
-                    F.datediff("last_order", "first_order").alias("inactive_days"))
-            .orderBy(F.desc("inactive_days")))
+                    F.datediff("last_order", "first_order").alias("inactive_days")))
 
 
 def lifespan_bins(sl: DataFrame, digits: int = -1) -> DataFrame:
@@ -135,7 +136,7 @@ def customers_nplus_days_month(sl: DataFrame, n: int = 3) -> DataFrame:
     days = (sl.join(qualifying, "customer_id", "left_semi")
             .select("order_date", "customer_id", "customer_name").distinct())
     freq = F.count("customer_id").over(Window.partitionBy("customer_name"))
-    return days.withColumn("order_frequency", freq).orderBy("customer_id", "order_date")
+    return days.withColumn("order_frequency", freq)
 
 
 def _monthly_activity(sl: DataFrame) -> DataFrame:
