@@ -19,6 +19,9 @@ _SCALE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+    # coalescing never makes a partition smaller than this; 256 KB (default 1 MB)
+    # keeps small shuffles spread over the cores and is irrelevant for large ones
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(256 * 1024),
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
