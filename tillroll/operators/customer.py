@@ -166,11 +166,11 @@ def true_churn(sl: DataFrame) -> DataFrame:
 def churn_retention_corr(sl: DataFrame) -> DataFrame:
     """Correlation, over months, of the reference's retention rate with the
     churn rate in the usual sense (months present in both)."""
-    from tillroll.functions.stats import corr_from_moments, pair_moments
+    from tillroll.functions.stats import corr_from_moments, moments_from_limbs, pair_moments
     ret = retention_monthly(sl).select(F.col("monthly").alias("month"), F.col("retention_rate").alias("r"))
     ch = true_churn(sl).select("month", F.col("churn_rate").alias("c"))
     j = ret.join(ch, "month")
-    row = j.agg(*pair_moments("r", "c", "m", 2, 2))
+    row = j.agg(*pair_moments("r", "c", "m", 2, 2)).select(*moments_from_limbs("m"))
     return row.select(corr_from_moments("m").alias("corr"), F.col("m_n").cast("bigint").alias("n"))
 
 
@@ -191,11 +191,11 @@ def clv_drivers(sl: DataFrame) -> DataFrame:
     order value, active span), from exact moments in one aggregate."""
     from functools import reduce
 
-    from tillroll.functions.stats import corr_from_moments, pair_moments
+    from tillroll.functions.stats import corr_from_moments, moments_from_limbs, pair_moments
     clv = customer_lifetime_value(sl)
     drivers = {"orders": 0, "aov": 2, "span_days": 0}
     aggs = [m for name, s in drivers.items() for m in pair_moments(name, "clv", name, s, 2, wide=True)]
-    row = clv.agg(*aggs)
+    row = clv.agg(*aggs).select(*[c for name in drivers for c in moments_from_limbs(name, wide=True)])
     parts = [row.select(F.lit(name).alias("driver"), corr_from_moments(name).alias("corr"),
                         F.col(f"{name}_n").cast("bigint").alias("n")) for name in drivers]
     return reduce(DataFrame.unionAll, parts)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import pct
-from tillroll.functions.stats import corr_from_moments, pair_moments
+from tillroll.functions.stats import corr_from_moments, moments_from_limbs, pair_moments
 from tillroll.operators.quantile import grouped_quantiles, grouped_quantiles_by_histogram
 
 
@@ -105,7 +105,8 @@ def correlation_matrix(df: DataFrame, cols: list[str], scale: int = 2) -> DataFr
     column pruning split it into one aggregate -- one scan -- per pair)."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     aggs = [m for i, (a, b) in enumerate(pairs) for m in pair_moments(a, b, f"p{i}", scale, scale)]
-    row = df.agg(*aggs).select(*[c for i in range(len(pairs)) for c in (
+    row = df.agg(*aggs).select(*[c for i in range(len(pairs)) for c in moments_from_limbs(f"p{i}")])
+    row = row.select(*[c for i in range(len(pairs)) for c in (
         F.col(f"p{i}_n").cast("bigint").alias(f"n{i}"), corr_from_moments(f"p{i}").alias(f"c{i}"))])
     return _stack(row, [f"{a}|{b}" for a, b in pairs], [[f"n{i}", f"c{i}"] for i in range(len(pairs))],
                   ["n", "corr"]).select(F.split("_label", r"\|")[0].alias("col_a"),
