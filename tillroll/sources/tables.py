@@ -95,8 +95,25 @@ def export_parquet(df: DataFrame, path: str, partition_by: list[str] | None = No
     writer.parquet(path)
 
 
+# Spark type -> SQL-standard type name, as a SQL DESCRIBE prints it.
+SQL_TYPE_NAMES = {
+    "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT",
+    "tinyint": "TINYINT", "double": "DOUBLE", "float": "FLOAT", "boolean": "BOOLEAN",
+    "date": "DATE", "timestamp": "TIMESTAMP WITH TIME ZONE", "timestamp_ntz": "TIMESTAMP",
+    "binary": "BLOB",
+}
+
+
+def sql_type_name(dtype: T.DataType) -> str:
+    if isinstance(dtype, T.DecimalType):
+        return f"DECIMAL({dtype.precision},{dtype.scale})"
+    simple = dtype.simpleString()
+    return SQL_TYPE_NAMES.get(simple, simple.upper())
+
+
 def describe(df: DataFrame) -> DataFrame:
-    """Column names and types as rows (DESCRIBE table)."""
+    """Column names and SQL type names as rows (DESCRIBE table). Only the schema
+    is read (Parquet footers), never the data."""
     spark = df.sparkSession
-    rows = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+    rows = [(f.name, sql_type_name(f.dataType)) for f in df.schema.fields]
     return spark.createDataFrame(rows, "col_name string, data_type string")
