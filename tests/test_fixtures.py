@@ -221,3 +221,17 @@ def test_hot_value_and_group_split_exactly(spark):
          grouped_quantiles(df, ["g"], "v", {"q1": 0.25, "median": 0.5}, num_partitions=6).collect()}
     hot = sorted([Decimal("5.00")] * 300 + [Decimal(i % 97) for i in range(300)])
     assert q["hot"] == (hot[150 - 1], hot[300 - 1], 600)
+
+
+def test_approx_switches_are_close(spark, sf_small):
+    from tillroll.sources.binding import sales_line
+    sl = sales_line(spark, sf_small, ["product_category", "sales", "region", "customer_id"])
+    exact = {r["product_category"]: r for r in quality.box_stats(sl, "sales", ["product_category"]).collect()}
+    approx = {r["product_category"]: r for r in quality.box_stats(sl, "sales", ["product_category"], approx=True).collect()}
+    assert exact.keys() == approx.keys()
+    for k in exact:
+        assert exact[k]["n"] == approx[k]["n"] and exact[k]["min"] == approx[k]["min"]
+        assert abs(float(exact[k]["median"]) - float(approx[k]["median"])) <= 0.05 * float(exact[k]["median"])
+    e = {r["region"]: r["customers"] for r in agg.region_active_customers(sl).collect()}
+    a = {r["region"]: r["customers"] for r in agg.region_active_customers(sl, approx=True).collect()}
+    assert all(abs(e[k] - a[k]) <= max(3, 0.05 * e[k]) for k in e)

@@ -149,14 +149,20 @@ def product_avg_prefix(sl: DataFrame, prefix: str = "Motorola") -> DataFrame:
     return product_avg_sales(sl.where(F.lower("product_name").startswith(prefix.lower())))
 
 
-def region_active_customers(sl: DataFrame) -> DataFrame:
-    return sl.groupBy("region").agg(F.count_distinct("customer_id").alias("customers"),
+def _distinct_count(c: str, approx: bool, rsd: float = 0.01):
+    """COUNT(DISTINCT c); with ``approx`` a HyperLogLog++ sketch (relative error
+    ``rsd``) that merges map-side instead of shuffling every distinct value."""
+    return F.approx_count_distinct(c, rsd) if approx else F.count_distinct(c)
+
+
+def region_active_customers(sl: DataFrame, approx: bool = False) -> DataFrame:
+    return sl.groupBy("region").agg(_distinct_count("customer_id", approx).alias("customers"),
                                     _d(F.sum("sales")).alias("sales"))
 
 
-def month_region_engagement(sl: DataFrame) -> DataFrame:
+def month_region_engagement(sl: DataFrame, approx: bool = False) -> DataFrame:
     return sl.groupBy(month_of_year("order_date").alias("month_wise"), "region").agg(
-        F.count_distinct("customer_id").alias("engagement"), _d(F.sum("sales")).alias("sales"))
+        _distinct_count("customer_id", approx).alias("engagement"), _d(F.sum("sales")).alias("sales"))
 
 
 def subcategory_count(sl: DataFrame) -> DataFrame:

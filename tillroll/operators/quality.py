@@ -16,7 +16,12 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.columns import pct
 from tillroll.functions.stats import corr_from_moments, moments_from_limbs, pair_moments
-from tillroll.operators.quantile import grouped_quantiles, grouped_quantiles_by_histogram
+from tillroll.operators.quantile import (grouped_quantiles, grouped_quantiles_approx,
+                                        grouped_quantiles_by_histogram)
+
+
+def _quantiles(approx: bool):
+    return grouped_quantiles_approx if approx else grouped_quantiles
 
 
 def _d(c):
@@ -51,12 +56,13 @@ def _attach(df: DataFrame, stats: DataFrame, by: list[str], cols: list[str]) ->
 
 
 def impute_median(df: DataFrame, cols: list[str], by: list[str] | None = None,
-                  bounded_domain: bool = False) -> DataFrame:
+                  bounded_domain: bool = False, approx: bool = False) -> DataFrame:
     """Replace NULLs of ``cols`` by the group's exact (discrete) median.
-    ``bounded_domain`` selects the histogram method (whole days, ages, ...)."""
+    ``bounded_domain`` selects the histogram method (whole days, ages, ...);
+    ``approx`` a sketch median."""
     by = list(by or [])
     out = df
-    quantiles = grouped_quantiles_by_histogram if bounded_domain else grouped_quantiles
+    quantiles = grouped_quantiles_by_histogram if bounded_domain else _quantiles(approx)
     for c in cols:
         med = quantiles(df, by, c, {f"_med_{c}": 0.5})
         out = _attach(out, med, by, [f"_med_{c}"])
@@ -64,11 +70,12 @@ def impute_median(df: DataFrame, cols: list[str], by: list[str] | None = None,
     return out
 
 
-def iqr_outliers(df: DataFrame, column: str, by: list[str] | None = None, k: float = 1.5) -> DataFrame:
+def iqr_outliers(df: DataFrame, column: str, by: list[str] | None = None, k: float = 1.5,
+                 approx: bool = False) -> DataFrame:
     """Rows with the fences q1 - k*IQR and q3 + k*IQR of their group (exact
-    discrete quartiles) and ``is_outlier``."""
+    discrete quartiles, or sketch quartiles with ``approx``) and ``is_outlier``."""
     by = list(by or [])
-    q = grouped_quantiles(df, by, column, {"_q1": 0.25, "_q3": 0.75})
+    q = _quantiles(approx)(df, by, column, {"_q1": 0.25, "_q3": 0.75})
     kk = F.lit(str(k)).cast("decimal(10,4)")
     fences = q.select(*by, (F.col("_q1") - kk * (F.col("_q3") - F.col("_q1"))).alias("lo"),
                       (F.col("_q3") + kk * (F.col("_q3") - F.col("_q1"))).alias("hi"))
@@ -77,18 +84,20 @@ def iqr_outliers(df: DataFrame, column: str, by: list[str] | None = None, k: flo
 
 
 def winsorize(df: DataFrame, column: str, p_lo: float = 0.05, p_hi: float = 0.95,
-              by: list[str] | None = None, name: str | None = None) -> DataFrame:
-    """Clip ``column`` to its group's exact discrete p_lo / p_hi quantiles."""
+              by: list[str] | None = None, name: str | None = None, approx: bool = False) -> DataFrame:
+    """Clip ``column`` to its group's exact discrete p_lo / p_hi quantiles
+    (sketch quantiles with ``approx``)."""
     by = list(by or [])
-    q = grouped_quantiles(df, by, column, {"_lo": p_lo, "_hi": p_hi})
+    q = _quantiles(approx)(df, by, column, {"_lo": p_lo, "_hi": p_hi})
     j = _attach(df, q, by, ["_lo", "_hi"])
     clipped = F.least(F.greatest(F.col(column), F.col("_lo")), F.col("_hi"))
     return j.withColumn(name or column, clipped).drop("_lo", "_hi")
 
 
-def box_stats(df: DataFrame, column: str, by: list[str]) -> DataFrame:
-    """group, n, min, q1, median, q3, max (exact discrete quartiles)."""
-    q = grouped_quantiles(df, by, column, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+def box_stats(df: DataFrame, column: str, by: list[str], approx: bool = False) -> DataFrame:
+    """group, n, min, q1, median, q3, max (exact discrete quartiles; sketch
+    quartiles with ``approx``)."""
+    q = _quantiles(approx)(df, by, column, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     return q.select(*by, "n", "min", "q1", "median", "q3", "max")
 
 

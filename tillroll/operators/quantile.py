@@ -116,3 +116,17 @@ def grouped_quantiles_by_histogram(df: DataFrame, group_cols: list[str], value_c
         hit = (F.col("_cum") >= target) & (F.col("_cum") - F.col("_c") < target)
         aggs.append(F.max(F.when(hit, F.col(value_col))).alias(name))
     return cum.groupBy(*group_cols).agg(*aggs) if group_cols else cum.agg(*aggs)
+
+
+def grouped_quantiles_approx(df: DataFrame, group_cols: list[str], value_col: str, probs: dict,
+                             accuracy: int = 10000) -> DataFrame:
+    """Approximate quantiles per group from mergeable sketches
+    (``percentile_approx``: rank error about n / accuracy); same output columns
+    as ``grouped_quantiles``. For inputs where an exact answer is not needed."""
+    names = list(probs)
+    sketch = F.percentile_approx(value_col, [float(probs[n]) for n in names], accuracy)
+    vals = df.where(F.col(value_col).isNotNull())
+    aggs = [F.count(F.lit(1)).alias("n"), F.min(value_col).alias("min"), F.max(value_col).alias("max"),
+            sketch.alias("_q")]
+    out = vals.groupBy(*group_cols).agg(*aggs) if group_cols else vals.agg(*aggs)
+    return out.select(*group_cols, "n", "min", "max", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
