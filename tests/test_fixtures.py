@@ -235,3 +235,17 @@ def test_approx_switches_are_close(spark, sf_small):
     e = {r["region"]: r["customers"] for r in agg.region_active_customers(sl).collect()}
     a = {r["region"]: r["customers"] for r in agg.region_active_customers(sl, approx=True).collect()}
     assert all(abs(e[k] - a[k]) <= max(3, 0.05 * e[k]) for k in e)
+
+
+def test_returns_operators_equal_binding_level_joins(spark, sf_small):
+    from tillroll.operators import join as jn
+    from tillroll.plans.registry import QUERIES
+    from tillroll.sources.binding import o_return, sales_line
+    sl, ret = sales_line(spark, sf_small), o_return(spark, sf_small)
+    for key, op in [("returned_order_details", jn.returned_order_details(sl, ret)),
+                    ("orders_with_returns", jn.orders_with_returns(sl, ret)),
+                    ("returned_orders_by_region", jn.returned_orders_by_region(sl, ret))]:
+        reg = QUERIES[key](spark, sf_small)
+        assert sorted(op.columns) == sorted(reg.columns), key
+        cols = sorted(op.columns)
+        assert rows(op, *cols) == rows(reg, *cols), key
