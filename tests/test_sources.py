@@ -33,3 +33,17 @@ def test_csv_declared_schema_and_export(spark, sf_small):
     assert again.count() == lines.count()
     assert again.agg(F.sum("sales")).collect()[0][0] == lines.agg(F.sum("sales")).collect()[0][0]
     assert {r["col_name"] for r in describe(back).collect()} == {"row_id", "customer_id", "order_date", "sales"}
+
+
+def test_materialized_order_lines_answer_the_same(spark, sf_small):
+    from tillroll.operators import aggregate as agg
+    from tillroll.sources.materialize import materialize_sales_line, read_materialized
+    path = os.path.join(tempfile.mkdtemp(), "sales_line")
+    materialize_sales_line(spark, sf_small, path)
+    mat = read_materialized(spark, path, ["region", "sales"])
+    a = sorted(agg.region_sales_contribution(mat).collect())
+    b = sorted(agg.region_sales_contribution(sales_line(spark, sf_small, ["region", "sales"])).collect())
+    assert a == b
+    one = read_materialized(spark, path, ["order_date"], months=["1995-01"])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(order_month" in plan and one.count() > 0
