@@ -33,8 +33,6 @@ from tillroll.functions.columns import MONEY
 from tillroll.sources.tables import read_table
 
 # Which source a sales_line column needs (beyond lineitem itself).
-_LINE_ONLY = {"row_id", "ship_mode", "ship_date", "discount", "shipping_cost",
-              "quantity_ordered_new", "sales", "order_id", "country"}
 _NEEDS_ORDERS = {"order_priority", "order_date", "customer_id", "city"}
 _NEEDS_CUSTOMER = {"customer_name", "customer_segment"}
 _NEEDS_NATION = {"state_province"}
@@ -90,6 +88,20 @@ ORDER_GRAIN_COLUMNS = ("order_priority", "customer_id", "customer_name", "custom
                        "sales", "quantity_ordered_new", "shipping_cost")
 
 
+def _order_level_exprs() -> dict:
+    """Order-level columns from orders (+ the customer geography columns)."""
+    return {
+        "order_priority": F.col("o_orderpriority"),
+        "customer_id": F.col("o_custkey"),
+        "customer_name": F.col("customer_name"),
+        "customer_segment": F.col("customer_segment"),
+        "region": F.col("region"),
+        "state_province": F.col("state_province"),
+        "city": F.concat(F.lit("CITY_"), (F.col("o_custkey") % 97).cast("string")),
+        "order_date": F.to_date(F.col("o_orderdate")),
+    }
+
+
 def sales_line(spark: SparkSession, sf_dir: str, columns=None, order_join=None, grain: str = "line") -> DataFrame:
     """The order-line table, restricted to ``columns`` (all when None).
 
@@ -147,24 +159,17 @@ def sales_line(spark: SparkSession, sf_dir: str, columns=None, order_join=None,
     sales = F.col("l_extendedprice").cast(MONEY)
     unit_price = F.col("p_retailprice").cast(MONEY)
     exprs = {
+        **_order_level_exprs(),
         "row_id": F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
                               F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
                               sales.cast("string")),
-        "order_priority": F.col("o_orderpriority"),
-        "customer_id": F.col("o_custkey"),
-        "customer_name": F.col("customer_name"),
         "ship_mode": F.concat(F.lit("MODE_"), (F.col("l_suppkey") % 4).cast("string")),
-        "customer_segment": F.col("customer_segment"),
         "product_category": F.col("p_type"),
         "product_sub_category": F.col("p_brand"),
         "product_container": F.concat(F.lit("BOX_"), (F.col("p_size") % 7).cast("string")),
         "product_name": F.concat(F.col("p_name"), F.lit(" "), F.col("p_partkey").cast("string")),
         "product_base_margin": (F.col("p_size").cast(MONEY) / F.lit(100)).cast(MONEY),
         "country": F.lit(COUNTRY),
-        "region": F.col("region"),
-        "state_province": F.col("state_province"),
-        "city": F.concat(F.lit("CITY_"), (F.col("o_custkey") % 97).cast("string")),
-        "order_date": F.to_date(F.col("o_orderdate")),
         "ship_date": F.to_date(F.col("l_shipdate")),
         "discount": F.col("l_discount").cast(MONEY),
         "unit_price": unit_price,
@@ -206,13 +211,7 @@ def sales_line_dims(spark: SparkSession, sf_dir: str, columns) -> DataFrame:
     if need_customer or need_nation or need_region:
         geo = _customer_geo(spark, sf_dir, need_customer, need_nation, need_region)
         orders = orders.join(geo, orders.o_custkey == geo.c_custkey)
-    exprs = {
-        "order_priority": F.col("o_orderpriority"), "customer_id": F.col("o_custkey"),
-        "customer_name": F.col("customer_name"), "customer_segment": F.col("customer_segment"),
-        "region": F.col("region"), "state_province": F.col("state_province"),
-        "city": F.concat(F.lit("CITY_"), (F.col("o_custkey") % 97).cast("string")),
-        "order_date": F.to_date(F.col("o_orderdate")),
-    }
+    exprs = _order_level_exprs()
     cols = [c for c in exprs if c in wanted]
     return orders.select(F.col("o_orderkey").alias("_okey"), *[exprs[c].alias(c) for c in cols])
 
