@@ -249,3 +249,28 @@ def test_returns_operators_equal_binding_level_joins(spark, sf_small):
         assert sorted(op.columns) == sorted(reg.columns), key
         cols = sorted(op.columns)
         assert rows(op, *cols) == rows(reg, *cols), key
+
+
+def test_q65_february_equals_q66_on_one_year(spark, sf_small):
+    """The reference's cross-check: on one year of data, retention for February
+    equals the January-and-February customer count."""
+    import datetime as dt
+    from tillroll.sources.binding import sales_line
+    year = sales_line(spark, sf_small, ["customer_id", "order_date"]).where(F.year("order_date") == 1996)
+    feb = [r for r in cust.retention_monthly(year).collect() if r["monthly"] == dt.date(1996, 2, 1)][0]
+    cross = {r["category"]: r["counts"] for r in cust.retention_crosscheck(year, 1, 2).collect()}
+    assert feb["retention_count"] == cross["Total Retained Customers"]
+    assert feb["total_count"] == cross["Total Distinct Customers"]
+
+
+def test_month_gap(spark):
+    """Orders in January and March only: nobody is retained in March (February
+    is empty) and true churn reports February with every January customer lost."""
+    df = lines(spark, [{"customer_id": 1, "order_date": "2015-01-10"}, {"customer_id": 2, "order_date": "2015-01-11"},
+                       {"customer_id": 1, "order_date": "2015-03-05"}])
+    ret = rows(cust.retention_monthly(df), "monthly", "retention_count", "total_count")
+    assert ret == [(d("2015-01-01"), 0, 2), (d("2015-03-01"), 0, 1)]
+    churn = rows(cust.true_churn(df), "month", "prior_customers", "lost", "churn_rate")
+    assert churn == [(d("2015-02-01"), 2, 2, 1.0)]           # March has no prior month data, April is unobserved
+    flags = rows(cust.customer_month_retained_flag(df), "customer_id", "current_month", "previous_month", "retained")
+    assert flags == [(1, d("2015-01-01"), None, "No"), (1, d("2015-03-01"), None, "No"), (2, d("2015-01-01"), None, "No")]
