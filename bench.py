@@ -58,7 +58,11 @@ def main() -> None:
             samples.append(time.perf_counter() - t0)
         times[key] = round(statistics.median(samples), 4)
         print(f"# {key}: {times[key]:.3f}s", file=sys.stderr)
-    sf = os.path.basename(os.path.normpath(sf_dir)).replace("sf", "")
+    sf_name = os.path.basename(os.path.normpath(sf_dir)).replace("sf", "")
+    try:
+        sf = float(sf_name)
+    except ValueError:
+        sf = sf_name
     print(json.dumps({"metric": "sum_of_median_query_seconds", "value": round(sum(times.values()), 4),
                       "unit": "sec", "queries": times, "sf": sf, "cpus": int(cpus), "runs": runs,
                       "spark": spark.version}))
