@@ -31,3 +31,4 @@ def test_stream_parquet_sink_and_restart(spark, sf_small):
     run_available_now(monthly_region_sales_stream(stream_sales_lines(spark, sf_small)), "monthly_region_sales_p",
                       checkpoint_root=root, sink_path=sink)
     assert first > 0 and spark.read.parquet(sink).count() == first
+    assert "epoch_id" in spark.read.parquet(sink).columns

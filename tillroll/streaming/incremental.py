@@ -65,9 +65,10 @@ def run_available_now(agg: DataFrame, query_name: str, checkpoint_root: str | No
                       output_mode: str = "update", sink_path: str | None = None):
     """Run ``agg`` over all currently available input, then stop.
 
-    With ``sink_path`` each micro-batch's changed rows are appended to a
-    Parquet table (``foreachBatch``); otherwise the result goes to an
-    in-memory table named ``query_name`` (tests, notebooks).
+    With ``sink_path`` each micro-batch's changed rows are written to the
+    Parquet table partition ``epoch_id=<batch>`` (``foreachBatch``; a re-run
+    batch overwrites its own partition, so the sink is exactly-once); otherwise
+    the result goes to an in-memory table named ``query_name`` (tests).
     """
     spark = agg.sparkSession
     root = checkpoint_root or spark.conf.get("spark.checkpoint.dir")
@@ -76,7 +77,9 @@ def run_available_now(agg: DataFrame, query_name: str, checkpoint_root: str | No
               .trigger(availableNow=True))
     if sink_path:
         def write_batch(batch: DataFrame, epoch_id: int) -> None:
-            batch.withColumn("epoch_id", F.lit(epoch_id)).write.mode("append").parquet(sink_path)
+            # one directory per micro-batch, overwritten if the batch is re-run after
+            # a failure: the sink holds each epoch's rows exactly once
+            batch.write.mode("overwrite").parquet(os.path.join(sink_path, f"epoch_id={epoch_id}"))
         writer = writer.foreachBatch(write_batch)
     else:
         writer = writer.format("memory")
