@@ -42,6 +42,25 @@ def month_name(d) -> Column:
     return F.date_format(col(d), "MMMM")
 
 
+# Grouping keys: group on a cheap key (a date truncated to its month, an int)
+# and format the few aggregated rows afterwards -- formatting text on every
+# line before grouping is a per-row cost with the same result.
+
+def month_key(d) -> Column:
+    """First day of the month: the grouping key behind 'yyyy-MM' labels."""
+    return F.trunc(col(d), "MM")
+
+
+def year_month_label(month_start_col) -> Column:
+    """'yyyy-MM' of an already aggregated month key."""
+    return F.date_format(col(month_start_col), "yyyy-MM")
+
+
+def month_name_of(month_number) -> Column:
+    """Full month name of a month number 1..12 (formats one date per row it is applied to)."""
+    return F.date_format(F.make_date(F.lit(2000), col(month_number), F.lit(1)), "MMMM")
+
+
 def half_up_div(num, den, scale: int) -> Column:
     """Exact ``ROUND(num / den, scale)`` with half-up rounding; NULL when den = 0.
 

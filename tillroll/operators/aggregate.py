@@ -17,8 +17,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.columns import (exact_avg, half_up_round, month_name, month_of_year,
-                                        pct, year_month)
+from tillroll.functions.columns import (exact_avg, half_up_round, month_key, month_name_of, month_of_year,
+                                        pct, year_month_label)
 
 
 def _d(c) -> F.Column:
@@ -100,11 +100,11 @@ def month_region_contribution(sl: DataFrame) -> DataFrame:
 
 def monthname_region_sales_profit(sl: DataFrame) -> DataFrame:
     """Sales and profit per calendar month name x region, in calendar order."""
-    agg = (sl.groupBy(month_name("order_date").alias("months"), "region")
-           .agg(F.sum("sales").alias("_s"), F.sum("profit").alias("_p"),
-                F.min(month_of_year("order_date")).alias("_m")))
+    agg = (sl.groupBy(month_of_year("order_date").alias("_m"), "region")
+           .agg(F.sum("sales").alias("_s"), F.sum("profit").alias("_p")))
     return (agg.orderBy("_m", F.desc("_s"))
-            .select("months", "region", _d("_s").alias("t_sales"), _d("_p").alias("t_profit")))
+            .select(month_name_of("_m").alias("months"), "region", _d("_s").alias("t_sales"),
+                    _d("_p").alias("t_profit")))
 
 
 def region_sales_and_lines(sl: DataFrame) -> DataFrame:
@@ -117,17 +117,18 @@ def region_sales_and_lines(sl: DataFrame) -> DataFrame:
 
 
 def yearmonth_subcat_sales(sl: DataFrame) -> DataFrame:
-    return (sl.groupBy(year_month("order_date").alias("monthly"), "product_category", "product_sub_category")
+    return (sl.groupBy(month_key("order_date").alias("_m"), "product_category", "product_sub_category")
             .agg(F.sum("sales").alias("_s"))
-            .orderBy("monthly", "product_category", F.desc("_s"))
-            .select("monthly", "product_category", "product_sub_category", _d("_s").alias("sales")))
+            .orderBy("_m", "product_category", F.desc("_s"))
+            .select(year_month_label("_m").alias("monthly"), "product_category", "product_sub_category",
+                    _d("_s").alias("sales")))
 
 
 def yearmonth_category_sales(sl: DataFrame) -> DataFrame:
-    return (sl.groupBy(year_month("order_date").alias("monthly"), "product_category")
+    return (sl.groupBy(month_key("order_date").alias("_m"), "product_category")
             .agg(F.sum("sales").alias("_s"))
-            .orderBy("monthly", "product_category", F.desc("_s"))
-            .select("monthly", "product_category", _d("_s").alias("sales")))
+            .orderBy("_m", "product_category", F.desc("_s"))
+            .select(year_month_label("_m").alias("monthly"), "product_category", _d("_s").alias("sales")))
 
 
 def product_sales(sl: DataFrame) -> DataFrame:
@@ -316,9 +317,10 @@ def widest_ship_mode_by_state(sl: DataFrame) -> DataFrame:
 
 
 def customers_nplus_lines_month(sl: DataFrame, n: int = 3) -> DataFrame:
-    return (sl.groupBy("customer_id", "customer_name", year_month("order_date").alias("monthly"))
+    return (sl.groupBy("customer_id", "customer_name", month_key("order_date").alias("_m"))
             .agg(F.count("customer_name").alias("order_no"))
-            .where(F.col("order_no") >= n))
+            .where(F.col("order_no") >= n)
+            .select("customer_id", "customer_name", year_month_label("_m").alias("monthly"), "order_no"))
 
 
 def customers_by_value_bracket(sl: DataFrame, digits: int = -2) -> DataFrame:
@@ -368,8 +370,9 @@ def manager_monthly_bonus_exact(sl: DataFrame, users: DataFrame, low: float = 50
     """
     lo, hi, r = (F.lit(Decimal(str(v))) for v in (low, high, rate))
     agg = (sl.join(users, "region")
-           .groupBy(year_month("order_date").alias("month_data"), "manager")
-           .agg(F.sum("sales").alias("t_sales"), F.sum("profit").alias("t_profit")))
+           .groupBy(month_key("order_date").alias("_m"), "manager")
+           .agg(F.sum("sales").alias("t_sales"), F.sum("profit").alias("t_profit"))
+           .withColumn("month_data", year_month_label("_m")))
     bonus = (F.when((F.col("manager") == special_manager) & (F.col("t_sales") > hi), (F.col("t_sales") - hi) * r)
              .when(F.col("t_sales") > lo, (F.col("t_sales") - lo) * r))
     return agg.select("month_data", "manager", "t_sales", "t_profit", bonus.alias("bonus"))

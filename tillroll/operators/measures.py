@@ -154,8 +154,8 @@ def orders_by_category(sl: DataFrame) -> DataFrame:
 
 def sales_by_weekday(sl: DataFrame) -> DataFrame:
     """Sales per day of week (0 = Monday ... 6 = Sunday) with the day name."""
-    return (sl.groupBy(F.weekday("order_date").alias("weekday"), F.date_format("order_date", "EEEE").alias("day_name"))
-            .agg(_d(F.sum("sales")).alias("sales")))
+    return (sl.groupBy(F.weekday("order_date").alias("weekday"))
+            .agg(F.date_format(F.min("order_date"), "EEEE").alias("day_name"), _d(F.sum("sales")).alias("sales")))
 
 
 # --- questions stated in the reference without SQL (D52) -------------------

@@ -147,28 +147,41 @@ def sales_line(spark: SparkSession, sf_dir: str, columns=None, order_join=None,
                              *[F.col(src).alias(f"_oj_{name}") for name, src in keep.items()])
         fact = fact.join(right, fact.l_orderkey == right._oj_key, how)
     if need_orders:
+        # order-level attributes are derived on order rows, before the lines join
         orders = read_table(spark, sf_dir, "orders")
+        orders = orders.select("o_orderkey", "o_custkey", "o_orderpriority",
+                               F.to_date("o_orderdate").alias("_order_date"),
+                               F.concat(F.lit("CITY_"), (F.col("o_custkey") % 97).cast("string")).alias("_city"))
         if need_customer or need_nation or need_region:
             geo = _customer_geo(spark, sf_dir, need_customer, need_nation, need_region)
             orders = orders.join(geo, orders.o_custkey == geo.c_custkey)
         fact = fact.join(orders, fact.l_orderkey == orders.o_orderkey)
     if need_part:
+        # part-level attributes are derived on part rows (far fewer than lines)
         part = read_table(spark, sf_dir, "part")
+        part = part.select(
+            "p_partkey", "p_type", "p_brand",
+            F.concat(F.lit("BOX_"), (F.col("p_size") % 7).cast("string")).alias("_container"),
+            F.concat(F.col("p_name"), F.lit(" "), F.col("p_partkey").cast("string")).alias("_name"),
+            (F.col("p_size").cast(MONEY) / F.lit(100)).cast(MONEY).alias("_margin"),
+            F.col("p_retailprice").cast(MONEY).alias("_unit_price"))
         fact = fact.join(part, fact.l_partkey == part.p_partkey)
 
     sales = F.col("l_extendedprice").cast(MONEY)
-    unit_price = F.col("p_retailprice").cast(MONEY)
+    unit_price = F.col("_unit_price")
     exprs = {
         **_order_level_exprs(),
+        "city": F.col("_city"),
+        "order_date": F.col("_order_date"),
         "row_id": F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
                               F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
                               sales.cast("string")),
         "ship_mode": F.concat(F.lit("MODE_"), (F.col("l_suppkey") % 4).cast("string")),
         "product_category": F.col("p_type"),
         "product_sub_category": F.col("p_brand"),
-        "product_container": F.concat(F.lit("BOX_"), (F.col("p_size") % 7).cast("string")),
-        "product_name": F.concat(F.col("p_name"), F.lit(" "), F.col("p_partkey").cast("string")),
-        "product_base_margin": (F.col("p_size").cast(MONEY) / F.lit(100)).cast(MONEY),
+        "product_container": F.col("_container"),
+        "product_name": F.col("_name"),
+        "product_base_margin": F.col("_margin"),
         "country": F.lit(COUNTRY),
         "ship_date": F.to_date(F.col("l_shipdate")),
         "discount": F.col("l_discount").cast(MONEY),
