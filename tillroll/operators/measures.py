@@ -185,7 +185,7 @@ def priority_by_customer(sl: DataFrame) -> DataFrame:
 
 # --- logistics (D45) --------------------------------------------------------
 
-def shipping_effectiveness(sl: DataFrame, by: list[str] | None = None) -> DataFrame:
+def shipping_effectiveness(sl: DataFrame, by: list[str] | None = None, days_lines: DataFrame | None = None) -> DataFrame:
     """Per ship mode (optionally per state too): orders, average delivery days
     (half-up 2 dp), exact discrete p50 / p90 of delivery days, shipping cost and
     profit margin %. Delivery days are whole days from a bounded range, so the
@@ -198,7 +198,11 @@ def shipping_effectiveness(sl: DataFrame, by: list[str] | None = None) -> DataFr
                                  F.sum("days").alias("_dsum"), F.count("days").alias("_dn"),
                                  F.sum("shipping_cost").alias("_c"), F.sum("profit").alias("_p"),
                                  F.sum("sales").alias("_s"))
-    q = grouped_quantiles_by_histogram(lines, keys, "days", {"p50_days": 0.5, "p90_days": 0.9})
+    # the day histogram needs only the keys and the two dates: ``days_lines`` may be a
+    # narrower order-line frame (no part join) than the one the money measures need
+    src = days_lines if days_lines is not None else sl
+    days = src.select(*keys, F.datediff("ship_date", "order_date").alias("days"))
+    q = grouped_quantiles_by_histogram(days, keys, "days", {"p50_days": 0.5, "p90_days": 0.9})
     return (a.join(q.select(*keys, "p50_days", "p90_days"), keys)
             .select(*keys, "orders", _d(half_up_div("_dsum", "_dn", 2)).alias("avg_days"), "p50_days", "p90_days",
                     _d("_c").alias("shipping_cost"), pct("_p", "_s").alias("margin_pct")))

@@ -119,13 +119,15 @@ def sales_by_weekday(spark, sf_dir):
 
 def shipping_effectiveness(spark, sf_dir):
     sl = _sl(spark, sf_dir, "ship_mode", "order_id", "shipping_cost", "profit", "sales", "ship_date", "order_date")
-    return measures.shipping_effectiveness(sl)
+    days = _sl(spark, sf_dir, "ship_mode", "ship_date", "order_date")
+    return measures.shipping_effectiveness(sl, days_lines=days)
 
 
 def shipping_effectiveness_by_state(spark, sf_dir):
     sl = _sl(spark, sf_dir, "state_province", "ship_mode", "order_id", "shipping_cost", "profit", "sales",
              "ship_date", "order_date")
-    return measures.shipping_effectiveness(sl, ["state_province"])
+    days = _sl(spark, sf_dir, "state_province", "ship_mode", "ship_date", "order_date")
+    return measures.shipping_effectiveness(sl, ["state_province"], days_lines=days)
 
 
 def region_sales_net_of_returns(spark, sf_dir):
