@@ -20,6 +20,12 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.columns import half_up_div, month_of_year, month_start
 
+# Output labels that must read as the reference's.
+COUPON_LABEL = "Coupon Eligible"
+RETAINED_LABEL = "Total Retained Customers"
+DISTINCT_LABEL = "Total Distinct Customers"
+YES, NO = "Yes", "No"
+
 
 def customer_months(sl: DataFrame) -> DataFrame:
     """Distinct (customer_id, month) with month = first day of the order month."""
@@ -69,8 +75,8 @@ def retention_crosscheck(sl: DataFrame, first_month: int = 1, second_month: int
     b = sl.where(month_of_year("order_date") == second_month).select("customer_id").distinct()
     retained = a.join(b, "customer_id", "left_semi").agg(F.count(F.lit(1)).alias("counts"))
     total = b.agg(F.count(F.lit(1)).alias("counts"))
-    return (retained.select(F.lit("Total Retained Customers").alias("category"), "counts")
-            .union(total.select(F.lit("Total Distinct Customers").alias("category"), "counts"))
+    return (retained.select(F.lit(RETAINED_LABEL).alias("category"), "counts")
+            .union(total.select(F.lit(DISTINCT_LABEL).alias("category"), "counts"))
             .distinct())
 
 
@@ -85,7 +91,7 @@ def customer_month_retained_flag(sl: DataFrame) -> DataFrame:
     flagged = _with_previous(customer_months(sl))
     return flagged.select("customer_id", F.col("month").alias("current_month"),
                           F.col("prev_month").alias("previous_month"),
-                          F.when(F.col("prev_month").isNotNull(), "Yes").otherwise("No").alias("retained"))
+                          F.when(F.col("prev_month").isNotNull(), YES).otherwise(NO).alias("retained"))
 
 
 def retained_flag_by_geo(sl: DataFrame) -> DataFrame:
@@ -123,7 +129,7 @@ def coupon_eligibility(sl: DataFrame, today: str = "2015-06-28", days: int = 118
     per = sl.groupBy("customer_id", "customer_name").agg(F.max("order_date").alias("last_date"))
     out = per.select("customer_id", "customer_name", "last_date", today_d.alias("today"),
                      F.datediff(today_d, "last_date").alias("last_order"))
-    return out.withColumn("promotional", F.when(F.col("last_order") >= days, F.lit("Coupon Eligible")))
+    return out.withColumn("promotional", F.when(F.col("last_order") >= days, F.lit(COUPON_LABEL)))
 
 
 def customers_nplus_days_month(sl: DataFrame, n: int = 3) -> DataFrame:
