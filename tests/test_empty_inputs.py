@@ -36,3 +36,16 @@ def test_operator_on_empty_input(empty_lines, name, fn):
     # labels; nothing numeric is made up from no data
     for r in rows:
         assert all(v in (None, 0, 0.0) or isinstance(v, str) for v in r), (name, r)
+
+
+@pytest.fixture(scope="module")
+def lines_with_nulls(spark, sf_small):
+    from tillroll.sources.binding import sales_line
+    base = sales_line(spark, sf_small).orderBy("row_id").limit(400)
+    nulls = base.limit(6).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in base.schema.fields])
+    return base.unionByName(nulls)
+
+
+@pytest.mark.parametrize("name,fn", _line_operators(), ids=[n for n, _ in _line_operators()])
+def test_operator_with_null_rows(lines_with_nulls, name, fn):
+    fn(lines_with_nulls).collect()
