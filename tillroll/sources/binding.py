@@ -266,9 +266,13 @@ def employees(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = orders.groupBy("o_custkey").agg(F.min(F.to_date("o_orderdate")).alias("hire_date"),
                                           F.max(F.to_date("o_orderdate")).alias("_last"))
     data_end = orders.agg(F.max(F.to_date("o_orderdate"))).scalar()
-    geo = _customer_geo(spark, sf_dir, need_customer=False, need_nation=False, need_region=True)
-    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    emp = cust.join(geo, "c_custkey").join(per, F.col("c_custkey") == F.col("o_custkey"))
+    nation = read_table(spark, sf_dir, "nation")
+    region = read_table(spark, sf_dir, "region")
+    cust = (read_table(spark, sf_dir, "customer")
+            .join(nation, F.col("c_nationkey") == nation.n_nationkey)
+            .join(region, F.col("n_regionkey") == region.r_regionkey)
+            .select("c_custkey", "c_mktsegment", "c_acctbal", F.col("r_name").alias("region")))
+    emp = cust.join(per, F.col("c_custkey") == F.col("o_custkey"))
     key = F.col("c_custkey")
     exit_date = F.when(F.col("_last") < F.date_sub(data_end, EXIT_AFTER_DAYS), F.col("_last"))
     travel = F.element_at(F.array(*[F.lit(t) for t in TRAVEL_LABELS]), (key % 4 + 1).cast("int"))
