@@ -23,6 +23,9 @@ _SCALE_CONF = {
     # keeps small shuffles spread over the cores and is irrelevant for large ones
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(256 * 1024),
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    # checkpoints (positions, exact quantiles) are deleted once no longer referenced;
+    # otherwise every run would leave its key columns in the shared checkpoint folder
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
