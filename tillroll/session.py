@@ -60,8 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset.
 
     On a cluster the setting names a shared folder (HDFS / object store) that
-    survives executor loss; only local test sessions fall back to a fresh
-    temporary folder.
+    survives executor loss, and it is required; only local-mode sessions (tests)
+    fall back to a fresh temporary folder.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -71,6 +71,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(conf_dir)
         return conf_dir
     if current is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors "
+                               "(HDFS / object store); a machine-local folder cannot hold checkpoints")
         local_dir = tempfile.mkdtemp(prefix="tillroll-ckpt-")
         sc.setCheckpointDir(local_dir)
         try:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import MONEY, month_start
+from tillroll.session import ensure_checkpoint_dir
 from tillroll.sources.tables import read_table, table_path
 
 
@@ -71,7 +72,7 @@ def run_available_now(agg: DataFrame, query_name: str, checkpoint_root: str | No
     the result goes to an in-memory table named ``query_name`` (tests).
     """
     spark = agg.sparkSession
-    root = checkpoint_root or spark.conf.get("spark.checkpoint.dir")
+    root = checkpoint_root or ensure_checkpoint_dir(spark).replace("file:", "")
     writer = (agg.writeStream.queryName(query_name).outputMode(output_mode)
               .option("checkpointLocation", os.path.join(root, f"stream-{query_name}"))
               .trigger(availableNow=True))
