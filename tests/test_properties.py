@@ -46,3 +46,14 @@ def test_quantiles_are_percentile_disc(spark, rows, p, parts):
     fast = {r["g"]: r["q"] for r in grouped_quantiles(df, ["g"], "v", {"q": p}, num_partitions=parts).collect()}
     hist = {r["g"]: r["q"] for r in grouped_quantiles_by_histogram(df, ["g"], "v", {"q": p}).collect()}
     assert fast == want == hist
+
+
+@SETTINGS
+@given(st.lists(st.integers(0, 30), min_size=1, max_size=150), st.integers(1, 150), st.sampled_from([20, 1000]))
+def test_nth_row_is_exact(spark, values, n, accuracy):
+    from tillroll.operators.rank import nth_row
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, id int")
+    got = [(r["v"], r["id"], r["pos"]) for r in nth_row(df, ["v", "id"], n, "pos", accuracy=accuracy).collect()]
+    ordered = sorted((v, i) for i, v in enumerate(values))
+    want = [(*ordered[n - 1], n)] if n <= len(values) else []
+    assert got == want
