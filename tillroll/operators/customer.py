@@ -136,13 +136,15 @@ def customers_nplus_days_month(sl: DataFrame, n: int = 3) -> DataFrame:
     """Order days of customers who ordered on >= n distinct days within one
     month-of-year; ``order_frequency`` counts those (day, customer) rows per
     customer name, as the reference's window over the grouped rows does."""
-    qualifying = (sl.groupBy("customer_id", month_of_year("order_date").alias("_m"))
+    # distinct (day, customer) first: a partial aggregate that leaves at most one
+    # row per customer and calendar day, so no later shuffle carries raw lines
+    days = sl.select("order_date", "customer_id", "customer_name").distinct()
+    qualifying = (days.groupBy("customer_id", month_of_year("order_date").alias("_m"))
                   .agg(F.count_distinct("order_date").alias("_d"))
                   .where(F.col("_d") >= n).select("customer_id"))
-    days = (sl.join(qualifying, "customer_id", "left_semi")
-            .select("order_date", "customer_id", "customer_name").distinct())
+    kept = days.join(qualifying, "customer_id", "left_semi")
     freq = F.count("customer_id").over(Window.partitionBy("customer_name"))
-    return days.withColumn("order_frequency", freq)
+    return kept.withColumn("order_frequency", freq)
 
 
 def _monthly_activity(sl: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ Scale notes
 * ``IN (subquery)`` becomes a ``left_semi`` join and LEFT JOIN + IS NULL a
   ``left_anti`` join, so the fact side never carries the other side's columns.
 * "Lines above/below their group's average" joins the fact with an aggregate
-  of itself. The aggregate is partial+final (hot keys pre-aggregate); the
-  join is a sort-merge join that AQE turns into a broadcast join after it has
-  measured the aggregate, and whose skewed partitions AQE splits. A window
-  average partitioned by the group would instead put a hot group's rows into
-  one task.
+  of itself. The aggregate is partial+final (hot keys pre-aggregate); the join
+  back salts hot groups (``attach_group_stats``) so one group's rows are split
+  over many tasks -- AQE's skew split does not apply when one side is an
+  aggregate -- and AQE may still turn it into a broadcast join after measuring
+  the aggregate. A window average partitioned by the group would put a hot
+  group's rows into one task.
 * The month-of-year average has at most 12 rows, a bound known before the
   data is read, so it is broadcast explicitly.
 """
@@ -20,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import decimals_to_double, exact_avg, half_up_round, month_of_year
-from tillroll.operators.aggregate import product_avg_sales_exact
 
 
 def _d(c):
@@ -57,19 +57,26 @@ def orders_with_returns(sl: DataFrame, returns: DataFrame) -> DataFrame:
     return decimals_to_double(sl.join(r, sl.order_id == r.return_order_id, "left"))
 
 
+def _product_avg(sl: DataFrame) -> DataFrame:
+    """product_name, avg_sales (ROUND(AVG, 2), exact), n (lines of the product)."""
+    return sl.groupBy("product_name").agg(half_up_round(exact_avg("sales"), 2).alias("avg_sales"),
+                                          F.count(F.lit(1)).alias("n"))
+
+
 def lines_below_product_avg(sl: DataFrame) -> DataFrame:
-    """Lines whose sales are under their product's (2 dp) average line sales."""
-    avg = product_avg_sales_exact(sl).withColumnRenamed("sales", "avg_sales")
+    """Lines whose sales are under their product's (2 dp) average line sales.
+    The average is joined back with hot products salted (``attach_group_stats``)."""
     lines = sl.select("product_name", "sales")
-    return (lines.join(avg, "product_name").where(F.col("sales") < F.col("avg_sales"))
+    j = attach_group_stats(lines, _product_avg(sl), ["product_name"], ["avg_sales"], how="inner")
+    return (j.where(F.col("sales") < F.col("avg_sales"))
             .select("product_name", _d("avg_sales").alias("avg_sales"), _d("sales").alias("sales")))
 
 
 def customer_day_below_product_avg(sl: DataFrame) -> DataFrame:
     """Customer x day x product totals under the product's average line sales."""
-    avg = product_avg_sales_exact(sl).withColumnRenamed("sales", "avg_sales")
     per = (sl.groupBy("order_date", "customer_name", "product_name").agg(F.sum("sales").alias("_s2")))
-    return (per.join(avg, "product_name").where(F.col("_s2") < F.col("avg_sales"))
+    j = attach_group_stats(per, _product_avg(sl), ["product_name"], ["avg_sales"], how="inner")
+    return (j.where(F.col("_s2") < F.col("avg_sales"))
             .select("order_date", "customer_name", _d("_s2").alias("sales2"), "product_name",
                     _d("avg_sales").alias("sales")))
 
@@ -91,8 +98,10 @@ def lines_above_month_region_subcat_avg(sl: DataFrame) -> DataFrame:
     keys = ["month_wise", "region", "product_sub_category"]
     lines = sl.select("customer_id", month_of_year("order_date").alias("month_wise"), "region",
                       "product_sub_category", "product_name", "sales", "profit")
-    avg = lines.groupBy(*keys).agg(half_up_round(exact_avg("sales"), 0).alias("avg_sales"))
-    return (lines.join(avg, keys).where(F.col("sales") > F.col("avg_sales"))
+    avg = lines.groupBy(*keys).agg(half_up_round(exact_avg("sales"), 0).alias("avg_sales"),
+                                   F.count(F.lit(1)).alias("n"))
+    return (attach_group_stats(lines, avg, keys, ["avg_sales"], how="inner")
+            .where(F.col("sales") > F.col("avg_sales"))
             .select("customer_id", "month_wise", "region", "product_sub_category", "product_name",
                     _d("sales").alias("sales"), _d("profit").alias("profit"), _d("avg_sales").alias("avg_sales")))
 
@@ -108,3 +117,34 @@ def snowflake_join(fact: DataFrame, dims: list[tuple]) -> DataFrame:
     for dim, left_key, right_key in dims:
         out = out.join(dim, F.col(left_key) == dim[right_key])
     return out
+
+
+# A group is "hot" when it holds more than 1/HOT_SHARE of all rows; there can be
+# at most HOT_SHARE such groups, which bounds what is broadcast below.
+HOT_SHARE = 1000
+SALTS = 64
+
+
+def attach_group_stats(df: DataFrame, stats: DataFrame, keys: list[str], cols: list[str],
+                       n_col: str = "n", how: str = "left") -> DataFrame:
+    """Join per-group statistics (one row per group, with its row count
+    ``n_col``) onto the rows of ``df``, spreading hot groups over many tasks.
+
+    A plain join on the group key sends all rows of a group to one task, and
+    AQE's skew-join split does not apply when the statistics side is an
+    aggregate. Here the hot groups (more than 1/HOT_SHARE of the rows, hence at
+    most HOT_SHARE of them) are broadcast as a key set; their rows get a hash
+    salt in [0, SALTS) and their statistics rows are replicated SALTS times, so
+    the (key, salt) join splits a hot group over SALTS tasks. Cold groups keep
+    salt 0; results are identical to the plain join.
+    """
+    total = stats.agg(F.sum(n_col)).scalar()
+    hot = stats.where(F.col(n_col) * F.lit(HOT_SHARE) > total).select(*keys, F.lit(True).alias("_hot"))
+    rows = df.join(F.broadcast(hot), keys, "left")
+    row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
+    rows = rows.withColumn("_salt", F.when(F.col("_hot"), F.pmod(row_hash, F.lit(SALTS)))
+                           .otherwise(F.lit(0)).cast("int")).drop("_hot")
+    st = stats.select(*keys, *cols).join(F.broadcast(hot), keys, "left")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    st = st.withColumn("_salt", F.explode(salts)).drop("_hot")
+    return rows.join(st, [*keys, "_salt"], how).drop("_salt")

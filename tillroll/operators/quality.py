@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.columns import pct
 from tillroll.functions.stats import corr_from_moments, moments_from_limbs, pair_moments
+from tillroll.operators.join import attach_group_stats
 from tillroll.operators.quantile import (grouped_quantiles, grouped_quantiles_approx,
                                         grouped_quantiles_by_histogram)
 
@@ -49,9 +50,10 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 
 def _attach(df: DataFrame, stats: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
-    """Attach per-group statistics; without groups they are scalar subqueries."""
+    """Attach per-group statistics (hot groups salted, see ``attach_group_stats``);
+    without groups they are scalar subqueries."""
     if by:
-        return df.join(stats.select(*by, *cols), by, "left")
+        return attach_group_stats(df, stats, by, cols, n_col="n", how="left")
     return df.withColumns({c: stats.select(c).scalar() for c in cols})
 
 
@@ -77,7 +79,7 @@ def iqr_outliers(df: DataFrame, column: str, by: list[str] | None = None, k: flo
     by = list(by or [])
     q = _quantiles(approx)(df, by, column, {"_q1": 0.25, "_q3": 0.75})
     kk = F.lit(str(k)).cast("decimal(10,4)")
-    fences = q.select(*by, (F.col("_q1") - kk * (F.col("_q3") - F.col("_q1"))).alias("lo"),
+    fences = q.select(*by, "n", (F.col("_q1") - kk * (F.col("_q3") - F.col("_q1"))).alias("lo"),
                       (F.col("_q3") + kk * (F.col("_q3") - F.col("_q1"))).alias("hi"))
     j = _attach(df, fences, by, ["lo", "hi"])
     return j.withColumn("is_outlier", (F.col(column) < F.col("lo")) | (F.col(column) > F.col("hi")))
