@@ -274,3 +274,15 @@ def test_month_gap(spark):
     assert churn == [(d("2015-02-01"), 2, 2, 1.0)]           # March has no prior month data, April is unobserved
     flags = rows(cust.customer_month_retained_flag(df), "customer_id", "current_month", "previous_month", "retained")
     assert flags == [(1, d("2015-01-01"), None, "No"), (1, d("2015-03-01"), None, "No"), (2, d("2015-01-01"), None, "No")]
+
+
+def test_salted_group_stats_join_equals_plain_join(spark):
+    from tillroll.operators.join import attach_group_stats
+    data = [("hot", i) for i in range(500)] + [(f"g{i % 9}", i) for i in range(90)] + [(None, 1), ("lonely", 3)]
+    df = spark.createDataFrame(data, "g string, v int")
+    stats = (df.where(F.col("g") != "lonely").groupBy("g")
+             .agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")))
+    for how in ["left", "inner"]:
+        salted = attach_group_stats(df, stats, ["g"], ["mean"], how=how)
+        plain = df.join(stats.select("g", "mean"), ["g"], how)
+        assert rows(salted, "g", "v", "mean") == rows(plain, "g", "v", "mean"), how
