@@ -138,6 +138,12 @@ def attach_group_stats(df: DataFrame, stats: DataFrame, keys: list[str], cols: l
     the (key, salt) join splits a hot group over SALTS tasks. Cold groups keep
     salt 0; results are identical to the plain join.
     """
+    # one row per group, written once (shared checkpoint folder): the total, the hot
+    # set and the salted side below all read it, so the fact is aggregated once
+    from tillroll.operators.quantile import _fresh
+    from tillroll.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(stats.sparkSession)
+    stats = _fresh(stats.select(*keys, *cols, n_col).checkpoint(eager=True))
     total = stats.agg(F.sum(n_col)).scalar()
     hot = stats.where(F.col(n_col) * F.lit(HOT_SHARE) > total).select(*keys, F.lit(True).alias("_hot"))
     rows = df.join(F.broadcast(hot), keys, "left")
