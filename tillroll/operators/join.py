@@ -123,6 +123,7 @@ def snowflake_join(fact: DataFrame, dims: list[tuple]) -> DataFrame:
 # at most HOT_SHARE such groups, which bounds what is broadcast below.
 HOT_SHARE = 1000
 SALTS = 64
+MAX_BROADCAST_GROUPS = 200_000
 
 
 def attach_group_stats(df: DataFrame, stats: DataFrame, keys: list[str], cols: list[str],
@@ -130,9 +131,11 @@ def attach_group_stats(df: DataFrame, stats: DataFrame, keys: list[str], cols: l
     """Join per-group statistics (one row per group, with its row count
     ``n_col``) onto the rows of ``df``, spreading hot groups over many tasks.
 
-    A plain join on the group key sends all rows of a group to one task, and
-    AQE's skew-join split does not apply when the statistics side is an
-    aggregate. Here the hot groups (more than 1/HOT_SHARE of the rows, hence at
+    The statistics are written once (checkpoint) and counted. Up to
+    MAX_BROADCAST_GROUPS groups are broadcast whole (a bound checked on the
+    data), so rows are joined map-side. Beyond that, a plain join on the group
+    key would send all rows of a group to one task, and AQE's skew-join split
+    does not apply when the statistics side is an aggregate. So the hot groups (more than 1/HOT_SHARE of the rows, hence at
     most HOT_SHARE of them) are broadcast as a key set; their rows get a hash
     salt in [0, SALTS) and their statistics rows are replicated SALTS times, so
     the (key, salt) join splits a hot group over SALTS tasks. Cold groups keep
@@ -144,6 +147,10 @@ def attach_group_stats(df: DataFrame, stats: DataFrame, keys: list[str], cols: l
     from tillroll.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(stats.sparkSession)
     stats = _fresh(stats.select(*keys, *cols, n_col).checkpoint(eager=True))
+    # few groups (counted on the written table): broadcast them all -- a checked
+    # bound, and the rows are then joined map-side with no shuffle to skew
+    if stats.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS:
+        return df.join(F.broadcast(stats.select(*keys, *cols)), keys, how)
     total = stats.agg(F.sum(n_col)).scalar()
     hot = stats.where(F.col(n_col) * F.lit(HOT_SHARE) > total).select(*keys, F.lit(True).alias("_hot"))
     rows = df.join(F.broadcast(hot), keys, "left")
