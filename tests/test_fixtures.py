@@ -276,8 +276,10 @@ def test_month_gap(spark):
     assert flags == [(1, d("2015-01-01"), None, "No"), (1, d("2015-03-01"), None, "No"), (2, d("2015-01-01"), None, "No")]
 
 
-def test_salted_group_stats_join_equals_plain_join(spark):
+def test_salted_group_stats_join_equals_plain_join(spark, monkeypatch):
+    from tillroll.operators import join as jn
     from tillroll.operators.join import attach_group_stats
+    monkeypatch.setattr(jn, "MAX_BROADCAST_GROUPS", 0)          # force the salted branch
     data = [("hot", i) for i in range(500)] + [(f"g{i % 9}", i) for i in range(90)] + [(None, 1), ("lonely", 3)]
     df = spark.createDataFrame(data, "g string, v int")
     stats = (df.where(F.col("g") != "lonely").groupBy("g")
@@ -286,3 +288,4 @@ def test_salted_group_stats_join_equals_plain_join(spark):
         salted = attach_group_stats(df, stats, ["g"], ["mean"], how=how)
         plain = df.join(stats.select("g", "mean"), ["g"], how)
         assert rows(salted, "g", "v", "mean") == rows(plain, "g", "v", "mean"), how
+        assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
