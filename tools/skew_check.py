@@ -6,7 +6,7 @@ Runs customer-keyed operators on the skewed lines and reads Spark's event log
 shuffle-read records. A share near 1/3 or more would mean the hot customer's
 rows were processed by one task.
 
-usage: python tools/skew_check.py [sf_dir] [--scale-thresholds]
+usage: python tools/skew_check.py [sf_dir] [--scale-thresholds] [--force-salt]
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ def main(argv):
                      "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
                      "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k",
                      "spark.sql.autoBroadcastJoinThreshold": "-1"})
+    if "--force-salt" in argv:
+        jn.MAX_BROADCAST_GROUPS = 0           # exercise the salted join even for small statistics
     spark = get_session("local[8]", 8, extra_conf=conf)
     lines = sales_line(spark, sf_dir, ["row_id", "customer_id", "customer_name", "order_date", "order_id",
                                        "quantity_ordered_new", "sales", "profit", "product_name"])
