@@ -47,15 +47,20 @@ def main() -> None:
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     spark = get_session(f"local[{cpus}]", int(cpus),
                         extra_conf={"spark.local.dir": tempfile.mkdtemp(prefix="tillroll-bench-")})
-    times = {}
+    times, failed = {}, {}
     for key in only or HEADLINE:
         fn = QUERIES[key]
-        fn(spark, sf_dir).write.format("noop").mode("overwrite").save()   # warm-up
-        samples = []
-        for _ in range(runs):
-            t0 = time.perf_counter()
-            fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            samples.append(time.perf_counter() - t0)
+        try:
+            fn(spark, sf_dir).write.format("noop").mode("overwrite").save()   # warm-up
+            samples = []
+            for _ in range(runs):
+                t0 = time.perf_counter()
+                fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
+                samples.append(time.perf_counter() - t0)
+        except Exception as e:  # noqa: BLE001 - report the failure, keep benchmarking the rest
+            failed[key] = str(e).splitlines()[0][:200]
+            print(f"# {key}: FAILED {failed[key]}", file=sys.stderr)
+            continue
         times[key] = round(statistics.median(samples), 4)
         print(f"# {key}: {times[key]:.3f}s", file=sys.stderr)
     sf_name = os.path.basename(os.path.normpath(sf_dir)).replace("sf", "")
@@ -63,9 +68,11 @@ def main() -> None:
         sf = float(sf_name)
     except ValueError:
         sf = sf_name
-    print(json.dumps({"metric": "sum_of_median_query_seconds", "value": round(sum(times.values()), 4),
-                      "unit": "sec", "queries": times, "sf": sf, "cpus": int(cpus), "runs": runs,
-                      "spark": spark.version}))
+    out = {"metric": "sum_of_median_query_seconds", "value": round(sum(times.values()), 4),
+           "unit": "sec", "queries": times, "sf": sf, "cpus": int(cpus), "runs": runs, "spark": spark.version}
+    if failed:
+        out["failed"] = failed
+    print(json.dumps(out))
     spark.stop()
 
 
