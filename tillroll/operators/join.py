@@ -100,7 +100,8 @@ def lines_above_month_region_subcat_avg(sl: DataFrame) -> DataFrame:
                       "product_sub_category", "product_name", "sales", "profit")
     avg = lines.groupBy(*keys).agg(half_up_round(exact_avg("sales"), 0).alias("avg_sales"),
                                    F.count(F.lit(1)).alias("n"))
-    return (attach_group_stats(lines, avg, keys, ["avg_sales"], how="inner")
+    # month-of-year x region x sub-category: a product of small dimension domains
+    return (attach_group_stats(lines, avg, keys, ["avg_sales"], how="inner", few_groups=True)
             .where(F.col("sales") > F.col("avg_sales"))
             .select("customer_id", "month_wise", "region", "product_sub_category", "product_name",
                     _d("sales").alias("sales"), _d("profit").alias("profit"), _d("avg_sales").alias("avg_sales")))
@@ -127,7 +128,7 @@ MAX_BROADCAST_GROUPS = 200_000
 
 
 def attach_group_stats(df: DataFrame, stats: DataFrame, keys: list[str], cols: list[str],
-                       n_col: str = "n", how: str = "left") -> DataFrame:
+                       n_col: str = "n", how: str = "left", few_groups: bool = False) -> DataFrame:
     """Join per-group statistics (one row per group, with its row count
     ``n_col``) onto the rows of ``df``, spreading hot groups over many tasks.
 
@@ -141,6 +142,11 @@ def attach_group_stats(df: DataFrame, stats: DataFrame, keys: list[str], cols: l
     the (key, salt) join splits a hot group over SALTS tasks. Cold groups keep
     salt 0; results are identical to the plain join.
     """
+    if few_groups:
+        # the caller's keys come from small fixed domains (months, regions, ship modes,
+        # categories): the statistics stay a few thousand rows at any data volume, so
+        # they are broadcast, and a broadcast join never shuffles (or skews) the rows
+        return df.join(F.broadcast(stats.select(*keys, *cols)), keys, how)
     # one row per group, written once (shared checkpoint folder): the total, the hot
     # set and the salted side below all read it, so the fact is aggregated once
     from tillroll.operators.quantile import _fresh

@@ -205,12 +205,13 @@ def _delivery(spark, sf_dir):
 
 
 def impute_median(spark, sf_dir):
-    return quality.impute_median(_delivery(spark, sf_dir), ["delivery_days"], ["ship_mode"], bounded_domain=True)
+    return quality.impute_median(_delivery(spark, sf_dir), ["delivery_days"], ["ship_mode"], bounded_domain=True,
+                                 few_groups=True)
 
 
 def iqr_outliers(spark, sf_dir):
     sl = _sl(spark, sf_dir, "row_id", "product_category", "sales")
-    return _out(quality.iqr_outliers(sl, "sales", ["product_category"]))
+    return _out(quality.iqr_outliers(sl, "sales", ["product_category"], few_groups=True))
 
 
 def winsorize(spark, sf_dir):
