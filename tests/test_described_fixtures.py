@@ -1,5 +1,7 @@
 """Hand-computed fixtures for described analyses (definitions in the operators' docstrings)."""
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from helpers import d, lines, rows
@@ -88,3 +90,63 @@ def test_d36_kpi_and_d44_weekday(spark):
     assert k["margin_pct"] == 2.0 / 35.01 * 100
     wd = rows(measures.sales_by_weekday(df), "weekday", "day_name", "sales")
     assert wd == [(0, "Monday", 15.0), (1, "Tuesday", 20.01)]
+
+
+def test_d10_d11_d14_d15_profiles(spark):
+    df = spark.createDataFrame([("a", 1), ("a", None), ("a", 3), ("b", 10), ("b", 20)], "g string, v int")
+    prof = {r["column"]: (r["nulls"], r["pct"]) for r in quality.null_profile(df).collect()}
+    assert prof == {"g": (0, 0.0), "v": (1, 20.0)}
+    imp = rows(quality.impute_median(df, ["v"], ["g"]), "g", "v")
+    assert imp == [("a", 1), ("a", 1), ("a", 3), ("b", 10), ("b", 20)]      # lower median of {1, 3} is 1
+    five = spark.createDataFrame([("k", v) for v in [5, 1, 4, 2, 3]], "g string, v int")
+    b = quality.box_stats(five, "v", ["g"]).collect()[0]
+    assert (b["n"], b["min"], b["q1"], b["median"], b["q3"], b["max"]) == (5, 1, 2, 3, 4, 5)
+    freq = rows(quality.category_frequency(df, "g"), "value", "count", "pct")
+    assert freq == [("a", 3, 60.0), ("b", 2, 40.0)]
+
+
+def test_d16_d17_d20_numeric(spark):
+    df = spark.createDataFrame([(Decimal(x), Decimal(2 * x), Decimal(-x)) for x in [1, 2, 3, 4]],
+                               "x decimal(18,2), y decimal(18,2), z decimal(18,2)")
+    corr = {(r["col_a"], r["col_b"]): r["corr"] for r in quality.correlation_matrix(df, ["x", "y", "z"]).collect()}
+    assert corr == {("x", "y"): 1.0, ("x", "z"): -1.0, ("y", "z"): -1.0}
+    bins = rows(quality.binned_pairs(df, "x", "z", 2, 2), "x_bin", "y_bin", "n")
+    assert bins == [(0, -1, 1), (1, -2, 1), (1, -1, 1), (2, -2, 1)]
+    norm = rows(quality.normalize(df, ["x"]), "x", "x_norm")
+    assert [n for _, n in norm] == [0.0, 1 / 3, 2 / 3, 1.0]
+
+
+def test_d21_d29_d31_workforce_years(spark):
+    emp = spark.createDataFrame(
+        [(1, "Sales", d("2013-02-01"), d("2014-06-01")), (2, "Sales", d("2013-05-01"), None),
+         (3, "Sales", d("2014-01-01"), d("2015-03-01")), (4, "HR", d("2014-07-01"), None)],
+        "employee_id long, department string, hire_date date, exit_date date")
+    assert rows(hr.attrition_by_year_top(emp, 3), "year", "leavers", "rank") == [(2014, 1, 1), (2015, 1, 1)]
+    assert rows(hr.hiring_trend(emp), "year", "hires", "cumulative") == [(2013, 2, 2), (2014, 2, 4)]
+    by_year = rows(hr.rate_by_year(emp, d("2015-12-31")), "department", "year", "headcount", "leavers")
+    assert by_year == [("HR", 2014, 1, 0), ("HR", 2015, 1, 0), ("Sales", 2013, 2, 0), ("Sales", 2014, 3, 1),
+                       ("Sales", 2015, 2, 1)]
+
+
+def test_d35_d37_time(spark):
+    df = lines(spark, [{"order_date": day, "sales": s, "profit": 1} for day, s in
+                       [("2015-01-03", 100), ("2015-02-03", 110), ("2015-04-03", 121)]])
+    anomalies = rows(tm.sales_anomalies(df), "month", "periods", "z")
+    assert [(p, z) for _, p, z in anomalies] == [(0, None), (1, None), (2, None)]   # fewer than 3 prior months
+    mom = rows(measures.mom_change(df), "month", "sales_mom_pct")
+    assert mom == [(d("2015-01-01"), None), (d("2015-02-01"), 10.0), (d("2015-04-01"), None)]  # March missing
+
+
+def test_d41_d42_d43_d45_tooltips(spark):
+    df = lines(spark, [{"region": r, "state_province": s, "sales": v, "profit": p, "order_id": o,
+                        "product_category": k, "ship_mode": m, "order_date": od, "ship_date": sd,
+                        "customer_id": c}
+                       for r, s, v, p, o, k, m, od, sd, c in [
+                           ("R", "A", 10, 1, 1, "K1", "M", "2015-01-01", "2015-01-03", 1),
+                           ("R", "B", 30, 3, 2, "K1", "M", "2015-01-01", "2015-01-05", 2),
+                           ("R", "B", 20, 2, 2, "K2", "M", "2015-01-01", "2015-01-11", 2)]])
+    geo = rows(measures.geo_performance(df), "state_province", "sales", "gap_to_region_mean")
+    assert geo == [("A", 10.0, -20.0), ("B", 50.0, 20.0)]               # region mean 30
+    assert rows(measures.orders_by_category(df), "product_category", "orders") == [("K1", 2), ("K2", 1)]
+    ship = measures.shipping_effectiveness(df.withColumn("shipping_cost", F.lit(1).cast("decimal(18,2)"))).collect()[0]
+    assert (ship["orders"], ship["avg_days"], ship["p50_days"], ship["p90_days"]) == (2, 5.33, 4, 10)
