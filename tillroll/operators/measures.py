@@ -122,10 +122,16 @@ def bidirectional_filter(dim: DataFrame, fact: DataFrame, dim_key: str, fact_key
 
 # --- KPI card and tooltips (D36, D41-D44) ---------------------------------
 
-def kpi_summary(sl: DataFrame) -> DataFrame:
-    """sales, profit, margin %, orders, customers, average order value (half-up 2 dp)."""
+def _distinct(c: str, approx: bool):
+    """COUNT(DISTINCT c), or a HyperLogLog++ sketch (1 % error) with ``approx``."""
+    return F.approx_count_distinct(c, 0.01) if approx else F.count_distinct(c)
+
+
+def kpi_summary(sl: DataFrame, approx: bool = False) -> DataFrame:
+    """sales, profit, margin %, orders, customers, average order value (half-up 2 dp).
+    ``approx`` counts distinct orders / customers with sketches (no Expand of the rows)."""
     a = sl.agg(F.sum("sales").alias("_s"), F.sum("profit").alias("_p"),
-               F.count_distinct("order_id").alias("orders"), F.count_distinct("customer_id").alias("customers"))
+               _distinct("order_id", approx).alias("orders"), _distinct("customer_id", approx).alias("customers"))
     return a.select(_d("_s").alias("sales"), _d("_p").alias("profit"), pct("_p", "_s").alias("margin_pct"),
                     "orders", "customers", _d(half_up_div("_s", "orders", 2)).alias("aov"))
 
@@ -148,8 +154,8 @@ def segment_performance(sl: DataFrame) -> DataFrame:
                     F.rank().over(Window.orderBy(F.desc("_p"))).alias("profit_rank"))
 
 
-def orders_by_category(sl: DataFrame) -> DataFrame:
-    return sl.groupBy("product_category").agg(F.count_distinct("order_id").alias("orders"))
+def orders_by_category(sl: DataFrame, approx: bool = False) -> DataFrame:
+    return sl.groupBy("product_category").agg(_distinct("order_id", approx).alias("orders"))
 
 
 def sales_by_weekday(sl: DataFrame) -> DataFrame:
