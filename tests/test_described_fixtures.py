@@ -150,3 +150,51 @@ def test_d41_d42_d43_d45_tooltips(spark):
     assert rows(measures.orders_by_category(df), "product_category", "orders") == [("K1", 2), ("K2", 1)]
     ship = measures.shipping_effectiveness(df.withColumn("shipping_cost", F.lit(1).cast("decimal(18,2)"))).collect()[0]
     assert (ship["orders"], ship["avg_days"], ship["p50_days"], ship["p90_days"]) == (2, 5.33, 4, 10)
+
+
+def test_d22_d23_d25_d32_workforce_groups(spark):
+    emp = spark.createDataFrame(
+        [(1, "Sales", "Exec", "W", Decimal("100.00"), d("2010-01-01"), d("2011-06-01")),
+         (2, "Sales", "Exec", "W", Decimal("200.01"), d("2010-01-01"), None),
+         (3, "Sales", "Rep", "B", Decimal("50.00"), d("2014-01-01"), d("2014-12-01")),
+         (4, "HR", "Partner", "B", Decimal("80.00"), d("2012-01-01"), None)],
+        "employee_id long, department string, job_role string, ethnicity string, salary decimal(18,2), "
+        "hire_date date, exit_date date")
+    assert rows(hr.top_roles_per_department(emp, 1), "department", "job_role", "n") == [("HR", "Partner", 1),
+                                                                                          ("Sales", "Exec", 2)]
+    assert rows(hr.top_groups(emp, "ethnicity", 1), "group", "n", "rank") == [("B", 2, 1)]   # tie -> by name
+    assert rows(hr.avg_by_group(emp), "group", "avg") == [("B", 65.0), ("W", 150.01)]       # 150.005 half-up
+    tenure = rows(hr.rate_by_tenure(emp, d("2015-12-31")), "department", "tenure_years", "n", "leavers", "above")
+    # tenure days / 365, floored: 1460 -> 4, 334 -> 0, 516 -> 1, 2190 -> 6
+    assert tenure == [("HR", 4, 1, 0, False), ("Sales", 0, 1, 1, True), ("Sales", 1, 1, 1, True),
+                      ("Sales", 6, 1, 0, False)]
+
+
+def test_d28_review_history(spark):
+    df = lines(spark, [{"customer_id": 1, "order_id": o, "order_date": day, "sales": s} for o, day, s in
+                       [(1, "2014-03-01", "10.00"), (2, "2014-04-01", "20.01"), (3, "2015-02-01", "5.00")]])
+    out = rows(hr.review_history(df), "employee_id", "year", "rating", "satisfaction", "change")
+    assert out == [(1, 2014, 15.01, 2, None), (1, 2015, 5.0, 1, -10.01)]
+
+
+def test_d38_d40_customer_value(spark):
+    from tillroll.operators import customer as cust
+    df = lines(spark, [{"customer_id": c, "order_id": o, "order_date": day, "sales": s, "profit": p}
+                       for c, o, day, s, p in [(1, 1, "2015-01-01", "10.00", "1.00"), (1, 2, "2015-01-31", "30.00", "3.00"),
+                                               (2, 3, "2015-02-01", "5.00", "-1.00")]])
+    clv = {r["customer_id"]: r for r in cust.customer_lifetime_value(df).collect()}
+    assert (clv[1]["orders"], float(clv[1]["aov"]), clv[1]["span_days"], float(clv[1]["clv"])) == (2, 20.0, 30, 4.0)
+    drivers = {r["driver"]: r["corr"] for r in cust.clv_drivers(df).collect()}
+    assert drivers["orders"] == 1.0                          # two customers: orders and profit move together
+    f1 = lines(spark, [{"customer_id": c, "order_date": day} for c, day in
+                       [(1, "2015-01-05"), (2, "2015-01-06"), (1, "2015-02-05"), (1, "2015-03-05"), (3, "2015-03-06")]])
+    corr = cust.churn_retention_corr(f1).collect()[0]
+    # retention 2015-02: 1/1 = 1.00, 2015-03: 1/2 = 0.50; churn 2015-02: 1/2 = 0.50, 2015-03: 0/1 = 0.00
+    assert corr["n"] == 2 and corr["corr"] == 1.0
+
+
+def test_d42_segment_rank(spark):
+    df = lines(spark, [{"customer_id": i, "sales": s, "profit": p} for i, s, p in [(1, 100, 10), (2, 100, 30)]])
+    df = df.withColumn("customer_segment", F.when(F.col("customer_id") == 1, "A").otherwise("B"))
+    out = rows(measures.segment_performance(df), "customer_segment", "margin_pct", "profit_rank")
+    assert out == [("A", 10.0, 2), ("B", 30.0, 1)]
