@@ -30,7 +30,8 @@ def unit_cost(components: DataFrame, quotes: DataFrame) -> DataFrame:
 def extended_cost(units: DataFrame, demand: DataFrame) -> DataFrame:
     """item, source, volume, unit_cost, extended_cost = unit_cost x volume."""
     j = units.join(demand, "item")
-    return j.select("item", "source", "volume", "unit_cost", (F.col("unit_cost") * F.col("volume")).alias("extended_cost"))
+    return j.select("item", "source", "volume", "unit_cost",
+                    (F.col("unit_cost") * F.col("volume")).alias("extended_cost"))
 
 
 def full_cost(extended: DataFrame, nre: DataFrame) -> DataFrame:

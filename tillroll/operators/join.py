@@ -136,11 +136,13 @@ def attach_group_stats(df: DataFrame, stats: DataFrame, keys: list[str], cols: l
     MAX_BROADCAST_GROUPS groups are broadcast whole (a bound checked on the
     data), so rows are joined map-side. Beyond that, a plain join on the group
     key would send all rows of a group to one task, and AQE's skew-join split
-    does not apply when the statistics side is an aggregate. So the hot groups (more than 1/HOT_SHARE of the rows, hence at
-    most HOT_SHARE of them) are broadcast as a key set; their rows get a hash
-    salt in [0, SALTS) and their statistics rows are replicated SALTS times, so
-    the (key, salt) join splits a hot group over SALTS tasks. Cold groups keep
-    salt 0; results are identical to the plain join.
+    does not apply when the statistics side is an aggregate. So the hot groups
+    (more than 1/HOT_SHARE of the rows, hence at most HOT_SHARE of them) are
+    broadcast as a key set; their rows get a hash salt in [0, SALTS) and their
+    statistics rows are replicated SALTS times, so the (key, salt) join splits
+    a hot group over SALTS tasks. Cold groups keep salt 0. ``few_groups`` (keys
+    from small fixed domains) broadcasts the statistics directly. Results are
+    identical to the plain join.
     """
     if few_groups:
         # the caller's keys come from small fixed domains (months, regions, ship modes,

@@ -191,7 +191,8 @@ def priority_by_customer(sl: DataFrame) -> DataFrame:
 
 # --- logistics (D45) --------------------------------------------------------
 
-def shipping_effectiveness(sl: DataFrame, by: list[str] | None = None, days_lines: DataFrame | None = None) -> DataFrame:
+def shipping_effectiveness(sl: DataFrame, by: list[str] | None = None,
+                           days_lines: DataFrame | None = None) -> DataFrame:
     """Per ship mode (optionally per state too): orders, average delivery days
     (half-up 2 dp), exact discrete p50 / p90 of delivery days, shipping cost and
     profit margin %. Delivery days are whole days from a bounded range, so the

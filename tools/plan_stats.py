@@ -26,7 +26,8 @@ def plan_text(df) -> str:
 def main(argv):
     sf_dir = argv[1] if len(argv) > 1 and os.path.isdir(argv[1]) else "/root/testdata/sf0.01"
     keys = [a for a in argv[1:] if not os.path.isdir(a)] or list(QUERIES)
-    spark = get_session("local[8]", 8, extra_conf={"spark.sql.autoBroadcastJoinThreshold": os.environ.get("PLAN_BCAST", "10240"),
+    threshold = os.environ.get("PLAN_BCAST", "10240")
+    spark = get_session("local[8]", 8, extra_conf={"spark.sql.autoBroadcastJoinThreshold": threshold,
                                                    "spark.sql.adaptive.enabled": "false"})
     print(f"{'key':45s} shuffles smj bcast li_scans single")
     for k in keys:
