@@ -289,3 +289,15 @@ def test_salted_group_stats_join_equals_plain_join(spark, monkeypatch):
         plain = df.join(stats.select("g", "mean"), ["g"], how)
         assert rows(salted, "g", "v", "mean") == rows(plain, "g", "v", "mean"), how
         assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_kpi_approx_counts_close(spark, sf_small):
+    from tillroll.operators import measures
+    from tillroll.sources.binding import sales_line
+    sl = sales_line(spark, sf_small, ["sales", "profit", "order_id", "customer_id", "product_category"])
+    e, a = measures.kpi_summary(sl).collect()[0], measures.kpi_summary(sl, approx=True).collect()[0]
+    assert e["sales"] == a["sales"] and abs(e["orders"] - a["orders"]) <= 0.05 * e["orders"]
+    assert abs(e["customers"] - a["customers"]) <= max(3, 0.05 * e["customers"])
+    oe = {r["product_category"]: r["orders"] for r in measures.orders_by_category(sl).collect()}
+    oa = {r["product_category"]: r["orders"] for r in measures.orders_by_category(sl, approx=True).collect()}
+    assert oe.keys() == oa.keys() and all(abs(oe[k] - oa[k]) <= 0.05 * oe[k] for k in oe)
