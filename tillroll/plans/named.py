@@ -61,6 +61,15 @@ def qo(fn, *cols, **kw):
     return run
 
 
+def qp(fn, *cols, **kw):
+    """Bind an operator that groups by part attributes and only sums additive
+    measures (or needs no measure) to the part-grain binding."""
+    def run(spark, sf_dir):
+        return fn(sales_line(spark, sf_dir, cols, grain="part"), **kw)
+    run.__name__ = fn.__name__
+    return run
+
+
 def q_users(fn, *cols, **kw):
     def run(spark, sf_dir):
         return fn(sales_line(spark, sf_dir, cols), users(spark, sf_dir), **kw)
@@ -132,7 +141,7 @@ NAMED = {
     "returned_order_details": _returned_order_details,
     "lookup_row": _all(jn.lookup_row, order_id=P["order_id"]),
     "lookup_return": _lookup_return,
-    "long_subcategory_names": q(tx.long_subcategory_names, "product_sub_category", min_len=P["subcat_min_len"]),
+    "long_subcategory_names": qp(tx.long_subcategory_names, "product_sub_category", min_len=P["subcat_min_len"]),
     "relabel_subcategory": _all(tx.relabel_subcategory),
     "monthname_region_sales_profit": q(agg.monthname_region_sales_profit, "order_date", "region", "sales",
                                        "profit"),
@@ -164,8 +173,8 @@ NAMED = {
                                  month=P["customer_month"]),
     "customers_3plus_days_month": qo(cust.customers_nplus_days_month, "customer_id", "customer_name",
                                     "order_date"),
-    "top2_products_per_category": q(rk.top_products_per_category, "product_category", "product_name", "sales"),
-    "product_sales": q(agg.product_sales, "product_name", "sales"),
+    "top2_products_per_category": qp(rk.top_products_per_category, "product_category", "product_name", "sales"),
+    "product_sales": qp(agg.product_sales, "product_name", "sales"),
     "product_avg_sales": q(agg.product_avg_sales, "product_name", "sales"),
     "product_avg_prefix": q(agg.product_avg_prefix, "product_name", "sales", prefix=P["product_prefix"]),
     "lines_below_product_avg": q(jn.lines_below_product_avg, "product_name", "sales"),
@@ -178,9 +187,9 @@ NAMED = {
     "customers_by_value_bracket": q(agg.customers_by_value_bracket, "customer_id", "sales"),
     "products_in_n_regions": q(rk.products_in_n_regions, "product_name", "region", n=P["n_regions"]),
     "product_region_drill": q(rk.product_region_drill, "product_name", "region", product=P["product_name"]),
-    "subcategory_count": q(agg.subcategory_count, "product_sub_category"),
+    "subcategory_count": qp(agg.subcategory_count, "product_sub_category"),
     "subcategories_per_region": q(agg.subcategories_per_region, "region", "product_sub_category"),
-    "subcat_cumulative_pct": q(agg.subcat_cumulative_pct, "product_sub_category", "sales"),
+    "subcat_cumulative_pct": qp(agg.subcat_cumulative_pct, "product_sub_category", "sales"),
     "top_subcat_per_region": q(rk.top_subcat_per_region, "product_sub_category", "region"),
     "top_subcat_per_region_rank": q(rk.top_subcat_per_region_rank, "product_sub_category", "region"),
     "customer_first_order": qo(cust.customer_first_order, "customer_id", "customer_name", "order_date"),
