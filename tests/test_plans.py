@@ -59,3 +59,8 @@ def test_order_grain_shuffles_aggregates_not_lines(big, sf_small):
     plan = optimized(QUERIES["retention_monthly"](big, sf_small))
     # lineitem is reduced to one row per order before it meets orders
     assert re.search(r"Aggregate \[l_orderkey", plan)
+
+
+def test_part_grain_sums_lines_per_part_before_the_part_join(big, sf_small):
+    plan = optimized(QUERIES["product_sales"](big, sf_small))
+    assert re.search(r"Aggregate \[l_partkey", plan)
