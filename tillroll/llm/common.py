@@ -97,3 +97,25 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def rate_sums(groups: DataFrame, n: str = "n", y: str = "y") -> tuple:
+    """Number of groups, sum n, sum y, sum n*n and sum y*y/n: five numbers, whatever the number of groups."""
+    total, hits = F.col(n).cast("double"), F.col(y).cast("double")
+    return tuple(groups.agg(F.count("*"), F.sum(n), F.sum(y), F.sum(total * total), F.sum(hits * hits / total)).first())
+
+
+def beta_prior(k, total, hits, squares, rates, weakest: float = 2.0, strongest: float = 1e6) -> tuple[float, float]:
+    """Beta(a, b) by moments from k groups: sum n, sum y, sum n*n, sum y*y/n.
+
+    With too few groups, or no spread to measure, the prior is the flattest allowed one
+    around the overall rate (itself pulled half an outcome inside 0..1).
+    """
+    k, total, hits = k or 0, total or 0, hits or 0
+    p = (hits + 0.5) / (total + 1.0)
+    noise, spare = p * (1 - p), (total - squares / total - (k - 1)) if total else 0.0
+    strength = weakest
+    if k > 1 and spare > 0:
+        over = (rates - 2 * p * hits + p * p * total - noise * (k - 1)) / (noise * spare)
+        strength = strongest if over <= 0 else min(strongest, max(weakest, 1.0 / over - 1.0))
+    return p * strength, (1 - p) * strength

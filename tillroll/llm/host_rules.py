@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, let, settled
+from .common import BLANKS, beta_prior, let, rate_sums, settled
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -91,11 +91,7 @@ def host_verdicts(scored: DataFrame, rules: HostRules, host: str) -> DataFrame:
     """
     hosts = (scored.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("__host"))
              .agg(F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed")))
-    k, docs, failed, squares, rates = hosts.agg(
-        F.count("*"), F.sum("host_docs"), F.sum("host_failed"),
-        F.sum(F.col("host_docs").cast("double") * F.col("host_docs")),
-        F.sum(F.col("host_failed").cast("double") * F.col("host_failed") / F.col("host_docs"))).first()
-    a, b = beta_prior(k, docs, failed, squares, rates)
+    a, b = beta_prior(*rate_sums(hosts, "host_docs", "host_failed"))
     n, y = F.col("host_docs"), F.col("host_failed")
     mean = (y + F.lit(a)) / (n + F.lit(a + b))
     return (hosts.withColumn("host_rate", mean)
@@ -103,22 +99,6 @@ def host_verdicts(scored: DataFrame, rules: HostRules, host: str) -> DataFrame:
             .withColumn("host_rejected", F.col("host_low") > rules.max_rate))
 
 
-def beta_prior(k, total, hits, squares, rates, weakest: float = 2.0, strongest: float = 1e6) -> tuple[float, float]:
-    """Beta(a, b) by moments from k groups: sum n, sum y, sum n*n, sum y*y/n.
-
-    With too few groups, or no spread to measure, the prior is the flattest allowed one
-    around the overall rate (itself pulled half an outcome inside 0..1).
-    """
-    k, total, hits = k or 0, total or 0, hits or 0
-    p = (hits + 0.5) / (total + 1.0)
-    noise, spare = p * (1 - p), (total - squares / total - (k - 1)) if total else 0.0
-    strength = weakest
-    if k > 1 and spare > 0:
-        over = (rates - 2 * p * hits + p * p * total - noise * (k - 1)) / (noise * spare)
-        strength = strongest if over <= 0 else min(strongest, max(weakest, 1.0 / over - 1.0))
-    return p * strength, (1 - p) * strength
-
-
 def judged(docs: DataFrame, rules: HostRules = HostRules(), doc_id: str = "doc_id", host: str = "source",
            text: str = "text") -> DataFrame:
     """One row per document: its counts, ``base_failed``, its host's figures and ``kept``."""

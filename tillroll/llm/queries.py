@@ -2,24 +2,60 @@
 
 from __future__ import annotations
 
-from . import host_rules, systematic_mix
-from .common import table
+import uuid
+
+from tillroll.session import ensure_checkpoint_dir
+
+from . import bin_packing, ecoc_language, host_rules, metric_join, systematic_mix, url_reputation, warc
+from .common import settled, table
+
+
+def op1_bin_packing(spark, sf_dir):
+    return bin_packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op2_metric_join(spark, sf_dir):
+    return metric_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_url_reputation(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return url_reputation.judged(pages, url_reputation.RULES, url_reputation.junk_outcome(pages["html"]))
+
+
+def op4_ecoc_language(spark, sf_dir):
+    return ecoc_language.identified(table(spark, sf_dir, "documents"))
 
 
 def op7_systematic_mix(spark, sf_dir):
     return systematic_mix.mixed(table(spark, sf_dir, "documents"))
 
 
+def op9_warc_assembly(spark, sf_dir):
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    rows = settled(warc.round_trip(table(spark, sf_dir, "pages"), path))
+    warc.remove_archives(spark, path)
+    return rows
+
+
 def op10_host_rules(spark, sf_dir):
     return host_rules.judged(table(spark, sf_dir, "documents"))
 
 
 LLM_QUERIES = {
+    "op1_bin_packing": op1_bin_packing,
+    "op2_metric_join": op2_metric_join,
+    "op3_url_reputation": op3_url_reputation,
+    "op4_ecoc_language": op4_ecoc_language,
     "op7_systematic_mix": op7_systematic_mix,
+    "op9_warc_assembly": op9_warc_assembly,
     "op10_host_rules": op10_host_rules,
 }
 
 LLM_ORACLE_SQL = {
+    "op2_metric_join": metric_join.ORACLE,
+    "op3_url_reputation": url_reputation.ORACLE,
     "op7_systematic_mix": systematic_mix.ORACLE,
+    "op9_warc_assembly": warc.ORACLE,
     "op10_host_rules": host_rules.ORACLE,
 }
