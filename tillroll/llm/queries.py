@@ -6,7 +6,7 @@ import uuid
 
 from tillroll.session import ensure_checkpoint_dir
 
-from . import bin_packing, ecoc_language, host_rules, metric_join, systematic_mix, url_reputation, warc
+from . import bin_packing, ecoc_language, host_rules, jaccard_join, metric_join, systematic_mix, url_reputation, warc
 from .common import settled, table
 
 
@@ -27,6 +27,10 @@ def op4_ecoc_language(spark, sf_dir):
     return ecoc_language.identified(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_systematic_mix(spark, sf_dir):
     return systematic_mix.mixed(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ LLM_QUERIES = {
     "op2_metric_join": op2_metric_join,
     "op3_url_reputation": op3_url_reputation,
     "op4_ecoc_language": op4_ecoc_language,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_systematic_mix": op7_systematic_mix,
     "op9_warc_assembly": op9_warc_assembly,
     "op10_host_rules": op10_host_rules,
