@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from tillroll.session import ensure_checkpoint_dir
 
-from . import bin_packing, ecoc_language, host_rules, jaccard_join, metric_join, systematic_mix, url_reputation, warc
+from . import bin_packing, ecoc_language, host_rules, jaccard_join, metric_join, secret_forest, systematic_mix, url_reputation, warc
 from .common import settled, table
 
 
@@ -27,6 +29,12 @@ def op4_ecoc_language(spark, sf_dir):
     return ecoc_language.identified(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_forest(spark, sf_dir):
+    found = secret_forest.findings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "nth", "start", "length", F.sha2("candidate", 256).alias("candidate_sha256"),
+                        "probability", "is_secret")
+
+
 def op6_jaccard_join(spark, sf_dir):
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,6 +59,7 @@ LLM_QUERIES = {
     "op2_metric_join": op2_metric_join,
     "op3_url_reputation": op3_url_reputation,
     "op4_ecoc_language": op4_ecoc_language,
+    "op5_secret_forest": op5_secret_forest,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_systematic_mix": op7_systematic_mix,
     "op9_warc_assembly": op9_warc_assembly,
