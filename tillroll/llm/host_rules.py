@@ -67,19 +67,35 @@ def _stripped(text, chars):
     return F.translate(text, chars, "")
 
 
+def _counted(text):
+    """Struct of n_words and n_repeat_words; the words are split once."""
+    def count(words):
+        n = F.size(words).cast("long")
+        return F.struct(n.alias("n_words"), _repeat_words(words, n).alias("n_repeat_words"))
+
+    return let(_words(F.coalesce(text, F.lit(""))), count)
+
+
+def _fails(counts, rules: HostRules):
+    return ((counts["n_words"] < rules.min_words)
+            | (100 * counts["n_repeat_words"] > rules.max_repeat_pct * counts["n_words"]))
+
+
+def failed(text, rules: HostRules) -> F.Column:
+    """Whether a text fails, as one expression: however the optimizer moves it, it is evaluated once."""
+    return let(_counted(text), lambda counts: _fails(counts, rules))
+
+
 def measured(docs: DataFrame, rules: HostRules, keep: list, text: str = "text") -> DataFrame:
     """``keep`` columns plus the counts of the rules and ``base_failed``."""
-    names = ["__text", "__words"]
-    df = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn("__words", _words(F.col("__text")))
-    df = df.withColumn("n_words", F.size("__words").cast("long"))
+    df = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"), _counted(F.col(text)).alias("__counts"))
     lines = F.filter(F.split("__text", "\n", -1), lambda x: F.length(_stripped(x, BLANKS)) > 0)
-    df = (df.withColumn("word_chars", F.length(_stripped(F.col("__text"), BLANKS)).cast("long"))
-          .withColumn("n_symbols", (F.length("__text") - F.length(_stripped(F.col("__text"), SYMBOLS))).cast("long"))
-          .withColumn("n_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-          .withColumn("n_repeat_words", _repeat_words(F.col("__words"), F.col("n_words"))))
-    failed = ((F.col("n_words") < rules.min_words)
-              | (100 * F.col("n_repeat_words") > rules.max_repeat_pct * F.col("n_words")))
-    return df.withColumn("base_failed", failed).drop(*names)
+    return (df.withColumn("n_words", F.col("__counts")["n_words"])
+            .withColumn("n_repeat_words", F.col("__counts")["n_repeat_words"])
+            .withColumn("word_chars", F.length(_stripped(F.col("__text"), BLANKS)).cast("long"))
+            .withColumn("n_symbols", (F.length("__text") - F.length(_stripped(F.col("__text"), SYMBOLS))).cast("long"))
+            .withColumn("n_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+            .withColumn("base_failed", _fails(F.col("__counts"), rules)).drop("__text", "__counts"))
 
 
 def host_verdicts(scored: DataFrame, rules: HostRules, host: str) -> DataFrame:
@@ -116,11 +132,11 @@ def kept_documents(docs: DataFrame, rules: HostRules = HostRules(), host: str =
     The rules are evaluated inside the rows, so texts are read twice but shuffled only
     where the hosts' verdicts are too many to broadcast by their measured size.
     """
-    bad = (host_verdicts(measured(docs, rules, [F.col(host).alias("__host")], text), rules, "__host")
+    fails = failed(F.col(text), rules)
+    bad = (host_verdicts(docs.select(F.col(host).alias("__host"), fails.alias("base_failed")), rules, "__host")
            .where("host_rejected").select(F.col("__host").alias("__bad_host")))
-    passed = measured(docs, rules, [F.struct(*docs.columns).alias("__row"), F.col(host).alias("__host")], text)
-    return (passed.where(~F.col("base_failed")).select("__row", "__host")
-            .join(bad, F.col("__host") == F.col("__bad_host"), "left_anti").select("__row.*"))
+    passed = docs.where(~fails).select(F.struct(*docs.columns).alias("__row"), F.col(host).alias("__host"))
+    return passed.join(bad, F.col("__host") == F.col("__bad_host"), "left_anti").select("__row.*")
 
 
 #: DuckDB SQL of the query; lists of words and windows stay inside each row.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tillroll.session import ensure_checkpoint_dir
 
-from . import bin_packing, ecoc_language, host_rules, jaccard_join, metric_join, secret_forest, systematic_mix, url_reputation, warc
+from . import bin_packing, ecoc_language, host_rules, jaccard_join, metric_join, phrase_dedup, secret_forest, systematic_mix, url_reputation, warc
 from .common import settled, table
 
 
@@ -43,6 +43,10 @@ def op7_systematic_mix(spark, sf_dir):
     return systematic_mix.mixed(table(spark, sf_dir, "documents"))
 
 
+def op8_phrase_dedup(spark, sf_dir):
+    return phrase_dedup.deduplicated(table(spark, sf_dir, "documents"), with_text=False).drop("spans")
+
+
 def op9_warc_assembly(spark, sf_dir):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     rows = settled(warc.round_trip(table(spark, sf_dir, "pages"), path))
@@ -62,6 +66,7 @@ LLM_QUERIES = {
     "op5_secret_forest": op5_secret_forest,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_systematic_mix": op7_systematic_mix,
+    "op8_phrase_dedup": op8_phrase_dedup,
     "op9_warc_assembly": op9_warc_assembly,
     "op10_host_rules": op10_host_rules,
 }

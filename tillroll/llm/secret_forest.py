@@ -155,9 +155,10 @@ def findings(docs: DataFrame, how: Forest = Forest(), text: str = "text", path:
 
 
 def masked_documents(docs: DataFrame, how: Forest = Forest(), mask: str = "[SECRET]", text: str = "text",
-                     path: str = "source") -> DataFrame:
+                     path: str = "source", count: str | None = None) -> DataFrame:
     """The documents with every secret in their text replaced by ``mask``; other columns and texts unchanged.
 
+    ``count`` names a column, if there is one, to hold the new length of a changed text.
     Only texts with a candidate are shuffled, to meet their verdicts.
     """
     bad = (findings(docs, how, text, path).where("is_secret").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
@@ -170,6 +171,10 @@ def masked_documents(docs: DataFrame, how: Forest = Forest(), mask: str = "[SECR
     joined = joined.withColumn("__pieces", pieces).withColumn("__found", found)
     clean = F.array_join(F.transform("__pieces", lambda p, i: F.concat(
         F.when(i == 0, "").when(F.array_contains("__bad", i - 1), mask).otherwise(F.get("__found", i - 1)), p)), "")
-    clean = F.when(F.col("__bad").isNull(), F.col("__text")).otherwise(clean)
-    changed = joined.select(*[(clean if c == text else F.col("__all")[c]).alias(c) for c in docs.columns])
+    joined = joined.withColumn("__clean", F.when(F.col("__bad").isNull(), F.col("__text")).otherwise(clean))
+    new = {text: F.col("__clean")}
+    if count in docs.columns:
+        kind = docs.schema[count].dataType
+        new[count] = F.when(F.col("__bad").isNull(), F.col("__all")[count]).otherwise(F.length("__clean").cast(kind))
+    changed = joined.select(*[new.get(c, F.col("__all")[c]).alias(c) for c in docs.columns])
     return docs.where(~some).unionByName(changed)
