@@ -54,7 +54,7 @@ def test_f2_bonus(spark):
     users = spark.createDataFrame([("R1", "Chris"), ("R2", "Other")], "region string, manager string")
     cases = [(40000, None), (55000, Decimal("750.00")), (60000, Decimal("1500.00")), (61000, Decimal("150.00"))]
     for s, want in cases:
-        got = agg.manager_monthly_bonus_exact(_bonus_lines(spark, [("R1", s)]), users).collect()[0]["bonus"]
+        got = agg.manager_monthly_bonus_exact(_bonus_lines(spark, [("R1", s)]), users, special_manager="Chris").collect()[0]["bonus"]
         assert got == want, (s, got)
     for s, want in [(50000, None), (50001, Decimal("0.15"))]:
         got = agg.manager_monthly_bonus_exact(_bonus_lines(spark, [("R2", s)]), users).collect()[0]["bonus"]
@@ -181,13 +181,13 @@ def test_q52_equals_q53(spark, sf_small):
     assert a == b and a
 
 
-def test_global_position_matches_row_number(spark, sf_small):
+def test_sorted_positions_match_row_number(spark, sf_small):
     from pyspark.sql import Window
     from tillroll.sources.binding import sales_line
-    sl = sales_line(spark, sf_small, ["row_id", "sales"])
-    fast = rk.global_position(sl, ["sales", "row_id"], "pos", num_partitions=7)
-    naive = sl.withColumn("pos", F.row_number().over(Window.orderBy("sales", "row_id")))
-    assert rows(fast, "row_id", "pos") == rows(naive, "row_id", "pos")
+    sl = sales_line(spark, sf_small, ["sales"])
+    fast = rk.sorted_positions(sl, "sales", "pos")
+    naive = sl.withColumn("pos", F.row_number().over(Window.orderBy("sales")))
+    assert rows(fast, "sales", "pos") == rows(naive, "sales", "pos")
 
 
 def test_grouped_quantiles_match_naive(spark, sf_small):
@@ -195,7 +195,7 @@ def test_grouped_quantiles_match_naive(spark, sf_small):
     from tillroll.operators.quantile import grouped_quantiles
     from tillroll.sources.binding import sales_line
     sl = sales_line(spark, sf_small, ["product_category", "sales"])
-    fast = grouped_quantiles(sl, ["product_category"], "sales", {"q1": 0.25, "q9": 0.9}, num_partitions=5)
+    fast = grouped_quantiles(sl, ["product_category"], "sales", {"q1": 0.25, "q9": 0.9})
     w = Window.partitionBy("product_category").orderBy("sales")
     n = sl.groupBy("product_category").count()
     ranked = sl.withColumn("rn", F.row_number().over(w)).join(n, "product_category")
@@ -205,22 +205,34 @@ def test_grouped_quantiles_match_naive(spark, sf_small):
     assert rows(fast, "product_category", "q1", "q9") == rows(naive, "product_category", "q1", "q9")
 
 
-def test_hot_value_and_group_split_exactly(spark):
-    """A third of all rows share one group and one value: positions and
-    quantiles stay exact (the hash tie-break spreads the hot value)."""
-    from pyspark.sql import Window
+def test_hot_value_and_group_stay_exact(spark, monkeypatch):
+    """A third of all rows share one group and one value: positions and quantiles
+    stay exact, also where the run of one value is cut into many pieces."""
     from tillroll.operators.quantile import grouped_quantiles
     rows_ = [("hot", Decimal("5.00"), i) for i in range(300)] + \
             [("hot", Decimal(i % 97), 1000 + i) for i in range(300)] + \
-            [(f"g{i % 7}", Decimal(i % 13), 2000 + i) for i in range(300)]
+            [(f"g{i % 7}", Decimal(-i % 13), 2000 + i) for i in range(300)] + [(None, Decimal("-7.25"), 1), ("hot", None, 2)]
     df = spark.createDataFrame(rows_, "g string, v decimal(18,2), id int")
-    fast = rk.global_position(df, ["v", "id"], "pos", num_partitions=6)
-    naive = df.withColumn("pos", F.row_number().over(Window.orderBy("v", "id")))
-    assert rows(fast, "id", "pos") == rows(naive, "id", "pos")
+    monkeypatch.setattr(rk, "POSITIONS_PER_ROW", 7)
+    got = rows(rk.sorted_positions(df, "v", "pos"), "pos", "v")
+    assert got == [(i + 1, v) for i, v in enumerate(sorted(r[1] for r in rows_ if r[1] is not None))]
     q = {r["g"]: (r["q1"], r["median"], r["n"]) for r in
-         grouped_quantiles(df, ["g"], "v", {"q1": 0.25, "median": 0.5}, num_partitions=6).collect()}
+         grouped_quantiles(df, ["g"], "v", {"q1": 0.25, "median": 0.5}).collect()}
     hot = sorted([Decimal("5.00")] * 300 + [Decimal(i % 97) for i in range(300)])
-    assert q["hot"] == (hot[150 - 1], hot[300 - 1], 600)
+    assert q["hot"] == (hot[150 - 1], hot[300 - 1], 600) and q[None] == (Decimal("-7.25"),) * 2 + (1,)
+
+
+def test_position_queries_submit_no_job_before_an_action(spark, sf_small):
+    from tillroll.plans.registry import QUERIES
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    for key in ["nth_sales_value", "sales_value_index", "median_profit", "box_stats", "iqr_outliers", "winsorize",
+                "lines_below_product_avg", "customer_day_below_product_avg"]:
+        sc.setJobGroup(f"build-{key}", key)
+        QUERIES[key](spark, sf_small)
+        # reading a table's schema is a job of its own, but no stage may read a shuffle
+        for job in tracker.getJobIdsForGroup(f"build-{key}"):
+            assert len(tracker.getJobInfo(job).stageIds) == 1, key
+    sc.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_approx_switches_are_close(spark, sf_small):
@@ -276,19 +288,89 @@ def test_month_gap(spark):
     assert flags == [(1, d("2015-01-01"), None, "No"), (1, d("2015-03-01"), None, "No"), (2, d("2015-01-01"), None, "No")]
 
 
-def test_salted_group_stats_join_equals_plain_join(spark, monkeypatch):
-    from tillroll.operators import join as jn
+def test_salted_group_stats_join_equals_plain_join(spark):
     from tillroll.operators.join import attach_group_stats
-    monkeypatch.setattr(jn, "MAX_BROADCAST_GROUPS", 0)          # force the salted branch
-    data = [("hot", i) for i in range(500)] + [(f"g{i % 9}", i) for i in range(90)] + [(None, 1), ("lonely", 3)]
+    data = [("hot", i) for i in range(500)] + [(f"g{i % 9}", i) for i in range(90)] + [(None, 1), (None, 5), ("lonely", 3)]
     df = spark.createDataFrame(data, "g string, v int")
-    stats = (df.where(F.col("g") != "lonely").groupBy("g")
+    stats = (df.where("g IS NULL OR g != 'lonely'").groupBy("g")
              .agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")))
+    want = {"hot": 249.5, None: 3.0, **{f"g{k}": sum(range(k, 90, 9)) / 10 for k in range(9)}}
     for how in ["left", "inner"]:
-        salted = attach_group_stats(df, stats, ["g"], ["mean"], how=how)
-        plain = df.join(stats.select("g", "mean"), ["g"], how)
-        assert rows(salted, "g", "v", "mean") == rows(plain, "g", "v", "mean"), how
-        assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
+        got = rows(attach_group_stats(df, stats, ["g"], ["mean"], ["v"], how=how), "g", "v", "mean")
+        expected = [(g, v, want.get(g)) for g, v in data if how == "left" or g in want]
+        assert got == sorted(expected, key=lambda t: tuple((x is None, x if x is not None else 0) for x in t)), how
+
+
+def test_a_hot_product_at_one_price_is_spread_over_the_tasks(spark, monkeypatch):
+    """Half the rows are one product at one price; the join gives no task twice its share."""
+    from tillroll.operators import join as jn
+    data = [("hot", 5, i) for i in range(20000)] + [(f"p{i % 500}", i, 20000 + i) for i in range(20000)]
+    df = spark.createDataFrame(data, "g string, v int, id int")
+    stats = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
+    monkeypatch.setattr(jn, "HOT_SHARE", 2000)
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        joined = jn.attach_group_stats(df, stats, ["g"], ["mean"], ["id"], how="inner")
+        held = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(held) == 40000 and max(held) < 2 * 40000 / 8
+
+
+def test_extremes_and_peaks(spark):
+    df = lines(spark, [
+        {"customer_id": 1, "customer_name": "A", "order_id": 1, "order_date": "2015-01-10", "region": "N", "city": "x", "sales": 10, "profit": 1},
+        {"customer_id": 2, "customer_name": "B", "order_id": 2, "order_date": "2015-02-10", "region": "N", "city": "y", "sales": 30, "profit": 2},
+        {"customer_id": 2, "customer_name": "B", "order_id": 3, "order_date": "2015-02-11", "region": "S", "city": "y", "sales": 5, "profit": 3},
+        {"customer_id": 3, "customer_name": "C", "order_id": 4, "order_date": "2015-03-11", "region": "S", "city": "z", "sales": 10, "profit": 4},
+    ]).withColumn("quantity_ordered_new", F.lit(2))
+    got = [tuple(r) for r in agg.customer_extremes(df, 2).collect()]
+    assert got == [("largest", 1, 2, "B", 4, 35.0, 5.0), ("largest", 2, 1, "A", 2, 10.0, 1.0),
+                   ("smallest", 1, 1, "A", 2, 10.0, 1.0), ("smallest", 2, 3, "C", 2, 10.0, 4.0)]
+    ends = [tuple(r) for r in agg.sales_extremes(df, {"city": F.col("city"), "region": F.col("region")}).collect()]
+    assert ends == [("city", "x", "least", 10.0), ("city", "z", "least", 10.0), ("city", "y", "most", 35.0),
+                    ("region", "S", "least", 15.0), ("region", "N", "most", 40.0)]
+    peaks = [tuple(r) for r in agg.peak_return_period(df).collect()]
+    assert peaks == [("N", d("2015-01-01"), 1), ("N", d("2015-02-01"), 1), ("S", d("2015-02-01"), 1), ("S", d("2015-03-01"), 1)]
+
+
+def test_result_order_of_sorted_queries(spark, sf_small):
+    from tillroll.plans.registry import QUERIES
+    keys = {"customer_totals": lambda r: (-r.t_sales, r.customer_id), "returned_orders_by_region": lambda r: (r.region, r.order_date, r.order_id),
+            "ship_mode_cities_by_state": lambda r: (r.state, -r.mode_count, r.shipping),
+            "customers_3plus_days_month": lambda r: (r.customer_name, r.order_date), "customer_lifespan": lambda r: (-r.inactive_days, r.customer_id),
+            "lines_above_month_region_subcat_avg": lambda r: (r.month_wise, r.region, r.product_sub_category, r.customer_id)}
+    for key, order in keys.items():
+        got = [order(r) for r in QUERIES[key](spark, sf_small).collect()]
+        assert got == sorted(got) and len(got) > 1, key
+
+
+def test_attrition_within_departments_and_risky_tenure(spark):
+    from tillroll.operators import hr
+    end = "2020-01-01"
+    emp = spark.createDataFrame(
+        [(1, "HR", "Yes", "Yes", d("2019-06-01"), d("2019-09-01")), (2, "HR", "Yes", "No", d("2019-03-01"), None), (3, "HR", "No", "No", d("2015-03-01"), None),
+         (4, "HR", "No", "Yes", d("2017-12-01"), d("2019-01-01")), (5, "IT", "No", "No", d("2019-03-01"), None)],
+        "employee_id int, department string, overtime string, attrition string, hire_date date, exit_date date")
+    assert [tuple(r) for r in hr.rate_within(emp).collect()] == [("HR", "No", 2, 1, 50.0), ("HR", "Yes", 2, 1, 50.0), ("IT", "No", 1, 0, 0.0)]
+    assert [tuple(r) for r in hr.risky_tenure(emp, d(end)).collect()] == [("HR", 1), ("IT", None)]
+
+
+def test_every_validation_rule_can_fail(spark, tmp_path):
+    from tillroll.plans.registry import QUERIES
+    t = {"lineitem": ([(1, 1, 1, -5.0, 0.1, "1995-01-01"), (1, 1, 1, 5.0, 1.5, "1996-01-02"), (None, 2, 9, 5.0, 0.1, "1996-01-02"), (8, 2, 1, 5.0, 0.1, "1996-01-02")],
+                      "l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double, l_discount double, l_shipdate string"),
+         "orders": ([(1, None, "1996-01-01"), (2, 77, "1996-01-01"), (2, 5, "1996-01-01")], "o_orderkey long, o_custkey long, o_orderdate string"),
+         "region": ([("A",), ("A",)], "r_name string"), "part": ([(1,)], "p_partkey long"), "customer": ([(5,)], "c_custkey long")}
+    for name, (data, schema) in t.items():
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {r["rule"]: r["violations"] for r in QUERIES["validate"](spark, str(tmp_path)).collect()}
+    assert got == {"order_id_not_null": 1, "negative_sales": 1, "discount_out_of_range": 1, "customer_id_not_null": 1, "ship_before_order": 1,
+                   "line_unique": 1, "order_unique": 1, "region_unique": 1, "lineitem_order_fk": 2, "lineitem_part_fk": 1, "order_customer_fk": 2}
 
 
 def test_kpi_approx_counts_close(spark, sf_small):

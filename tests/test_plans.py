@@ -64,3 +64,22 @@ def test_order_grain_shuffles_aggregates_not_lines(big, sf_small):
 def test_part_grain_sums_lines_per_part_before_the_part_join(big, sf_small):
     plan = optimized(QUERIES["product_sales"](big, sf_small))
     assert re.search(r"Aggregate \[l_partkey", plan)
+
+
+@pytest.mark.parametrize("key", ["segment_order_count", "region_sales_and_lines", "cities_per_region", "states_per_city",
+                                 "city_repeated_in_region", "city_repeated_states", "covered_city_count", "priority_counts",
+                                 "customers_by_value_bracket", "priority_by_region_state", "value_if_single", "category_frequency",
+                                 "priority_by_customer"])
+def test_order_level_groupings_run_on_order_rows(big, sf_small, key):
+    assert re.search(r"Aggregate \[l_orderkey", optimized(QUERIES[key](big, sf_small)))
+
+
+@pytest.mark.parametrize("key", ["product_avg_sales", "product_avg_prefix", "subcat_share_in_category"])
+def test_part_level_groupings_run_on_part_rows(big, sf_small, key):
+    assert re.search(r"Aggregate \[l_partkey", optimized(QUERIES[key](big, sf_small)))
+
+
+def test_one_aggregate_feeds_all_drivers(big, sf_small):
+    joins = lambda key: physical(QUERIES[key](big, sf_small)).count("SortMergeJoin")
+    assert joins("clv_drivers") == joins("customer_lifetime_value")
+    assert joins("retention_crosscheck") <= 1                # the order binding's own join, none between the counts

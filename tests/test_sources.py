@@ -47,3 +47,12 @@ def test_materialized_order_lines_answer_the_same(spark, sf_small):
     one = read_materialized(spark, path, ["order_date"], months=["1995-01"])
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(order_month" in plan and one.count() > 0
+
+
+def test_files_added_later_are_read(spark, tmp_path):
+    from tillroll.sources.tables import read_table
+    path = str(tmp_path / "nation.parquet")
+    spark.range(10).write.parquet(path)
+    assert read_table(spark, str(tmp_path), "nation").count() == 10
+    spark.range(5).write.mode("append").parquet(path)
+    assert read_table(spark, str(tmp_path), "nation").count() == 15

@@ -17,7 +17,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.columns import (exact_avg, half_up_round, month_key, month_name_of, month_of_year,
+from tillroll.functions.columns import (exact_avg, half_up_div, half_up_round, month_key, month_name_of, month_of_year,
                                         pct, year_month_label)
 
 
@@ -31,11 +31,26 @@ def _all_rows() -> Window:
     return Window.partitionBy()
 
 
+def _lines(sl: DataFrame, column: str | None = None) -> F.Column:
+    """Number of order lines (those with a non-NULL ``column``): a count at line grain,
+    a sum of ``lines`` where the binding has summed lines per order or part."""
+    if "lines" in sl.columns:
+        return F.sum(F.when(F.col(column).isNotNull(), F.col("lines")).otherwise(0) if column else F.col("lines"))
+    return F.count(column or F.lit(1))
+
+
+def _line_average(sl: DataFrame, digits: int) -> F.Column:
+    """Average sales of a line, half-up, exact, at either grain."""
+    if "lines" in sl.columns:
+        return half_up_div(F.sum("sales"), F.sum("lines"), digits)
+    return half_up_round(exact_avg("sales"), digits)
+
+
 # --- single-level group counts and sums ----------------------------------
 
 def segment_order_count(sl: DataFrame) -> DataFrame:
     return (sl.groupBy("customer_segment")
-            .agg(F.count("customer_segment").alias("counting"))
+            .agg(_lines(sl, "customer_segment").alias("counting"))
             .orderBy("counting"))
 
 
@@ -74,12 +89,54 @@ def sales_month_subcat_rollup(sl: DataFrame, with_grouping_id: bool = False) ->
 
 
 def customer_totals(sl: DataFrame) -> DataFrame:
-    """Quantity, sales and profit per customer. The reference's ORDER BY sales is
-    presentation and is left out: on one row per customer it would be a global
-    range sort of the whole result."""
+    """Quantity, sales and profit per customer, by falling sales (a range sort)."""
     return (sl.groupBy("customer_id", "customer_name")
             .agg(F.sum("quantity_ordered_new").cast("bigint").alias("quantity"),
-                 _d(F.sum("sales")).alias("t_sales"), _d(F.sum("profit")).alias("t_profit")))
+                 _d(F.sum("sales")).alias("t_sales"), _d(F.sum("profit")).alias("t_profit"))
+            .orderBy(F.desc("t_sales"), "customer_id"))
+
+
+def customer_extremes(sl: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` largest and ``k`` smallest customers by sales: end ('largest'/'smallest'),
+    place, customer_id, customer_name, quantity, t_sales, t_profit.
+
+    Ties go to the smaller customer id. Each end is a top-k (no sort of all customers).
+    """
+    per = (sl.groupBy("customer_id", "customer_name")
+           .agg(F.sum("quantity_ordered_new").cast("bigint").alias("quantity"),
+                F.sum("sales").alias("_s"), F.sum("profit").alias("_p")))
+    ends = []
+    for end, order in (("largest", F.desc("_s")), ("smallest", F.asc("_s"))):
+        top = per.orderBy(order, "customer_id").limit(k)
+        place = F.row_number().over(Window.orderBy(order, "customer_id"))
+        ends.append(top.select(F.lit(end).alias("end"), place.alias("place"), "customer_id", "customer_name", "quantity",
+                               _d("_s").alias("t_sales"), _d("_p").alias("t_profit")))
+    return ends[0].unionAll(ends[1])
+
+
+def sales_extremes(sl: DataFrame, fields: dict[str, F.Column]) -> DataFrame:
+    """The values of each field with the most and the least sales: field, value, end, t_sales; ties kept.
+
+    ``fields`` maps a label to a column. All fields are unpivoted and summed together, so
+    the lines are read once; the ranking runs on one row per value.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), col.cast("string").alias("value"))
+                                for name, col in fields.items()]))
+    totals = (sl.select(pairs.alias("_f"), "sales").groupBy("_f.field", "_f.value").agg(F.sum("sales").alias("_s")))
+    ends = totals.groupBy("field").agg(F.max("_s").alias("most"), F.min("_s").alias("least"))
+    ends = ends.selectExpr("field AS _field", "stack(2, 'most', most, 'least', least) AS (end, _e)")
+    return (totals.join(ends, (F.col("field") == F.col("_field")) & (F.col("_s") == F.col("_e")))
+            .select("field", "value", "end", _d("_s").alias("t_sales")).orderBy("field", "end", "value"))
+
+
+def peak_return_period(returned: DataFrame, period: str = "month") -> DataFrame:
+    """Per region the calendar month (or 'day') in which most returned orders were placed, ties kept:
+    region, period, orders. ``returned`` has order_id, region and order_date, one or more rows per order."""
+    when = F.trunc("order_date", "month") if period == "month" else F.col("order_date")
+    per = (returned.select("order_id", "region", when.alias("period")).distinct()
+           .groupBy("region", "period").agg(F.count(F.lit(1)).alias("orders")))
+    best = F.rank().over(Window.partitionBy("region").orderBy(F.desc("orders")))
+    return (per.withColumn("_r", best).where(F.col("_r") == 1).drop("_r").orderBy("region", "period"))
 
 
 def region_sales_contribution(sl: DataFrame) -> DataFrame:
@@ -112,7 +169,7 @@ def region_sales_and_lines(sl: DataFrame) -> DataFrame:
     ``distinct_states`` is the count the name promises."""
     return sl.groupBy("region").agg(
         _d(F.sum("sales")).alias("t_sales"),
-        F.count("state_province").alias("states_per_region"),
+        _lines(sl, "state_province").alias("states_per_region"),
         F.count_distinct("state_province").alias("distinct_states"))
 
 
@@ -137,14 +194,14 @@ def product_sales(sl: DataFrame) -> DataFrame:
 
 def product_avg_sales_exact(sl: DataFrame) -> DataFrame:
     """product_name, sales = ROUND(AVG(sales), 2) kept as an exact DECIMAL."""
-    return sl.groupBy("product_name").agg(half_up_round(exact_avg("sales"), 2).alias("sales"))
+    return sl.groupBy("product_name").agg(_line_average(sl, 2).alias("sales"))
 
 
 def product_avg_sales(sl: DataFrame) -> DataFrame:
     return product_avg_sales_exact(sl).select("product_name", _d("sales").alias("sales"))
 
 
-def product_avg_prefix(sl: DataFrame, prefix: str = "Motorola") -> DataFrame:
+def product_avg_prefix(sl: DataFrame, prefix: str) -> DataFrame:
     """Average line sales of the products whose name starts with ``prefix``
     (case-insensitive, like the reference's LIKE 'x%')."""
     return product_avg_sales(sl.where(F.lower("product_name").startswith(prefix.lower())))
@@ -172,12 +229,12 @@ def subcategory_count(sl: DataFrame) -> DataFrame:
 
 def priority_by_region_state(sl: DataFrame) -> DataFrame:
     return (sl.groupBy("region", F.col("state_province").alias("state"), "order_priority")
-            .agg(F.count(F.lit(1)).alias("counts"))
+            .agg(_lines(sl).alias("counts"))
             .orderBy("region", "state", F.desc("counts")))
 
 
 def priority_counts(sl: DataFrame) -> DataFrame:
-    return sl.groupBy("order_priority").agg(F.count(F.lit(1)).alias("cnt"))
+    return sl.groupBy("order_priority").agg(_lines(sl).alias("cnt"))
 
 
 def month_region_sales(sl: DataFrame) -> DataFrame:
@@ -205,7 +262,7 @@ def row_count(sl: DataFrame) -> DataFrame:
 
 def subcat_share_in_category(sl: DataFrame) -> DataFrame:
     """Lines per sub-category as a percentage of its category's lines."""
-    agg = sl.groupBy("product_category", "product_sub_category").agg(F.count(F.lit(1)).alias("total_orders"))
+    agg = sl.groupBy("product_category", "product_sub_category").agg(_lines(sl).alias("total_orders"))
     grand = F.sum("total_orders").over(Window.partitionBy("product_category"))
     return agg.select("product_category", "product_sub_category", grand.alias("grand_total"),
                       "total_orders", pct("total_orders", grand).alias("percentage"))
@@ -234,7 +291,7 @@ def avg_line_vs_avg_month(sl: DataFrame) -> DataFrame:
     return line_avg.unionAll(month_avg).select(_d("sales").alias("sales"))
 
 
-def state_share_of_totals(sl: DataFrame, state: str = "Alabama") -> DataFrame:
+def state_share_of_totals(sl: DataFrame, state: str) -> DataFrame:
     """One state's sales as a percentage of (1) total sales and (2) its region's sales.
 
     The reference divides by two totals typed in by hand; both are computed
@@ -266,7 +323,7 @@ def states_per_city(sl: DataFrame) -> DataFrame:
             .orderBy(F.desc("cnt")))
 
 
-def customers_in_city(sl: DataFrame, city: str = "Columbus") -> DataFrame:
+def customers_in_city(sl: DataFrame, city: str) -> DataFrame:
     return sl.where(F.col("city") == city).select("customer_name").distinct()
 
 
@@ -275,7 +332,7 @@ def city_repeated_in_region(sl: DataFrame) -> DataFrame:
             .where(F.col("times") > 1))
 
 
-def city_drilldown(sl: DataFrame, city: str = "Watertown") -> DataFrame:
+def city_drilldown(sl: DataFrame, city: str) -> DataFrame:
     """State/city/region totals for one city; the city filter is pushed below the
     aggregate (and into the scan) by Catalyst."""
     return (sl.groupBy(F.col("state_province").alias("state"), "city", "region")
@@ -304,7 +361,8 @@ def ship_mode_cities_by_state(sl: DataFrame) -> DataFrame:
     """In how many cities of a state each ship mode is used."""
     return (sl.select(F.col("state_province").alias("state"), "city", F.col("ship_mode").alias("shipping"))
             .distinct()
-            .groupBy("state", "shipping").agg(F.count("shipping").alias("mode_count")))
+            .groupBy("state", "shipping").agg(F.count("shipping").alias("mode_count"))
+            .orderBy("state", F.desc("mode_count"), "shipping"))
 
 
 def widest_ship_mode_by_state(sl: DataFrame) -> DataFrame:
@@ -360,7 +418,7 @@ def subcat_cumulative_pct(sl: DataFrame) -> DataFrame:
 
 
 def manager_monthly_bonus_exact(sl: DataFrame, users: DataFrame, low: float = 50000, high: float = 60000,
-                                rate: float = 0.15, special_manager: str = "Chris") -> DataFrame:
+                                rate: float = 0.15, special_manager: str | None = None) -> DataFrame:
     """Year-month x manager sales, profit and tiered bonus, as exact decimals.
 
     Branch order as in the reference: the special manager above ``high`` is paid
@@ -373,7 +431,7 @@ def manager_monthly_bonus_exact(sl: DataFrame, users: DataFrame, low: float = 50
            .groupBy(month_key("order_date").alias("_m"), "manager")
            .agg(F.sum("sales").alias("t_sales"), F.sum("profit").alias("t_profit"))
            .withColumn("month_data", year_month_label("_m")))
-    bonus = (F.when((F.col("manager") == special_manager) & (F.col("t_sales") > hi), (F.col("t_sales") - hi) * r)
+    bonus = (F.when((F.col("manager") == F.lit(special_manager)) & (F.col("t_sales") > hi), (F.col("t_sales") - hi) * r)
              .when(F.col("t_sales") > lo, (F.col("t_sales") - lo) * r))
     return agg.select("month_data", "manager", "t_sales", "t_profit", bonus.alias("bonus"))
 

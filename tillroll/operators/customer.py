@@ -71,13 +71,11 @@ def churn_monthly(sl: DataFrame) -> DataFrame:
 def retention_crosscheck(sl: DataFrame, first_month: int = 1, second_month: int = 2) -> DataFrame:
     """Customers of month-of-year A who are also in month-of-year B, and all
     customers of B (two rows, UNION)."""
-    a = sl.where(month_of_year("order_date") == first_month).select("customer_id").distinct()
-    b = sl.where(month_of_year("order_date") == second_month).select("customer_id").distinct()
-    retained = a.join(b, "customer_id", "left_semi").agg(F.count(F.lit(1)).alias("counts"))
-    total = b.agg(F.count(F.lit(1)).alias("counts"))
-    return (retained.select(F.lit(RETAINED_LABEL).alias("category"), "counts")
-            .union(total.select(F.lit(DISTINCT_LABEL).alias("category"), "counts"))
-            .distinct())
+    month = month_of_year("order_date")
+    per = sl.groupBy("customer_id").agg(F.bool_or(month == first_month).alias("_a"), F.bool_or(month == second_month).alias("_b"))
+    row = per.agg(F.count_if(F.col("_a") & F.col("_b")).alias("_both"), F.count_if(F.col("_b")).alias("_second"))
+    return row.select(F.explode(F.create_map(F.lit(RETAINED_LABEL), F.col("_both"), F.lit(DISTINCT_LABEL), F.col("_second")))
+                      .alias("category", "counts"))
 
 
 def customer_month_of_year(sl: DataFrame) -> DataFrame:
@@ -107,12 +105,12 @@ def customer_first_order(sl: DataFrame) -> DataFrame:
 
 
 def customer_lifespan(sl: DataFrame) -> DataFrame:
-    """First and last order per customer and the days between (one row per
-    customer; the reference's ORDER BY is presentation, not a global sort here)."""
+    """First and last order per customer and the days between, longest first (a range sort)."""
     return (sl.groupBy("customer_id", "customer_name")
             .agg(F.min("order_date").alias("first_order"), F.max("order_date").alias("last_order"))
             .select("first_order", "customer_id", "customer_name", "last_order",
-                    F.datediff("last_order", "first_order").alias("inactive_days")))
+                    F.datediff("last_order", "first_order").alias("inactive_days"))
+            .orderBy(F.desc("inactive_days"), "customer_id"))
 
 
 def lifespan_bins(sl: DataFrame, digits: int = -1) -> DataFrame:
@@ -140,11 +138,11 @@ def customers_nplus_days_month(sl: DataFrame, n: int = 3) -> DataFrame:
     # row per customer and calendar day, so no later shuffle carries raw lines
     days = sl.select("order_date", "customer_id", "customer_name").distinct()
     qualifying = (days.groupBy("customer_id", month_of_year("order_date").alias("_m"))
-                  .agg(F.count_distinct("order_date").alias("_d"))
+                  .agg(F.count(F.lit(1)).alias("_d"))
                   .where(F.col("_d") >= n).select("customer_id"))
     kept = days.join(qualifying, "customer_id", "left_semi")
     freq = F.count("customer_id").over(Window.partitionBy("customer_name"))
-    return kept.withColumn("order_frequency", freq)
+    return kept.withColumn("order_frequency", freq).orderBy("customer_name", "order_date", "customer_id")
 
 
 def _monthly_activity(sl: DataFrame) -> DataFrame:
@@ -197,13 +195,12 @@ def customer_lifetime_value(sl: DataFrame) -> DataFrame:
 def clv_drivers(sl: DataFrame) -> DataFrame:
     """Correlation of customer lifetime value with its drivers (orders, average
     order value, active span), from exact moments in one aggregate."""
-    from functools import reduce
-
     from tillroll.functions.stats import corr_from_moments, moments_from_limbs, pair_moments
     clv = customer_lifetime_value(sl)
     drivers = {"orders": 0, "aov": 2, "span_days": 0}
     aggs = [m for name, s in drivers.items() for m in pair_moments(name, "clv", name, s, 2, wide=True)]
     row = clv.agg(*aggs).select(*[c for name in drivers for c in moments_from_limbs(name, wide=True)])
-    parts = [row.select(F.lit(name).alias("driver"), corr_from_moments(name).alias("corr"),
-                        F.col(f"{name}_n").cast("bigint").alias("n")) for name in drivers]
-    return reduce(DataFrame.unionAll, parts)
+    # the one row is unpivoted in place: a union of selects would repeat the joins per driver
+    found = [F.struct(F.lit(name).alias("driver"), corr_from_moments(name).alias("corr"),
+                      F.col(f"{name}_n").cast("bigint").alias("n")) for name in drivers]
+    return row.select(F.explode(F.array(*found)).alias("d")).select("d.driver", "d.corr", "d.n")

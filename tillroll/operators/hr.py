@@ -100,6 +100,24 @@ def rate_by_factor(emp: DataFrame, flag: str = "attrition", factors: tuple = ("o
     return a.select("factor", "value", "n", "leavers", pct("leavers", "n").alias("rate"))
 
 
+def rate_within(emp: DataFrame, factor: str = "overtime", group: str = "department", flag: str = "attrition",
+                yes: str = "Yes") -> DataFrame:
+    """Attrition rate per value of ``factor`` inside each ``group``: group, value, n, leavers, rate %."""
+    a = emp.groupBy(F.col(group).alias("group"), F.col(factor).alias("value")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(flag) == yes).alias("leavers"))
+    return a.select("group", "value", "n", "leavers", pct("leavers", "n").alias("rate")).orderBy("group", "value")
+
+
+def risky_tenure(emp: DataFrame, as_of, threshold: float = 25.0) -> DataFrame:
+    """Per department, up to which tenure its rate stays above ``threshold`` percent without a
+    break from its shortest tenure on: department, max_tenure (NULL when it never is)."""
+    rates = rate_by_tenure(emp, as_of, threshold)
+    upto = Window.partitionBy("department").orderBy("tenure_years")
+    unbroken = rates.withColumn("_ok", F.min(F.col("above").cast("int")).over(upto))
+    return (unbroken.groupBy("department").agg(F.max(F.when(F.col("_ok") == 1, F.col("tenure_years"))).alias("max_tenure"))
+            .orderBy("department"))
+
+
 def _active_years(emp: DataFrame, as_of) -> DataFrame:
     """One row per employee and calendar year employed (hire year .. exit year,
     or the year of ``as_of``); at most one row per year of tenure."""

@@ -6,11 +6,10 @@ Scale notes
   ``left_anti`` join, so the fact side never carries the other side's columns.
 * "Lines above/below their group's average" joins the fact with an aggregate
   of itself. The aggregate is partial+final (hot keys pre-aggregate); the join
-  back salts hot groups (``attach_group_stats``) so one group's rows are split
-  over many tasks -- AQE's skew split does not apply when one side is an
-  aggregate -- and AQE may still turn it into a broadcast join after measuring
-  the aggregate. A window average partitioned by the group would put a hot
-  group's rows into one task.
+  back salts hot groups by their own row counts (``attach_group_stats``), since
+  AQE's skew split does not apply when one side is an aggregate; AQE may still
+  turn it into a broadcast join after measuring the aggregate. A window average
+  partitioned by the group would put a hot group's rows into one task.
 * The month-of-year average has at most 12 rows, a bound known before the
   data is read, so it is broadcast explicitly.
 """
@@ -21,6 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import decimals_to_double, exact_avg, half_up_round, month_of_year
+from tillroll.operators.quantile import null_safe_join
+
+
+#: columns by which the lines of a group are spread (next to unique; equal pairs only share a salt)
+LINE_KEY = ["order_id", "line_number"]
 
 
 def _d(c):
@@ -43,11 +47,14 @@ def returned_order_details(sl: DataFrame, returns: DataFrame) -> DataFrame:
     return decimals_to_double(sl.join(returns.select("order_id"), "order_id", "left_semi"))
 
 
-def lookup_row(sl: DataFrame, order_id: int = 5059) -> DataFrame:
-    return decimals_to_double(sl.where(F.col("order_id") == order_id))
+def lookup_row(sl: DataFrame, row_id: str) -> DataFrame:
+    """The line with this row id. The id starts with its order's key, so the scan is
+    filtered on that as well, before the id is built."""
+    order_id = int(row_id.split("-", 1)[0])
+    return decimals_to_double(sl.where((F.col("order_id") == order_id) & (F.col("row_id") == row_id)))
 
 
-def lookup_return(returns: DataFrame, order_id: int = 5059) -> DataFrame:
+def lookup_return(returns: DataFrame, order_id: int) -> DataFrame:
     return returns.where(F.col("order_id") == order_id)
 
 
@@ -66,8 +73,8 @@ def _product_avg(sl: DataFrame) -> DataFrame:
 def lines_below_product_avg(sl: DataFrame) -> DataFrame:
     """Lines whose sales are under their product's (2 dp) average line sales.
     The average is joined back with hot products salted (``attach_group_stats``)."""
-    lines = sl.select("product_name", "sales")
-    j = attach_group_stats(lines, _product_avg(sl), ["product_name"], ["avg_sales"], how="inner")
+    lines = sl.select("product_name", "sales", *LINE_KEY)
+    j = attach_group_stats(lines, _product_avg(sl), ["product_name"], ["avg_sales"], LINE_KEY, how="inner")
     return (j.where(F.col("sales") < F.col("avg_sales"))
             .select("product_name", _d("avg_sales").alias("avg_sales"), _d("sales").alias("sales")))
 
@@ -75,7 +82,8 @@ def lines_below_product_avg(sl: DataFrame) -> DataFrame:
 def customer_day_below_product_avg(sl: DataFrame) -> DataFrame:
     """Customer x day x product totals under the product's average line sales."""
     per = (sl.groupBy("order_date", "customer_name", "product_name").agg(F.sum("sales").alias("_s2")))
-    j = attach_group_stats(per, _product_avg(sl), ["product_name"], ["avg_sales"], how="inner")
+    j = attach_group_stats(per, _product_avg(sl), ["product_name"], ["avg_sales"],
+                           ["order_date", "customer_name", "product_name"], how="inner")
     return (j.where(F.col("_s2") < F.col("avg_sales"))
             .select("order_date", "customer_name", _d("_s2").alias("sales2"), "product_name",
                     _d("avg_sales").alias("sales")))
@@ -97,14 +105,14 @@ def lines_above_month_region_subcat_avg(sl: DataFrame) -> DataFrame:
     """Lines above the ROUND(AVG, 0) of their month-of-year x region x sub-category."""
     keys = ["month_wise", "region", "product_sub_category"]
     lines = sl.select("customer_id", month_of_year("order_date").alias("month_wise"), "region",
-                      "product_sub_category", "product_name", "sales", "profit")
+                      "product_sub_category", "product_name", "sales", "profit", *LINE_KEY)
     avg = lines.groupBy(*keys).agg(half_up_round(exact_avg("sales"), 0).alias("avg_sales"),
                                    F.count(F.lit(1)).alias("n"))
-    # month-of-year x region x sub-category: a product of small dimension domains
-    return (attach_group_stats(lines, avg, keys, ["avg_sales"], how="inner", few_groups=True)
+    return (attach_group_stats(lines, avg, keys, ["avg_sales"], LINE_KEY, how="inner")
             .where(F.col("sales") > F.col("avg_sales"))
             .select("customer_id", "month_wise", "region", "product_sub_category", "product_name",
-                    _d("sales").alias("sales"), _d("profit").alias("profit"), _d("avg_sales").alias("avg_sales")))
+                    _d("sales").alias("sales"), _d("profit").alias("profit"), _d("avg_sales").alias("avg_sales"))
+            .orderBy("month_wise", "region", "product_sub_category", "customer_id"))
 
 
 def snowflake_join(fact: DataFrame, dims: list[tuple]) -> DataFrame:
@@ -120,52 +128,29 @@ def snowflake_join(fact: DataFrame, dims: list[tuple]) -> DataFrame:
     return out
 
 
-# A group is "hot" when it holds more than 1/HOT_SHARE of all rows; there can be
-# at most HOT_SHARE such groups, which bounds what is broadcast below.
-HOT_SHARE = 1000
-SALTS = 64
-MAX_BROADCAST_GROUPS = 200_000
+#: A group is hot when it holds more than 1 / HOT_SHARE of all rows; so there are
+#: fewer than HOT_SHARE hot groups, whatever the data, and that many keys are broadcast.
+HOT_SHARE = 20_000
 
 
 def attach_group_stats(df: DataFrame, stats: DataFrame, keys: list[str], cols: list[str],
-                       n_col: str = "n", how: str = "left", few_groups: bool = False) -> DataFrame:
-    """Join per-group statistics (one row per group, with its row count
-    ``n_col``) onto the rows of ``df``, spreading hot groups over many tasks.
-
-    The statistics are written once (checkpoint) and counted. Up to
-    MAX_BROADCAST_GROUPS groups are broadcast whole (a bound checked on the
-    data), so rows are joined map-side. Beyond that, a plain join on the group
-    key would send all rows of a group to one task, and AQE's skew-join split
-    does not apply when the statistics side is an aggregate. So the hot groups
-    (more than 1/HOT_SHARE of the rows, hence at most HOT_SHARE of them) are
-    broadcast as a key set; their rows get a hash salt in [0, SALTS) and their
-    statistics rows are replicated SALTS times, so the (key, salt) join splits
-    a hot group over SALTS tasks. Cold groups keep salt 0. ``few_groups`` (keys
-    from small fixed domains) broadcasts the statistics directly. Results are
-    identical to the plain join.
+                       row_key: list[str], n_col: str = "n", how: str = "left") -> DataFrame:
+    """Join per-group statistics (one row per group, with its row count ``n_col``) onto
+    the rows of ``df``, splitting hot groups; NULL keys are a group like any other.
+
+    One plan for all sizes. A hot group gets ceil(n * HOT_SHARE / total) salts, so that
+    no (group, salt) holds more than about 1 / HOT_SHARE of all rows; the salt of a row
+    is a hash of ``row_key``, columns (next to) unique per row, so equal rows part as well. The
+    hot keys and their salts (fewer than HOT_SHARE rows) are broadcast, the statistics
+    of a hot group come once per salt, and all other groups keep salt 0. The result is
+    that of the plain join.
     """
-    if few_groups:
-        # the caller's keys come from small fixed domains (months, regions, ship modes,
-        # categories): the statistics stay a few thousand rows at any data volume, so
-        # they are broadcast, and a broadcast join never shuffles (or skews) the rows
-        return df.join(F.broadcast(stats.select(*keys, *cols)), keys, how)
-    # one row per group, written once (shared checkpoint folder): the total, the hot
-    # set and the salted side below all read it, so the fact is aggregated once
-    from tillroll.operators.quantile import _fresh
-    from tillroll.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(stats.sparkSession)
-    stats = _fresh(stats.select(*keys, *cols, n_col).checkpoint(eager=True))
-    # few groups (counted on the written table): broadcast them all -- a checked
-    # bound, and the rows are then joined map-side with no shuffle to skew
-    if stats.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS:
-        return df.join(F.broadcast(stats.select(*keys, *cols)), keys, how)
     total = stats.agg(F.sum(n_col)).scalar()
-    hot = stats.where(F.col(n_col) * F.lit(HOT_SHARE) > total).select(*keys, F.lit(True).alias("_hot"))
-    rows = df.join(F.broadcast(hot), keys, "left")
-    row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
-    rows = rows.withColumn("_salt", F.when(F.col("_hot"), F.pmod(row_hash, F.lit(SALTS)))
-                           .otherwise(F.lit(0)).cast("int")).drop("_hot")
-    st = stats.select(*keys, *cols).join(F.broadcast(hot), keys, "left")
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    st = st.withColumn("_salt", F.explode(salts)).drop("_hot")
-    return rows.join(st, [*keys, "_salt"], how).drop("_salt")
+    salts = F.ceil(F.col(n_col) * F.lit(HOT_SHARE) / total).cast("int")
+    hot = F.broadcast(stats.where(F.col(n_col) * F.lit(HOT_SHARE) > total).select(*keys, salts.alias("_salts")))
+    rows = null_safe_join(df, hot, keys, "left")
+    own = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*row_key), F.col("_salts"))).otherwise(F.lit(0))
+    rows = rows.withColumn("_salt", own.cast("int")).drop("_salts")
+    several = F.when(F.col(n_col) * F.lit(HOT_SHARE) > total, salts).otherwise(F.lit(1))
+    salted = stats.select(*keys, *cols, F.explode(F.sequence(F.lit(0), several - 1)).alias("_salt"))
+    return null_safe_join(rows, salted, [*keys, "_salt"], how).drop("_salt")

@@ -116,7 +116,7 @@ def bidirectional_filter(dim: DataFrame, fact: DataFrame, dim_key: str, fact_key
                          fact_predicate: Column) -> DataFrame:
     """Dimension rows that have at least one fact row matching ``fact_predicate``
     (a filter flowing from the fact side back to the dimension)."""
-    hits = fact.where(fact_predicate).select(F.col(fact_key).alias(dim_key))
+    hits = fact.where(fact_predicate).select(F.col(fact_key).alias(dim_key)).distinct()
     return dim.join(hits, dim_key, "left_semi")
 
 
@@ -186,7 +186,8 @@ def state_revenue(sl: DataFrame) -> DataFrame:
 
 
 def priority_by_customer(sl: DataFrame) -> DataFrame:
-    return sl.groupBy("customer_id", "order_priority").agg(F.count(F.lit(1)).alias("lines"))
+    n = F.sum("lines") if "lines" in sl.columns else F.count(F.lit(1))
+    return sl.groupBy("customer_id", "order_priority").agg(n.alias("lines"))
 
 
 # --- logistics (D45) --------------------------------------------------------

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import pct
@@ -49,16 +49,18 @@ def null_profile(df: DataFrame) -> DataFrame:
     return stacked.select(F.col("_label").alias("column"), "nulls", pct("nulls", "rows").alias("pct"))
 
 
-def _attach(df: DataFrame, stats: DataFrame, by: list[str], cols: list[str], few_groups: bool = False) -> DataFrame:
+def _attach(df: DataFrame, stats: DataFrame, by: list[str], cols: list[str], row_key: list[str] | None) -> DataFrame:
     """Attach per-group statistics (hot groups salted, see ``attach_group_stats``);
-    without groups they are scalar subqueries."""
+    without groups they are scalar subqueries. ``row_key``: columns unique per row,
+    all columns when not given."""
     if by:
-        return attach_group_stats(df, stats, by, cols, n_col="n", how="left", few_groups=few_groups)
+        return attach_group_stats(df, stats, by, cols, row_key or df.columns, n_col="n", how="left")
     return df.withColumns({c: stats.select(c).scalar() for c in cols})
 
 
 def impute_median(df: DataFrame, cols: list[str], by: list[str] | None = None,
-                  bounded_domain: bool = False, approx: bool = False, few_groups: bool = False) -> DataFrame:
+                  bounded_domain: bool = False, approx: bool = False,
+                  row_key: list[str] | None = None) -> DataFrame:
     """Replace NULLs of ``cols`` by the group's exact (discrete) median.
     ``bounded_domain`` selects the histogram method (whole days, ages, ...);
     ``approx`` a sketch median."""
@@ -67,13 +69,13 @@ def impute_median(df: DataFrame, cols: list[str], by: list[str] | None = None,
     quantiles = grouped_quantiles_by_histogram if bounded_domain else _quantiles(approx)
     for c in cols:
         med = quantiles(df, by, c, {f"_med_{c}": 0.5})
-        out = _attach(out, med, by, [f"_med_{c}"], few_groups)
+        out = _attach(out, med, by, [f"_med_{c}"], row_key)
         out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"_med_{c}"))).drop(f"_med_{c}")
     return out
 
 
 def iqr_outliers(df: DataFrame, column: str, by: list[str] | None = None, k: float = 1.5,
-                 approx: bool = False, few_groups: bool = False) -> DataFrame:
+                 approx: bool = False, row_key: list[str] | None = None) -> DataFrame:
     """Rows with the fences q1 - k*IQR and q3 + k*IQR of their group (exact
     discrete quartiles, or sketch quartiles with ``approx``) and ``is_outlier``."""
     by = list(by or [])
@@ -81,18 +83,18 @@ def iqr_outliers(df: DataFrame, column: str, by: list[str] | None = None, k: flo
     kk = F.lit(str(k)).cast("decimal(10,4)")
     fences = q.select(*by, "n", (F.col("_q1") - kk * (F.col("_q3") - F.col("_q1"))).alias("lo"),
                       (F.col("_q3") + kk * (F.col("_q3") - F.col("_q1"))).alias("hi"))
-    j = _attach(df, fences, by, ["lo", "hi"], few_groups)
+    j = _attach(df, fences, by, ["lo", "hi"], row_key)
     return j.withColumn("is_outlier", (F.col(column) < F.col("lo")) | (F.col(column) > F.col("hi")))
 
 
 def winsorize(df: DataFrame, column: str, p_lo: float = 0.05, p_hi: float = 0.95,
               by: list[str] | None = None, name: str | None = None, approx: bool = False,
-              few_groups: bool = False) -> DataFrame:
+              row_key: list[str] | None = None) -> DataFrame:
     """Clip ``column`` to its group's exact discrete p_lo / p_hi quantiles
     (sketch quantiles with ``approx``)."""
     by = list(by or [])
     q = _quantiles(approx)(df, by, column, {"_lo": p_lo, "_hi": p_hi})
-    j = _attach(df, q, by, ["_lo", "_hi"], few_groups)
+    j = _attach(df, q, by, ["_lo", "_hi"], row_key)
     clipped = F.least(F.greatest(F.col(column), F.col("_lo")), F.col("_hi"))
     return j.withColumn(name or column, clipped).drop("_lo", "_hi")
 
@@ -106,8 +108,9 @@ def box_stats(df: DataFrame, column: str, by: list[str], approx: bool = False) -
 
 def category_frequency(df: DataFrame, column: str) -> DataFrame:
     """value, count, pct of rows (NULL counted as its own value)."""
-    a = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    total = df.agg(F.count(F.lit(1))).scalar()
+    n = F.sum("lines") if "lines" in df.columns else F.count(F.lit(1))
+    a = df.groupBy(F.col(column).alias("value")).agg(n.alias("count"))
+    total = F.sum("count").over(Window.partitionBy())          # one row per value
     return a.select("value", "count", pct("count", total).alias("pct"))
 
 

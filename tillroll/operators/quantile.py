@@ -1,24 +1,18 @@
-"""Exact quantiles per group without putting a group into one task.
-
-Spark's exact ``percentile``/``median`` aggregates keep a value -> count map per
-group and merge it in one task, so a group with a third of all rows (and mostly
-distinct values) would be merged by one task. Here the exact discrete quantile
-is found by *position* instead:
-
-1. range-partition on (group, value, tie) and sort inside partitions: a hot
-   group is spread over many partitions, in order;
-2. number rows inside each partition; checkpoint so the numbering is fixed;
-3. per (group, partition): row count and first id -- at most
-   (#groups + #partitions) rows -- and a window over each group's partitions
-   (at most #partitions rows) gives each partition's starting offset and the
-   group size;
-4. position = offset + index inside the partition; the quantile is the value
-   at position ceil(p * n) (SQL PERCENTILE_DISC), picked by a filter and an
-   aggregate over the few matching rows.
-
-``tie`` is a hash of the row, so even one repeated value is split across
-partitions; equal values are interchangeable for a quantile, so the tie-break
-does not change results.
+"""Exact positions and quantiles by counting values, not by sorting rows.
+
+Spark's exact ``percentile``/``median`` aggregates merge a group's values in one
+task. Here rows are first counted per (group, value): a partial aggregate, so
+neither a hot group nor a value that a third of all rows share costs more than
+one row per map task. The value at a position is then found digit by digit:
+a value is a 64-bit whole number (cents, days, units) of three digits, the last
+two of 16 bits; the counts per first digit tell which one holds the position,
+then the counts per second digit inside it, then per third. Every window runs
+over one digit's values, at most 65,536 rows (the first digit's range is that of
+the data: one per 4 * 10**9 units), however many rows there are.
+
+The plan is lazy and needs no checkpoint: each level reads the same counted
+values (one exchange, reused), and the positions found so far meet them in an
+equi-join whose small side Spark measures before it broadcasts it.
 """
 
 from __future__ import annotations
@@ -26,70 +20,100 @@ from __future__ import annotations
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tillroll.session import ensure_checkpoint_dir
+DIGITS = ["_d1", "_d2", "_d3"]
 
 
-def _fresh(df: DataFrame) -> DataFrame:
-    """Re-alias every column: a checkpointed DataFrame keeps the attribute ids of
-    the plan it came from, and a later join with another branch of that plan
-    must not see the same ids on both sides."""
-    return df.select(*[F.col(c).alias(c) for c in df.columns])
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    if not keys:
-        return left.join(right, "_pid")
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, NULL matching NULL; the keys come out once, from the left."""
     r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys] + [left._pid == r._pid])
-    return left.join(r, cond).drop(*[f"_r_{k}" for k in keys]).drop(r._pid)
-
-
-def grouped_positions(df: DataFrame, group_cols: list[str], order_cols: list, name: str = "pos",
-                      num_partitions: int | None = None) -> DataFrame:
-    """Attach ``name`` (1-based position inside the group in ``order_cols`` order)
-    and ``{name}_n`` (group size). ``order_cols`` should end with a tie-break."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)          # the shared folder of spark.checkpoint.dir
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    ranged = (df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = _fresh(ranged.checkpoint(eager=True)).withColumn("_pid", F.shiftright("_mid", 33))
-    per = ranged.groupBy(*group_cols, "_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
-    w_group = Window.partitionBy(*group_cols)
-    before = w_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(*group_cols, "_pid", "_first",
-                     F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
-                     F.sum("_cnt").over(w_group).alias(f"{name}_n"))
-    joined = _null_safe_join(ranged, per, list(group_cols))
-    return (joined.withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("bigint"))
-            .drop("_mid", "_pid", "_first", "_off"))
-
-
-def grouped_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs: dict,
-                      num_partitions: int | None = None) -> DataFrame:
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def whole_number(df: DataFrame, name: str) -> tuple[Column, callable]:
+    """(column as a 64-bit whole number in the same order, function back to the type)."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        unit = Decimal(1).scaleb(-kind.scale)
+        return ((F.col(name) * F.lit(10 ** kind.scale)).cast("long"),
+                lambda v: (v.cast("decimal(19,0)") * F.lit(unit)).cast(kind))
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.col(name).cast("long"), lambda v: v.cast(kind)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(name).cast("long"), lambda v: F.date_from_unix_date(v.cast("int"))
+    raise TypeError(f"exact positions need whole, decimal or date values, not {kind.simpleString()}")
+
+
+def counted(df: DataFrame, group_cols: list[str], value_col: str) -> DataFrame:
+    """One row per group and non-NULL value: its digits, the value ``_v`` and its count ``_c``."""
+    whole, _ = whole_number(df, value_col)
+    hist = (df.where(F.col(value_col).isNotNull()).groupBy(*group_cols, whole.alias("_v"))
+            .agg(F.count(F.lit(1)).alias("_c")))
+    return hist.select("*", F.shiftright("_v", 32).alias("_d1"),
+                       F.shiftright("_v", 16).bitwiseAND(F.lit(65535)).alias("_d2"),
+                       F.col("_v").bitwiseAND(F.lit(65535)).alias("_d3"))
+
+
+def at_positions(hist: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """``wanted`` (keys, any columns, ``_want``: a 1-based position in the group) with ``_v``, the value there.
+
+    Positions outside the group give no row.
+    """
+    carried = [c for c in wanted.columns if c not in keys and c != "_want"]
+    t = wanted
+    for i, digit in enumerate(DIGITS):
+        fixed = DIGITS[:i]
+        rows = hist if i else hist.groupBy(*keys, digit).agg(F.sum("_c").alias("_c"))
+        met = null_safe_join(rows.select(*keys, *fixed, digit, "_c"), t, keys + fixed)
+        cell = keys + carried + ["_want"] + fixed
+        sums = met.groupBy(*cell, digit).agg(F.sum("_c").alias("_s"))
+        upto = F.sum("_s").over(Window.partitionBy(*cell).orderBy(digit))
+        t = (sums.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_s") < F.col("_want")))
+             .withColumn("_want", F.col("_want") - F.col("_upto") + F.col("_s")).select(*cell, digit))
+    value = F.shiftleft("_d1", 32).bitwiseOR(F.shiftleft("_d2", 16)).bitwiseOR(F.col("_d3"))
+    return t.select(*keys, *carried, value.alias("_v"))
+
+
+def rows_before(hist: DataFrame) -> DataFrame:
+    """``hist`` of the whole table with ``_before``, the number of rows of smaller values."""
+    def running(df, part, by):
+        w = Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_c").over(w), F.lit(0))
+
+    first = hist.groupBy("_d1").agg(F.sum("_c").alias("_c"))
+    first = first.select(F.col("_d1").alias("_f1"), running(first, [], "_d1").alias("_b1"))
+    second = hist.groupBy("_d1", "_d2").agg(F.sum("_c").alias("_c"))
+    second = second.select(F.col("_d1").alias("_s1"), F.col("_d2").alias("_s2"), running(second, ["_d1"], "_d2").alias("_b2"))
+    return (hist.withColumn("_b3", running(hist, ["_d1", "_d2"], "_d3"))
+            .join(second, (F.col("_d1") == F.col("_s1")) & (F.col("_d2") == F.col("_s2")))
+            .join(first, F.col("_d1") == F.col("_f1"))
+            .select("_v", "_c", (F.col("_b1") + F.col("_b2") + F.col("_b3")).alias("_before")))
+
+
+def grouped_quantiles(df: DataFrame, group_cols: list[str], value_col: str, probs: dict) -> DataFrame:
     """Exact discrete quantiles (PERCENTILE_DISC: the value at position
     ceil(p * n), at least 1) of ``value_col`` per group; NULL values are ignored.
 
     ``probs`` maps output column name -> probability. Also returns ``n``,
     ``min`` and ``max`` per group.
     """
-    vals = df.where(F.col(value_col).isNotNull()).select(*group_cols, value_col)
-    vals = vals.withColumn("_tie", F.xxhash64(*[F.col(c) for c in vals.columns]))
-    pos = grouped_positions(vals, list(group_cols), [value_col, "_tie"], "_pos", num_partitions)
-    targets = {name: F.greatest(F.ceil(F.col("_pos_n") * F.lit(Decimal(str(p)))), F.lit(1))
-               for name, p in probs.items()}
-    hit = reduce(lambda a, b: a | b, [F.col("_pos") == t for t in targets.values()]
-                 + [F.col("_pos") == 1, F.col("_pos") == F.col("_pos_n")])
-    picked = pos.where(hit)
-    aggs = [F.max("_pos_n").alias("n"),
-            F.max(F.when(F.col("_pos") == 1, F.col(value_col))).alias("min"),
-            F.max(F.when(F.col("_pos") == F.col("_pos_n"), F.col(value_col))).alias("max")]
-    aggs += [F.max(F.when(F.col("_pos") == t, F.col(value_col))).alias(name) for name, t in targets.items()]
-    return picked.groupBy(*group_cols).agg(*aggs) if group_cols else picked.agg(*aggs)
+    _, back = whole_number(df, value_col)
+    keys = list(group_cols) or ["_all"]
+    rows = df if group_cols else df.withColumn("_all", F.lit(0))
+    hist = counted(rows, keys, value_col)
+    totals = hist.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    wants = [F.struct(F.lit(name).alias("_name"), F.greatest(F.ceil(F.col("_n") * F.lit(Decimal(str(p)))), F.lit(1))
+                      .cast("long").alias("_want")) for name, p in probs.items()]
+    wanted = totals.select(*keys, "_n", "_lo", "_hi", F.explode(F.array(*wants)).alias("_t")).select(
+        *keys, "_n", "_lo", "_hi", "_t._name", "_t._want")
+    found = at_positions(hist, keys, wanted)
+    aggs = [F.max("_n").alias("n"), back(F.max("_lo")).alias("min"), back(F.max("_hi")).alias("max")]
+    aggs += [back(F.max(F.when(F.col("_name") == name, F.col("_v")))).alias(name) for name in probs]
+    return found.groupBy(*group_cols).agg(*aggs) if group_cols else found.agg(*aggs)
 
 
 def grouped_quantiles_by_histogram(df: DataFrame, group_cols: list[str], value_col: str,

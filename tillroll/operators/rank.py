@@ -16,12 +16,11 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import month_of_year
-from tillroll.operators.quantile import _fresh
-from tillroll.session import ensure_checkpoint_dir
+from tillroll.operators.quantile import at_positions, counted, rows_before, whole_number
 
 
 def _d(c):
@@ -89,7 +88,7 @@ def products_in_n_regions(sl: DataFrame, n: int = 4) -> DataFrame:
     return pairs.withColumn("listing", F.rank().over(w)).where(F.col("listing") == n)
 
 
-def product_region_drill(sl: DataFrame, product: str = "Accessory34") -> DataFrame:
+def product_region_drill(sl: DataFrame, product: str) -> DataFrame:
     return sl.where(F.col("product_name") == product).select("product_name", "region").distinct()
 
 
@@ -143,96 +142,49 @@ def top_state_per_month(sl: DataFrame, k: int = 1) -> DataFrame:
     return top.select("months", "state_province", _d("_p").alias("profits"), "ranking")
 
 
-# --- positions over raw rows (no single-partition window) -----------------
+# --- positions over raw rows (counted values, no sort of the rows) --------
 
-def global_position(df: DataFrame, order_cols: list, name: str = "position",
-                    num_partitions: int | None = None) -> DataFrame:
-    """Attach the 1-based position of each row in ``order_cols`` order.
+#: rows of one equal value that a task numbers
+POSITIONS_PER_ROW = 10_000
 
-    ``order_cols`` must be a total order (end with a unique key). Steps, all
-    distributed:
-      1. range-partition on ``order_cols`` and sort inside each partition;
-      2. number rows inside each partition (``monotonically_increasing_id``
-         keeps the partition index in its upper bits);
-      3. checkpoint, so the numbering is fixed and survives executor loss;
-      4. count rows per partition (one row per partition), turn the counts
-         into starting offsets with a window over those few rows;
-      5. join the offsets back (broadcast: one row per partition, bounded).
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)          # the shared folder of spark.checkpoint.dir
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n_parts, *order_cols)
-              .sortWithinPartitions(*order_cols)
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = _fresh(ranged.checkpoint(eager=True)).withColumn("_pid", F.shiftright("_mid", 33))
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
-    offsets = offsets.select("_pid", F.coalesce("_off", F.lit(0)).alias("_off"))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid"), 33)
-    return (ranged.join(F.broadcast(offsets), "_pid")
-            .withColumn(name, (F.col("_off") + local + 1).cast("bigint"))
-            .drop("_pid", "_mid", "_off"))
-
-
-def nth_row(df: DataFrame, order_cols: list[str], n, name: str = "position",
-            accuracy: int = 100000) -> DataFrame:
-    """The row at 1-based position ``n`` in ``order_cols`` order (a total order
-    whose first column is numeric), exactly, without sorting every row.
-
-    1. count the rows (one number to the driver);
-    2. a ``percentile_approx`` sketch gives values ``lo`` / ``hi`` whose ranks
-       bracket ``n`` within about 2 * N / accuracy;
-    3. one counting pass checks the bracket: rows below ``lo`` and rows inside;
-    4. only the rows inside (a ~4 / accuracy share) get distributed positions.
-    If the check fails (or the sort column has NULLs), the whole input is
-    positioned instead, so the answer is always exact.
-
-    This pays off when ``df`` is a cheap scan (three light passes instead of a
-    range sort and checkpoint of every row); over an expensive join, use
-    ``global_position`` once instead.
+
+def nth_value(df: DataFrame, column: str, n: Column | int, name: str = "position") -> DataFrame:
+    """The value of ``column`` at 1-based position ``n`` in sorted order, and ``n``; no row
+    when there is no such position. ``n`` may be a column over the row count ``_n``."""
+    _, back = whole_number(df, column)
+    hist = counted(df.withColumn("_all", F.lit(0)), ["_all"], column)
+    want = (F.lit(n) if isinstance(n, int) else n).cast("long")
+    wanted = hist.groupBy("_all").agg(F.sum("_c").alias("_n")).select("_all", want.alias(name), want.alias("_want"))
+    return at_positions(hist, ["_all"], wanted).select(back(F.col("_v")).alias(column), name)
+
+
+def sorted_positions(df: DataFrame, column: str, name: str = "position") -> DataFrame:
+    """Every non-NULL value of ``column`` with its 1-based position in sorted order.
+
+    Equal values take consecutive positions, so each distinct value is expanded to
+    its run of positions; a long run is cut first and its cuts are spread over tasks.
     """
-    v = order_cols[0]
-    total = df.agg(F.count(F.lit(1)).alias("n"), F.count(v).alias("nn")).first()
-    if total["n"] and total["n"] == total["nn"] and 1 <= n <= total["n"]:
-        margin = 2.0 / accuracy
-        probs = [max(0.0, n / total["n"] - margin), min(1.0, n / total["n"] + margin)]
-        lo, hi = df.agg(F.percentile_approx(v, probs, accuracy).alias("b")).first()["b"]
-        c = df.agg(F.count_if(F.col(v) < F.lit(lo)).alias("below"),
-                   F.count_if(F.col(v).between(F.lit(lo), F.lit(hi))).alias("inside")).first()
-        if c["below"] < n <= c["below"] + c["inside"]:
-            inside = df.where(F.col(v).between(F.lit(lo), F.lit(hi)))
-            pos = global_position(inside, order_cols, name)
-            return (pos.where(F.col(name) == n - c["below"])
-                    .withColumn(name, F.lit(n).cast("bigint")))
-    return global_position(df, order_cols, name).where(F.col(name) == n)
+    _, back = whole_number(df, column)
+    runs = rows_before(counted(df, [], column))
+    cuts = runs.select("_v", "_c", "_before", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col("_c") - 1) / POSITIONS_PER_ROW))).alias("_cut")).repartition("_v", "_cut")
+    start, end = F.col("_cut") * POSITIONS_PER_ROW + 1, F.least((F.col("_cut") + 1) * POSITIONS_PER_ROW, F.col("_c"))
+    return (cuts.select(back(F.col("_v")).alias(column), "_before", F.explode(F.sequence(start, end)).alias("_i"))
+            .select(column, (F.col("_before") + F.col("_i")).cast("bigint").alias(name)))
 
 
 def nth_sales_value(sl: DataFrame, n: int = 863) -> DataFrame:
-    """The sales value at sorted position ``n`` (ties broken by the line key)."""
-    row = nth_row(sl.select("sales", "row_id"), ["sales", "row_id"], n, "numbering")
-    return row.select(_d("sales").alias("sales"), "numbering")
+    """The sales value at sorted position ``n``."""
+    return nth_value(sl.select("sales"), "sales", n, "numbering").select(_d("sales").alias("sales"), "numbering")
 
 
 def sales_value_index(sl: DataFrame, max_value: float = 3000) -> DataFrame:
     """Position of every sale <= ``max_value`` among those sales, in sales order."""
-    small = sl.where(F.col("sales") <= F.lit(max_value).cast("decimal(18,2)")).select("sales", "row_id")
-    pos = global_position(small, ["sales", "row_id"], "numbering")
-    return pos.select(_d("sales").alias("sales"), "numbering")
+    small = sl.where(F.col("sales") <= F.lit(max_value).cast("decimal(18,2)")).select("sales")
+    return sorted_positions(small, "sales", "numbering").select(_d("sales").alias("sales"), "numbering")
 
 
 def median_profit(sl: DataFrame) -> DataFrame:
-    """The median line profit (lower median for an even count) and its position.
-
-    The reference picks a hard-coded row position; this computes the position
-    ceil(n/2) in (profit, line key) order, distributed (no single-task sort).
-    Profit needs the part join, so one range-sorting pass over the joined lines
-    is cheaper than ``nth_row``'s three passes, each re-running that join.
-    """
-    lines = sl.select("profit", "row_id")
-    n = lines.agg(F.count(F.lit(1)).alias("_n"))
-    pos = global_position(lines, ["profit", "row_id"], "ranking")
-    target = n.select(((F.col("_n") + 1) / 2).cast("bigint").alias("ranking"))
-    return pos.join(F.broadcast(target), "ranking").select(_d("profit").alias("profit"), "ranking")
+    """The median line profit (lower median for an even count) and its position, ceil(n / 2)."""
+    middle = F.floor((F.col("_n") + 1) / 2)
+    return nth_value(sl.select("profit"), "profit", middle, "ranking").select(_d("profit").alias("profit"), "ranking")

@@ -74,10 +74,10 @@ def product_name_regex(sl: DataFrame, pattern: str = "[0-9]{3,}$") -> DataFrame:
     return sl.where(F.col("product_name").rlike(pattern)).select("product_name")
 
 
-def customer_lines(sl: DataFrame, customer_name: str = "Gary Koch") -> DataFrame:
+def customer_lines(sl: DataFrame, customer_name: str) -> DataFrame:
     return decimals_to_double(sl.where(F.col("customer_name") == customer_name))
 
 
-def customer_month_lines(sl: DataFrame, customer_name: str = "Louis Parrish", month: int = 6) -> DataFrame:
+def customer_month_lines(sl: DataFrame, customer_name: str, month: int) -> DataFrame:
     return decimals_to_double(sl.where((F.col("customer_name") == customer_name)
                                        & (month_of_year("order_date") == month)))

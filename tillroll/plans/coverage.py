@@ -3,8 +3,8 @@
 NAMED_IDS = {
     "Q01": ["top_ship_mode_by_state"], "Q02": ["ship_mode_winner_tally"], "Q03": ["segment_order_count"],
     "Q04": ["product_subcat_region_count"], "Q05": ["sales_by_month"], "Q06": ["sales_by_month_state"],
-    "Q07": ["sales_month_subcat_rollup"], "Q08": ["customer_totals"],
-    "Q09": ["returned_orders_by_region", "returned_orders_by_region_month"], "Q10": ["refined_order_priority"],
+    "Q07": ["sales_month_subcat_rollup"], "Q08": ["customer_totals", "customer_extremes"],
+    "Q09": ["returned_orders_by_region", "returned_orders_by_region_month", "peak_return_period"], "Q10": ["refined_order_priority"],
     "Q11": ["region_sales_contribution"], "Q12": ["month_region_contribution"], "Q13": ["returned_order_details"],
     "Q14": ["lookup_row", "lookup_return"], "Q15": ["long_subcategory_names"], "Q16": ["relabel_subcategory"],
     "Q17": ["monthname_region_sales_profit"], "Q18": ["scan_orders", "scan_returns"],
@@ -23,7 +23,7 @@ NAMED_IDS = {
     "Q52": ["top_subcat_per_region"], "Q53": ["top_subcat_per_region_rank"], "Q54": ["customer_first_order"],
     "Q55": ["customer_lifespan"], "Q56": ["lifespan_bins"], "Q57": ["customer_lines"],
     "Q58": ["coupon_eligibility"], "Q59": ["top_product_per_state"], "Q60": ["lines_above_month_avg"],
-    "Q61": ["lines_above_month_region_subcat_avg"], "Q62": ["best_and_worst_cells"],
+    "Q61": ["lines_above_month_region_subcat_avg"], "Q62": ["best_and_worst_cells", "sales_extremes"],
     "Q63": ["priority_by_region_state"], "Q64": ["priority_counts"], "Q65": ["retention_monthly"],
     "Q66": ["retention_crosscheck"], "Q67": ["churn_monthly"], "Q68": ["product_name_regex"],
     "Q69": ["orders_with_returns"], "Q70": ["state_share_of_totals"], "Q71": ["nth_sales_value"],
@@ -45,7 +45,7 @@ DESCRIBED_IDS = {
     "D20": ["normalize"], "D21": ["attrition_by_year_top"], "D22": ["top_roles_per_department"],
     "D23": ["top_groups"], "D24": ["age_brackets"], "D25": ["avg_by_group"],
     "D26": ["gender_by_bracket", "gender_by_bracket_group"], "D27": ["snowflake_join"], "D28": ["review_history"],
-    "D29": ["hiring_trend"], "D30": ["rate_by_factor"], "D31": ["rate_by_year"], "D32": ["rate_by_tenure"],
+    "D29": ["hiring_trend"], "D30": ["rate_by_factor", "rate_within_department"], "D31": ["rate_by_year"], "D32": ["rate_by_tenure", "risky_tenure"],
     "D33": ["weekly_trend", "monthly_trend"], "D34": ["seasonality_index"], "D35": ["sales_anomalies"],
     "D36": ["kpi_summary"], "D37": ["mom_change"], "D38": ["churn_retention_corr"], "D39": ["true_churn"],
     "D40": ["customer_lifetime_value", "clv_drivers"], "D41": ["geo_performance"], "D42": ["segment_performance"],

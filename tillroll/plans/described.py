@@ -76,7 +76,7 @@ def categorize(spark, sf_dir):
 
 
 def value_if_single(spark, sf_dir):
-    return measures.value_if_single(_sl(spark, sf_dir, "city", "state_province"), ["city"], "state_province",
+    return measures.value_if_single(_slo(spark, sf_dir, "city", "state_province"), ["city"], "state_province",
                                     name="state_province")
 
 
@@ -141,7 +141,7 @@ def state_revenue(spark, sf_dir):
 
 
 def priority_by_customer(spark, sf_dir):
-    return measures.priority_by_customer(_sl(spark, sf_dir, "customer_id", "order_priority"))
+    return measures.priority_by_customer(_slo(spark, sf_dir, "customer_id", "order_priority", "lines"))
 
 
 # --- time -------------------------------------------------------------------
@@ -187,13 +187,9 @@ def clv_drivers(spark, sf_dir):
 
 # --- EDA / quality ----------------------------------------------------------------
 
-def _lines_with_returns(spark, sf_dir):
-    keep = {"return_order_id": "order_id", "order_status": "order_status"}
-    return _out(sales_line(spark, sf_dir, order_join=(o_return(spark, sf_dir), "left", keep)))
-
-
 def null_profile(spark, sf_dir):
-    return quality.null_profile(_lines_with_returns(spark, sf_dir))
+    keep = {"return_order_id": "order_id", "order_status": "order_status"}
+    return quality.null_profile(sales_line(spark, sf_dir, order_join=(o_return(spark, sf_dir), "left", keep)))
 
 
 def _delivery(spark, sf_dir):
@@ -206,12 +202,12 @@ def _delivery(spark, sf_dir):
 
 def impute_median(spark, sf_dir):
     return quality.impute_median(_delivery(spark, sf_dir), ["delivery_days"], ["ship_mode"], bounded_domain=True,
-                                 few_groups=True)
+                                 row_key=["row_id"])
 
 
 def iqr_outliers(spark, sf_dir):
     sl = _sl(spark, sf_dir, "row_id", "product_category", "sales")
-    return _out(quality.iqr_outliers(sl, "sales", ["product_category"], few_groups=True))
+    return _out(quality.iqr_outliers(sl, "sales", ["product_category"], row_key=["row_id"]))
 
 
 def winsorize(spark, sf_dir):
@@ -224,7 +220,7 @@ def box_stats(spark, sf_dir):
 
 
 def category_frequency(spark, sf_dir):
-    return quality.category_frequency(_sl(spark, sf_dir, "customer_segment"), "customer_segment")
+    return quality.category_frequency(_slo(spark, sf_dir, "customer_segment", "lines"), "customer_segment")
 
 
 def correlation_matrix(spark, sf_dir):
@@ -245,25 +241,26 @@ def duplicate_summary(spark, sf_dir):
 
 
 def validate(spark, sf_dir):
-    sl = _sl(spark, sf_dir, "row_id", "customer_id", "order_id", "order_date", "ship_date", "sales", "discount")
-    li = read_table(spark, sf_dir, "lineitem")
-    checks = {"row_rules": quality.row_rules(sl, {
-        "customer_id_not_null": F.col("customer_id").isNull(),
-        "order_id_not_null": F.col("order_id").isNull(),
-        "ship_before_order": F.col("ship_date") < F.col("order_date"),
-        "negative_sales": F.col("sales") < 0,
-        "discount_out_of_range": (F.col("discount") < 0) | (F.col("discount") > 1),
-    })}
-    checks["row_id_unique"] = quality.unique_rule(sl, ["row_id"])
-    checks["return_order_unique"] = quality.unique_rule(o_return(spark, sf_dir), ["order_id"])
-    checks["users_region_unique"] = quality.unique_rule(users(spark, sf_dir), ["region"])
-    checks["lineitem_order_fk"] = quality.foreign_key_rule(li, read_table(spark, sf_dir, "orders"),
-                                                           "l_orderkey", "o_orderkey")
-    checks["lineitem_part_fk"] = quality.foreign_key_rule(li, read_table(spark, sf_dir, "part"),
-                                                          "l_partkey", "p_partkey")
-    checks["order_customer_fk"] = quality.foreign_key_rule(read_table(spark, sf_dir, "orders"),
-                                                           read_table(spark, sf_dir, "customer"),
-                                                           "o_custkey", "c_custkey")
+    """Every rule runs on the base tables, before any join could drop the rows it looks for."""
+    t = lambda n: read_table(spark, sf_dir, n)
+    li, orders = t("lineitem"), t("orders")
+    checks = {
+        "line_rules": quality.row_rules(li, {
+            "order_id_not_null": F.col("l_orderkey").isNull(),
+            "negative_sales": F.col("l_extendedprice") < 0,
+            "discount_out_of_range": (F.col("l_discount") < 0) | (F.col("l_discount") > 1),
+        }),
+        "order_rules": quality.row_rules(orders, {"customer_id_not_null": F.col("o_custkey").isNull()}),
+        "ship_before_order": li.select("l_orderkey", "l_shipdate")
+        .join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+        .agg(F.count_if(F.to_date("l_shipdate") < F.to_date("o_orderdate")).alias("violations")),
+        "line_unique": quality.unique_rule(li, ["l_orderkey", "l_linenumber"]),
+        "order_unique": quality.unique_rule(orders, ["o_orderkey"]),
+        "region_unique": quality.unique_rule(t("region"), ["r_name"]),
+        "lineitem_order_fk": quality.foreign_key_rule(li, orders, "l_orderkey", "o_orderkey"),
+        "lineitem_part_fk": quality.foreign_key_rule(li, t("part"), "l_partkey", "p_partkey"),
+        "order_customer_fk": quality.foreign_key_rule(orders, t("customer"), "o_custkey", "c_custkey"),
+    }
     return quality.validate(checks)
 
 
@@ -330,6 +327,14 @@ def rate_by_year(spark, sf_dir):
     return hr.rate_by_year(_emp(spark, sf_dir), _data_end(spark, sf_dir))
 
 
+def rate_within_department(spark, sf_dir):
+    return hr.rate_within(_emp(spark, sf_dir))
+
+
+def risky_tenure(spark, sf_dir):
+    return hr.risky_tenure(_emp(spark, sf_dir), _data_end(spark, sf_dir))
+
+
 def rate_by_tenure(spark, sf_dir):
     return hr.rate_by_tenure(_emp(spark, sf_dir), _data_end(spark, sf_dir))
 

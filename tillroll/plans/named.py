@@ -30,7 +30,9 @@ DRIVER_PARAMS = {
     "product_prefix": "red",
     "product_name": "red bolt 7",
     "state": "NATION_7",
-    "order_id": 5059,
+    "row_id": "5059-4-273-97-17644.27",
+    "return_order_id": 7,
+    "special_manager": "Chris",
     "bonus_low": 8_000_000,
     "bonus_high": 8_200_000,
     "coupon_today": "2001-09-01",
@@ -100,7 +102,8 @@ def _returned_orders_by_region(period):
         sl = sales_line(spark, sf_dir, ["order_id", "region", "order_date"],
                         order_join=(o_return(spark, sf_dir), "inner", {"return_order_id": "order_id"}))
         when = F.col("order_date") if period == "date" else month_of_year("order_date").alias("monthly")
-        return sl.select("order_id", "return_order_id", "region", when)
+        out = sl.select("order_id", "return_order_id", "region", when)
+        return out.orderBy("region", out.columns[-1], "order_id")
     return run
 
 
@@ -115,17 +118,29 @@ def _orders_with_returns(spark, sf_dir):
 
 
 def _lookup_return(spark, sf_dir):
-    return jn.lookup_return(o_return(spark, sf_dir), P["order_id"])
+    return jn.lookup_return(o_return(spark, sf_dir), P["return_order_id"])
 
 
 def _describe_orders(spark, sf_dir):
     return describe(sales_line(spark, sf_dir))
 
 
+def _sales_extremes(spark, sf_dir):
+    sl = sales_line(spark, sf_dir, ["order_date", "state_province", "region", "product_name", "product_sub_category", "sales"])
+    return agg.sales_extremes(sl, {"month": month_of_year("order_date"), "state": F.col("state_province"), "region": F.col("region"),
+                                   "product": F.col("product_name"), "sub_category": F.col("product_sub_category")})
+
+
+def _peak_return_period(spark, sf_dir):
+    returned = sales_line(spark, sf_dir, ["order_id", "region", "order_date"],
+                          order_join=(o_return(spark, sf_dir), "left_semi", {}))
+    return agg.peak_return_period(returned)
+
+
 NAMED = {
     "top_ship_mode_by_state": q(rk.top_ship_mode_by_state, "state_province", "ship_mode"),
     "ship_mode_winner_tally": q(rk.ship_mode_winner_tally, "state_province", "ship_mode"),
-    "segment_order_count": q(agg.segment_order_count, "customer_segment"),
+    "segment_order_count": qo(agg.segment_order_count, "customer_segment", "lines"),
     "product_subcat_region_count": q(agg.product_subcat_region_count, "product_category",
                                      "product_sub_category", "region"),
     "sales_by_month": qo(agg.sales_by_month, "order_date", "sales"),
@@ -139,7 +154,7 @@ NAMED = {
     "region_sales_contribution": qo(agg.region_sales_contribution, "region", "sales"),
     "month_region_contribution": q(agg.month_region_contribution, "order_date", "region", "sales", "profit"),
     "returned_order_details": _returned_order_details,
-    "lookup_row": _all(jn.lookup_row, order_id=P["order_id"]),
+    "lookup_row": _all(jn.lookup_row, row_id=P["row_id"]),
     "lookup_return": _lookup_return,
     "long_subcategory_names": qp(tx.long_subcategory_names, "product_sub_category", min_len=P["subcat_min_len"]),
     "relabel_subcategory": _all(tx.relabel_subcategory),
@@ -149,22 +164,22 @@ NAMED = {
     "scan_returns": _scan_returns,
     "region_priority_container_index": q(rk.region_priority_container_index, "region", "order_priority",
                                          "product_container", "sales", "profit"),
-    "region_sales_and_lines": q(agg.region_sales_and_lines, "region", "state_province", "sales"),
+    "region_sales_and_lines": qo(agg.region_sales_and_lines, "region", "state_province", "sales", "lines"),
     "manager_monthly_bonus": q_users(agg.manager_monthly_bonus, "region", "order_date", "sales", "profit",
-                                     low=P["bonus_low"], high=P["bonus_high"]),
+                                     low=P["bonus_low"], high=P["bonus_high"], special_manager=P["special_manager"]),
     "bonus_rollup": q_users(agg.bonus_rollup, "region", "order_date", "sales", "profit",
-                            low=P["bonus_low"], high=P["bonus_high"]),
-    "cities_per_region": q(agg.cities_per_region, "state_province", "city", "region"),
-    "states_per_city": q(agg.states_per_city, "state_province", "city", "region"),
+                            low=P["bonus_low"], high=P["bonus_high"], special_manager=P["special_manager"]),
+    "cities_per_region": qo(agg.cities_per_region, "state_province", "city", "region"),
+    "states_per_city": qo(agg.states_per_city, "state_province", "city", "region"),
     "customers_in_city": qo(agg.customers_in_city, "city", "customer_name", city=P["city"]),
-    "city_repeated_in_region": q(agg.city_repeated_in_region, "state_province", "city", "region"),
+    "city_repeated_in_region": qo(agg.city_repeated_in_region, "state_province", "city", "region"),
     "city_drilldown": q(agg.city_drilldown, "state_province", "city", "region", "sales", "profit",
                         city=P["city"]),
-    "city_repeated_states": q(agg.city_repeated_states, "state_province", "city", "region"),
+    "city_repeated_states": qo(agg.city_repeated_states, "state_province", "city", "region"),
     "yearmonth_subcat_sales": q(agg.yearmonth_subcat_sales, "order_date", "product_category",
                                 "product_sub_category", "sales"),
     "yearmonth_category_sales": q(agg.yearmonth_category_sales, "order_date", "product_category", "sales"),
-    "covered_city_count": q(agg.covered_city_count, "state_province", "city"),
+    "covered_city_count": qo(agg.covered_city_count, "state_province", "city"),
     "ship_mode_cities_by_state": q(agg.ship_mode_cities_by_state, "state_province", "city", "ship_mode"),
     "widest_ship_mode_by_state": q(agg.widest_ship_mode_by_state, "state_province", "city", "ship_mode"),
     "customers_3plus_lines_month": q(agg.customers_nplus_lines_month, "customer_id", "customer_name",
@@ -175,16 +190,16 @@ NAMED = {
                                     "order_date"),
     "top2_products_per_category": qp(rk.top_products_per_category, "product_category", "product_name", "sales"),
     "product_sales": qp(agg.product_sales, "product_name", "sales"),
-    "product_avg_sales": q(agg.product_avg_sales, "product_name", "sales"),
-    "product_avg_prefix": q(agg.product_avg_prefix, "product_name", "sales", prefix=P["product_prefix"]),
-    "lines_below_product_avg": q(jn.lines_below_product_avg, "product_name", "sales"),
+    "product_avg_sales": qp(agg.product_avg_sales, "product_name", "sales", "lines"),
+    "product_avg_prefix": qp(agg.product_avg_prefix, "product_name", "sales", "lines", prefix=P["product_prefix"]),
+    "lines_below_product_avg": q(jn.lines_below_product_avg, "product_name", "sales", *jn.LINE_KEY),
     "customer_day_below_product_avg": q(jn.customer_day_below_product_avg, "order_date", "customer_name",
                                         "product_name", "sales"),
     "region_active_customers": qo(agg.region_active_customers, "region", "customer_id", "sales"),
     "month_region_engagement": qo(agg.month_region_engagement, "order_date", "region", "customer_id", "sales"),
     "customers_in_n_categories": q(rk.customers_in_n_categories, "customer_id", "product_category",
                                    n=P["n_categories"]),
-    "customers_by_value_bracket": q(agg.customers_by_value_bracket, "customer_id", "sales"),
+    "customers_by_value_bracket": qo(agg.customers_by_value_bracket, "customer_id", "sales"),
     "products_in_n_regions": q(rk.products_in_n_regions, "product_name", "region", n=P["n_regions"]),
     "product_region_drill": q(rk.product_region_drill, "product_name", "region", product=P["product_name"]),
     "subcategory_count": qp(agg.subcategory_count, "product_sub_category"),
@@ -202,19 +217,20 @@ NAMED = {
     "lines_above_month_avg": q(jn.lines_above_month_avg, "customer_id", "order_date", "product_name", "sales",
                                "profit"),
     "lines_above_month_region_subcat_avg": q(jn.lines_above_month_region_subcat_avg, "customer_id", "order_date",
-                                             "region", "product_sub_category", "product_name", "sales", "profit"),
+                                             "region", "product_sub_category", "product_name", "sales", "profit",
+                                             *jn.LINE_KEY),
     "best_and_worst_cells": q(rk.best_and_worst_cells, "region", "state_province", "product_category",
                               "product_sub_category", "sales"),
-    "priority_by_region_state": q(agg.priority_by_region_state, "region", "state_province", "order_priority"),
-    "priority_counts": q(agg.priority_counts, "order_priority"),
+    "priority_by_region_state": qo(agg.priority_by_region_state, "region", "state_province", "order_priority", "lines"),
+    "priority_counts": qo(agg.priority_counts, "order_priority", "lines"),
     "retention_monthly": qo(cust.retention_monthly, "customer_id", "order_date"),
     "retention_crosscheck": qo(cust.retention_crosscheck, "customer_id", "order_date"),
     "churn_monthly": qo(cust.churn_monthly, "customer_id", "order_date"),
     "product_name_regex": q(tx.product_name_regex, "product_name"),
     "orders_with_returns": _orders_with_returns,
     "state_share_of_totals": q(agg.state_share_of_totals, "region", "state_province", "sales", state=P["state"]),
-    "nth_sales_value": q(rk.nth_sales_value, "row_id", "sales", n=P["nth_position"]),
-    "sales_value_index": q(rk.sales_value_index, "row_id", "sales", max_value=P["max_value"]),
+    "nth_sales_value": q(rk.nth_sales_value, "sales", n=P["nth_position"]),
+    "sales_value_index": q(rk.sales_value_index, "sales", max_value=P["max_value"]),
     "mom_sales_diff": qo(tm.mom_sales_diff, "order_date", "sales"),
     "avg_mom_pct_change": qo(tm.avg_mom_pct_change, "order_date", "sales"),
     "avg_line_vs_avg_month": q(agg.avg_line_vs_avg_month, "order_date", "sales"),
@@ -223,11 +239,14 @@ NAMED = {
     "customer_month_retained_flag": qo(cust.customer_month_retained_flag, "customer_id", "order_date"),
     "retained_flag_by_geo": qo(cust.retained_flag_by_geo, "customer_id", "order_date", "state_province", "region"),
     "describe_orders": _describe_orders,
+    "customer_extremes": q(agg.customer_extremes, "customer_id", "customer_name", "quantity_ordered_new", "sales", "profit"),
+    "sales_extremes": _sales_extremes,
+    "peak_return_period": _peak_return_period,
     "ship_mode_counts": q(agg.ship_mode_counts, "ship_mode", "order_id"),
     "order_line_vs_order_count": q(agg.order_line_vs_order_count, "order_id"),
     "best_ship_mode_by_state": q(rk.best_ship_mode_by_state, "state_province", "ship_mode", "profit"),
-    "subcat_share_in_category": q(agg.subcat_share_in_category, "product_category", "product_sub_category"),
-    "median_profit": q(rk.median_profit, "row_id", "profit"),
+    "subcat_share_in_category": qp(agg.subcat_share_in_category, "product_category", "product_sub_category", "lines"),
+    "median_profit": q(rk.median_profit, "profit"),
     "top_state_per_month": q(rk.top_state_per_month, "order_date", "state_province", "profit"),
     "month_share_of_sales_profit": q(agg.month_share_of_sales_profit, "order_date", "sales", "profit"),
     "total_sales": q(agg.total_sales, "sales"),

@@ -302,24 +302,19 @@ ORACLE_DESCRIBED = {
         "SELECT CAST(SUM(c) AS BIGINT) AS rows, COUNT(*) AS distinct_keys, CAST(SUM(c - 1) AS BIGINT) AS duplicate_rows, "
         "COUNT(*) FILTER (WHERE c > 1) AS duplicated_keys "
         "FROM (SELECT l_orderkey, l_linenumber, COUNT(*) AS c FROM lineitem GROUP BY 1, 2) x"),
-    "validate": _q(
-        " SELECT 'customer_id_not_null' AS rule, COUNT(*) FILTER (WHERE customer_id IS NULL) AS violations FROM sales_line "
-        "UNION ALL SELECT 'order_id_not_null', COUNT(*) FILTER (WHERE order_id IS NULL) FROM sales_line "
-        "UNION ALL SELECT 'ship_before_order', COUNT(*) FILTER (WHERE ship_date < order_date) FROM sales_line "
-        "UNION ALL SELECT 'negative_sales', COUNT(*) FILTER (WHERE sales < 0) FROM sales_line "
-        "UNION ALL SELECT 'discount_out_of_range', COUNT(*) FILTER (WHERE discount < 0 OR discount > 1) FROM sales_line "
-        "UNION ALL SELECT 'row_id_unique', CAST(COALESCE(SUM(c - 1), 0) AS BIGINT) "
-        "FROM (SELECT row_id, COUNT(*) AS c FROM sales_line GROUP BY 1) x "
-        "UNION ALL SELECT 'return_order_unique', CAST(COALESCE(SUM(c - 1), 0) AS BIGINT) "
-        "FROM (SELECT order_id, COUNT(*) AS c FROM o_return GROUP BY 1) x "
-        "UNION ALL SELECT 'users_region_unique', CAST(COALESCE(SUM(c - 1), 0) AS BIGINT) "
-        "FROM (SELECT region, COUNT(*) AS c FROM users GROUP BY 1) x "
-        "UNION ALL SELECT 'lineitem_order_fk', COUNT(*) FROM lineitem l "
-        "WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey) "
-        "UNION ALL SELECT 'lineitem_part_fk', COUNT(*) FROM lineitem l "
-        "WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey) "
-        "UNION ALL SELECT 'order_customer_fk', COUNT(*) FROM orders o "
-        "WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)"),
+    "validate": (
+        "SELECT 'order_id_not_null' AS rule, COUNT(*) FILTER (WHERE l_orderkey IS NULL) AS violations FROM lineitem "
+        "UNION ALL SELECT 'negative_sales', COUNT(*) FILTER (WHERE l_extendedprice < 0) FROM lineitem "
+        "UNION ALL SELECT 'discount_out_of_range', COUNT(*) FILTER (WHERE l_discount NOT BETWEEN 0 AND 1) FROM lineitem "
+        "UNION ALL SELECT 'customer_id_not_null', COUNT(*) FILTER (WHERE o_custkey IS NULL) FROM orders "
+        "UNION ALL SELECT 'ship_before_order', COUNT(*) FROM lineitem, orders WHERE l_orderkey = o_orderkey "
+        "AND CAST(l_shipdate AS DATE) < CAST(o_orderdate AS DATE) "
+        "UNION ALL SELECT 'line_unique', COUNT(*) - COUNT(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem "
+        "UNION ALL SELECT 'order_unique', COUNT(*) - COUNT(DISTINCT o_orderkey) FROM orders "
+        "UNION ALL SELECT 'region_unique', COUNT(*) - COUNT(DISTINCT r_name) FROM region "
+        "UNION ALL SELECT 'lineitem_order_fk', COUNT(*) FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey "
+        "UNION ALL SELECT 'lineitem_part_fk', COUNT(*) FROM lineitem ANTI JOIN part ON l_partkey = p_partkey "
+        "UNION ALL SELECT 'order_customer_fk', COUNT(*) FROM orders ANTI JOIN customer ON o_custkey = c_custkey"),
     "normalize": _q(
         ", b AS (SELECT MIN(sales) AS smin, MAX(sales) AS smax, MIN(profit) AS pmin, MAX(profit) AS pmax FROM sales_line) "
         "SELECT row_id, customer_segment, CAST(sales AS DOUBLE) AS sales, CAST(profit AS DOUBLE) AS profit, "
@@ -386,6 +381,15 @@ ORACLE_DESCRIBED = {
         "FROM t GROUP BY 1, 2) "
         "SELECT department, tenure_years, n, leavers, CAST(leavers AS DOUBLE) / CAST(n AS DOUBLE) * 100 AS rate, "
         "CAST(leavers AS DOUBLE) / CAST(n AS DOUBLE) * 100 > 25 AS above FROM a"),
+    "rate_within_department": _q(
+        _EMP + "SELECT department AS \"group\", overtime AS value, COUNT(*) AS n, COUNT(exit_date) AS leavers, "
+        "CAST(COUNT(exit_date) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) * 100 AS rate FROM emp GROUP BY ALL"),
+    "risky_tenure": _q(
+        _EMP + ", t AS (SELECT department, CAST(floor(datediff('day', hire_date, COALESCE(exit_date, (SELECT d FROM dend))) / 365) AS INTEGER) "
+        "AS y, COUNT(*) AS n, COUNT(exit_date) AS k FROM emp GROUP BY ALL), "
+        "stop AS (SELECT department, MIN(y) AS y FROM t WHERE NOT CAST(k AS DOUBLE) / CAST(n AS DOUBLE) * 100 > 25 GROUP BY 1) "
+        "SELECT t.department, MAX(t.y) FILTER (WHERE stop.y IS NULL OR t.y < stop.y) AS max_tenure "
+        "FROM t LEFT JOIN stop ON t.department = stop.department GROUP BY 1"),
     "unit_cost": _q(_COST + "SELECT item, source, CAST(unit_c AS DOUBLE) / 100 AS unit_cost FROM units"),
     "extended_cost": _q(
         _COST + "SELECT u.item, source, volume, CAST(unit_c AS DOUBLE) / 100 AS unit_cost, "

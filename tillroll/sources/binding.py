@@ -15,8 +15,9 @@ Scale notes
   rows; ``validate`` (operators/quality.py) checks that integrity, and the
   oracle SQL always joins every table, which re-checks it on every run.
 * ``orders`` is joined to the customer geography *before* it meets
-  ``lineitem``: the fact table is shuffled once (on the order key) instead of
-  once per dimension.
+  ``lineitem``: the fact table is shuffled on the order key once, instead of
+  once per dimension; queries at line grain that also need part attributes
+  shuffle it a second time, on the part key.
 * ``nation`` and ``region`` are never broadcast by hand; their parquet size is
   known at planning time and Spark's own size threshold broadcasts them. Larger
   sides are left to sort-merge joins that AQE may convert after measuring them.
@@ -48,6 +49,8 @@ SALES_LINE_COLUMNS = (
     "unit_price", "shipping_cost", "profit", "quantity_ordered_new", "sales",
     "order_id",
 )
+# Columns a query may ask for beside those.
+EXTRA_COLUMNS = ("line_number",)
 
 # Fixed values of the binding (not data): the users table maps each region of
 # the driver's region table to a manager; one of them is the manager with the
@@ -85,7 +88,8 @@ def _customer_geo(spark: SparkSession, sf_dir: str, need_customer: bool, need_na
 # the additive line measures, summed per order.
 ORDER_GRAIN_COLUMNS = ("order_priority", "customer_id", "customer_name", "customer_segment", "country",
                        "region", "state_province", "city", "order_date", "order_id",
-                       "sales", "quantity_ordered_new", "shipping_cost")
+                       "sales", "quantity_ordered_new", "shipping_cost", "lines")
+_ORDER_MEASURES = ("sales", "quantity_ordered_new", "shipping_cost", "lines")
 
 
 def _order_level_exprs() -> dict:
@@ -115,8 +119,8 @@ def sales_line(spark: SparkSession, sf_dir: str, columns=None, order_join=None,
     before the part join instead of re-shuffling every wide line afterwards.
 
     ``grain='order'`` pre-aggregates lineitem to one row per order *before* the
-    joins (sales, quantity and shipping cost summed per order). Only for
-    queries that group by order-level attributes and only sum these measures:
+    joins (sales, quantity and shipping cost summed and lines counted per order). Only
+    for queries that group by order-level attributes and only sum these measures:
     the sums are unchanged (exact decimals), while the fact shuffle carries one
     partial aggregate per order instead of every line (lines of an order are
     stored together, so the map-side combine is effective), and the aggregate's
@@ -128,8 +132,9 @@ def sales_line(spark: SparkSession, sf_dir: str, columns=None, order_join=None,
         return _part_grain(spark, sf_dir, columns)
     if grain != "line":
         raise ValueError(grain)
-    want = list(SALES_LINE_COLUMNS) if columns is None else [c for c in SALES_LINE_COLUMNS if c in set(columns)]
-    missing = set(columns or ()) - set(SALES_LINE_COLUMNS)
+    known = SALES_LINE_COLUMNS + EXTRA_COLUMNS
+    want = list(SALES_LINE_COLUMNS) if columns is None else [c for c in known if c in set(columns)]
+    missing = set(columns or ()) - set(known)
     if missing:
         raise ValueError(f"unknown sales_line columns: {sorted(missing)}")
     wanted = set(want)
@@ -193,6 +198,7 @@ def sales_line(spark: SparkSession, sf_dir: str, columns=None, order_join=None,
         "quantity_ordered_new": F.col("l_quantity").cast("int"),
         "sales": sales,
         "order_id": F.col("l_orderkey"),
+        "line_number": F.col("l_linenumber"),
     }
     return fact.select(*[exprs[c].alias(c) for c in want], *[F.col(f"_oj_{n}").alias(n) for n in keep])
 
@@ -207,8 +213,9 @@ def _order_grain(spark: SparkSession, sf_dir: str, columns) -> DataFrame:
     per_order = li.groupBy("l_orderkey").agg(
         F.sum(sales).alias("sales"),
         F.sum(F.col("l_quantity").cast("int")).alias("quantity_ordered_new"),
-        F.sum(F.round(sales * F.col("l_tax").cast(MONEY), 2).cast(MONEY)).alias("shipping_cost"))
-    order_level = [c for c in want if c not in ("sales", "quantity_ordered_new", "shipping_cost")]
+        F.sum(F.round(sales * F.col("l_tax").cast(MONEY), 2).cast(MONEY)).alias("shipping_cost"),
+        F.count(F.lit(1)).alias("lines"))
+    order_level = [c for c in want if c not in _ORDER_MEASURES]
     if set(order_level) - {"order_id", "country"}:
         dims = sales_line_dims(spark, sf_dir, order_level)
         per_order = per_order.join(dims, per_order.l_orderkey == dims._okey)
@@ -220,7 +227,7 @@ def _order_grain(spark: SparkSession, sf_dir: str, columns) -> DataFrame:
 # and the additive line measures summed per part. Profit stays exact: each part
 # has one unit price, so the sum of profits is sum(sales) - sum(quantity) * price.
 PART_GRAIN_COLUMNS = ("product_category", "product_sub_category", "product_container", "product_name",
-                      "product_base_margin", "unit_price", "sales", "quantity_ordered_new", "profit")
+                      "product_base_margin", "unit_price", "sales", "quantity_ordered_new", "profit", "lines")
 
 
 def _part_grain(spark: SparkSession, sf_dir: str, columns) -> DataFrame:
@@ -234,7 +241,7 @@ def _part_grain(spark: SparkSession, sf_dir: str, columns) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
     per_part = li.groupBy("l_partkey").agg(
         F.sum(F.col("l_extendedprice").cast(MONEY)).alias("_sales"),
-        F.sum(F.col("l_quantity").cast("int")).alias("_qty"))
+        F.sum(F.col("l_quantity").cast("int")).alias("_qty"), F.count(F.lit(1)).alias("_lines"))
     part = read_table(spark, sf_dir, "part")
     j = per_part.join(part, per_part.l_partkey == part.p_partkey)
     unit_price = F.col("p_retailprice").cast(MONEY)
@@ -248,6 +255,7 @@ def _part_grain(spark: SparkSession, sf_dir: str, columns) -> DataFrame:
         "sales": F.col("_sales"),
         "quantity_ordered_new": F.col("_qty"),
         "profit": F.col("_sales") - F.col("_qty").cast(MONEY) * unit_price,
+        "lines": F.col("_lines"),
     }
     return j.select(*[exprs[c].alias(c) for c in want])
 
@@ -341,8 +349,8 @@ MACHINE_COST = 5000
 
 
 def _part_supplier_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One aggregate of lineitem per (part, supplier): value and quantity. Demand
-    and quotes are both derived from it, so lineitem is scanned once for both."""
+    """One aggregate of lineitem per (part, supplier): value and quantity. Demand and
+    quotes are both derived from it (in a plan that uses both, the exchange is reused)."""
     li = read_table(spark, sf_dir, "lineitem")
     return li.groupBy(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("suppkey")).agg(
         F.sum(F.col("l_extendedprice").cast(MONEY)).alias("_v"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DRIVER_TABLES = (
@@ -21,28 +22,9 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-# Resolved tables, per Spark application: a relation's file listing and Parquet
-# footers are read once, not once per query (on a large table, listing its
-# files is itself a distributed job). DataFrames are immutable and lazy, so
-# sharing one between queries is safe; ``refresh_tables`` forgets them when the
-# files change.
-_RESOLVED: dict[tuple[str, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table as a DataFrame (lazy; nothing is read until an action)."""
-    path = table_path(sf_dir, name)
-    key = (spark.sparkContext.applicationId, path)
-    df = _RESOLVED.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        _RESOLVED[key] = df
-    return df
-
-
-def refresh_tables() -> None:
-    """Forget resolved tables (after their files were rewritten)."""
-    _RESOLVED.clear()
+    """One driver table as a DataFrame (lazy), with the files that are there now."""
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=DRIVER_TABLES) -> None:
@@ -74,7 +56,8 @@ def read_jdbc(spark: SparkSession, url: str, query_or_table: str, partition_colu
     """
     reader = spark.read.format("jdbc").option("url", url)
     if query_or_table.lstrip().lower().startswith("select"):
-        reader = reader.option("query", query_or_table)
+        # a parenthesised subquery as table: ``query`` does not go with partitionColumn
+        reader = reader.option("dbtable", f"({query_or_table.strip().rstrip(';')}) AS extracted")
     else:
         reader = reader.option("dbtable", query_or_table)
     if partition_column is not None:
@@ -112,8 +95,9 @@ def sql_type_name(dtype: T.DataType) -> str:
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """Column names and SQL type names as rows (DESCRIBE table). Only the schema
-    is read (Parquet footers), never the data."""
-    spark = df.sparkSession
-    rows = [(f.name, sql_type_name(f.dataType)) for f in df.schema.fields]
-    return spark.createDataFrame(rows, "col_name string, data_type string")
+    """Column names, SQL type names and the number of non-NULL values, a row per column:
+    one aggregate of the table, unpivoted."""
+    row = df.agg(*[F.count(f.name).alias(f.name) for f in df.schema.fields])
+    entries = [F.struct(F.lit(f.name).alias("col_name"), F.lit(sql_type_name(f.dataType)).alias("data_type"),
+                        F.col(f.name).alias("non_null")) for f in df.schema.fields]
+    return row.select(F.explode(F.array(*entries)).alias("c")).select("c.*")

@@ -43,14 +43,14 @@ def main(argv):
                      "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
                      "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k",
                      "spark.sql.autoBroadcastJoinThreshold": "-1"})
-    if "--force-salt" in argv:
-        jn.MAX_BROADCAST_GROUPS = 0           # exercise the salted join even for small statistics
     spark = get_session("local[8]", 8, extra_conf=conf)
     lines = sales_line(spark, sf_dir, ["row_id", "customer_id", "customer_name", "order_date", "order_id",
-                                       "quantity_ordered_new", "sales", "profit", "product_name"])
+                                       "quantity_ordered_new", "sales", "profit", "product_name",
+                                       "line_number"])
     hot = F.col("order_id") % 3 == 0
     skewed = (lines.withColumn("customer_id", F.when(hot, F.lit(HOT)).otherwise(F.col("customer_id")))
               .withColumn("customer_name", F.when(hot, F.lit("HOT")).otherwise(F.col("customer_name")))
+              .withColumn("sales", F.when(hot, F.lit("10.00").cast("decimal(18,2)")).otherwise(F.col("sales")))
               .withColumn("product_name", F.when(hot, F.lit("HOT PRODUCT")).otherwise(F.col("product_name"))))
     runs = {
         "retention_monthly": lambda: cust.retention_monthly(skewed),
@@ -59,8 +59,8 @@ def main(argv):
         "customers_3plus_days_month": lambda: cust.customers_nplus_days_month(skewed),
         "deduplicate_by_customer": lambda: quality.deduplicate(skewed.select("customer_id", "row_id", "sales"),
                                                               ["customer_id"], ["row_id"]),
-        "iqr_by_customer": lambda: quality.iqr_outliers(skewed.select("customer_id", "sales"), "sales",
-                                                        ["customer_id"]),
+        "iqr_by_customer": lambda: quality.iqr_outliers(skewed.select("customer_id", "sales", "row_id"), "sales",
+                                                        ["customer_id"], row_key=["row_id"]),
         "lines_below_product_avg": lambda: jn.lines_below_product_avg(skewed),
     }
     total_lines = lines.count()
