@@ -31,6 +31,7 @@ An empty table gives an empty result. Long texts are parsed in slices.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -52,7 +53,7 @@ class Passages:
 
     length: int = 100
     gram: int = 32
-    crowd: int = 4096
+    crowd: int = 32768
     slice: int = 1 << 20
 
 
@@ -174,13 +175,13 @@ def phrases(docs: DataFrame, how: Passages) -> DataFrame:
     return docs.mapInPandas(rows, "t long, p long, doc long, start long, windows long")
 
 
-def shared_windows(docs: DataFrame, mixed_phrases: DataFrame, how: Passages) -> DataFrame:
-    """(t, crowded, doc, start, hashes): hashes of all windows of the phrases listed per document."""
-    listed = (mixed_phrases.groupBy(F.col("doc").alias("__doc"))
-              .agg(F.collect_list(F.struct("t", "start", "windows", "crowded")).alias("listed")))
+def shared_windows(docs: DataFrame, listed_phrases: DataFrame, how: Passages) -> DataFrame:
+    """(t, doc, start, hashes): hashes of all windows of the phrases listed (t, doc, start, windows)."""
+    listed = (listed_phrases.groupBy(F.col("doc").alias("__doc"))
+              .agg(F.collect_list(F.struct("t", "start", "windows")).alias("listed")))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["t", "crowded", "doc", "start", "hashes"]
+        names = ["t", "doc", "start", "hashes"]
         for batch in batches:
             out: list = []
             for doc, text, items in zip(batch["doc"], _bytes(batch["text"]), batch["listed"]):
@@ -188,7 +189,7 @@ def shared_windows(docs: DataFrame, mixed_phrases: DataFrame, how: Passages) ->
                     start, n = item["start"], item["windows"]
                     sums, down = _prefix(np.frombuffer(text, np.uint8)[start:start + n - 1 + how.length])
                     values = mixed((sums[how.length:] - sums[:n]) * down[:n])
-                    out.append((item["t"], item["crowded"], doc, start, values.astype(np.int64)))
+                    out.append((item["t"], doc, start, values.astype(np.int64)))
                 if len(out) >= 4096:
                     yield pd.DataFrame(out, columns=names)
                     out = []
@@ -196,10 +197,10 @@ def shared_windows(docs: DataFrame, mixed_phrases: DataFrame, how: Passages) ->
                 yield pd.DataFrame(out, columns=names)
 
     return (docs.join(listed, F.col("doc") == F.col("__doc")).select("doc", "text", "listed")
-            .mapInPandas(rows, "t long, crowded boolean, doc long, start long, hashes array<long>"))
+            .mapInPandas(rows, "t long, doc long, start long, hashes array<long>"))
 
 
-def repeated_windows(windows: DataFrame, how: Passages) -> DataFrame:
+def repeated_by_trigger(windows: DataFrame) -> DataFrame:
     """(doc, start, windows): runs of windows that are not the first of their kind among a trigger's phrases."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for run in grouped(batches, ["t"]):
@@ -220,23 +221,31 @@ def repeated_windows(windows: DataFrame, how: Passages) -> DataFrame:
                 at = np.flatnonzero(new)
                 yield pd.DataFrame({"doc": doc[hit[at]], "start": start[hit[at]], "windows": np.diff(np.append(at, len(hit)))})
 
-    near = (windows.where("NOT crowded").select("t", "doc", "start", "hashes").repartition("t").sortWithinPartitions("t", "doc", "start")
+    return (windows.repartition("t").sortWithinPartitions("t", "doc", "start")
             .mapInPandas(rows, "doc long, start long, windows long"))
-    one = settled(windows.where("crowded").select("t", "doc", "start", F.posexplode("hashes").alias("i", "h"))
+
+
+def repeated_by_count(windows: DataFrame) -> DataFrame:
+    """The same answer from grouped minima, one row per window: for triggers too crowded for a task."""
+    one = settled(windows.select("t", "doc", "start", F.posexplode("hashes").alias("i", "h"))
                   .select("t", "h", "doc", (F.col("start") + F.col("i")).alias("start")))
     first = (one.groupBy("t", "h", "doc").agg(F.min("start").alias("start"), F.count("*").alias("n")).groupBy("t", "h")
              .agg(F.min("doc").alias("first_doc"), F.min_by("start", "doc").alias("first_start"), F.sum("n").alias("n"))
              .where("n > 1").select(F.col("t").alias("__t"), F.col("h").alias("__h"), "first_doc", "first_start"))
-    far = (one.join(first, (F.col("t") == F.col("__t")) & (F.col("h") == F.col("__h")))
-           .where("doc != first_doc OR start != first_start").select("doc", "start", F.lit(1).cast("long").alias("windows")))
-    return near.unionByName(far)
+    return (one.join(first, (F.col("t") == F.col("__t")) & (F.col("h") == F.col("__h")))
+            .where("doc != first_doc OR start != first_start").select("doc", "start", F.lit(1).cast("long").alias("windows")))
+
+
+def known_phrases(docs: DataFrame, how: Passages) -> DataFrame:
+    """Phrases whose trigger occurs more than once in the corpus, settled."""
+    common = triggers(docs, how).groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t")
+    return settled(phrases(docs, how).join(common, "t"))
 
 
 def repeats(docs: DataFrame, how: Passages) -> DataFrame:
     """(doc, start, windows): all runs of window starts whose windows occur earlier in the corpus, but for
     phrases repeated inside one document."""
-    common = triggers(docs, how).groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t")
-    known = settled(phrases(docs, how).join(common, "t"))
+    known = known_phrases(docs, how)
     release(docs)
     entries = settled(known.groupBy("t", "p").agg(
         F.min("doc").alias("first_doc"), F.min_by("start", "doc").alias("first_start"),
@@ -244,14 +253,20 @@ def repeats(docs: DataFrame, how: Passages) -> DataFrame:
     again = entries.where("n > 1").select(F.col("t").alias("__t"), F.col("p").alias("__p"), "first_doc")
     whole = (known.join(again, (F.col("t") == F.col("__t")) & (F.col("p") == F.col("__p"))).where("doc != first_doc")
              .select("doc", "start", "windows"))
-    crowds = entries.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select(F.col("t").alias("__t"), (F.col("n") > how.crowd).alias("crowded"))
-    mixed_phrases = (entries.join(crowds, F.col("t") == F.col("__t"))
-                     .select("t", F.col("first_doc").alias("doc"), F.col("first_start").alias("start"), "windows", "crowded"))
-    return whole.unionByName(repeated_windows(shared_windows(docs, mixed_phrases, how), how))
+    crowds = (entries.groupBy("t").agg(F.count("*").alias("n")).where("n > 1")
+              .select(F.col("t").alias("__t"), (F.col("n") > how.crowd).alias("crowded")))
+    several = settled(entries.join(crowds, F.col("t") == F.col("__t"))
+                      .select("t", F.col("first_doc").alias("doc"), F.col("first_start").alias("start"), "windows", "crowded"))
+    release(docs)
+    found = whole.unionByName(repeated_by_trigger(shared_windows(docs, several.where("NOT crowded"), how)))
+    if several.where("crowded").isEmpty():
+        return found
+    return found.unionByName(repeated_by_count(shared_windows(docs, several.where("crowded"), how)))
 
 
 def release(df: DataFrame) -> None:
     """Let the context cleaner drop shuffle files of plans that nothing refers to any more."""
+    gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
@@ -276,7 +291,9 @@ def deduplicated(docs: DataFrame, how: Passages = Passages(), with_text: bool =
     """One row per document (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256, the removed
     ``spans`` (start, end in bytes) and, if asked for, the bytes kept."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    # one frame for both joins that need the texts, so that they are shuffled once
     compared = own.where("doc IS NOT NULL AND text IS NOT NULL")
+    alone = own.where("doc IS NULL OR text IS NULL")
     found = (repeats(compared, how).groupBy(F.col("doc").alias("__doc"))
              .agg(F.collect_list(F.struct("start", "windows")).alias("found")))
     schema = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
@@ -307,4 +324,6 @@ def deduplicated(docs: DataFrame, how: Passages = Passages(), with_text: bool =
                     out.append((*row, kept) if with_text else tuple(row))
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return own.join(found, F.col("doc") == F.col("__doc"), "left").select("doc", "text", "found").mapInPandas(rows, schema)
+    laid = compared.join(found, F.col("doc") == F.col("__doc"), "left").select("doc", "text", "found")
+    nothing = F.lit(None).cast(laid.schema["found"].dataType)
+    return laid.unionByName(alone.withColumn("found", nothing)).mapInPandas(rows, schema)
