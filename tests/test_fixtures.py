@@ -142,7 +142,7 @@ def test_f12_make_vs_buy(spark):
     quotes = spark.createDataFrame([(1, "A", Decimal("9.00"), Decimal("1000")), (1, "B", Decimal("9.50"), Decimal("0"))],
                                    "item long, supplier string, unit_price decimal(18,2), nre decimal(18,2)")
     demand = spark.createDataFrame([(1, 1000)], "item long, volume long")
-    r = cost.make_vs_buy(comps, quotes, demand, 2000, 600, 600, 5000).collect()[0]
+    r = cost.make_vs_buy(comps, quotes.join(demand, "item"), 2000, 600, 600, 5000).collect()[0]
     assert (r["make_full"], r["best_supplier"], r["buy_full"], r["decision"], r["saving"]) == \
         (11000.0, "B", 9500.0, "BUY", 1500.0)
     cap = cost.incremental_capacity(demand, 600, 600, 5000).collect()[0]

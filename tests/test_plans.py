@@ -83,3 +83,8 @@ def test_one_aggregate_feeds_all_drivers(big, sf_small):
     joins = lambda key: physical(QUERIES[key](big, sf_small)).count("SortMergeJoin")
     assert joins("clv_drivers") == joins("customer_lifetime_value")
     assert joins("retention_crosscheck") <= 1                # the order binding's own join, none between the counts
+
+
+@pytest.mark.parametrize("key", ["unit_cost", "extended_cost", "full_cost", "make_vs_buy", "shipping_effectiveness"])
+def test_lineitem_is_scanned_once(big, sf_small, key):
+    assert len(re.findall(r"FileScan parquet[^\n]*lineitem", physical(QUERIES[key](big, sf_small)))) == 1

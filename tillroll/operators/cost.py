@@ -22,36 +22,48 @@ def unit_cost(components: DataFrame, quotes: DataFrame) -> DataFrame:
     """item, source ('MAKE' or the supplier), unit_cost (exact decimal)."""
     make = components.groupBy("item").agg(F.sum("unit_cost").alias("unit_cost")).select(
         "item", F.lit("MAKE").alias("source"), "unit_cost")
-    buy = quotes.select("item", F.col("supplier").alias("source"), "unit_cost" if "unit_cost" in quotes.columns
-                        else F.col("unit_price").alias("unit_cost"))
-    return make.unionByName(buy)
-
-
-def extended_cost(units: DataFrame, demand: DataFrame) -> DataFrame:
-    """item, source, volume, unit_cost, extended_cost = unit_cost x volume."""
-    j = units.join(demand, "item")
-    return j.select("item", "source", "volume", "unit_cost",
-                    (F.col("unit_cost") * F.col("volume")).alias("extended_cost"))
-
-
-def full_cost(extended: DataFrame, nre: DataFrame) -> DataFrame:
-    """Add non-recurring expenses: full_cost = extended + NRE; full_unit_cost =
-    full_cost / volume (half-up 2 dp). ``nre``: item, source, nre."""
-    j = extended.join(nre, ["item", "source"], "left")
-    full = F.col("extended_cost") + F.coalesce(F.col("nre"), F.lit(0).cast(MONEY))
+    return make.unionByName(quotes.select("item", F.col("supplier").alias("source"), F.col("unit_price").alias("unit_cost")))
+
+
+def sourced(components: DataFrame, quotes: DataFrame, make_nre) -> DataFrame:
+    """item, source, volume, unit_cost, nre: the suppliers of an item and, beside its first
+    supplier by name, making it. ``quotes`` carries the item's volume; it is read once."""
+    make = components.groupBy("item").agg(F.sum("unit_cost").alias("_mu"))
+    first = F.row_number().over(Window.partitionBy("item").orderBy("supplier")) == 1
+    price = F.col("unit_price").cast("decimal(28,2)")
+    buy = F.struct(F.col("supplier").alias("source"), price.alias("unit_cost"), F.col("nre"))
+    own = F.struct(F.lit("MAKE").alias("source"), F.col("_mu").cast("decimal(28,2)").alias("unit_cost"),
+                   F.lit(make_nre).cast(MONEY).alias("nre"))
+    rows = quotes.withColumn("_first", first).join(make, "item", "left")
+    sources = F.when(F.col("_first") & F.col("_mu").isNotNull(), F.array(buy, own)).otherwise(F.array(buy))
+    return rows.select("item", "volume", F.explode(sources).alias("s")).select(
+        "item", "s.source", "volume", "s.unit_cost", "s.nre")
+
+
+def extended_cost(rows: DataFrame) -> DataFrame:
+    """``sourced`` rows with extended_cost = unit_cost x volume."""
+    return rows.select("item", "source", "volume", "unit_cost",
+                       (F.col("unit_cost") * F.col("volume")).alias("extended_cost"))
+
+
+def full_cost(rows: DataFrame) -> DataFrame:
+    """``sourced`` rows with their extended cost, full_cost = extended + NRE and
+    full_unit_cost = full_cost / volume (half-up 2 dp)."""
+    extended = F.col("unit_cost") * F.col("volume")
+    nre = F.coalesce("nre", F.lit(0).cast(MONEY))
+    full = extended + nre
     unit = F.round(F.try_divide(full.cast("decimal(24,2)"), F.col("volume").cast("decimal(20,0)")), 2)
-    return j.select("item", "source", "volume", "unit_cost", "extended_cost",
-                    F.coalesce("nre", F.lit(0).cast(MONEY)).alias("nre"), full.alias("full_cost"),
-                    unit.alias("full_unit_cost"))
+    return rows.select("item", "source", "volume", "unit_cost", extended.alias("extended_cost"), nre.alias("nre"),
+                       full.alias("full_cost"), unit.alias("full_unit_cost"))
 
 
-def incremental_capacity(demand: DataFrame, capacity: int, machine_capacity: int, machine_cost) -> DataFrame:
+def incremental_capacity(demand: DataFrame, capacity: int, machine_capacity: int, machine_cost, keep=()) -> DataFrame:
     """Extra machines needed when volume exceeds capacity, and their cost (only
     the decision-relevant, incremental cost)."""
     short = F.greatest(F.col("volume") - F.lit(capacity), F.lit(0))
     machines = F.ceil(short / F.lit(machine_capacity)).cast("bigint")
     return demand.select("item", "volume", short.cast("bigint").alias("units_short"), machines.alias("machines"),
-                         (machines * F.lit(machine_cost)).cast(MONEY).alias("incremental_cost"))
+                         (machines * F.lit(machine_cost)).cast(MONEY).alias("incremental_cost"), *keep)
 
 
 def make_cost_breakdown(components: DataFrame) -> DataFrame:
@@ -61,25 +73,22 @@ def make_cost_breakdown(components: DataFrame) -> DataFrame:
                              pct("unit_cost", total).alias("share"))
 
 
-def make_vs_buy(components: DataFrame, quotes: DataFrame, demand: DataFrame, make_nre, capacity: int,
+def make_vs_buy(components: DataFrame, quotes: DataFrame, make_nre, capacity: int,
                 machine_capacity: int, machine_cost) -> DataFrame:
     """Compare the full cost of making (unit x volume + NRE + incremental
     equipment) with the cheapest supplier's full cost (unit x volume + NRE).
 
     item, volume, make_full, best_supplier, buy_full, decision ('MAKE'/'BUY'),
-    saving (cost avoided by the decision).
+    saving (cost avoided by the decision). ``quotes`` carries the item's volume.
     """
+    buy_full = F.col("unit_price") * F.col("volume") + F.col("nre")
+    best = (quotes.groupBy("item", "volume").agg(F.min(F.struct(buy_full.alias("f"), F.col("supplier").alias("s"))).alias("_b"))
+            .select("item", "volume", F.col("_b.s").alias("best_supplier"), F.col("_b.f").alias("buy_full")))
     make_unit = components.groupBy("item").agg(F.sum("unit_cost").alias("_mu"))
-    cap = incremental_capacity(demand, capacity, machine_capacity, machine_cost)
-    make = (make_unit.join(cap, "item")
-            .select("item", "volume", (F.col("_mu") * F.col("volume") + F.lit(make_nre).cast(MONEY)
-                                       + F.col("incremental_cost")).alias("make_full")))
-    buy = quotes.join(demand, "item").select(
-        "item", "supplier", (F.col("unit_price") * F.col("volume") + F.col("nre")).alias("_bf"))
-    best = (buy.withColumn("_r", F.row_number().over(Window.partitionBy("item").orderBy("_bf", "supplier")))
-            .where(F.col("_r") == 1).select("item", F.col("supplier").alias("best_supplier"),
-                                             F.col("_bf").alias("buy_full")))
-    j = make.join(best, "item", "left")
+    cap = incremental_capacity(best.select("item", "volume", "best_supplier", "buy_full"), capacity, machine_capacity, machine_cost,
+                               keep=["best_supplier", "buy_full"])
+    j = make_unit.join(cap, "item").withColumn(
+        "make_full", F.col("_mu") * F.col("volume") + F.lit(make_nre).cast(MONEY) + F.col("incremental_cost"))
     decision = F.when(F.col("buy_full").isNull() | (F.col("make_full") <= F.col("buy_full")), "MAKE").otherwise("BUY")
     saving = F.abs(F.col("make_full") - F.col("buy_full"))
     return j.select("item", "volume", _d("make_full").alias("make_full"), "best_supplier",

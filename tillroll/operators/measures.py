@@ -10,6 +10,8 @@ broadcast decision.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,25 +194,35 @@ def priority_by_customer(sl: DataFrame) -> DataFrame:
 
 # --- logistics (D45) --------------------------------------------------------
 
-def shipping_effectiveness(sl: DataFrame, by: list[str] | None = None,
-                           days_lines: DataFrame | None = None) -> DataFrame:
+def shipping_effectiveness(sl: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per ship mode (optionally per state too): orders, average delivery days
     (half-up 2 dp), exact discrete p50 / p90 of delivery days, shipping cost and
-    profit margin %. Delivery days are whole days from a bounded range, so the
-    quantiles come from a per-(group, day) histogram."""
-    from tillroll.operators.quantile import grouped_quantiles_by_histogram
+    profit margin %.
+
+    One chain: lines are summed per (group, order, day), an order is marked once
+    per group, and the sums per (group, day) give the day histogram, whose
+    running count holds the quantiles, and the totals.
+    """
     keys = list(by or []) + ["ship_mode"]
-    lines = sl.select(*keys, "order_id", "shipping_cost", "profit", "sales",
-                      F.datediff("ship_date", "order_date").alias("days"))
-    a = lines.groupBy(*keys).agg(F.count_distinct("order_id").alias("orders"),
-                                 F.sum("days").alias("_dsum"), F.count("days").alias("_dn"),
-                                 F.sum("shipping_cost").alias("_c"), F.sum("profit").alias("_p"),
-                                 F.sum("sales").alias("_s"))
-    # the day histogram needs only the keys and the two dates: ``days_lines`` may be a
-    # narrower order-line frame (no part join) than the one the money measures need
-    src = days_lines if days_lines is not None else sl
-    days = src.select(*keys, F.datediff("ship_date", "order_date").alias("days"))
-    q = grouped_quantiles_by_histogram(days, keys, "days", {"p50_days": 0.5, "p90_days": 0.9})
-    return (a.join(q.select(*keys, "p50_days", "p90_days"), keys)
-            .select(*keys, "orders", _d(half_up_div("_dsum", "_dn", 2)).alias("avg_days"), "p50_days", "p90_days",
-                    _d("_c").alias("shipping_cost"), pct("_p", "_s").alias("margin_pct")))
+    days = F.datediff("ship_date", "order_date").alias("_days")
+    per_order = sl.groupBy(*keys, "order_id", days).agg(
+        F.count(F.lit(1)).alias("_c"), F.sum("shipping_cost").alias("_cost"), F.sum("profit").alias("_p"), F.sum("sales").alias("_s"))
+    once = F.row_number().over(Window.partitionBy(*keys, "order_id").orderBy("_days")) == 1
+    per_day = per_order.withColumn("_once", (once & F.col("order_id").isNotNull()).cast("long")).groupBy(*keys, "_days").agg(
+        F.sum("_once").alias("_orders"), F.sum("_c").alias("_c"), F.sum("_cost").alias("_cost"), F.sum("_p").alias("_p"),
+        F.sum("_s").alias("_s"))
+    counted = F.when(F.col("_days").isNotNull(), F.col("_c")).otherwise(F.lit(0))
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy("_days").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per_day = per_day.withColumn("_upto", F.sum(counted).over(upto)).withColumn("_n", F.sum(counted).over(group))
+
+    def at(p):
+        target = F.greatest(F.ceil(F.col("_n") * F.lit(Decimal(p))), F.lit(1))
+        return F.max(F.when((F.col("_upto") >= target) & (F.col("_upto") - counted < target), F.col("_days")))
+
+    a = per_day.groupBy(*keys).agg(
+        F.sum("_orders").alias("orders"), F.sum(F.col("_days") * F.col("_c")).alias("_dsum"), F.sum(counted).alias("_dn"),
+        at("0.5").alias("p50_days"), at("0.9").alias("p90_days"), F.sum("_cost").alias("_cost"), F.sum("_p").alias("_p"),
+        F.sum("_s").alias("_s"))
+    return a.select(*keys, "orders", _d(half_up_div("_dsum", "_dn", 2)).alias("avg_days"), "p50_days", "p90_days",
+                    _d("_cost").alias("shipping_cost"), pct("_p", "_s").alias("margin_pct"))

@@ -7,8 +7,6 @@ to DOUBLE last.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import decimals_to_double, pct
@@ -117,17 +115,15 @@ def sales_by_weekday(spark, sf_dir):
     return measures.sales_by_weekday(_slo(spark, sf_dir, "order_date", "sales"))
 
 
+_SHIPPING = ("ship_mode", "order_id", "shipping_cost", "profit", "sales", "ship_date", "order_date")
+
+
 def shipping_effectiveness(spark, sf_dir):
-    sl = _sl(spark, sf_dir, "ship_mode", "order_id", "shipping_cost", "profit", "sales", "ship_date", "order_date")
-    days = _sl(spark, sf_dir, "ship_mode", "ship_date", "order_date")
-    return measures.shipping_effectiveness(sl, days_lines=days)
+    return measures.shipping_effectiveness(_sl(spark, sf_dir, *_SHIPPING))
 
 
 def shipping_effectiveness_by_state(spark, sf_dir):
-    sl = _sl(spark, sf_dir, "state_province", "ship_mode", "order_id", "shipping_cost", "profit", "sales",
-             "ship_date", "order_date")
-    days = _sl(spark, sf_dir, "state_province", "ship_mode", "ship_date", "order_date")
-    return measures.shipping_effectiveness(sl, ["state_province"], days_lines=days)
+    return measures.shipping_effectiveness(_sl(spark, sf_dir, "state_province", *_SHIPPING), ["state_province"])
 
 
 def region_sales_net_of_returns(spark, sf_dir):
@@ -341,28 +337,20 @@ def rate_by_tenure(spark, sf_dir):
 
 # --- make versus buy -----------------------------------------------------------------
 
-def _nre(spark, sf_dir):
-    make = b.item_demand(spark, sf_dir).select("item", F.lit("MAKE").alias("source"),
-                                               F.lit(Decimal(b.MAKE_NRE)).cast("decimal(18,2)").alias("nre"))
-    buy = b.supplier_quotes(spark, sf_dir).select("item", F.col("supplier").alias("source"), "nre")
-    return make.unionByName(buy)
-
-
-def _units(spark, sf_dir):
-    return cost.unit_cost(b.make_components(spark, sf_dir), b.supplier_quotes(spark, sf_dir))
+def unit_cost(spark, sf_dir):
+    return _out(cost.unit_cost(b.make_components(spark, sf_dir), b.supplier_quotes(spark, sf_dir)))
 
 
-def unit_cost(spark, sf_dir):
-    return _out(_units(spark, sf_dir))
+def _sourced(spark, sf_dir):
+    return cost.sourced(b.make_components(spark, sf_dir), b.supplier_quotes(spark, sf_dir), b.MAKE_NRE)
 
 
 def extended_cost(spark, sf_dir):
-    return _out(cost.extended_cost(_units(spark, sf_dir), b.item_demand(spark, sf_dir)))
+    return _out(cost.extended_cost(_sourced(spark, sf_dir)))
 
 
 def full_cost(spark, sf_dir):
-    ext = cost.extended_cost(_units(spark, sf_dir), b.item_demand(spark, sf_dir))
-    return _out(cost.full_cost(ext, _nre(spark, sf_dir)))
+    return _out(cost.full_cost(_sourced(spark, sf_dir)))
 
 
 def incremental_capacity(spark, sf_dir):
@@ -375,8 +363,7 @@ def make_cost_breakdown(spark, sf_dir):
 
 
 def make_vs_buy(spark, sf_dir):
-    return cost.make_vs_buy(b.make_components(spark, sf_dir), b.supplier_quotes(spark, sf_dir),
-                            b.item_demand(spark, sf_dir), b.MAKE_NRE, b.CAPACITY_UNITS, b.MACHINE_CAPACITY,
+    return cost.make_vs_buy(b.make_components(spark, sf_dir), b.supplier_quotes(spark, sf_dir), b.MAKE_NRE, b.CAPACITY_UNITS, b.MACHINE_CAPACITY,
                             b.MACHINE_COST)
 
 

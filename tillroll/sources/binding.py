@@ -27,7 +27,7 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import MONEY
@@ -348,27 +348,25 @@ MACHINE_CAPACITY = 600            # units one extra machine adds
 MACHINE_COST = 5000
 
 
-def _part_supplier_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One aggregate of lineitem per (part, supplier): value and quantity. Demand and
-    quotes are both derived from it (in a plan that uses both, the exchange is reused)."""
+def supplier_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item, supplier, unit_price (quantity-weighted average price, half-up 2 dp), nre, and the
+    item's volume: one aggregate of lineitem per (part, supplier), summed per part over its
+    suppliers, so whatever needs prices and volumes reads lineitem once."""
     li = read_table(spark, sf_dir, "lineitem")
-    return li.groupBy(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("suppkey")).agg(
+    totals = li.groupBy(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("suppkey")).agg(
         F.sum(F.col("l_extendedprice").cast(MONEY)).alias("_v"),
         F.sum(F.col("l_quantity").cast("bigint")).alias("_q"))
+    price = F.round(F.try_divide(F.col("_v").cast("decimal(20,2)"), F.col("_q").cast("decimal(20,2)")), 2)
+    return totals.select("item", F.concat(F.lit("SUPPLIER_"), F.col("suppkey").cast("string")).alias("supplier"),
+                         price.cast(MONEY).alias("unit_price"),
+                         (F.lit(SUPPLIER_NRE_STEP) * (F.col("suppkey") % 3)).cast(MONEY).alias("nre"),
+                         F.sum("_q").over(Window.partitionBy("item")).alias("volume"))
 
 
 def item_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item, volume = total ordered quantity per part."""
-    return _part_supplier_totals(spark, sf_dir).groupBy("item").agg(F.sum("_q").alias("volume"))
-
-
-def supplier_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item, supplier, unit_price (quantity-weighted average price, half-up 2 dp), nre."""
-    agg = _part_supplier_totals(spark, sf_dir)
-    price = F.round(F.try_divide(F.col("_v").cast("decimal(20,2)"), F.col("_q").cast("decimal(20,2)")), 2)
-    return agg.select("item", F.concat(F.lit("SUPPLIER_"), F.col("suppkey").cast("string")).alias("supplier"),
-                      price.cast(MONEY).alias("unit_price"),
-                      (F.lit(SUPPLIER_NRE_STEP) * (F.col("suppkey") % 3)).cast(MONEY).alias("nre"))
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.groupBy(F.col("l_partkey").alias("item")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("volume"))
 
 
 def make_components(spark: SparkSession, sf_dir: str) -> DataFrame:
