@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settled
@@ -68,13 +68,16 @@ def candidates(docs: DataFrame, text: str = "text", path: str = "source") -> Dat
     df = (docs.select("doc_id", F.col(text).alias("text"), F.col(path).cast("string").alias("path"))
           .where(F.col("text").rlike(CANDIDATE))
           .select("doc_id", "path", F.xxhash64("text").alias("text_hash"), pieces.alias("pieces"), found.alias("found")))
-    lengths = F.transform("pieces", lambda p, i: F.length(p) + F.when(i > 0, F.length(F.get("found", i - 1))).otherwise(0))
-    df = df.withColumn("lengths", lengths)
-    one = df.select("doc_id", "path", "text_hash", "pieces", "lengths", F.posexplode("found").alias("nth", "candidate"))
-    start = F.aggregate(F.slice("lengths", F.lit(1), F.col("nth") + 1), F.lit(0), lambda a, x: a + x)
-    return one.select("doc_id", "text_hash", "nth", start.cast("long").alias("start"), "candidate",
-                      F.substring(F.get("pieces", F.col("nth")), -BEFORE, BEFORE).alias("before"),
-                      F.substring(F.get("pieces", F.col("nth") + 1), 1, AFTER).alias("after"), "path")
+    # what a candidate needs is taken out of its row before the rows are spread, so the text is not copied
+    one = F.transform("found", lambda c, i: F.struct(
+        i.alias("nth"), c.alias("candidate"), F.substring(F.get("pieces", i), -BEFORE, BEFORE).alias("before"),
+        F.substring(F.get("pieces", i + 1), 1, AFTER).alias("after"),
+        (F.length(F.get("pieces", i)) + F.coalesce(F.length(F.get("found", i - 1)), F.lit(0))).cast("long").alias("gap")))
+    spread = df.select("doc_id", "path", "text_hash", F.explode(one).alias("c")).select("doc_id", "path", "text_hash", "c.*")
+    # the lengths up to a candidate give its start; repeated rows are peers in the frame and are divided out
+    same = Window.partitionBy("doc_id", "text_hash")
+    start = F.sum("gap").over(same.orderBy("nth")) / F.count("*").over(Window.partitionBy("doc_id", "text_hash", "nth"))
+    return spread.select("doc_id", "text_hash", "nth", start.cast("long").alias("start"), "candidate", "before", "after", "path")
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -161,8 +164,10 @@ def masked_documents(docs: DataFrame, how: Forest = Forest(), mask: str = "[SECR
     ``count`` names a column, if there is one, to hold the new length of a changed text.
     Only texts with a candidate are shuffled, to meet their verdicts.
     """
-    bad = (findings(docs, how, text, path).where("is_secret").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-           .agg(F.collect_set("nth").alias("__bad")))
+    verdicts = (findings(docs, how, text, path).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "nth")
+                .agg(F.max("is_secret").alias("secret")))
+    bad = (verdicts.groupBy("__id", "__hash").agg(F.max("secret").alias("any"), F.collect_list(F.struct("nth", "secret")).alias("flags"))
+           .where("any").select("__id", "__hash", F.sort_array("flags").alias("__bad")))
     some = F.coalesce(F.col(text).rlike(CANDIDATE), F.lit(False))
     rows = docs.where(some).select(F.struct(*docs.columns).alias("__all"), F.col(text).alias("__text"), F.col("doc_id").alias("__doc"),
                                    F.xxhash64(text).alias("__own"))
@@ -170,7 +175,7 @@ def masked_documents(docs: DataFrame, how: Forest = Forest(), mask: str = "[SECR
     joined = rows.join(bad, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")), "left")
     joined = joined.withColumn("__pieces", pieces).withColumn("__found", found)
     clean = F.array_join(F.transform("__pieces", lambda p, i: F.concat(
-        F.when(i == 0, "").when(F.array_contains("__bad", i - 1), mask).otherwise(F.get("__found", i - 1)), p)), "")
+        F.when(i == 0, "").when(F.get("__bad", i - 1)["secret"], mask).otherwise(F.get("__found", i - 1)), p)), "")
     joined = joined.withColumn("__clean", F.when(F.col("__bad").isNull(), F.col("__text")).otherwise(clean))
     new = {text: F.col("__clean")}
     if count in docs.columns:
