@@ -6,7 +6,7 @@ to every other cell whose border is at most that far away. The triangle inequali
 the border of two pivots p, q a distance of at least (d(x,q) - d(x,p)) / 2; in Euclidean
 space the exact distance (d(x,q)^2 - d(x,p)^2) / (2 d(p,q)) is larger still, so it copies
 less and loses nothing. Each cell then finds all links of its own vectors alone, in
-double precision, and a cell too large for one task is dealt in blocks of its vectors.
+double precision; a cell too large for one task is dealt in pairs of blocks.
 
 Equal vectors of a label are one class from the start: their links are counted by
 multiplicity and never listed. A cell reports a link count per class and one edge to the
@@ -94,39 +94,43 @@ def placed(classes: DataFrame, how: Range) -> DataFrame:
 
 
 def linked(classes: DataFrame, how: Range) -> DataFrame:
-    """(cls, links, least): links of each class to other vectors of the table, and an edge to a class joined to it.
+    """(cls, links, least): links of a class to other classes, counted by multiplicity, and an edge
+    to a class joined to it; several rows per class, whose links add up.
 
-    ``links`` is null in the rows a class gets as a copy in another cell.
+    A cell's own vectors, in blocks, meet all its vectors, in blocks: a task holds one block
+    of each, however large the cell.
     """
     places = settled(placed(classes, how))
-    spread = places.select("part", "cls", "home", F.explode("cells").alias("cell"))
-    blocks = (places.groupBy("part", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / how.block).cast("int").alias("blocks")))
-    dealt = (spread.join(blocks, ["part", "cell"])
-             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .withColumn("own", (F.col("home") == F.col("cell")) & (F.pmod(F.hash("cls"), F.col("blocks")) == F.col("block")))
-             .select("part", "cell", "block", "cls", "own"))
+    spread = places.select("part", "cls", F.explode("cells").alias("cell"), "home").withColumn("mine", F.col("home") == F.col("cell"))
+    sizes = (spread.groupBy("part", "cell").agg(F.ceil(F.count("*") / how.block).cast("int").alias("blocks"),
+                                                F.ceil(F.count_if("mine") / how.block).cast("int").alias("own_blocks"))
+             .where("own_blocks > 0"))
+    as_other = F.transform(F.sequence(F.lit(0), F.col("own_blocks") - 1), lambda i: F.struct(
+        i.alias("i"), F.pmod(F.hash("cls"), F.col("blocks")).alias("j"), F.lit(False).alias("own")))
+    as_own = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
+        F.pmod(F.hash("cls"), F.col("own_blocks")).alias("i"), j.alias("j"), F.lit(True).alias("own")))
+    dealt = (spread.join(sizes, ["part", "cell"])
+             .withColumn("seat", F.explode(F.when(F.col("mine"), F.concat(as_other, as_own)).otherwise(as_other)))
+             .select("part", "cell", "seat.i", "seat.j", "seat.own", "cls"))
     full = dealt.join(classes, ["part", "cls"])
 
-    def link(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values("cls").reset_index(drop=True)
-        x, times = unit(cell["vector"]), cell["times"].to_numpy()
-        own = np.flatnonzero(cell["own"].to_numpy())
-        links = np.full(len(cell), -1, dtype=np.int64)
-        joined = np.arange(len(cell))
-        for at in range(0, len(own), 512):
-            rows = own[at:at + 512]
-            near = x[rows] @ x.T >= how.cosine
-            near[np.arange(len(rows)), rows] = True
-            links[rows] = near @ times - 1
-            for i in np.flatnonzero(near.sum(axis=1) > 1):
-                met = np.unique(joined[near[i]])
+    def link(block: pd.DataFrame) -> pd.DataFrame:
+        x, cls, own = unit(block["vector"]), block["cls"].to_numpy(), block["own"].to_numpy()
+        mine, others = np.flatnonzero(own), np.flatnonzero(~own)
+        ids, place = np.unique(cls, return_inverse=True)
+        times, joined = block["times"].to_numpy()[others], np.arange(len(ids))
+        links = np.zeros(len(ids), dtype=np.int64)
+        for at in range(0, len(mine), 512):
+            rows = mine[at:at + 512]
+            near = (x[rows] @ x[others].T >= how.cosine) & (place[rows][:, None] != place[others][None, :])
+            links[place[rows]] = near @ times
+            for i in np.flatnonzero(near.any(axis=1)):
+                met = np.unique(joined[np.append(place[others[near[i]]], place[rows[i]])])
                 if len(met) > 1:
                     joined[np.isin(joined, met)] = met[0]
-        cls = cell["cls"].to_numpy()
-        return pd.DataFrame({"cls": cls, "links": pd.array(np.where(links < 0, 0, links), dtype="Int64"),
-                             "own": links >= 0, "least": cls[joined]})
+        return pd.DataFrame({"cls": ids, "links": links, "least": ids[joined]})
 
-    return full.groupBy("part", "cell", "block").applyInPandas(link, "cls long, links long, own boolean, least long")
+    return full.groupBy("part", "cell", "i", "j").applyInPandas(link, "cls long, links long, least long")
 
 
 def near_duplicates(vectors: DataFrame, how: Range = Range(), vec_id: str = "vec_id", vector: str = "embedding",
@@ -140,9 +144,11 @@ def near_duplicates(vectors: DataFrame, how: Range = Range(), vec_id: str = "vec
                       .agg(F.min("vec_id").alias("cls"), F.count("*").alias("times")))
     found = settled(linked(classes, how))
     least = components(found.where("cls != least").select(F.col("cls").alias("a"), F.col("least").alias("b")))
-    result = (found.where("own").groupBy("cls").agg(F.sum("links").alias("links"))
+    copies = classes.groupBy("cls").agg(F.sum(F.col("times") - 1).alias("copies"))
+    result = (copies.join(found.groupBy(F.col("cls").alias("__found")).agg(F.sum("links").alias("links")), F.col("cls") == F.col("__found"), "left")
               .join(least, F.col("cls") == F.col("node"), "left")
-              .select(F.col("cls").alias("__cls"), "links", F.coalesce("component", "cls").alias("component")))
+              .select(F.col("cls").alias("__cls"), (F.coalesce("links", F.lit(0)) + F.col("copies")).alias("links"),
+                      F.coalesce("component", "cls").alias("component")))
     member = rows.join(classes.select(F.col("part").alias("__part"), F.col("vector").alias("__vector"), "cls"),
                        (F.col("part") == F.col("__part")) & (F.col("vector") == F.col("__vector")), "left")
     return (member.select("vec_id", "cls").join(result, F.col("cls") == F.col("__cls"), "left")
