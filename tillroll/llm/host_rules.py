@@ -44,23 +44,28 @@ def _words(text):
 def _repeat_words(words, n):
     """Words inside five-word windows that occur twice or more; n is a long column.
 
-    The windows' 64-bit hashes are sorted with their positions; equal neighbours mark
-    both positions, and the union of [p, p+5) over the marked positions is summed.
+    Windows are compared by 64-bit hashes. Most texts repeat none, which a hash set tells;
+    in the others the hashes are sorted with their positions, equal neighbours mark both
+    positions, and the union of [p, p+5) over the marked positions is summed.
     """
-    windows = F.transform(F.sequence(F.lit(0), n.cast("int") - WINDOW),
-                          lambda i: F.struct(F.xxhash64(F.slice(words, i + 1, WINDOW)).alias("h"), i.alias("p")))
+    def windows(ws):
+        return F.transform(F.sequence(F.lit(0), n.cast("int") - WINDOW), lambda i: F.xxhash64(*[F.get(ws, i + o) for o in range(WINDOW)]))
+
 
     def marked(s):
         return F.filter(F.transform(s, lambda x, i: F.when(
             (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"]), x["p"])), lambda p: p.isNotNull())
 
-    places = F.array_sort(let(F.array_sort(windows), marked))
-    start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("total"))
-    covered = F.aggregate(
-        places, start,
-        lambda a, p: F.struct(p.alias("last"), (a["total"] + F.least(F.lit(WINDOW), p - a["last"])).alias("total")),
-        lambda a: a["total"])
-    return F.when(n >= WINDOW, covered).otherwise(F.lit(0)).cast("long")
+    def covered(hs):
+        placed = F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+        start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("total"))
+        return F.aggregate(
+            F.sort_array(let(placed, marked)), start,
+            lambda a, p: F.struct(p.alias("last"), (a["total"] + F.least(F.lit(WINDOW), p - a["last"])).alias("total")),
+            lambda a: a["total"])
+
+    found = let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), lambda hs: F.when(F.size(F.array_distinct(hs)) < F.size(hs), covered(hs)).otherwise(F.lit(0)))
+    return F.when(n >= WINDOW, found).otherwise(F.lit(0)).cast("long")
 
 
 def _stripped(text, chars):
