@@ -17,14 +17,20 @@ from pyspark.sql import functions as F
 WIDE = "decimal(38,0)"
 
 
+#: the largest whole number whose square fits in 64 bits
+_LARGEST = 3_037_000_499
+
+
 def scaled(c, scale: int = 2) -> Column:
-    """Value times 10**scale as an exact 64-bit integer (values with at most
-    ``scale`` decimals and |value * 10**scale| < 3e9, so products fit in 64 bits)."""
+    """Value times 10**scale as an exact 64-bit integer. A value whose products would not
+    fit in 64 bits is an error, not a wrapped sum; ``wide`` moments take those."""
     col = F.col(c) if isinstance(c, str) else c
     # value * 10**scale is a whole number; its DOUBLE is within 1e-6 of it (for
     # |value| < 2**52 / 10**scale), so rint recovers it exactly -- e.g. 0.29 * 100
     # is 28.999999999999996 -- on primitives instead of BigDecimal rounding
-    return F.rint(col.cast("double") * F.lit(float(10 ** scale))).cast("long")
+    whole = F.rint(col.cast("double") * F.lit(float(10 ** scale)))
+    fits = F.when(whole.isNull() | (F.abs(whole) <= _LARGEST), whole)
+    return fits.otherwise(F.raise_error(F.lit("a value is too large for 64-bit moments; use wide=True"))).cast("long")
 
 
 # A 64-bit value v is h * 2**42 + m * 2**21 + l with l, m in [0, 2**21) and
@@ -56,8 +62,12 @@ def pair_moments(x, y, prefix: str, sx: int = 2, sy: int = 2, wide: bool = False
     products instead, for inputs that are themselves large totals.
     """
     both = (F.col(x).isNotNull() & F.col(y).isNotNull()) if isinstance(x, str) else (x.isNotNull() & y.isNotNull())
-    xv = F.when(both, scaled(x, sx).cast(WIDE) if wide else scaled(x, sx))
-    yv = F.when(both, scaled(y, sy).cast(WIDE) if wide else scaled(y, sy))
+    def value(c, scale):
+        if not wide:
+            return scaled(c, scale)
+        return ((F.col(c) if isinstance(c, str) else c).cast(f"decimal(28,{scale})") * F.lit(10 ** scale)).cast(WIDE)
+
+    xv, yv = F.when(both, value(x, sx)), F.when(both, value(y, sy))
     terms = {"sx": xv, "sy": yv, "sxx": xv * xv, "syy": yv * yv, "sxy": xv * yv}
     out = [F.count(xv).cast(WIDE).alias(f"{prefix}_n")]
     for t, e in terms.items():

@@ -71,7 +71,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(conf_dir)
         return conf_dir
     if current is None:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors "
                                "(HDFS / object store); a machine-local folder cannot hold checkpoints")
         local_dir = tempfile.mkdtemp(prefix="tillroll-ckpt-")
