@@ -23,6 +23,8 @@ from .common import BLANKS, beta_prior, let, rate_sums, settled
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
+#: rejected hosts that are broadcast, at most; some megabytes
+BROADCAST_HOSTS = 50_000
 
 
 @dataclass(frozen=True)
@@ -134,14 +136,16 @@ def judged(docs: DataFrame, rules: HostRules = HostRules(), doc_id: str = "doc_i
 def kept_documents(docs: DataFrame, rules: HostRules = HostRules(), host: str = "source", text: str = "text") -> DataFrame:
     """The documents that pass, with all their columns.
 
-    The rules are evaluated inside the rows, so texts are read twice but shuffled only
-    where the hosts' verdicts are too many to broadcast by their measured size.
+    The rules are evaluated inside the rows. The rejected hosts are counted: up to
+    ``BROADCAST_HOSTS`` of them are broadcast, and no text is shuffled; more of them meet
+    the documents in a join that adaptive execution may split.
     """
     fails = failed(F.col(text), rules)
-    bad = (host_verdicts(docs.select(F.col(host).alias("__host"), fails.alias("base_failed")), rules, "__host")
-           .where("host_rejected").select(F.col("__host").alias("__bad_host")))
+    bad = settled(host_verdicts(docs.select(F.col(host).alias("__host"), fails.alias("base_failed")), rules, "__host")
+                  .where("host_rejected").select(F.col("__host").alias("__bad_host")))
+    few = bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     passed = docs.where(~fails).select(F.struct(*docs.columns).alias("__row"), F.col(host).alias("__host"))
-    return passed.join(bad, F.col("__host") == F.col("__bad_host"), "left_anti").select("__row.*")
+    return passed.join(F.broadcast(bad) if few else bad, F.col("__host") == F.col("__bad_host"), "left_anti").select("__row.*")
 
 
 #: DuckDB SQL of the query; lists of words and windows stay inside each row.
