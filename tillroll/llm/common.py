@@ -69,8 +69,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for undirected ``edges`` (a, b); component is the smallest node reachable.
 
     Alternates two star contractions until nothing changes. Each round is a grouped
-    minimum (combined before the shuffle) and a join that adaptive execution may split,
-    so neither a chain nor a star with a huge centre gathers in one task.
+    minimum (combined before the shuffle), settled, and a join of two plain exchanges, which
+    adaptive execution may split: neither a chain nor a star with a huge centre gathers in
+    one task.
     """
     def mins(pairs):
         return pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select("u", "m")
@@ -80,7 +81,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (both.join(mins(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = (both.join(settled(mins(both)), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .where("u != v").distinct())
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         links = settled(large.join(small, "u").select(F.explode(F.array(
