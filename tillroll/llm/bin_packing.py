@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 1024
-#: pieces a group holds on average, at most; with ids it then takes some 30 MB
-GROUP_ROWS = 8192
+#: pieces a group holds on average, at most; fewer where they carry their ids, some 16 MB
+GROUP_ROWS, GROUP_ROWS_WITH_IDS = 8192, 4096
 SPECIAL = ("<|endoftext|>", 50256)
 CLOSING = 0
 
@@ -72,10 +72,10 @@ def pieces(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPAC
         cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
-def group_count(docs: DataFrame, capacity: int = CAPACITY) -> int:
+def group_count(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> int:
     """Groups enough for all pieces: a document has at most one piece more than bytes / capacity."""
     rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    return max(1, -(-(rows + (size or 0) // capacity) // GROUP_ROWS))
+    return max(1, -(-(rows + (size or 0) // capacity) // group_rows))
 
 
 def closest_fill(counts: dict[int, int], space: int) -> dict[int, int]:
@@ -157,7 +157,7 @@ def packed(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPAC
 def sequences(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per sequence: its ids, their number, and the spans (doc_id, start, length, offset) it holds."""
     placed = assigned(pieces(docs, ranks_path, capacity).select("doc_id", "start", "length", "ids"),
-                      group_count(docs, capacity), capacity)
+                      group_count(docs, capacity, GROUP_ROWS_WITH_IDS), capacity)
     parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "start", "length", "ids")))
     return (placed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), parts.alias("__parts"))
             .select("sequence_id", "n_tokens",
