@@ -35,10 +35,13 @@ UND = "und"
 
 @dataclass(frozen=True)
 class Code:
-    """Settings: hashed trigram buckets, training sample, slice of a text, gap that counts as ambiguous."""
+    """Settings: hashed trigram buckets, training sample in all and per language, slice of a text,
+    gap that counts as ambiguous."""
 
     buckets: int = 1 << 14
     sample_rows: int = 6000
+    #: up to 1000, Spark limits the ranking window inside each task, before the shuffle
+    sample_each: int = 1000
     slice_chars: int = 1 << 20
     ambiguous_gap: float = 0.2
 
@@ -137,7 +140,7 @@ def fit(labelled: DataFrame, code: Code = Code()) -> Model:
     langs = sorted(r[0] for r in labelled.select("lang").distinct().collect())
     if not langs:
         return Model([], np.ones((0, 0)), np.zeros((code.buckets, 0)), np.ones((0, 0)), np.ones(0), code)
-    each = max(1, code.sample_rows // len(langs))
+    each = max(1, min(code.sample_each, code.sample_rows // len(langs)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = (labelled.select("id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= each)
               .select(F.col("id").alias("chosen_id")))
