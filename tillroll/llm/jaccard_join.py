@@ -44,7 +44,8 @@ SLICE = 1 << 20
 
 @dataclass(frozen=True)
 class Join:
-    """Words per shingle, similarity num / den, bands x rows of MinHash values, Bayes tolerance, block size."""
+    """Words per shingle, similarity num / den, bands x rows of MinHash values, Bayes tolerance,
+    and a block's documents and shingles, on average at most."""
 
     words: int = 5
     num: int = 4
@@ -54,6 +55,7 @@ class Join:
     step: int = 16
     tolerance: float = 1e-6
     block: int = 1024
+    block_shingles: int = 400_000
 
 
 _POWERS: dict = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -128,8 +130,8 @@ def minhash_factors(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def profile(docs: DataFrame, how: Join) -> DataFrame:
-    """(doc_id, print, keys, sketch) of each document with words: fingerprint of its shingle set,
-    one bucket key per band, and the low byte of each MinHash value."""
+    """(doc_id, print, n, keys, sketch) of each document with words: fingerprint and size of its
+    shingle set, one bucket key per band, and the low byte of each MinHash value."""
     total = how.bands * how.rows
     a, b = minhash_factors(total)
     bands = mixed(np.arange(1, how.bands + 1, dtype=np.uint64))
@@ -145,7 +147,7 @@ def profile(docs: DataFrame, how: Join) -> DataFrame:
             keys = mixed(keys * np.uint64(BASE) + grouped[:, r])
         keys = mixed(keys ^ bands[:, None]).T.astype(np.int64)
         low = (values.T & np.uint64(255)).astype(np.uint8)
-        return pd.DataFrame({"doc_id": ids, "print": prints, "keys": list(keys), "sketch": [x.tobytes() for x in low]})
+        return pd.DataFrame({"doc_id": ids, "print": prints, "n": [len(x) for x in sets], "keys": list(keys), "sketch": [x.tobytes() for x in low]})
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -165,7 +167,7 @@ def profile(docs: DataFrame, how: Join) -> DataFrame:
                 yield flush(ids, prints, sets)
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-            .mapInPandas(rows, "doc_id long, print binary, keys array<long>, sketch binary"))
+            .mapInPandas(rows, "doc_id long, print binary, n long, keys array<long>, sketch binary"))
 
 
 def least_matches(how: Join) -> list[tuple[int, int]]:
@@ -275,19 +277,34 @@ def in_blocks(rows: DataFrame, member: str) -> DataFrame:
 
 
 def shingle_sets(texts: list[str], size: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Ids of the shingles that at least two of the texts have, and each text's number of distinct shingles."""
-    ids: dict[bytes, int] = {}
-    sets = []
+    """Ids of the shingles that at least two of the texts have, and each text's number of distinct shingles.
+
+    Words are numbered, then pairs of (number so far, next word) are numbered anew for each
+    further word of the window: exact, and a few numbers per shingle in memory. A text
+    shorter than a window is filled up with a number that is no word's.
+    """
+    vocabulary: dict[bytes, int] = {}
+    numbers = []
     for text in texts:
         words = text.encode("utf-8", "surrogatepass").split()
-        k = min(size, len(words))
-        sets.append(np.fromiter({ids.setdefault(b" ".join(words[i:i + k]), len(ids)) for i in range(len(words) - k + 1)}, dtype=np.int64))
-    counts = np.bincount(np.concatenate(sets), minlength=len(ids))
-    shared = np.cumsum(counts > 1) - 1
-    return [shared[s[counts[s] > 1]] for s in sets], np.array([len(s) for s in sets])
-
-
-def intersections(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, width: int = 8192) -> np.ndarray:
+        numbers.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), dtype=np.int64, count=len(words)))
+    fill = len(vocabulary)
+    numbers = [x if len(x) >= size else np.append(x, np.full(size - len(x), fill)) for x in numbers]
+    windows = np.array([len(x) - size + 1 for x in numbers])
+    code = np.concatenate([x[:n] for x, n in zip(numbers, windows)])
+    for o in range(1, size):
+        code = np.unique(code * (fill + 1) + np.concatenate([x[o:o + n] for x, n in zip(numbers, windows)]), return_inverse=True)[1]
+    kinds = int(code.max()) + 1
+    pairs = np.unique(np.repeat(np.arange(len(texts)), windows) * kinds + code)
+    text_of, code = pairs // kinds, pairs % kinds
+    shared = np.bincount(code, minlength=kinds) > 1
+    rank = np.cumsum(shared) - 1
+    ends = np.searchsorted(text_of, np.arange(len(texts) + 1))
+    sets = [code[x:y] for x, y in zip(ends[:-1], ends[1:])]
+    return [rank[c[shared[c]]] for c in sets], np.diff(ends)
+
+
+def intersections(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, width: int = 4096) -> np.ndarray:
     """Sizes of the intersections of sets[rows] with sets[cols], by slices of the shingles."""
     both = np.union1d(rows, cols)
     at = np.concatenate([np.full(len(sets[i]), n) for n, i in enumerate(both)])
@@ -346,22 +363,24 @@ def verified(members: DataFrame, how: Join) -> DataFrame:
 def near_duplicates(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """One row per document (doc_id, text): class_id (least doc_id reachable by links), n_links, kept."""
     found = settled(profile(docs, how))
-    classes = settled(found.groupBy("print").agg(F.min(F.struct("doc_id", "keys", "sketch")).alias("r"), F.count("*").alias("times"))
-                      .select("print", "times", "r.doc_id", "r.keys", "r.sketch").withColumnRenamed("doc_id", "rep"))
+    classes = settled(found.groupBy("print").agg(F.min(F.struct("doc_id", "n", "keys", "sketch")).alias("r"), F.count("*").alias("times"))
+                      .select("print", "times", F.col("r.doc_id").alias("rep"), "r.n", "r.keys", "r.sketch"))
     cell = cells(classes, how).withColumnRenamed("component", "cell")
-    sized = cell.join(cell.groupBy("cell").agg(F.ceil(F.count("*") / how.block).cast("int").alias("blocks")), "cell")
-    wanted = sized.join(classes.groupBy("rep").agg(F.sum("times").alias("times")), F.col("node") == F.col("rep"))
+    wanted = cell.join(classes.groupBy("rep").agg(F.sum("times").alias("times"), F.max("n").alias("n")), F.col("node") == F.col("rep"))
+    blocks = F.ceil(F.greatest(F.count("*") / how.block, F.sum("n") / how.block_shingles)).cast("int")
+    wanted = wanted.join(wanted.groupBy("cell").agg(blocks.alias("blocks")), "cell")
     texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text").where("text IS NOT NULL")
     members = wanted.join(texts, F.col("rep") == F.col("__doc")).select("cell", "blocks", "rep", "times", "text")
     checked = settled(verified(members, how))
     least = components(checked.where("rep != least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
     linked = (checked.groupBy("rep").agg(F.sum("links").alias("links"))
               .join(least, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("__rep"), "links", "component"))
-    known = (found.select("doc_id", "print").join(classes.select("print", "rep", "times"), "print")
-             .join(linked, F.col("rep") == F.col("__rep"), "left")
-             .groupBy(F.col("doc_id").alias("__id"))
-             .agg(F.min(F.coalesce("component", "rep")).alias("class_id"),
-                  F.sum(F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links")))
+    # links meet the classes first, one row each; the copies of a class then meet it by its fingerprint
+    solved = (classes.select(F.col("print").alias("__print"), "rep", "times").join(linked, F.col("rep") == F.col("__rep"), "left")
+              .select("__print", F.coalesce("component", "rep").alias("class_id"),
+                      (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links")))
+    known = (found.select("doc_id", "print").join(solved, F.col("print") == F.col("__print"))
+             .groupBy(F.col("doc_id").alias("__id")).agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links")))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     return (ids.join(known, F.col("doc_id") == F.col("__id"), "left")
             .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
