@@ -242,21 +242,28 @@ def known_phrases(docs: DataFrame, how: Passages) -> DataFrame:
     return settled(phrases(docs, how).join(common, "t"))
 
 
-def repeats(docs: DataFrame, how: Passages) -> DataFrame:
-    """(doc, start, windows): all runs of window starts whose windows occur earlier in the corpus, but for
-    phrases repeated inside one document."""
+def resolved_phrases(docs: DataFrame, how: Passages) -> tuple[DataFrame, DataFrame]:
+    """(whole, several), both settled: phrases that occur in an earlier document as (doc, start, windows),
+    and the dictionary phrases that share a trigger with another as (t, doc, start, windows, crowded)."""
     known = known_phrases(docs, how)
     release(docs)
     entries = settled(known.groupBy("t", "p").agg(
         F.min("doc").alias("first_doc"), F.min_by("start", "doc").alias("first_start"),
         F.max("windows").alias("windows"), F.count("*").alias("n")))
     again = entries.where("n > 1").select(F.col("t").alias("__t"), F.col("p").alias("__p"), "first_doc")
-    whole = (known.join(again, (F.col("t") == F.col("__t")) & (F.col("p") == F.col("__p"))).where("doc != first_doc")
-             .select("doc", "start", "windows"))
+    whole = settled(known.join(again, (F.col("t") == F.col("__t")) & (F.col("p") == F.col("__p"))).where("doc != first_doc")
+                    .select("doc", "start", "windows"))
     crowds = (entries.groupBy("t").agg(F.count("*").alias("n")).where("n > 1")
               .select(F.col("t").alias("__t"), (F.col("n") > how.crowd).alias("crowded")))
     several = settled(entries.join(crowds, F.col("t") == F.col("__t"))
                       .select("t", F.col("first_doc").alias("doc"), F.col("first_start").alias("start"), "windows", "crowded"))
+    return whole, several
+
+
+def repeats(docs: DataFrame, how: Passages) -> DataFrame:
+    """(doc, start, windows): all runs of window starts whose windows occur earlier in the corpus, but for
+    phrases repeated inside one document."""
+    whole, several = resolved_phrases(docs, how)
     release(docs)
     found = whole.unionByName(repeated_by_trigger(shared_windows(docs, several.where("NOT crowded"), how)))
     if several.where("crowded").isEmpty():
