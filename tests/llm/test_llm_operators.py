@@ -139,6 +139,40 @@ def test_phrase_dedup_is_the_definition(spark, how):
         assert bytes(r.kept) == phrase_dedup.kept_bytes(data, np.array([s.start for s in r.spans], int), np.array([s.end for s in r.spans], int))
 
 
+def removed_from_rows(rows, length):
+    """The definition for rows that may repeat a doc_id: a window goes if a smaller doc_id has it, or its own text earlier."""
+    seen, out = set(), []
+    for _, same in itertools.groupby(sorted(rows), lambda r: r[0]):
+        here = set()
+        for doc, text in same:
+            data, own = text.encode(), set()
+            gone = np.zeros(len(data), dtype=bool)
+            for p in range(len(data) - length + 1):
+                if data[p:p + length] in seen | own:
+                    gone[p:p + length] = True
+                own.add(data[p:p + length])
+            here |= own
+            out.append((doc, len(data), int(gone.sum()), hashlib.sha256(bytes(b for b, g in zip(data, gone) if not g)).hexdigest()))
+        seen |= here
+    return sorted(out)
+
+
+@pytest.mark.parametrize("how", [phrase_dedup.Passages(length=40, gram=12), phrase_dedup.Passages(length=40, gram=12, crowd=1)])
+def test_rows_that_repeat_a_doc_id_lose_only_what_an_earlier_document_has(spark, how):
+    rng = random.Random(18)
+    passages = [prose(rng, 20, 5000) for _ in range(3)]
+
+    def text():
+        return f"{prose(rng, rng.randrange(1, 12), 5000)} {rng.choice(passages)} {prose(rng, 9, 5000)}"
+
+    rows = [(i, text()) for i in range(12)]
+    rows += [rows[0], rows[0], rows[4]]                                      # equal rows, the first document's too
+    rows += [(2, rows[2][1][:70]), (2, text()), (5, "x" * 30), (5, rows[5][1] + " " + rows[5][1]), (9, text())]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in phrase_dedup.deduplicated(frame, how).collect())
+    assert got == removed_from_rows(rows, how.length)
+
+
 # --- 2 ----------------------------------------------------------------------
 
 @pytest.mark.parametrize("how", [metric_join.Range(), metric_join.Range(cell=4, pivots=50, block=3, place=7)])

@@ -9,9 +9,10 @@ never cross documents.
    window's bytes alone, so equal windows have equal triggers at equal places, and, unlike
    with a fixed modulus, every window has one. Consecutive windows of one trigger make a
    phrase: the bytes they cover, some ``length`` + 35.
-2. The dictionary is the distinct phrases with their first places; the parse is where
-   they occur. A phrase that is not its dictionary entry's first place repeats as a whole.
-   Phrases whose trigger occurs once in the corpus need no further look.
+2. The dictionary is the distinct phrases with the first document of each. A phrase in any
+   other document repeats as a whole. Phrases whose trigger occurs once in the corpus need
+   no further look. Tables name a phrase by its hash alone; where it lies in a text comes
+   from parsing that text again, so a place never meets another text.
 3. Dictionary phrases that differ but share a trigger may still share windows (at the
    edges of a passage). Their windows, the dictionary's suffixes cut to ``length`` bytes,
    are put in order within the trigger, and each but the first in corpus order repeats.
@@ -25,7 +26,8 @@ trigger together, or of window and trigger together.
 
 Defined results: a null text is empty; texts shorter than ``length`` bytes stay whole; a
 row without a doc_id is kept whole and compared with nothing; rows that repeat a doc_id
-are compared as that document's text, each on its own, and repeat nothing of each other.
+are compared as that document's text, each on its own, and repeat nothing of each other,
+be their texts equal or different (a hash of the text tells them apart).
 An empty table gives an empty result. Long texts are parsed in slices.
 """
 
@@ -161,7 +163,7 @@ def triggers(docs: DataFrame, how: Passages) -> DataFrame:
 
 
 def phrases(docs: DataFrame, how: Passages) -> DataFrame:
-    """(t, p, doc, start, windows): the distinct phrases of each document."""
+    """(t, p, doc): the distinct phrases of each document."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 500):
@@ -169,71 +171,84 @@ def phrases(docs: DataFrame, how: Passages) -> DataFrame:
                 p = parsed(_bytes(part["text"]), how)
                 keep = first_in_document(p)
                 yield pd.DataFrame({"t": p.trigger[keep].astype(np.int64), "p": p.phrase[keep].astype(np.int64),
-                                    "doc": part["doc"].to_numpy()[p.doc[keep]], "start": p.start[keep],
-                                    "windows": p.windows[keep]})
+                                    "doc": part["doc"].to_numpy()[p.doc[keep]]})
 
-    return docs.mapInPandas(rows, "t long, p long, doc long, start long, windows long")
+    return docs.mapInPandas(rows, "t long, p long, doc long")
 
 
 def shared_windows(docs: DataFrame, listed_phrases: DataFrame, how: Passages) -> DataFrame:
-    """(t, doc, start, hashes): hashes of all windows of the phrases listed (t, doc, start, windows)."""
-    listed = (listed_phrases.groupBy(F.col("doc").alias("__doc"))
-              .agg(F.collect_list(F.struct("t", "start", "windows")).alias("listed")))
+    """(t, doc, own, start, hashes): hashes of all windows of the phrases listed (doc, p), at the first
+    place of each in every text of the document; ``own`` is the hash of the text."""
+    listed = listed_phrases.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("p").alias("listed"))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["t", "doc", "start", "hashes"]
+        names = ["t", "doc", "own", "start", "hashes"]
         for batch in batches:
             out: list = []
-            for doc, text, items in zip(batch["doc"], _bytes(batch["text"]), batch["listed"]):
-                for item in items:
-                    start, n = item["start"], item["windows"]
+            for doc, own, text, items in zip(batch["doc"], batch["own"], _bytes(batch["text"]), batch["listed"]):
+                p = parsed([text], how)
+                wanted = np.flatnonzero(first_in_document(p) & np.isin(p.phrase, np.asarray(items, np.int64).astype(np.uint64)))
+                for start, n, t in zip(p.start[wanted].tolist(), p.windows[wanted].tolist(), p.trigger[wanted].astype(np.int64).tolist()):
                     sums, down = _prefix(np.frombuffer(text, np.uint8)[start:start + n - 1 + how.length])
                     values = mixed((sums[how.length:] - sums[:n]) * down[:n])
-                    out.append((item["t"], doc, start, values.astype(np.int64)))
+                    out.append((t, doc, own, start, values.astype(np.int64)))
                 if len(out) >= 4096:
                     yield pd.DataFrame(out, columns=names)
                     out = []
             if out:
                 yield pd.DataFrame(out, columns=names)
 
-    return (docs.join(listed, F.col("doc") == F.col("__doc")).select("doc", "text", "listed")
-            .mapInPandas(rows, "t long, doc long, start long, hashes array<long>"))
+    return (docs.join(listed, F.col("doc") == F.col("__doc")).select("doc", F.xxhash64("text").alias("own"), "text", "listed")
+            .mapInPandas(rows, "t long, doc long, own long, start long, hashes array<long>"))
 
 
 def repeated_by_trigger(windows: DataFrame) -> DataFrame:
-    """(doc, start, windows): runs of windows that are not the first of their kind among a trigger's phrases."""
+    """(doc, own, start, windows): runs of windows that are found in an earlier document, or earlier in
+    their own text, among a trigger's phrases."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for run in grouped(batches, ["t"]):
             group = run_ends(run, ["t"])
             sizes = np.array([len(h) for h in run["hashes"]])
             row = np.repeat(np.arange(len(run)), sizes)
             offset = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            doc, start = run["doc"].to_numpy()[row], run["start"].to_numpy()[row] + offset
+            docs, owns, start = run["doc"].to_numpy(), run["own"].to_numpy(), run["start"].to_numpy()[row] + offset
             kind, in_group = np.concatenate(run["hashes"].to_numpy()), group[row]
-            order = np.lexsort((start, doc, kind, in_group))
-            again = np.zeros(len(order), dtype=bool)
+            order = np.lexsort((start, owns[row], docs[row], kind, in_group))
+            new = np.ones(len(order), dtype=bool)
             a, b = order[1:], order[:-1]
-            again[order[1:]] = (kind[a] == kind[b]) & (in_group[a] == in_group[b])
+            new[1:] = (kind[a] != kind[b]) | (in_group[a] != in_group[b])
+            first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            earlier = docs[row[order]] != docs[row[first]]
+            new[1:] |= (docs[row[a]] != docs[row[b]]) | (owns[row[a]] != owns[row[b]])
+            first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            again = np.zeros(len(order), dtype=bool)
+            again[order] = earlier | (start[order] != start[first])
             hit = np.flatnonzero(again)
             if len(hit):
                 new = np.ones(len(hit), dtype=bool)
                 new[1:] = (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]])
                 at = np.flatnonzero(new)
-                yield pd.DataFrame({"doc": doc[hit[at]], "start": start[hit[at]], "windows": np.diff(np.append(at, len(hit)))})
+                of = row[hit[at]]
+                yield pd.DataFrame({"doc": docs[of], "own": owns[of], "start": start[hit[at]], "windows": np.diff(np.append(at, len(hit)))})
 
-    return (windows.repartition("t").sortWithinPartitions("t", "doc", "start")
-            .mapInPandas(rows, "doc long, start long, windows long"))
+    return (windows.repartition("t").sortWithinPartitions("t", "doc", "own", "start")
+            .mapInPandas(rows, "doc long, own long, start long, windows long"))
 
 
 def repeated_by_count(windows: DataFrame) -> DataFrame:
     """The same answer from grouped minima, one row per window: for triggers too crowded for a task."""
-    one = settled(windows.select("t", "doc", "start", F.posexplode("hashes").alias("i", "h"))
-                  .select("t", "h", "doc", (F.col("start") + F.col("i")).alias("start")))
-    first = (one.groupBy("t", "h", "doc").agg(F.min("start").alias("start"), F.count("*").alias("n")).groupBy("t", "h")
-             .agg(F.min("doc").alias("first_doc"), F.min_by("start", "doc").alias("first_start"), F.sum("n").alias("n"))
-             .where("n > 1").select(F.col("t").alias("__t"), F.col("h").alias("__h"), "first_doc", "first_start"))
-    return (one.join(first, (F.col("t") == F.col("__t")) & (F.col("h") == F.col("__h")))
-            .where("doc != first_doc OR start != first_start").select("doc", "start", F.lit(1).cast("long").alias("windows")))
+    one = settled(windows.select("t", "doc", "own", "start", F.posexplode("hashes").alias("i", "h"))
+                  .select("t", "h", "doc", "own", (F.col("start") + F.col("i")).alias("start")))
+    texts = settled(one.groupBy("t", "h", "doc", "own").agg(F.min("start").alias("least"), F.count("*").alias("n")))
+    first = (texts.groupBy("t", "h").agg(F.min("doc").alias("first_doc"), F.sum("n").alias("n"))
+             .where("n > 1").select(F.col("t").alias("__t"), F.col("h").alias("__h"), "first_doc"))
+    same = (F.col("t") == F.col("__t")) & (F.col("h") == F.col("__h"))
+    earlier = one.join(first, same).where("doc != first_doc").select("doc", "own", "start")
+    twice = texts.where("n > 1").select(F.col("t").alias("__t"), F.col("h").alias("__h"), F.col("doc").alias("__doc"),
+                                        F.col("own").alias("__own"), "least")
+    inside = (one.join(twice, same & (F.col("doc") == F.col("__doc")) & (F.col("own") == F.col("__own")))
+              .where("start != least").select("doc", "own", "start"))
+    return earlier.unionByName(inside).withColumn("windows", F.lit(1).cast("long"))
 
 
 def known_phrases(docs: DataFrame, how: Passages) -> DataFrame:
@@ -243,32 +258,31 @@ def known_phrases(docs: DataFrame, how: Passages) -> DataFrame:
 
 
 def resolved_phrases(docs: DataFrame, how: Passages) -> tuple[DataFrame, DataFrame]:
-    """(whole, several), both settled: phrases that occur in an earlier document as (doc, start, windows),
-    and the dictionary phrases that share a trigger with another as (t, doc, start, windows, crowded)."""
+    """(whole, several), both settled: phrases that occur in an earlier document as (doc, p), and the
+    dictionary phrases that share a trigger with another as (doc, p, crowded)."""
     known = known_phrases(docs, how)
     release(docs)
-    entries = settled(known.groupBy("t", "p").agg(
-        F.min("doc").alias("first_doc"), F.min_by("start", "doc").alias("first_start"),
-        F.max("windows").alias("windows"), F.count("*").alias("n")))
+    entries = settled(known.groupBy("t", "p").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")))
     again = entries.where("n > 1").select(F.col("t").alias("__t"), F.col("p").alias("__p"), "first_doc")
     whole = settled(known.join(again, (F.col("t") == F.col("__t")) & (F.col("p") == F.col("__p"))).where("doc != first_doc")
-                    .select("doc", "start", "windows"))
+                    .select("doc", "p"))
     crowds = (entries.groupBy("t").agg(F.count("*").alias("n")).where("n > 1")
               .select(F.col("t").alias("__t"), (F.col("n") > how.crowd).alias("crowded")))
     several = settled(entries.join(crowds, F.col("t") == F.col("__t"))
-                      .select("t", F.col("first_doc").alias("doc"), F.col("first_start").alias("start"), "windows", "crowded"))
+                      .select(F.col("first_doc").alias("doc"), "p", "crowded"))
     return whole, several
 
 
 def repeats(docs: DataFrame, how: Passages) -> DataFrame:
-    """(doc, start, windows): all runs of window starts whose windows occur earlier in the corpus, but for
-    phrases repeated inside one document."""
+    """(doc, p, run): all that occurs earlier in the corpus, but for phrases repeated inside one text: a
+    whole phrase by its hash ``p``, or a ``run`` (own, start, windows) of window starts in one text."""
     whole, several = resolved_phrases(docs, how)
     release(docs)
-    found = whole.unionByName(repeated_by_trigger(shared_windows(docs, several.where("NOT crowded"), how)))
-    if several.where("crowded").isEmpty():
-        return found
-    return found.unionByName(repeated_by_count(shared_windows(docs, several.where("crowded"), how)))
+    runs = repeated_by_trigger(shared_windows(docs, several.where("NOT crowded"), how))
+    if not several.where("crowded").isEmpty():
+        runs = runs.unionByName(repeated_by_count(shared_windows(docs, several.where("crowded"), how)))
+    runs = runs.select("doc", F.lit(None).cast("long").alias("p"), F.struct("own", "start", "windows").alias("run"))
+    return whole.select("doc", "p", F.lit(None).cast(runs.schema["run"].dataType).alias("run")).unionByName(runs)
 
 
 def release(df: DataFrame) -> None:
@@ -302,7 +316,7 @@ def deduplicated(docs: DataFrame, how: Passages = Passages(), with_text: bool =
     compared = own.where("doc IS NOT NULL AND text IS NOT NULL")
     alone = own.where("doc IS NULL OR text IS NULL")
     found = (repeats(compared, how).groupBy(F.col("doc").alias("__doc"))
-             .agg(F.collect_list(F.struct("start", "windows")).alias("found")))
+             .agg(F.collect_list("p").alias("phrases"), F.collect_list("run").alias("runs")))
     schema = ("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
               "spans array<struct<start:long,end:long>>" + (", kept binary" if with_text else ""))
 
@@ -315,12 +329,16 @@ def deduplicated(docs: DataFrame, how: Passages = Passages(), with_text: bool =
                 inside = ~first_in_document(p)
                 bounds = np.searchsorted(p.doc, np.arange(len(part) + 1))
                 out = []
-                for i, (doc, data, found) in enumerate(zip(part["doc"], texts, part["found"])):
+                for i, (doc, own, data, whole, runs) in enumerate(zip(part["doc"], part["own"], texts, part["phrases"], part["runs"])):
                     local = slice(bounds[i], bounds[i + 1])
-                    starts, windows = p.start[local][inside[local]], p.windows[local][inside[local]]
-                    if found is not None and len(found):
-                        starts = np.append(starts, [x["start"] for x in found])
-                        windows = np.append(windows, [x["windows"] for x in found])
+                    gone = inside[local]
+                    if whole is not None and len(whole):
+                        gone = gone | np.isin(p.phrase[local], np.asarray(whole, np.int64).astype(np.uint64))
+                    starts, windows = p.start[local][gone], p.windows[local][gone]
+                    runs = [] if runs is None else [x for x in runs if x["own"] == own]
+                    if runs:
+                        starts = np.append(starts, [x["start"] for x in runs])
+                        windows = np.append(windows, [x["windows"] for x in runs])
                     if len(starts):
                         a, b = _merged(starts, starts + windows - 1 + how.length)
                     else:
@@ -331,6 +349,6 @@ def deduplicated(docs: DataFrame, how: Passages = Passages(), with_text: bool =
                     out.append((*row, kept) if with_text else tuple(row))
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    laid = compared.join(found, F.col("doc") == F.col("__doc"), "left").select("doc", "text", "found")
-    nothing = F.lit(None).cast(laid.schema["found"].dataType)
-    return laid.unionByName(alone.withColumn("found", nothing)).mapInPandas(rows, schema)
+    laid = compared.join(found, F.col("doc") == F.col("__doc"), "left").select("doc", "text", "phrases", "runs")
+    nothing = {c: F.lit(None).cast(laid.schema[c].dataType) for c in ("phrases", "runs")}
+    return laid.unionByName(alone.withColumns(nothing)).withColumn("own", F.xxhash64("text")).mapInPandas(rows, schema)
