@@ -366,6 +366,16 @@ def test_labels_of_one_kind_decide_for_all(spark):
     assert [(r.is_secret, r.probability) for r in secret_forest.findings(unlabelled).collect()] == [(True, 1.0)]
 
 
+@pytest.mark.parametrize("rare", [0, 1])
+def test_a_rare_label_is_in_the_training_sample(spark, rare):
+    rng = random.Random(9)
+    secret, card = f'token = "{rng.getrandbits(160):040x}" ends', "card 4111111111111111 ends"
+    common = [(i, f"card {rng.randrange(10**15, 10**16)} ends" if rare else f'token = "{rng.getrandbits(160):040x}" ends', "en", "s") for i in range(400)]
+    rows = docs_frame(spark, [*common, *[(1000 + i, secret if rare else card, "en", "s") for i in range(2)]])
+    got = secret_forest.findings(rows, secret_forest.Forest(train_rows=40)).collect()
+    assert {r.doc_id for r in got if r.is_secret} == ({1000, 1001} if rare else set(range(400)))
+
+
 # --- 7 ----------------------------------------------------------------------
 
 def test_targets_are_the_reshared_weights(spark):

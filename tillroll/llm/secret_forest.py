@@ -6,7 +6,7 @@ The text is split at its candidates, so their places and neighbours come from th
 without a join. Features are the candidate's length, its mix of and transitions between
 character classes, how much of it dictionary words cover, the path of the document, and
 the words before and after it. The forest is trained on labelled findings, a bounded
-sample of them (``train_rows``), the same rows at each run.
+sample of them, up to half of ``train_rows`` of each label, the same rows at each run.
 
 ``labelled`` gives findings their labels where a rule is certain: issued key formats and
 values assigned to a secret's name are secrets; bare numbers, word-like strings and
@@ -126,7 +126,9 @@ def trained(findings: DataFrame, how: Forest = Forest()):
     from pyspark.ml.feature import VectorAssembler
 
     order = [F.xxhash64("doc_id", "nth", "candidate"), F.col("doc_id"), F.col("nth"), F.col("candidate")]
-    sample = settled(findings.orderBy(*order).limit(how.train_rows).select("label", *FEATURES).coalesce(1))
+    # a sample of each label, so that a rare one is in it however large the table is
+    of = [findings.where(F.col("label") == label).orderBy(*order).limit(how.train_rows // 2) for label in (0.0, 1.0)]
+    sample = settled(of[0].unionByName(of[1]).select("label", *FEATURES).coalesce(1))
     kinds = sorted(r[0] for r in sample.select("label").distinct().collect())
     if len(kinds) < 2:
         return kinds[0] if kinds else 1.0
