@@ -376,6 +376,23 @@ def test_a_rare_label_is_in_the_training_sample(spark, rare):
     assert {r.doc_id for r in got if r.is_secret} == ({1000, 1001} if rare else set(range(400)))
 
 
+def test_assigned_passwords_are_found_whatever_they_look_like(spark):
+    cases = {200: ('log in with password = "hunter2x9" today', "hunter2x9"), 201: ("password: correct-horse-battery, then go", "correct-horse-battery"),
+             202: ("export pwd=P@ssw0rd!2024.xy", "P@ssw0rd!2024.xy"), 203: ('{"passwd":"Zq 7# (b)","user":"x"}', "Zq 7# (b)"),
+             204: ("the password: is required", None), 205: ("token = ${TOKEN}", None), 206: ('secret="' + "k7#" * 20000 + '"', "k7#" * 20000)}
+    rows = secret_corpus() + [(300 + i, f"the secret: is out, token: null, auth = get_auth({i})", "en", "s") for i in range(20)]
+    rows += [(400 + i, f'password = "{chr(97 + i)}7!{chr(98 + i)}x{i}"', "en", "s") for i in range(20)]
+    frame = docs_frame(spark, rows + [(i, text, "en", "s") for i, (text, _) in cases.items()])
+    got = secret_forest.findings(frame).collect()
+    texts = {i: text for i, (text, _) in cases.items()}
+    assert all(texts[r.doc_id][r.start:r.start + r.length] == r.candidate for r in got if r.doc_id in texts)
+    found = {r.doc_id: r.candidate for r in got if r.doc_id in cases and r.is_secret and r.doc_id != 203}
+    assert found == {i: secret for i, (_, secret) in cases.items() if secret and i != 203}
+    assert [r.candidate for r in got if r.doc_id == 203] == ["Zq 7# (b)"]           # a phrase with blanks: the forest's to judge
+    masked = {r.doc_id: r.text for r in secret_forest.masked_documents(frame).collect()}
+    assert masked[202] == "export pwd=[SECRET]" and masked[201] == "password: [SECRET], then go" and masked[204] == cases[204][0]
+
+
 # --- 7 ----------------------------------------------------------------------
 
 def test_targets_are_the_reshared_weights(spark):

@@ -1,7 +1,9 @@
 """Secret scan: candidate strings, and a random forest that removes the false positives.
 
 Native: DataFrame expressions and Spark's own random forest; no Python runs on the
-executors. A candidate is a run of at least twelve key characters with a digit in it.
+executors. A candidate is the value assigned to a secret's name (what stands in quotes, or
+a run without blanks, of any length), or a run of at least twelve key characters with a
+digit in it. Of an unquoted value closing punctuation is no part.
 The text is split at its candidates, so their places and neighbours come from the pieces
 without a join. Features are the candidate's length, its mix of and transitions between
 character classes, how much of it dictionary words cover, the path of the document, and
@@ -10,8 +12,8 @@ sample of them, up to half of ``train_rows`` of each label, the same rows at eac
 
 ``labelled`` gives findings their labels where a rule is certain: issued key formats and
 values assigned to a secret's name are secrets; bare numbers, word-like strings and
-values introduced as something else are not. Everything else is left to the forest. A
-reviewed table with the same columns can be used instead.
+values introduced as something else are not, nor are assigned placeholders and references
+to code. Everything else, as an assigned plain word, is left to the forest. A reviewed table with the same columns can be used instead.
 
 Defined results: a null or empty text has no candidates; a null path counts as a plain
 one; repeated rows give repeated findings; without labelled findings, or with one kind
@@ -34,6 +36,17 @@ BEFORE, AFTER = 60, 30
 #: Names a secret is assigned to, words that introduce other strings, issued key formats.
 SECRET_NAMES = "password|passwd|pwd|secret|token|api_?key|access_?key|auth|credential|private_?key"
 OTHER_NAMES = "commit|checksum|sha1|sha256|md5|digest|isbn|order|invoice|phone|card|uuid|version|build|example|sample"
+#: The value after a secret's name and = or :, the second source of candidates; no group is repeated, so long values need no stack.
+LEAD = rf"(?:{SECRET_NAMES})[\"'`]?[ \t]{{0,3}}[=:]{{1,2}}[ \t]{{0,3}}"
+ASSIGNED = ("(?<=[=: \\t\"'`])(?<=[=:][ \\t]{0,3}[\"'`]?)(?i:" + "|".join(rf"(?<={LEAD}{q})[^{q}\r\n]++(?={q})" for q in "\"'`")
+            + rf"|(?<={LEAD}[\"'`]?)[^\s\"'`](?:\S*[^\s.,;\"'`)\]}}>])?)")
+STRINGS = f"{ASSIGNED}|{CANDIDATE}"
+#: What is assigned to a secret's name without being one.
+PLACEHOLDER = (r"(?i)^(?:a|an|the|is|are|was|were|your|my|our|his|her|their|this|that|to|for|of|and|or|not|none|null|nil|true|false|yes|no|"
+               r"required|optional|missing|invalid|expired|wrong|incorrect|empty|unknown|changeme|string|str|text|bytes|int|"
+               r"\*+|x+|\.+|-+|<.*|\$[\{(].*|\{\{.*|%[({].*|[a-z_][a-z_.]*[\[(].*|(?:os|self|this|env|config|settings|process)\..*)$")
+#: An assigned value that is surely more than a word of the text.
+MIXED = r"^(?=\S*[^A-Za-z])\S{6,}$"
 KEY_FORMATS = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abpr]-[A-Za-z0-9\-]{10,}$|^AIza[A-Za-z0-9_\-]{35}$"
 #: The dictionary whose cover of a candidate is measured.
 DICTIONARY = ("about|access|account|after|also|and|are|base|build|class|code|config|content|data|date|default|error|example|file|"
@@ -59,14 +72,14 @@ FEATURES = ["length", "digits", "uppers", "lowers", "transitions", "variety", "d
 
 def split_text(text) -> tuple[F.Column, F.Column]:
     """(pieces, candidates) of a text: one more piece than candidates."""
-    return F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    return F.split(text, STRINGS, -1), F.regexp_extract_all(text, F.lit(STRINGS), F.lit(0))
 
 
 def candidates(docs: DataFrame, text: str = "text", path: str = "source") -> DataFrame:
     """One row per candidate: doc_id, text_hash, nth, start (in characters), candidate, before, after, path."""
     pieces, found = split_text(F.col("text"))
     df = (docs.select("doc_id", F.col(text).alias("text"), F.col(path).cast("string").alias("path"))
-          .where(F.col("text").rlike(CANDIDATE))
+          .where(F.col("text").rlike(STRINGS))
           .select("doc_id", "path", F.xxhash64("text").alias("text_hash"), pieces.alias("pieces"), found.alias("found")))
     # what a candidate needs is taken out of its row before the rows are spread, so the text is not copied
     one = F.transform("found", lambda c, i: F.struct(
@@ -114,9 +127,10 @@ def with_features(found: DataFrame) -> DataFrame:
 def labelled(found: DataFrame) -> DataFrame:
     """Candidates with features and a ``label`` (1: secret, 0: not) where a rule is certain."""
     c = F.col("candidate")
-    secret = c.rlike(KEY_FORMATS) | ((F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("other_name") == 0)
-                                     & (F.col("dictionary") < 0.3))
-    other = c.rlike("^[0-9_/+\\-]+$") | (F.col("dictionary") >= 0.6) | (F.col("other_name") == 1)
+    given = (F.col("named") == 1) & (F.col("assigned") == 1)
+    blank = given & c.rlike(PLACEHOLDER)
+    secret = c.rlike(KEY_FORMATS) | (given & ~blank & (F.col("other_name") == 0) & (F.col("dictionary") < 0.3) & c.rlike(MIXED))
+    other = blank | c.rlike("^[0-9_/+\\-]+$") | (F.col("dictionary") >= 0.6) | (F.col("other_name") == 1)
     return (found.withColumn("label", F.when(secret, 1.0).when(other, 0.0)).where("label IS NOT NULL"))
 
 
@@ -170,7 +184,7 @@ def masked_documents(docs: DataFrame, how: Forest = Forest(), mask: str = "[SECR
                 .agg(F.max("is_secret").alias("secret")))
     bad = (verdicts.groupBy("__id", "__hash").agg(F.max("secret").alias("any"), F.collect_list(F.struct("nth", "secret")).alias("flags"))
            .where("any").select("__id", "__hash", F.sort_array("flags").alias("__bad")))
-    some = F.coalesce(F.col(text).rlike(CANDIDATE), F.lit(False))
+    some = F.coalesce(F.col(text).rlike(STRINGS), F.lit(False))
     rows = docs.where(some).select(F.struct(*docs.columns).alias("__all"), F.col(text).alias("__text"), F.col("doc_id").alias("__doc"),
                                    F.xxhash64(text).alias("__own"))
     pieces, found = split_text(F.col("__text"))
