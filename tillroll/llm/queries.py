@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tillroll.session import ensure_checkpoint_dir
 
-from . import bin_packing, ecoc_language, host_rules, jaccard_join, metric_join, phrase_dedup, secret_forest, systematic_mix, url_reputation, warc
+from . import bin_packing, ecoc_language, host_rules, importance_draw, jaccard_join, metric_join, phrase_dedup, secret_forest, systematic_mix, url_reputation, warc
 from .common import settled, table
 
 
@@ -58,6 +58,11 @@ def op10_host_rules(spark, sf_dir):
     return host_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_draw(spark, sf_dir):
+    rows = importance_draw.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 LLM_QUERIES = {
     "op1_bin_packing": op1_bin_packing,
     "op2_metric_join": op2_metric_join,
@@ -69,6 +74,7 @@ LLM_QUERIES = {
     "op8_phrase_dedup": op8_phrase_dedup,
     "op9_warc_assembly": op9_warc_assembly,
     "op10_host_rules": op10_host_rules,
+    "op11_importance_draw": op11_importance_draw,
 }
 
 LLM_ORACLE_SQL = {
