@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tillroll.session import ensure_checkpoint_dir
 
-from . import bin_packing, ecoc_language, host_rules, importance_draw, jaccard_join, metric_join, phrase_dedup, secret_forest, systematic_mix, url_reputation, warc
+from . import bin_packing, ecoc_language, filter_audit, host_rules, importance_draw, jaccard_join, metric_join, phrase_dedup, secret_forest, systematic_mix, url_reputation, warc
 from .common import settled, table
 
 
@@ -63,6 +63,10 @@ def op11_importance_draw(spark, sf_dir):
     return rows.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audited(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
 LLM_QUERIES = {
     "op1_bin_packing": op1_bin_packing,
     "op2_metric_join": op2_metric_join,
@@ -75,6 +79,7 @@ LLM_QUERIES = {
     "op9_warc_assembly": op9_warc_assembly,
     "op10_host_rules": op10_host_rules,
     "op11_importance_draw": op11_importance_draw,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 LLM_ORACLE_SQL = {
@@ -83,4 +88,5 @@ LLM_ORACLE_SQL = {
     "op7_systematic_mix": systematic_mix.ORACLE,
     "op9_warc_assembly": warc.ORACLE,
     "op10_host_rules": host_rules.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
 }
