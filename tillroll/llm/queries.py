@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tillroll.session import ensure_checkpoint_dir
 
-from . import bin_packing, ecoc_language, filter_audit, host_rules, importance_draw, jaccard_join, metric_join, phrase_dedup, secret_forest, systematic_mix, url_reputation, warc
+from . import bin_packing, ecoc_language, filter_audit, host_rules, importance_draw, jaccard_join, metric_join, phrase_dedup, secret_forest, systematic_mix, toxicity_gru, url_reputation, warc
 from .common import settled, table
 
 
@@ -67,6 +67,10 @@ def op12_filter_audit(spark, sf_dir):
     return filter_audit.audited(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
 
 
+def op13_toxicity_gru(spark, sf_dir):
+    return toxicity_gru.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 LLM_QUERIES = {
     "op1_bin_packing": op1_bin_packing,
     "op2_metric_join": op2_metric_join,
@@ -80,6 +84,7 @@ LLM_QUERIES = {
     "op10_host_rules": op10_host_rules,
     "op11_importance_draw": op11_importance_draw,
     "op12_filter_audit": op12_filter_audit,
+    "op13_toxicity_gru": op13_toxicity_gru,
 }
 
 LLM_ORACLE_SQL = {
