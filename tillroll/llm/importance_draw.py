@@ -218,7 +218,8 @@ def frequent_words(texts: DataFrame, how: Draw) -> list[bytes]:
     """The most frequent words of all texts: at most ``how.dictionary``, of at most 64 bytes each.
 
     Every task counts all its words, forgets rare ones only when it holds over sixteen
-    times the dictionary, and hands on at most ``how.dictionary``.
+    times the dictionary, and hands on at most ``how.dictionary``. A histogram of the counts
+    by steps of a sixteenth of a doubling says from which count on the words fit.
     """
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
@@ -231,9 +232,17 @@ def frequent_words(texts: DataFrame, how: Draw) -> list[bytes]:
         if top:
             yield pd.DataFrame(top, columns=["word", "n"])
 
-    top = (texts.select("text").mapInPandas(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "word").limit(how.dictionary))
-    return [bytes(r["word"]) for r in top.collect()]
+    words = settled(texts.select("text").mapInPandas(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+                    .withColumn("step", F.floor(16 * F.log2("n")).cast("int")))
+    least, room = None, how.dictionary
+    for step, n in sorted(words.groupBy("step").count().collect(), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        least = step
+    if least is None:
+        return []
+    return sorted(bytes(r["word"]) for r in words.where(F.col("step") >= least).select("word").collect())
 
 
 _SCANNERS: dict = {}
@@ -283,10 +292,13 @@ def weighed(docs: DataFrame, gains: np.ndarray, words, how: Draw) -> DataFrame:
                 # sums of whole numbers far below 2**53 are exact in doubles
                 sums = np.bincount(of, weights=gains[bucket].astype(np.float64), minlength=len(buffer)).astype(np.int64)
                 np.add.at(weight, doc, sums)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n_words": n_words, "n_features": n_features, "weight": weight})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "known": batch["known"], "text_hash": batch["text_hash"], "n_words": n_words, "n_features": n_features, "weight": weight})
 
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-            .mapInPandas(rows, "doc_id long, text_hash long, n_words long, n_features long, weight long"))
+    # a missing id goes through pandas as 0, so that ids stay whole numbers
+    return (docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"),
+                        "text", F.xxhash64("text").alias("text_hash"))
+            .mapInPandas(rows, "doc_id long, known boolean, text_hash long, n_words long, n_features long, weight long")
+            .withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).drop("known"))
 
 
 def drawn(docs: DataFrame, target: DataFrame, how: Draw = Draw()) -> DataFrame:
