@@ -3,8 +3,14 @@
 Labelled page outcomes (1: bad) are counted per host. Each level is shrunk towards the
 one above through a beta-binomial prior: suffix towards the whole table, registered
 domain towards its suffix, host towards its domain, with prior strengths fitted to the
-spread of the level's rates. A url whose host's lower posterior bound exceeds
-``max_bad`` is blocked.
+spread of the level's rates. A url is blocked if its host's lower posterior bound exceeds
+the bar: ``lift`` times the rate of bad pages in the whole table (with half a bad page more,
+so that a table without any has a bar), at most ``max_bad``.
+
+Outcomes are a parameter, so reviewed labels can be given. Without any, ``listed_outcome``
+takes them from the urls: a page is bad if a run of letters in its url is one of
+``BAD_WORDS``. A host is then judged by all its pages, so that one page with such a word
+does not block a host, and pages without one fall with a bad host.
 
 The suffix is the host's last label and the registered domain its last two (no list of
 public suffixes is used); a host that ends in a digit, an address, is its own domain.
@@ -22,16 +28,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, beta_prior, rate_sums, settled
+from .common import beta_prior, rate_sums, settled
 
-#: the symbols by which a page's visible text is labelled junk, and their share
-JUNK, JUNK_PER = "#*$%", 20
+#: Words of urls that label a page as bad.
+BAD_WORDS = ("adult", "ads", "bet", "bets", "betting", "casino", "cheap", "escort", "gambling", "lottery", "pills", "poker",
+             "porn", "replica", "sex", "spam", "viagra", "warez", "xxx")
 
 
 @dataclass(frozen=True)
 class Reputation:
-    """A host is blocked when its rate of bad pages surely exceeds ``max_bad``."""
+    """A host is blocked when its rate of bad pages surely exceeds ``lift`` times the table's, or ``max_bad``."""
 
+    lift: float = 5.0
     max_bad: float = 0.5
     deviations: float = 2.0
 
@@ -61,10 +69,9 @@ def rule_for(host, path, rules: list[tuple[str, str]]) -> tuple[F.Column, F.Colu
     return rule, verdict
 
 
-def junk_outcome(html) -> F.Column:
-    """1 where over one in ``JUNK_PER`` visible characters is a junk symbol, else 0; null html has no outcome."""
-    seen = F.translate(F.regexp_replace(html, "<[^>]*>", ""), BLANKS, "")
-    return ((F.length(seen) - F.length(F.translate(seen, JUNK, ""))) * JUNK_PER > F.length(seen)).cast("long")
+def listed_outcome(url, words: tuple[str, ...] = BAD_WORDS) -> F.Column:
+    """1 where a run of letters in the url is a listed word, else 0; a null url has no outcome."""
+    return F.lower(url).rlike(f"(?:^|[^a-z])(?:{'|'.join(words)})(?:[^a-z]|$)").cast("long")
 
 
 def host_reputation(outcomes: DataFrame, how: Reputation = Reputation()) -> DataFrame:
@@ -80,7 +87,9 @@ def host_reputation(outcomes: DataFrame, how: Reputation = Reputation()) -> Data
                     .withColumn("suffix", F.substring_index("domain", ".", -1)))
     domains = settled(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y")))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
-    a, b = beta_prior(*rate_sums(suffixes))
+    sums = rate_sums(suffixes)
+    bar = min(how.max_bad, how.lift * ((sums[2] or 0) + 0.5) / ((sums[1] or 0) + 1.0))
+    a, b = beta_prior(*sums)
     strength = {name: sum(beta_prior(*rate_sums(level))) for name, level in (("domain", domains), ("host", hosts))}
 
     def shrunk(level, parent, name):
@@ -90,7 +99,7 @@ def host_reputation(outcomes: DataFrame, how: Reputation = Reputation()) -> Data
     domains = domains.join(suffixes, "suffix").select("domain", shrunk(domains, "suffix_rate", "domain").alias("domain_rate"))
     rate, weight = F.col("host_rate"), F.col("n") + F.lit(strength["host"])
     return (hosts.join(domains, "domain").withColumn("host_rate", shrunk(hosts, "domain_rate", "host"))
-            .withColumn("host_blocked", rate - how.deviations * F.sqrt(rate * (1 - rate) / (weight + 1)) > how.max_bad)
+            .withColumn("host_blocked", rate - how.deviations * F.sqrt(rate * (1 - rate) / (weight + 1)) > F.lit(bar))
             .select("host", F.col("n").alias("host_pages"), F.col("y").alias("host_bad"), "host_blocked"))
 
 
@@ -122,13 +131,12 @@ _STRENGTH = """
 #: DuckDB SQL of the query.
 ORACLE = rf"""
 WITH rest AS (
-  SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS u FROM pages
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS u FROM pages
 ), named AS (
   SELECT page_id, translate(regexp_extract(u, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path,
-         regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '[\x20\x09-\x0D]+', '', 'g') AS seen FROM rest
+         regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path, url FROM rest
 ), marked AS (
-  SELECT page_id, host, path, CAST(length(regexp_replace(seen, '[^#*$%]+', '', 'g')) * 20 > length(seen) AS BIGINT) AS bad FROM named
+  SELECT page_id, host, path, CAST(regexp_matches(lower(url), '(^|[^a-z])({'|'.join(BAD_WORDS)})([^a-z]|$)') AS BIGINT) AS bad FROM named
 ), h AS (
   SELECT host, count(*) AS n, sum(bad) AS y,
          CASE WHEN regexp_matches(host, '[0-9]$') THEN host
@@ -146,7 +154,7 @@ WITH rest AS (
 ), hr AS (
   SELECT host, n, y, (h.y + dr.m * kh.s) / (h.n + kh.s) AS m, n + kh.s AS w FROM h JOIN dr USING (domain), kh
 ), verdicts AS (
-  SELECT host, n, y, m - 2.0 * sqrt(m * (1 - m) / (w + 1)) > 0.5 AS blocked FROM hr
+  SELECT host, n, y, m - 2.0 * sqrt(m * (1 - m) / (w + 1)) > (SELECT least(0.5, 5.0 * (sum(y) + 0.5) / (sum(n) + 1.0)) FROM s) AS blocked FROM hr
 ), rules(says, rule, rh, rp) AS (
   VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'),
          ('block', 'example.org/en/1', 'example.org', '/en/1'), ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')
