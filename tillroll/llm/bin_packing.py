@@ -8,16 +8,22 @@ that fills the window closest to capacity, backtracking gives its counts, and th
 multiset is used as often as the counts allow.
 
 Ids are those of the byte-level BPE vocabulary, with the string of its special token
-read as that token; id 0 ends each document.
+read as that token; id 0 ends each document. The rank file's encoder is the faster one; a
+text with a very long run of blanks, which it cannot split, goes to the encoder of the
+JSON file, which gives the same ids.
 
 Defined results: a null or empty text is the closing id alone; repeated rows are packed
-each; an empty table gives an empty result. A very long text is many pieces, which the
-hash spreads over the groups. Only the named columns are read.
+each; an empty table gives an empty result; of equally close fills the one found first is
+taken, from the longest length down. A very long text is many pieces, which the hash
+spreads over the groups, as a number of the row in it spreads rows that share or lack an
+id (so ``docs`` should be a table or a checkpoint, whose rows come back in the same order).
+Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +37,9 @@ CAPACITY = 1024
 GROUP_ROWS, GROUP_ROWS_WITH_IDS = 8192, 4096
 SPECIAL = ("<|endoftext|>", 50256)
 CLOSING = 0
+#: blanks in a row from which on a text is encoded by the JSON file's encoder
+LONG_RUN = 50_000
+_LONG_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
 
 
 @lru_cache(maxsize=2)
@@ -41,35 +50,46 @@ def _encoder(ranks_path: str, pattern: str):
     return tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={SPECIAL[0]: SPECIAL[1]})
 
 
-def token_ids(text: str | None, ranks_path: str, pattern: str) -> np.ndarray:
+@lru_cache(maxsize=2)
+def _json_encoder(json_path: str):
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(json_path)
+
+
+def token_ids(text: str | None, ranks_path: str, pattern: str, json_path: str | None = None) -> np.ndarray:
     """Ids of one document with the closing id, as little-endian unsigned 32-bit numbers."""
-    ids = _encoder(ranks_path, pattern).encode_to_numpy(text or "", allowed_special="all")
+    if json_path and len(text or "") >= LONG_RUN and _LONG_RUN.search(text):
+        ids = np.array(_json_encoder(json_path).encode(text, add_special_tokens=False).ids, dtype=np.int64)
+    else:
+        ids = _encoder(ranks_path, pattern).encode_to_numpy(text or "", allowed_special="all")
     return np.append(ids, CLOSING).astype("<u4")
 
 
 def pieces(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of all documents (doc_id, text): doc_id, start, length, doc_tokens and ``ids`` (packed bytes)."""
+    """Pieces of all documents (doc_id, text): doc_id, start, length, doc_tokens, ``ids`` (packed bytes) and
+    ``row``, a number of the document's row."""
     import public_tokenizers
+    json_path = public_tokenizers.path("byte_bpe_50k.json") if ranks_path is None else None
     ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     pattern = public_tokenizers.PATTERN
-    names = ["doc_id", "start", "length", "doc_tokens", "ids"]
+    names = ["doc_id", "row", "start", "length", "doc_tokens", "ids"]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = token_ids(text, ranks_path, pattern)
+            for doc_id, row, text in zip(batch["doc_id"], batch["row"], batch["text"]):
+                ids = token_ids(text, ranks_path, pattern, json_path)
                 for at in range(0, len(ids), capacity):
                     part = ids[at:at + capacity]
-                    out.append((doc_id, at, len(part), len(ids), part.tobytes()))
+                    out.append((doc_id, row, at, len(part), len(ids), part.tobytes()))
                     if len(out) == 2048:
                         yield pd.DataFrame(out, columns=names)
                         out = []
             if out:
                 yield pd.DataFrame(out, columns=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text").mapInPandas(
+        cut, "doc_id long, row long, start long, length long, doc_tokens long, ids binary")
 
 
 def group_count(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> int:
@@ -126,9 +146,9 @@ def packed_windows(lengths: list[int], capacity: int) -> Iterator[list[int]]:
 
 
 def assigned(spans: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
-    """``spans`` (doc_id, start, length and any more columns) with sequence_id and offset."""
-    names = spans.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spans.schema.fields)
+    """``spans`` (doc_id, row, start, length and any more columns) with sequence_id and offset, without ``row``."""
+    names = [c for c in spans.columns if c != "row"]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spans.schema.fields if f.name != "row")
 
     def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "start"], kind="stable").reset_index(drop=True)
@@ -143,20 +163,20 @@ def assigned(spans: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFra
         group["sequence_id"], group["offset"] = sequence, offset
         return group
 
-    return (spans.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    return (spans.withColumn("__group", F.pmod(F.xxhash64("doc_id", "row", "start"), F.lit(groups)))
             .groupBy("__group").applyInPandas(pack, f"{fields}, sequence_id long, offset long"))
 
 
 def packed(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of all documents, with its place: the digest form, without the ids."""
     spans = pieces(docs, ranks_path, capacity).select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+        "doc_id", "row", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return assigned(spans, group_count(docs, capacity), capacity)
 
 
 def sequences(docs: DataFrame, ranks_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per sequence: its ids, their number, and the spans (doc_id, start, length, offset) it holds."""
-    placed = assigned(pieces(docs, ranks_path, capacity).select("doc_id", "start", "length", "ids"),
+    placed = assigned(pieces(docs, ranks_path, capacity).select("doc_id", "row", "start", "length", "ids"),
                       group_count(docs, capacity, GROUP_ROWS_WITH_IDS), capacity)
     parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "start", "length", "ids")))
     return (placed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), parts.alias("__parts"))
