@@ -25,7 +25,7 @@ so no task holds a crowded trigger. Strings are compared by 64-bit hashes of phr
 trigger together, or of window and trigger together.
 
 Defined results: a null text is empty; texts shorter than ``length`` bytes stay whole; a
-row without a doc_id is kept whole and compared with nothing; rows that repeat a doc_id
+row without a doc_id is a document of its own, compared with itself alone; rows that repeat a doc_id
 are compared as that document's text, each on its own, and repeat nothing of each other,
 be their texts equal or different (a hash of the text tells them apart).
 An empty table gives an empty result. Long texts are parsed in slices.
@@ -291,6 +291,19 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def repeated_inside(data: bytes, how: Passages) -> tuple[np.ndarray, np.ndarray]:
+    """(start, windows) of the windows of one text that are found earlier in it."""
+    if len(data) < how.length:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sums, down = _prefix(np.frombuffer(data, np.uint8))
+    n = len(data) - how.length + 1
+    first = np.zeros(n, dtype=bool)
+    first[np.unique(mixed((sums[how.length:] - sums[:n]) * down[:n]), return_index=True)[1]] = True
+    again = np.flatnonzero(~first)
+    new = np.flatnonzero(np.append(True, again[1:] != again[:-1] + 1)) if len(again) else again
+    return again[new], np.diff(np.append(new, len(again)))
+
+
 def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of bytes covered by the intervals."""
     order = np.argsort(starts, kind="stable")
@@ -335,6 +348,8 @@ def deduplicated(docs: DataFrame, how: Passages = Passages(), with_text: bool =
                     if whole is not None and len(whole):
                         gone = gone | np.isin(p.phrase[local], np.asarray(whole, np.int64).astype(np.uint64))
                     starts, windows = p.start[local][gone], p.windows[local][gone]
+                    if doc is None or doc != doc:
+                        starts, windows = repeated_inside(data, how)
                     runs = [] if runs is None else [x for x in runs if x["own"] == own]
                     if runs:
                         starts = np.append(starts, [x["start"] for x in runs])
