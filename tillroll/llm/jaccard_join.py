@@ -3,7 +3,8 @@
 A document is its set of five-word shingles; two documents are linked at a Jaccard
 similarity of 0.8 or more.
 
-1. Documents of equal shingle sets are one class; the least doc_id stands for it.
+1. Documents of equal shingle sets are one class, which has a number of its own; a row
+   with the least doc_id stands for it.
 2. MinHash values in bands of four give candidate buckets. Inside a bucket two classes
    are compared sixteen MinHash values at a time, and the pair is dropped as soon as the
    posterior probability that its similarity reaches the threshold falls below
@@ -20,8 +21,9 @@ Words are runs of characters other than ASCII white space, compared as they stan
 document of one to four words is one shingle of all of them.
 
 Defined results: a null text or one without words links with nothing, as does a row
-without a doc_id. Rows that repeat a doc_id share class and links. An empty table gives
-an empty result. Very long texts are hashed in slices. Only the named columns are read.
+without a doc_id. Rows that repeat a doc_id are told apart by a hash of their text: equal
+ones are one class, different ones link as different documents do; in the result by id they
+share the least class and the sum of links. An empty table gives an empty result. Very long texts are hashed in slices. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, settled
@@ -130,13 +132,13 @@ def minhash_factors(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def profile(docs: DataFrame, how: Join) -> DataFrame:
-    """(doc_id, print, n, keys, sketch) of each document with words: fingerprint and size of its
+    """(doc_id, own, print, n, keys, sketch) of each document with words: hash of the text, fingerprint and size of its
     shingle set, one bucket key per band, and the low byte of each MinHash value."""
     total = how.bands * how.rows
     a, b = minhash_factors(total)
     bands = mixed(np.arange(1, how.bands + 1, dtype=np.uint64))
 
-    def flush(ids, prints, sets):
+    def flush(ids, owns, prints, sets):
         flat, starts = np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets[:-1]])
         values = np.empty((total, len(sets)), np.uint64)
         for k in range(total):
@@ -147,27 +149,29 @@ def profile(docs: DataFrame, how: Join) -> DataFrame:
             keys = mixed(keys * np.uint64(BASE) + grouped[:, r])
         keys = mixed(keys ^ bands[:, None]).T.astype(np.int64)
         low = (values.T & np.uint64(255)).astype(np.uint8)
-        return pd.DataFrame({"doc_id": ids, "print": prints, "n": [len(x) for x in sets], "keys": list(keys), "sketch": [x.tobytes() for x in low]})
+        return pd.DataFrame({"doc_id": ids, "own": owns, "print": prints, "n": [len(x) for x in sets], "keys": list(keys), "sketch": [x.tobytes() for x in low]})
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, prints, sets, size = [], [], [], 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            ids, owns, prints, sets, size = [], [], [], [], 0
+            for doc_id, own, text in zip(batch["doc_id"], batch["own"], batch["text"]):
                 found = np.unique(shingle_hashes(word_hashes((text or "").encode("utf-8", "surrogatepass")), how.words))
                 if not len(found):
                     continue
                 ids.append(doc_id)
+                owns.append(own)
                 prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 sets.append(found)
                 size += len(found)
                 if size >= 1 << 15:
-                    yield flush(ids, prints, sets)
-                    ids, prints, sets, size = [], [], [], 0
+                    yield flush(ids, owns, prints, sets)
+                    ids, owns, prints, sets, size = [], [], [], [], 0
             if ids:
-                yield flush(ids, prints, sets)
+                yield flush(ids, owns, prints, sets)
 
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-            .mapInPandas(rows, "doc_id long, print binary, n long, keys array<long>, sketch binary"))
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("own"), "text")
+            .where("doc_id IS NOT NULL AND text IS NOT NULL")
+            .mapInPandas(rows, "doc_id long, own long, print binary, n long, keys array<long>, sketch binary"))
 
 
 def least_matches(how: Join) -> list[tuple[int, int]]:
@@ -360,27 +364,41 @@ def verified(members: DataFrame, how: Join) -> DataFrame:
     return dealt.mapInPandas(rows, "rep long, links long, least long")
 
 
-def near_duplicates(docs: DataFrame, how: Join = Join()) -> DataFrame:
-    """One row per document (doc_id, text): class_id (least doc_id reachable by links), n_links, kept."""
+def memberships(docs: DataFrame, how: Join = Join()) -> DataFrame:
+    """(doc_id, own, root, class_id, n_links) of each row with an id and words: ``own`` is the hash of its
+    text, ``root`` the number of its class and class_id the least doc_id reachable by links."""
     found = settled(profile(docs, how))
-    classes = settled(found.groupBy("print").agg(F.min(F.struct("doc_id", "n", "keys", "sketch")).alias("r"), F.count("*").alias("times"))
-                      .select("print", "times", F.col("r.doc_id").alias("rep"), "r.n", "r.keys", "r.sketch"))
+    # a class is its shingle set, not its least document, which may repeat its id with another text
+    classes = settled(found.groupBy("print").agg(F.min(F.struct("doc_id", "own", "n", "keys", "sketch")).alias("r"), F.count("*").alias("times"))
+                      .select(F.monotonically_increasing_id().alias("rep"), "print", "times", F.col("r.doc_id").alias("doc_id"),
+                              F.col("r.own").alias("own"), "r.n", "r.keys", "r.sketch"))
     cell = cells(classes, how).withColumnRenamed("component", "cell")
-    wanted = cell.join(classes.groupBy("rep").agg(F.sum("times").alias("times"), F.max("n").alias("n")), F.col("node") == F.col("rep"))
+    wanted = cell.join(classes.select("rep", "times", "n", "doc_id", "own"), F.col("node") == F.col("rep"))
     blocks = F.ceil(F.greatest(F.count("*") / how.block, F.sum("n") / how.block_shingles)).cast("int")
     wanted = wanted.join(wanted.groupBy("cell").agg(blocks.alias("blocks")), "cell")
-    texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), "text").where("text IS NOT NULL")
-    members = wanted.join(texts, F.col("rep") == F.col("__doc")).select("cell", "blocks", "rep", "times", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("__own"), "text").where("text IS NOT NULL")
+    # rows equal in id and text give their text once
+    members = (wanted.join(texts, (F.col("doc_id") == F.col("__doc")) & (F.col("own") == F.col("__own")))
+               .groupBy("cell", "blocks", "rep", "times").agg(F.first("text").alias("text")))
     checked = settled(verified(members, how))
-    least = components(checked.where("rep != least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    edges = checked.where("rep != least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    joined = components(edges).withColumnRenamed("component", "root")
+    named = joined.join(classes.select("rep", "doc_id"), F.col("node") == F.col("rep"))
+    least = named.join(named.groupBy("root").agg(F.min("doc_id").alias("component")), "root").select("node", "root", "component")
     linked = (checked.groupBy("rep").agg(F.sum("links").alias("links"))
-              .join(least, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("__rep"), "links", "component"))
+              .join(least, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("__rep"), "links", "root", "component"))
     # links meet the classes first, one row each; the copies of a class then meet it by its fingerprint
-    solved = (classes.select(F.col("print").alias("__print"), "rep", "times").join(linked, F.col("rep") == F.col("__rep"), "left")
-              .select("__print", F.coalesce("component", "rep").alias("class_id"),
+    solved = (classes.select(F.col("print").alias("__print"), "rep", "doc_id", "times").join(linked, F.col("rep") == F.col("__rep"), "left")
+              .select("__print", F.coalesce("root", "rep").alias("root"), F.coalesce("component", "doc_id").alias("class_id"),
                       (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links")))
-    known = (found.select("doc_id", "print").join(solved, F.col("print") == F.col("__print"))
-             .groupBy(F.col("doc_id").alias("__id")).agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links")))
+    return (found.select("doc_id", "own", "print").join(solved, F.col("print") == F.col("__print"))
+            .select("doc_id", "own", "root", "class_id", "n_links"))
+
+
+def near_duplicates(docs: DataFrame, how: Join = Join()) -> DataFrame:
+    """One row per document (doc_id, text): class_id (least doc_id reachable by links), n_links, kept."""
+    known = (memberships(docs, how).groupBy(F.col("doc_id").alias("__id"))
+             .agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links")))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     return (ids.join(known, F.col("doc_id") == F.col("__id"), "left")
             .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
@@ -390,11 +408,15 @@ def near_duplicates(docs: DataFrame, how: Join = Join()) -> DataFrame:
 def distinct_documents(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """The documents without their near copies, with all columns: of each class the least doc_id stays.
 
-    Of rows that repeat both doc_id and text one stays; rows without an id stay.
+    Where several texts of a class share the least doc_id, the one of least hash stays; of
+    rows that repeat both doc_id and text one stays; rows without words stay, and all rows
+    without an id.
     """
-    keep = near_duplicates(docs, how).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__keep")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("__all"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"))
-    first = Window.partitionBy("__id", "__hash").orderBy(F.xxhash64("__all"))
-    named = (rows.where("__id IS NOT NULL").join(keep, F.col("__id") == F.col("__keep"))
-             .withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select("__all.*"))
+    members = settled(memberships(docs, how).select("doc_id", "own", "root"))
+    first = members.groupBy(F.col("root").alias("__root")).agg(F.min(F.struct("doc_id", "own")).alias("__first"))
+    copies = (members.join(first, F.col("root") == F.col("__root")).where(F.struct("doc_id", "own") != F.col("__first"))
+              .select(F.col("doc_id").alias("__doc"), F.col("own").alias("__own")).distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("__all"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__hash"))
+    named = (rows.where("__id IS NOT NULL").join(copies, (F.col("__id") == F.col("__doc")) & (F.col("__hash") == F.col("__own")), "left_anti")
+             .groupBy("__id", "__hash").agg(F.min_by("__all", F.xxhash64("__all")).alias("__all")).select("__all.*"))
     return named.unionByName(rows.where("__id IS NULL").select("__all.*"))
