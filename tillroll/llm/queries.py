@@ -22,7 +22,7 @@ def op2_metric_join(spark, sf_dir):
 
 def op3_url_reputation(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    return url_reputation.judged(pages, url_reputation.RULES, url_reputation.junk_outcome(pages["html"]))
+    return url_reputation.judged(pages, url_reputation.RULES, url_reputation.listed_outcome(pages["url"]))
 
 
 def op4_ecoc_language(spark, sf_dir):

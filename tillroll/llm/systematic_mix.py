@@ -90,19 +90,43 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix") -> DataFrame:
     """The documents themselves, each as often as the mix takes it (zero to ``most`` times).
 
-    Rows that share a doc_id also share their copies, dealt evenly over them.
+    Rows of one doc_id, source and size are the same to the mix and share its copies evenly:
+    equal rows are counted, the counts prefix-summed in order of a hash of the row, and a
+    row takes the copies whose boundaries fall to it. Texts meet in a task only as one row
+    of each of their kind.
     """
-    copies = (mixed(docs, weights, most, seed).groupBy(F.col("doc_id").alias("__id"))
+    key = ["__id", "__source", "__size"]
+    copies = (mixed(docs, weights, most, seed).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
               .agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")))
-    same = Window.partitionBy("__doc")
-    packed = (docs.withColumn("__all", F.struct(*docs.columns)).select("__all", F.col("doc_id").alias("__doc"))
-              .withColumn("__nth", F.row_number().over(same.orderBy(F.xxhash64("__all")))))
-    return (packed.join(copies, F.col("__doc").eqNullSafe(F.col("__id")))
-            .withColumn("__n", F.expr("CAST((__copies * __nth) div __rows - (__copies * (__nth - 1)) div __rows AS INT)"))
-            .where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    copies = settled(copies)
+    rows = docs.select(F.struct(*docs.columns).alias("__all"), F.col("doc_id").alias("__d"), F.col("source").alias("__s"), word_count(F.col("text")).alias("__w"))
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        same = F.col("__d").eqNullSafe(F.col("__id")) & F.col("__s").eqNullSafe(F.col("__source")) & (F.col("__w") == F.col("__size"))
+        return left.join(right, same)
+
+    single = met(rows, copies.where("__rows = 1")).select("__all", F.col("__copies").cast("int").alias("__n"))
+    placed = single
+    if not copies.where("__rows > 1").isEmpty():
+        placed = single.unionByName(dealt(met(rows, copies.where("__rows > 1")), key))
+    return (placed.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
             .select("__all.*"))
 
 
+def dealt(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(__all, __n): rows that share their key and its copies, with the copies that fall to each kind of row."""
+    kinds = (rows.withColumn("__hash", F.xxhash64("__all"))
+             .groupBy(*key, "__hash", "__copies", "__rows").agg(F.first("__all").alias("__all"), F.count("*").alias("__same")))
+    before = F.coalesce(F.sum("__same").over(Window.partitionBy(*key).orderBy("__hash").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # the window runs over hashes and counts; the kinds themselves meet their shares by key and hash
+    kinds = settled(kinds)
+    shares = (kinds.select(*key, "__hash", "__copies", "__rows", "__same").withColumn("__before", before)
+              .select(*[F.col(k).alias(f"__k{k}") for k in (*key, "__hash")],
+                      F.expr("CAST((__copies * (__before + __same)) div __rows - (__copies * __before) div __rows AS INT)").alias("__n")))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{k}")) for k in (*key, "__hash")]
+    return kinds.join(shares, same).select("__all", "__n")
+
+
 #: DuckDB SQL of the query.
 ORACLE = r"""
 WITH sizes AS (
