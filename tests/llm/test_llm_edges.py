@@ -34,7 +34,7 @@ def pages(docs):
 OPERATORS = {
     1: lambda d, p: bin_packing.packed(d),
     2: lambda d, p: metric_join.near_duplicates(vectors(d)),
-    3: lambda d, p: url_reputation.judged(pages(d), url_reputation.RULES, url_reputation.junk_outcome(F.col("html"))),
+    3: lambda d, p: url_reputation.judged(pages(d), url_reputation.RULES, url_reputation.listed_outcome(F.col("url"))),
     4: lambda d, p: ecoc_language.identified(d),
     5: lambda d, p: secret_forest.findings(d),
     6: lambda d, p: jaccard_join.near_duplicates(d),

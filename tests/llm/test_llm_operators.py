@@ -6,9 +6,11 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tillroll.llm import (bin_packing, common, ecoc_language, host_rules, jaccard_join, metric_join, phrase_dedup,
                           secret_forest, systematic_mix, url_reputation, warc)
@@ -76,6 +78,17 @@ def test_jaccard_join_is_the_brute_force_join(spark, block):
     assert {r.doc_id: (r.class_id, r.n_links, r.kept) for r in got} == {i: (want[i], links[i], want[i] == i) for i in sets}
 
 
+def test_rows_that_repeat_a_doc_id_keep_their_unique_texts(spark):
+    rng = random.Random(12)
+    a, b, c, x = (prose(rng, 80, 5000) for _ in range(4))
+    near = lambda t, k: t + f" tail{k}"
+    rows = [(1, a), (2, near(a, 1)), (2, b), (3, c), (4, x), (4, near(x, 2)), (5, near(b, 3)), (5, near(c, 4)), (6, x), (6, x), (7, ""), (7, ""), (None, a), (None, a)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, own string")
+    got = sorted(((r.doc_id or 0, r.text) for r in jaccard_join.distinct_documents(docs).collect()))
+    four = min((x, near(x, 2)), key=lambda t: spark.createDataFrame([(t,)], "t string").select(F.xxhash64("t")).first()[0])
+    assert got == sorted([(1, a), (2, b), (3, c), (4, four), (7, ""), (0, a), (0, a)])
+
+
 def test_bayes_test_needs_more_matches_as_it_goes():
     needed = jaccard_join.least_matches(jaccard_join.Join())
     assert [n for n, _ in needed] == [16, 32, 48, 64, 80, 96]
@@ -139,6 +152,15 @@ def test_phrase_dedup_is_the_definition(spark, how):
         assert bytes(r.kept) == phrase_dedup.kept_bytes(data, np.array([s.start for s in r.spans], int), np.array([s.end for s in r.spans], int))
 
 
+def test_a_row_without_an_id_loses_its_own_repeats_alone(spark):
+    rng = random.Random(9)
+    one, other = prose(rng, 40, 5000), prose(rng, 40, 5000)
+    rows = [(1, one), (None, one), (None, one + " x " + one + other + one), (None, "short"), (None, None)]
+    got = phrase_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), phrase_dedup.Passages(length=40, gram=12)).collect()
+    want = [(d, *removed_by_definition({0: t}, 40)[0]) for d, t in rows]
+    assert sorted(map(str, ((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got))) == sorted(map(str, want))
+
+
 def removed_from_rows(rows, length):
     """The definition for rows that may repeat a doc_id: a window goes if a smaller doc_id has it, or its own text earlier."""
     seen, out = set(), []
@@ -211,6 +233,23 @@ def test_closest_fill_is_the_best_subset():
         assert sum(x * n for x, n in used.items()) == max(s for s in sums if s <= space)
 
 
+@pytest.mark.parametrize("blank", [" ", "\t", "\n", " \n"])
+def test_a_long_run_of_blanks_has_the_ids_of_the_vocabulary(blank):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    paths = [public_tokenizers.path(x) for x in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json")]
+    text = "begin" + blank * (2_000_000 // len(blank)) + "end"
+    want = Tokenizer.from_file(paths[1]).encode(text, add_special_tokens=False).ids + [0]
+    assert bin_packing.token_ids(text, paths[0], public_tokenizers.PATTERN, paths[1]).tolist() == want
+
+
+def test_rows_without_an_id_are_spread_over_the_groups(spark):
+    rows = spark.createDataFrame([(None, "one text for all of them")] * 10_000, "doc_id long, text string")
+    spans = bin_packing.pieces(rows).drop("ids")
+    groups = [r["count"] for r in bin_packing.assigned(spans, 10).groupBy((F.col("sequence_id") % 10).alias("g")).count().collect()]
+    assert len(groups) == 10 and max(groups) < 1300
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -281,18 +320,32 @@ def test_url_rules_and_parts(spark):
         "x://ÄB.net#/org/": ("Äb.net", "", None, "allow"),
     }
     frame = spark.createDataFrame([(i, u, "<p>fine words here</p>") for i, u in enumerate(cases)], "page_id long, url string, html string")
-    got = url_reputation.judged(frame, url_reputation.RULES, url_reputation.junk_outcome(frame["html"])).collect()
+    got = url_reputation.judged(frame, url_reputation.RULES, url_reputation.listed_outcome(frame["url"])).collect()
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == dict(enumerate(cases.values()))
 
 
 def test_a_surely_bad_host_is_blocked_and_a_new_one_is_not(spark):
-    rows = [("https://bad.spam.net/1", "### *** $$$ x")] * 40 + [("https://once.other.net/1", "### *** $$$ x")]
-    rows += [(f"https://h{i % 30}.good.net/{i}", "plain words") for i in range(600)]
-    frame = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
-    got = url_reputation.judged(frame, [], url_reputation.junk_outcome(frame["html"])).collect()
+    rows = [("https://bad.spam.net/1", 1)] * 40 + [("https://once.other.net/1", 1)]
+    rows += [(f"https://h{i % 30}.good.net/{i}", 0) for i in range(600)]
+    frame = spark.createDataFrame([(i, u, bad) for i, (u, bad) in enumerate(rows)], "page_id long, url string, reviewed long")
+    got = url_reputation.judged(frame, [], frame["reviewed"]).collect()
     assert {r.host for r in got if r.verdict == "block"} == {"bad.spam.net"}
 
 
+def test_urls_carry_their_outcome(spark):
+    urls = {"http://m.casino-win.example.com/x": 1, "http://CHEAP-pills.net": 1, "http://a.b/free/bets?x": 1, "http://uploads.example.org/adsl": 0,
+            "http://essex.ac.uk/spammer": 0, "": 0, None: None}
+    frame = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r[0]: r[1] for r in frame.select("url", url_reputation.listed_outcome(frame["url"])).collect()} == urls
+
+
+def test_the_posterior_blocks_hosts_of_the_given_pages(spark):
+    pages = common.table(spark, "/root/testdata/sf0.01", "pages")
+    got = url_reputation.judged(pages, url_reputation.RULES, url_reputation.listed_outcome(pages["url"])).collect()
+    blocked = {r.host for r in got if r.verdict == "block" and r.rule is None}
+    assert blocked and all(re.search("|".join(url_reputation.BAD_WORDS), h) for h in blocked)
+
+
 # --- 9 ----------------------------------------------------------------------
 
 def test_warc_round_trip(spark, tmp_path):
@@ -429,6 +482,18 @@ def test_the_mix_comes_near_its_targets(spark):
     assert sorted(made) == sorted(itertools.chain.from_iterable([i] * n for i, n in copies.items()))
 
 
+def test_rows_that_share_or_lack_an_id_take_their_own_sources_copies(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1, 1, i + 10]), prose(rng, rng.randrange(1, 6), 3), "en", rng.choice(["a", "a", "a", "b", None])) for i in range(500)]
+    frame = docs_frame(spark, rows)
+    want = Counter()
+    for r in systematic_mix.mixed(frame).collect():
+        want[r.doc_id, r.source, r.size] += r.copies
+    out = systematic_mix.mixed_documents(frame)
+    got = Counter((r.doc_id, r.source, len((r.text or "").split())) for r in out.collect())
+    assert out.columns == frame.columns and got == Counter({k: n for k, n in want.items() if n})
+
+
 # --- 10 ---------------------------------------------------------------------
 
 def rule_counts(text):
