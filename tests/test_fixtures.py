@@ -342,7 +342,9 @@ def test_result_order_of_sorted_queries(spark, sf_small):
     from tillroll.plans.registry import QUERIES
     keys = {"customer_totals": lambda r: (-r.t_sales, r.customer_id), "returned_orders_by_region": lambda r: (r.region, r.order_date, r.order_id),
             "ship_mode_cities_by_state": lambda r: (r.state, -r.mode_count, r.shipping),
-            "customers_3plus_days_month": lambda r: (r.customer_name, r.order_date), "customer_lifespan": lambda r: (-r.inactive_days, r.customer_id),
+            "customers_3plus_days_month": lambda r: (r.customer_id, r.order_date),
+            "customer_month_retained_flag": lambda r: (r.current_month, r.customer_id),
+            "products_by_units_sold": lambda r: (r.region, -r.total_sold, r["product"], r.sub_category), "customer_lifespan": lambda r: (-r.inactive_days, r.customer_id),
             "lines_above_month_region_subcat_avg": lambda r: (r.month_wise, r.region, r.product_sub_category, r.customer_id)}
     for key, order in keys.items():
         got = [order(r) for r in QUERIES[key](spark, sf_small).collect()]

@@ -62,6 +62,11 @@ def product_subcat_region_count(sl: DataFrame) -> DataFrame:
             .orderBy("product", F.desc("region")))
 
 
+def products_by_units_sold(sl: DataFrame) -> DataFrame:
+    """Product, sub-category and region counts as a list per region, most sold first."""
+    return product_subcat_region_count(sl).orderBy("region", F.desc("total_sold"), "product", "sub_category")
+
+
 def sales_by_month(sl: DataFrame) -> DataFrame:
     return (sl.groupBy(month_of_year("order_date").alias("monthly"))
             .agg(_d(F.sum("sales")).alias("total"))
@@ -376,7 +381,7 @@ def widest_ship_mode_by_state(sl: DataFrame) -> DataFrame:
 
 def customers_nplus_lines_month(sl: DataFrame, n: int = 3) -> DataFrame:
     return (sl.groupBy("customer_id", "customer_name", month_key("order_date").alias("_m"))
-            .agg(F.count("customer_name").alias("order_no"))
+            .agg(_lines(sl, "customer_name").alias("order_no"))
             .where(F.col("order_no") >= n)
             .select("customer_id", "customer_name", year_month_label("_m").alias("monthly"), "order_no"))
 

@@ -92,6 +92,11 @@ def customer_month_retained_flag(sl: DataFrame) -> DataFrame:
                           F.when(F.col("prev_month").isNotNull(), YES).otherwise(NO).alias("retained"))
 
 
+def customer_month_retained_list(sl: DataFrame) -> DataFrame:
+    """The retained flags in order of month and customer (a range sort)."""
+    return customer_month_retained_flag(sl).orderBy("current_month", "customer_id")
+
+
 def retained_flag_by_geo(sl: DataFrame) -> DataFrame:
     """The retained flag joined with every (state, region) the customer ordered in.
     A customer with several geographies fans out, as in the reference."""
@@ -142,7 +147,7 @@ def customers_nplus_days_month(sl: DataFrame, n: int = 3) -> DataFrame:
                   .where(F.col("_d") >= n).select("customer_id"))
     kept = days.join(qualifying, "customer_id", "left_semi")
     freq = F.count("customer_id").over(Window.partitionBy("customer_name"))
-    return kept.withColumn("order_frequency", freq).orderBy("customer_name", "order_date", "customer_id")
+    return kept.withColumn("order_frequency", freq).orderBy("customer_id", "order_date")
 
 
 def _monthly_activity(sl: DataFrame) -> DataFrame:

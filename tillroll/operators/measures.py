@@ -129,11 +129,18 @@ def _distinct(c: str, approx: bool):
     return F.approx_count_distinct(c, 0.01) if approx else F.count_distinct(c)
 
 
-def kpi_summary(sl: DataFrame, approx: bool = False) -> DataFrame:
+def kpi_summary(sl: DataFrame, approx: bool = False, orders: DataFrame | None = None) -> DataFrame:
     """sales, profit, margin %, orders, customers, average order value (half-up 2 dp).
-    ``approx`` counts distinct orders / customers with sketches (no Expand of the rows)."""
-    a = sl.agg(F.sum("sales").alias("_s"), F.sum("profit").alias("_p"),
-               _distinct("order_id", approx).alias("orders"), _distinct("customer_id", approx).alias("customers"))
+
+    With ``orders`` (one row per order: order_id, customer_id) the two counts are taken
+    from those rows and ``sl`` may be summed at any grain; two distinct counts over lines
+    would multiply every line. ``approx`` counts with sketches instead."""
+    money = [F.sum("sales").alias("_s"), F.sum("profit").alias("_p")]
+    if orders is None:
+        a = sl.agg(*money, _distinct("order_id", approx).alias("orders"), _distinct("customer_id", approx).alias("customers"))
+    else:
+        counts = orders.agg(F.struct(F.count("order_id").alias("orders"), _distinct("customer_id", approx).alias("customers")).alias("c")).scalar()
+        a = sl.agg(*money).withColumn("_c", counts).select("_s", "_p", "_c.orders", "_c.customers")
     return a.select(_d("_s").alias("sales"), _d("_p").alias("profit"), pct("_p", "_s").alias("margin_pct"),
                     "orders", "customers", _d(half_up_div("_s", "orders", 2)).alias("aov"))
 
@@ -194,35 +201,34 @@ def priority_by_customer(sl: DataFrame) -> DataFrame:
 
 # --- logistics (D45) --------------------------------------------------------
 
-def shipping_effectiveness(sl: DataFrame, by: list[str] | None = None) -> DataFrame:
+def shipping_effectiveness(sl: DataFrame, by: list[str] | None = None, days_lines: DataFrame | None = None) -> DataFrame:
     """Per ship mode (optionally per state too): orders, average delivery days
     (half-up 2 dp), exact discrete p50 / p90 of delivery days, shipping cost and
     profit margin %.
 
-    One chain: lines are summed per (group, order, day), an order is marked once
-    per group, and the sums per (group, day) give the day histogram, whose
-    running count holds the quantiles, and the totals.
+    Two aggregates and no sort of the lines: orders are counted, and money summed, in one
+    (a single distinct count, combined before its shuffle); the other is the histogram of
+    days, whose few rows hold the quantiles and the mean. ``days_lines`` may be a narrower
+    frame for it, without the join that the money needs.
     """
     keys = list(by or []) + ["ship_mode"]
-    days = F.datediff("ship_date", "order_date").alias("_days")
-    per_order = sl.groupBy(*keys, "order_id", days).agg(
-        F.count(F.lit(1)).alias("_c"), F.sum("shipping_cost").alias("_cost"), F.sum("profit").alias("_p"), F.sum("sales").alias("_s"))
-    once = F.row_number().over(Window.partitionBy(*keys, "order_id").orderBy("_days")) == 1
-    per_day = per_order.withColumn("_once", (once & F.col("order_id").isNotNull()).cast("long")).groupBy(*keys, "_days").agg(
-        F.sum("_once").alias("_orders"), F.sum("_c").alias("_c"), F.sum("_cost").alias("_cost"), F.sum("_p").alias("_p"),
-        F.sum("_s").alias("_s"))
-    counted = F.when(F.col("_days").isNotNull(), F.col("_c")).otherwise(F.lit(0))
+    money = sl.groupBy(*keys).agg(F.count_distinct("order_id").alias("orders"), F.sum("shipping_cost").alias("_cost"),
+                                  F.sum("profit").alias("_p"), F.sum("sales").alias("_s"))
+    lines = sl if days_lines is None else days_lines
+    per_day = lines.groupBy(*keys, F.datediff("ship_date", "order_date").alias("_days")).agg(F.count(F.lit(1)).alias("_all"))
+    counted = F.when(F.col("_days").isNotNull(), F.col("_all")).otherwise(F.lit(0))
     group = Window.partitionBy(*keys)
     upto = group.orderBy("_days").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per_day = per_day.withColumn("_upto", F.sum(counted).over(upto)).withColumn("_n", F.sum(counted).over(group))
+    per_day = per_day.withColumn("_c", counted).withColumn("_upto", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(group))
 
     def at(p):
         target = F.greatest(F.ceil(F.col("_n") * F.lit(Decimal(p))), F.lit(1))
-        return F.max(F.when((F.col("_upto") >= target) & (F.col("_upto") - counted < target), F.col("_days")))
-
-    a = per_day.groupBy(*keys).agg(
-        F.sum("_orders").alias("orders"), F.sum(F.col("_days") * F.col("_c")).alias("_dsum"), F.sum(counted).alias("_dn"),
-        at("0.5").alias("p50_days"), at("0.9").alias("p90_days"), F.sum("_cost").alias("_cost"), F.sum("_p").alias("_p"),
-        F.sum("_s").alias("_s"))
-    return a.select(*keys, "orders", _d(half_up_div("_dsum", "_dn", 2)).alias("avg_days"), "p50_days", "p90_days",
-                    _d("_cost").alias("shipping_cost"), pct("_p", "_s").alias("margin_pct"))
+        return F.max(F.when((F.col("_upto") >= target) & (F.col("_upto") - F.col("_c") < target), F.col("_days")))
+
+    days = per_day.groupBy(*keys).agg(F.sum(F.col("_days") * F.col("_c")).alias("_dsum"), F.sum("_c").alias("_dn"),
+                                      at("0.5").alias("p50_days"), at("0.9").alias("p90_days"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in keys]
+    days = days.withColumnsRenamed({k: f"_k{k}" for k in keys})
+    return (money.join(days, same)
+            .select(*keys, "orders", _d(half_up_div("_dsum", "_dn", 2)).alias("avg_days"), "p50_days", "p90_days",
+                    _d("_cost").alias("shipping_cost"), pct("_p", "_s").alias("margin_pct")))

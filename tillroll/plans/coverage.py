@@ -2,7 +2,7 @@
 
 NAMED_IDS = {
     "Q01": ["top_ship_mode_by_state"], "Q02": ["ship_mode_winner_tally"], "Q03": ["segment_order_count"],
-    "Q04": ["product_subcat_region_count"], "Q05": ["sales_by_month"], "Q06": ["sales_by_month_state"],
+    "Q04": ["product_subcat_region_count", "products_by_units_sold"], "Q05": ["sales_by_month"], "Q06": ["sales_by_month_state"],
     "Q07": ["sales_month_subcat_rollup"], "Q08": ["customer_totals", "customer_extremes"],
     "Q09": ["returned_orders_by_region", "returned_orders_by_region_month", "peak_return_period"], "Q10": ["refined_order_priority"],
     "Q11": ["region_sales_contribution"], "Q12": ["month_region_contribution"], "Q13": ["returned_order_details"],

@@ -96,7 +96,8 @@ def bidirectional_filter(spark, sf_dir):
 
 
 def kpi_summary(spark, sf_dir):
-    return measures.kpi_summary(_sl(spark, sf_dir, "sales", "profit", "order_id", "customer_id"))
+    return measures.kpi_summary(sales_line(spark, sf_dir, ["sales", "profit"], grain="part"),
+                                orders=_slo(spark, sf_dir, "order_id", "customer_id"))
 
 
 def geo_performance(spark, sf_dir):
@@ -115,15 +116,17 @@ def sales_by_weekday(spark, sf_dir):
     return measures.sales_by_weekday(_slo(spark, sf_dir, "order_date", "sales"))
 
 
-_SHIPPING = ("ship_mode", "order_id", "shipping_cost", "profit", "sales", "ship_date", "order_date")
+_SHIPPING = ("ship_mode", "order_id", "shipping_cost", "profit", "sales")
+_DELIVERY = ("ship_mode", "ship_date", "order_date")
 
 
 def shipping_effectiveness(spark, sf_dir):
-    return measures.shipping_effectiveness(_sl(spark, sf_dir, *_SHIPPING))
+    return measures.shipping_effectiveness(_sl(spark, sf_dir, *_SHIPPING), days_lines=_sl(spark, sf_dir, *_DELIVERY))
 
 
 def shipping_effectiveness_by_state(spark, sf_dir):
-    return measures.shipping_effectiveness(_sl(spark, sf_dir, "state_province", *_SHIPPING), ["state_province"])
+    return measures.shipping_effectiveness(_sl(spark, sf_dir, "state_province", *_SHIPPING), ["state_province"],
+                                           _sl(spark, sf_dir, "state_province", *_DELIVERY))
 
 
 def region_sales_net_of_returns(spark, sf_dir):

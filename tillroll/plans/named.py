@@ -143,6 +143,7 @@ NAMED = {
     "segment_order_count": qo(agg.segment_order_count, "customer_segment", "lines"),
     "product_subcat_region_count": q(agg.product_subcat_region_count, "product_category",
                                      "product_sub_category", "region"),
+    "products_by_units_sold": q(agg.products_by_units_sold, "product_category", "product_sub_category", "region"),
     "sales_by_month": qo(agg.sales_by_month, "order_date", "sales"),
     "sales_by_month_state": qo(agg.sales_by_month_state, "order_date", "state_province", "sales"),
     "sales_month_subcat_rollup": q(agg.sales_month_subcat_rollup, "order_date", "product_sub_category", "sales"),
@@ -182,8 +183,8 @@ NAMED = {
     "covered_city_count": qo(agg.covered_city_count, "state_province", "city"),
     "ship_mode_cities_by_state": q(agg.ship_mode_cities_by_state, "state_province", "city", "ship_mode"),
     "widest_ship_mode_by_state": q(agg.widest_ship_mode_by_state, "state_province", "city", "ship_mode"),
-    "customers_3plus_lines_month": q(agg.customers_nplus_lines_month, "customer_id", "customer_name",
-                                     "order_date"),
+    "customers_3plus_lines_month": qo(agg.customers_nplus_lines_month, "customer_id", "customer_name",
+                                      "order_date", "lines"),
     "customer_month_lines": _all(tx.customer_month_lines, customer_name=P["customer_name"],
                                  month=P["customer_month"]),
     "customers_3plus_days_month": qo(cust.customers_nplus_days_month, "customer_id", "customer_name",
@@ -228,7 +229,7 @@ NAMED = {
     "churn_monthly": qo(cust.churn_monthly, "customer_id", "order_date"),
     "product_name_regex": q(tx.product_name_regex, "product_name"),
     "orders_with_returns": _orders_with_returns,
-    "state_share_of_totals": q(agg.state_share_of_totals, "region", "state_province", "sales", state=P["state"]),
+    "state_share_of_totals": qo(agg.state_share_of_totals, "region", "state_province", "sales", state=P["state"]),
     "nth_sales_value": q(rk.nth_sales_value, "sales", n=P["nth_position"]),
     "sales_value_index": q(rk.sales_value_index, "sales", max_value=P["max_value"]),
     "mom_sales_diff": qo(tm.mom_sales_diff, "order_date", "sales"),
@@ -236,7 +237,7 @@ NAMED = {
     "avg_line_vs_avg_month": q(agg.avg_line_vs_avg_month, "order_date", "sales"),
     "month_region_sales": qo(agg.month_region_sales, "order_date", "region", "sales"),
     "customer_months": qo(cust.customer_month_of_year, "customer_id", "order_date"),
-    "customer_month_retained_flag": qo(cust.customer_month_retained_flag, "customer_id", "order_date"),
+    "customer_month_retained_flag": qo(cust.customer_month_retained_list, "customer_id", "order_date"),
     "retained_flag_by_geo": qo(cust.retained_flag_by_geo, "customer_id", "order_date", "state_province", "region"),
     "describe_orders": _describe_orders,
     "customer_extremes": q(agg.customer_extremes, "customer_id", "customer_name", "quantity_ordered_new", "sales", "profit"),
