@@ -150,3 +150,98 @@ def rate_by_tenure(emp: DataFrame, as_of, threshold: float = 25.0) -> DataFrame:
     rate = pct("leavers", "n")
     return a.select("department", "tenure_years", "n", "leavers", rate.alias("rate"),
                     (rate > threshold).alias("above"))
+
+
+# --- survival (D32) ----------------------------------------------------------
+
+def survival_by_tenure(emp: DataFrame, as_of, by: str = "department", z: float = 1.96) -> DataFrame:
+    """Kaplan-Meier life table per group and completed tenure year.
+
+    An employee is at risk in every year up to the one of exit, or up to the one reached at
+    ``as_of`` when still employed (censored: at risk in that year too, but no leaver). hazard
+    = leavers / at risk, survival = the product of 1 - hazard up to the year, and the bounds
+    are survival -/+ z standard errors after Greenwood, inside 0..1. Years without an event
+    have a row. When nobody survives a year the standard error is 0.
+
+    The employees are counted once per (group, year); a group's years, some dozens, are one
+    array, over which the table is computed in order, so results do not depend on partitioning.
+    """
+    end = F.coalesce("exit_date", as_of if isinstance(as_of, F.Column) else F.lit(as_of))
+    tenure = F.floor(F.datediff(end, "hire_date") / 365).cast("int")
+    counts = (emp.where(F.col("hire_date").isNotNull()).groupBy(F.col(by).alias("group"), tenure.alias("year"))
+              .agg(F.count(F.lit(1)).alias("n"), F.count("exit_date").alias("leavers"))
+              .where("year >= 0"))
+    group = (counts.groupBy("group").agg(F.max("year").alias("last"), F.sum("n").cast("long").alias("total"),
+                                         F.map_from_entries(F.collect_list(F.struct("year", F.struct("n", "leavers")))).alias("at")))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("leavers"))
+    start = F.struct(F.col("total").alias("left"), F.lit(1.0).alias("survival"), F.lit(0.0).alias("sum"),
+                     F.expr("CAST(array() AS array<struct<year:int,at_risk:bigint,leavers:bigint,censored:bigint,hazard:double,survival:double,se:double>>)").alias("rows"))
+
+    def step(acc, year):
+        here = F.coalesce(F.try_element_at("at", year), none)
+        hazard = here["leavers"].cast("double") / acc["left"].cast("double")
+        alive = acc["left"] - here["leavers"]
+        survival = acc["survival"] * (F.lit(1.0) - hazard)
+        total = acc["sum"] + F.when(alive > 0, here["leavers"].cast("double") / (acc["left"].cast("double") * alive.cast("double"))).otherwise(0.0)
+        row = F.struct(year.alias("year"), acc["left"].alias("at_risk"), here["leavers"].alias("leavers"),
+                       (here["n"] - here["leavers"]).alias("censored"), hazard.alias("hazard"), survival.alias("survival"),
+                       (survival * F.sqrt(total)).alias("se"))
+        return F.struct((acc["left"] - here["n"]).alias("left"), survival.alias("survival"), total.alias("sum"),
+                        F.concat(acc["rows"], F.array(row)).alias("rows"))
+
+    table = group.select("group", F.explode(F.aggregate(F.sequence(F.lit(0), "last"), start, step)["rows"]).alias("r"))
+    s, se = F.col("r.survival"), F.col("r.se")
+    return (table.select(F.col("group").alias(by), F.col("r.year").alias("tenure_years"), "r.at_risk", "r.leavers", "r.censored", "r.hazard",
+                         "r.survival", F.greatest(s - z * se, F.lit(0.0)).alias("lower"), F.least(s + z * se, F.lit(1.0)).alias("upper"))
+            .orderBy(by, "tenure_years"))
+
+
+def median_tenure(emp: DataFrame, as_of, by: str = "department") -> DataFrame:
+    """Per group: employees, leavers, the first tenure year by whose end at most half survive (NULL when
+    more than half do at the end), and the survival at the end of the table."""
+    life = survival_by_tenure(emp, as_of, by)
+    return (life.groupBy(by).agg(F.max("at_risk").alias("employees"), F.sum("leavers").alias("leavers"),
+                                 F.min(F.when(F.col("survival") <= 0.5, F.col("tenure_years"))).alias("median_years"),
+                                 F.min("survival").alias("survival_at_end")).orderBy(by))
+
+
+# --- key factors (D30) --------------------------------------------------------
+
+def factor_importance(df: DataFrame, flag: str, yes: str, factors: tuple, pairs: bool = True) -> DataFrame:
+    """Which factors, and pairs of factors, tell most about a yes/no outcome.
+
+    One contingency cube holds the counts of every factor and every pair (GROUPING SETS: one
+    scan, combined before one shuffle). Per factor or pair: number of cells, information gain
+    in bits, chi-square against independence with its degrees of freedom, Cramer's V, and the
+    rank by gain. A NULL value is a cell of its own. Sums run over the cells in order of their
+    counts, so results do not depend on partitioning; gains are rounded to 9 decimals.
+    """
+    names = list(factors)
+    sets = [(f,) for f in names] + ([(a, b) for i, a in enumerate(names) for b in names[i + 1:]] if pairs else [])
+    label = F.lit(None).cast("string")
+    for group in sets:
+        mask = sum(1 << (len(names) - 1 - i) for i, f in enumerate(names) if f not in group)
+        label = F.when(F.col("_id") == mask, F.lit(" x ".join(group))).otherwise(label)
+    known = df.where(F.col(flag).isNotNull()).select(*names, (F.col(flag) == yes).alias("_yes"))
+    cube = (known.groupingSets([[F.col(f) for f in group] for group in sets], *[F.col(f) for f in names])
+            .agg(F.grouping_id().alias("_id"), F.count(F.lit(1)).alias("n"), F.count_if("_yes").alias("y")))
+    cells = F.array_sort(F.collect_list(F.struct("n", "y")))
+    per = (cube.withColumn("factor", label).groupBy("factor")
+           .agg(F.sum("n").cast("double").alias("_n"), F.sum("y").cast("double").alias("_y"), cells.alias("cells")))
+
+    def entropy(y, n):
+        part = lambda k: F.when(k > 0, -(k / n) * F.log2(k / n)).otherwise(0.0)
+        return part(y) + part(n - y)
+
+    def over_cells(term):
+        return F.aggregate("cells", F.lit(0.0), lambda a, c: a + term(c["n"].cast("double"), c["y"].cast("double")))
+
+    n, y = F.col("_n"), F.col("_y")
+    gain = F.round(entropy(y, n) - over_cells(lambda m, k: (m / n) * entropy(k, m)), 9)
+    spread = over_cells(lambda m, k: (k - m * y / n) * (k - m * y / n) / m)
+    mixed = (y > 0) & (y < n)
+    chi2 = F.when(mixed, spread * n * n / (y * (n - y))).otherwise(0.0)
+    out = per.select("factor", F.size("cells").alias("cells"), gain.alias("gain"), F.round(chi2, 6).alias("chi2"),
+                     F.when(mixed, F.size("cells") - 1).otherwise(0).alias("df"), F.round(F.sqrt(chi2 / n), 9).alias("cramers_v"))
+    # one row per factor and pair
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("gain"), "factor"))).orderBy("rank")

@@ -45,7 +45,7 @@ DESCRIBED_IDS = {
     "D20": ["normalize"], "D21": ["attrition_by_year_top"], "D22": ["top_roles_per_department"],
     "D23": ["top_groups"], "D24": ["age_brackets"], "D25": ["avg_by_group"],
     "D26": ["gender_by_bracket", "gender_by_bracket_group"], "D27": ["snowflake_join"], "D28": ["review_history"],
-    "D29": ["hiring_trend"], "D30": ["rate_by_factor", "rate_within_department"], "D31": ["rate_by_year"], "D32": ["rate_by_tenure", "risky_tenure"],
+    "D29": ["hiring_trend"], "D30": ["rate_by_factor", "rate_within_department", "attrition_factors", "return_factors"], "D31": ["rate_by_year"], "D32": ["rate_by_tenure", "risky_tenure", "survival_by_tenure", "median_tenure"],
     "D33": ["weekly_trend", "monthly_trend"], "D34": ["seasonality_index"], "D35": ["sales_anomalies"],
     "D36": ["kpi_summary"], "D37": ["mom_change"], "D38": ["churn_retention_corr"], "D39": ["true_churn"],
     "D40": ["customer_lifetime_value", "clv_drivers"], "D41": ["geo_performance"], "D42": ["segment_performance"],

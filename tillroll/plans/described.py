@@ -24,6 +24,8 @@ RLS_MANAGER = "Chris"
 BIDIRECTIONAL_CATEGORY = "PROMO"
 CORR_COLUMNS = ["sales", "profit", "quantity_ordered_new", "unit_price"]
 BIN_WIDTH = 10000
+ATTRITION_FACTORS = ("overtime", "business_travel", "department", "job_role", "gender", "ethnicity", "age_bracket")
+RETURN_FACTORS = ("ship_mode", "product_category", "product_container", "order_priority", "customer_segment")
 
 
 def _out(df):
@@ -338,6 +340,25 @@ def rate_by_tenure(spark, sf_dir):
     return hr.rate_by_tenure(_emp(spark, sf_dir), _data_end(spark, sf_dir))
 
 
+def survival_by_tenure(spark, sf_dir):
+    return hr.survival_by_tenure(_emp(spark, sf_dir), _data_end(spark, sf_dir))
+
+
+def median_tenure(spark, sf_dir):
+    return hr.median_tenure(_emp(spark, sf_dir), _data_end(spark, sf_dir))
+
+
+def attrition_factors(spark, sf_dir):
+    return hr.factor_importance(_emp(spark, sf_dir).withColumn("age_bracket", hr.age_bracket()), "attrition", "Yes", ATTRITION_FACTORS)
+
+
+def return_factors(spark, sf_dir):
+    """Which attributes of an order line go with its return."""
+    lines = sales_line(spark, sf_dir, ["ship_mode", "product_category", "product_container", "order_priority", "customer_segment"],
+                       order_join=(o_return(spark, sf_dir), "left", {"returned": "order_status"}))
+    return hr.factor_importance(lines.withColumn("returned", F.coalesce("returned", F.lit("Kept"))), "returned", "Returned", RETURN_FACTORS)
+
+
 # --- make versus buy -----------------------------------------------------------------
 
 def unit_cost(spark, sf_dir):

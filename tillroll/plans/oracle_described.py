@@ -57,6 +57,43 @@ emp AS (SELECT *, CASE WHEN exit_date IS NOT NULL THEN 'Yes' ELSE 'No' END AS at
 _BRACKET = ("CASE WHEN age < 20 THEN '<20' ELSE CAST(CAST(floor(age / 10) * 10 AS INTEGER) AS VARCHAR) || '-' || "
             "CAST(CAST(floor(age / 10) * 10 + 9 AS INTEGER) AS VARCHAR) END")
 
+# life table: one row per department and tenure year; running products and sums over the years as lists
+_LIFE_TABLE = _EMP + """
+, ten AS (SELECT department, CAST(floor(datediff('day', hire_date, COALESCE(exit_date, (SELECT d FROM dend))) / 365) AS INTEGER) AS t, exit_date FROM emp),
+yrs AS (SELECT department, unnest(range(max(t) + 1)) AS y FROM ten GROUP BY department),
+risk AS (SELECT yrs.department, y, count(*) FILTER (t >= y) AS r, count(*) FILTER (t = y AND exit_date IS NOT NULL) AS d,
+                count(*) FILTER (t = y AND exit_date IS NULL) AS c FROM yrs JOIN ten USING (department) GROUP BY ALL),
+ran AS (SELECT *, list(CAST(1 AS DOUBLE) - CAST(d AS DOUBLE) / CAST(r AS DOUBLE)) OVER w AS keeps,
+               list(CASE WHEN r > d THEN CAST(d AS DOUBLE) / (CAST(r AS DOUBLE) * CAST(r - d AS DOUBLE)) ELSE 0 END) OVER w AS terms
+        FROM risk WINDOW w AS (PARTITION BY department ORDER BY y)),
+life AS (SELECT department, CAST(y AS INTEGER) AS tenure_years, r, d, c, CAST(d AS DOUBLE) / CAST(r AS DOUBLE) AS h,
+                list_reduce(keeps, lambda a, b: a * b) AS s,
+                list_reduce(keeps, lambda a, b: a * b) * sqrt(list_reduce(terms, lambda a, b: a + b)) AS se FROM ran)
+"""
+
+
+def _factor_sql(facts: str, factors: tuple) -> str:
+    """Gain and chi-square of each factor and pair, from facts (the factors, yes)."""
+    sets = [(f,) for f in factors] + [(a, b) for i, a in enumerate(factors) for b in factors[i + 1:]]
+    counts = " UNION ALL ".join(
+        f"SELECT '{' x '.join(g)}' AS factor, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (yes) AS DOUBLE) AS y FROM facts GROUP BY {', '.join(g)}"
+        for g in sets)
+    bits = "(CASE WHEN {0} > 0 THEN -({0} / {1}) * log2({0} / {1}) ELSE 0 END)"
+
+    def entropy(y, n):
+        return f"({bits.format(y, n)} + {bits.format(f'({n} - {y})', n)})"
+
+    return (facts + ", cells AS (" + counts + "), whole AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (yes) AS DOUBLE) AS y FROM facts), "
+            "terms AS (SELECT factor, c.n, c.y, w.n AS wn, w.y AS wy, c.n / w.n * " + entropy("c.y", "c.n") + " AS h, "
+            "(c.y - c.n * w.y / w.n) * (c.y - c.n * w.y / w.n) / c.n AS q FROM cells c, whole w), "
+            "sums AS (SELECT factor, any_value(wn) AS wn, any_value(wy) AS wy, count(*) AS k, "
+            "list_reduce(list_prepend(CAST(0 AS DOUBLE), list(h ORDER BY n, y)), lambda a, b: a + b) AS h, "
+            "list_reduce(list_prepend(CAST(0 AS DOUBLE), list(q ORDER BY n, y)), lambda a, b: a + b) AS q FROM terms GROUP BY factor), "
+            "told AS (SELECT factor, CAST(k AS INTEGER) AS cells, round(" + entropy("wy", "wn") + " - h, 9) AS gain, "
+            "round(q * wn * wn / (wy * (wn - wy)), 6) AS chi2, CAST(k - 1 AS INTEGER) AS df, round(sqrt(q * wn * wn / (wy * (wn - wy)) / wn), 9) AS cramers_v FROM sums) "
+            "SELECT *, CAST(row_number() OVER (ORDER BY gain DESC, factor) AS INTEGER) AS rank FROM told")
+
+
 _COST = """
 , demand AS (SELECT l_partkey AS item, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS volume
              FROM lineitem GROUP BY 1),
@@ -390,6 +427,18 @@ ORACLE_DESCRIBED = {
         "stop AS (SELECT department, MIN(y) AS y FROM t WHERE NOT CAST(k AS DOUBLE) / CAST(n AS DOUBLE) * 100 > 25 GROUP BY 1) "
         "SELECT t.department, MAX(t.y) FILTER (WHERE stop.y IS NULL OR t.y < stop.y) AS max_tenure "
         "FROM t LEFT JOIN stop ON t.department = stop.department GROUP BY 1"),
+    "survival_by_tenure": _q(
+        _LIFE_TABLE + "SELECT department, tenure_years, r AS at_risk, d AS leavers, c AS censored, h AS hazard, s AS survival, "
+        "greatest(s - 1.96 * se, 0) AS lower, least(s + 1.96 * se, 1) AS upper FROM life"),
+    "median_tenure": _q(
+        _LIFE_TABLE + "SELECT department, max(r) AS employees, CAST(sum(d) AS BIGINT) AS leavers, min(tenure_years) FILTER (s <= 0.5) AS median_years, "
+        "min(s) AS survival_at_end FROM life GROUP BY department"),
+    "attrition_factors": _q(_factor_sql(
+        _EMP + ", facts AS (SELECT *, " + _BRACKET + " AS age_bracket, exit_date IS NOT NULL AS yes FROM emp)",
+        ("overtime", "business_travel", "department", "job_role", "gender", "ethnicity", "age_bracket"))),
+    "return_factors": _q(_factor_sql(
+        ", facts AS (SELECT *, order_id IN (SELECT order_id FROM o_return) AS yes FROM sales_line)",
+        ("ship_mode", "product_category", "product_container", "order_priority", "customer_segment"))),
     "unit_cost": _q(_COST + "SELECT item, source, CAST(unit_c AS DOUBLE) / 100 AS unit_cost FROM units"),
     "extended_cost": _q(
         _COST + "SELECT u.item, source, volume, CAST(unit_c AS DOUBLE) / 100 AS unit_cost, "
