@@ -47,7 +47,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tillroll.session import ensure_checkpoint_dir
 
-from .common import settled, shuffle_parts
+from .common import remove_folder, settled, shuffle_parts
 
 LETTERS = "ABCDE"
 BIT = {letter: 1 << i for i, letter in enumerate(LETTERS)}
@@ -206,8 +206,10 @@ def counters(spark: SparkSession, docs_path: str, labels: DataFrame, how: Audit
     keyed = (combined(with_labels(masked(stream), labels, how)).withColumn("cell", cell)
              .withColumn("group", F.pmod(F.col("cell"), F.lit(groups))))
     deltas = keyed.groupBy("group").transformWithStateInPandas(LeastIds(cells), DELTAS, "append", "none")
+    # changes alone are uploaded after a micro-batch, and no disk is set aside for the logs of a store
     wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
-              "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+              "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+              "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
     before = {k: spark.conf.get(k, None) for k in wanted}
     try:
         for k, v in wanted.items():
@@ -227,11 +229,6 @@ def counters(spark: SparkSession, docs_path: str, labels: DataFrame, how: Audit
     return out
 
 
-def remove_folder(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def every_order(counts: DataFrame) -> DataFrame:
     """One row per part, order of the filters and step, from the counters.
 
