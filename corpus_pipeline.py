@@ -3,7 +3,14 @@
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and
 returns the columns of ``documents``, but for the last, which returns the packed
 sequences. ``run`` writes each stage's rows to the shared checkpoint folder and reads
-them back for the next, so a lost executor costs at most the stage at hand.
+them back for the next, so a lost executor costs at most the stage at hand; a stage's
+folder goes once the next one is written.
+
+For every stage: null or empty texts are texts without words (quality rules reject them,
+the other stages keep them); rows without an id are kept apart from each other; repeated
+rows are judged each, but the Jaccard join keeps one of rows equal in id and text; an empty
+table gives an empty table; further columns pass through whatever their names; texts of any
+length are read whole. The operators' docstrings say more.
 """
 
 from __future__ import annotations
@@ -13,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import bin_packing, host_rules, jaccard_join, secret_forest, systematic_mix
-from tillroll.llm.common import table
+from tillroll.llm.common import remove_folder, table
 from tillroll.session import ensure_checkpoint_dir
 
 
@@ -62,4 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if number:
+            remove_folder(spark, f"{folder}/{number - 1}")
     return docs
