@@ -41,7 +41,7 @@ DESCRIBED_IDS = {
     "D05": ["categorize"], "D06": ["value_if_single"], "D07": ["lookup_related"], "D08": ["row_level_security"],
     "D09": ["bidirectional_filter"], "D10": ["null_profile"], "D11": ["impute_median"], "D12": ["iqr_outliers"],
     "D13": ["winsorize"], "D14": ["box_stats"], "D15": ["category_frequency"], "D16": ["correlation_matrix"],
-    "D17": ["binned_pairs"], "D18": ["deduplicate", "duplicate_summary"], "D19": ["validate"],
+    "D17": ["binned_pairs"], "D18": ["deduplicate", "duplicate_summary", "inconsistent_names"], "D19": ["validate"],
     "D20": ["normalize"], "D21": ["attrition_by_year_top"], "D22": ["top_roles_per_department"],
     "D23": ["top_groups"], "D24": ["age_brackets"], "D25": ["avg_by_group"],
     "D26": ["gender_by_bracket", "gender_by_bracket_group"], "D27": ["snowflake_join"], "D28": ["review_history"],

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import decimals_to_double, pct
-from tillroll.operators import cost, hr, measures, quality
+from tillroll.operators import cost, fuzzy, hr, measures, quality
 from tillroll.operators import customer as cust
 from tillroll.operators import join as jn
 from tillroll.operators import time as tm
@@ -241,6 +241,11 @@ def duplicate_summary(spark, sf_dir):
     return quality.duplicate_summary(read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+def inconsistent_names(spark, sf_dir):
+    """Product names that are nearly equal: at most two edits apart."""
+    return fuzzy.inconsistent_values(read_table(spark, sf_dir, "part"), "p_name", k=2)
+
+
 def validate(spark, sf_dir):
     """Every rule runs on the base tables, before any join could drop the rows it looks for."""
     t = lambda n: read_table(spark, sf_dir, n)

@@ -339,6 +339,15 @@ ORACLE_DESCRIBED = {
         "SELECT CAST(SUM(c) AS BIGINT) AS rows, COUNT(*) AS distinct_keys, CAST(SUM(c - 1) AS BIGINT) AS duplicate_rows, "
         "COUNT(*) FILTER (WHERE c > 1) AS duplicated_keys "
         "FROM (SELECT l_orderkey, l_linenumber, COUNT(*) AS c FROM lineitem GROUP BY 1, 2) x"),
+    "inconsistent_names": (
+        "WITH RECURSIVE names AS (SELECT p_name AS value, count(*) AS n, trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')) AS t FROM part "
+        "WHERE p_name IS NOT NULL GROUP BY ALL), "
+        "near AS (SELECT a.value AS a, b.value AS b FROM names a JOIN names b ON damerau_levenshtein(a.t, b.t) <= 2), "
+        "reach AS (SELECT value AS a, value AS b FROM names UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a), "
+        "grp AS (SELECT a AS value, min(b) AS g, count(*) AS spellings FROM reach GROUP BY a), "
+        "best AS (SELECT g, arg_min(value, (-n, value)) AS canonical FROM grp JOIN names USING (value) GROUP BY g) "
+        "SELECT v.value, v.n AS rows, canonical, spellings, CAST(damerau_levenshtein(v.t, c.t) AS INTEGER) AS distance "
+        "FROM grp JOIN best USING (g) JOIN names v USING (value) JOIN names c ON c.value = canonical WHERE spellings > 1"),
     "validate": (
         "SELECT 'order_id_not_null' AS rule, COUNT(*) FILTER (WHERE l_orderkey IS NULL) AS violations FROM lineitem "
         "UNION ALL SELECT 'negative_sales', COUNT(*) FILTER (WHERE l_extendedprice < 0) FROM lineitem "
