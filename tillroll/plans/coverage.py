@@ -37,7 +37,7 @@ NAMED_IDS = {
 }
 
 DESCRIBED_IDS = {
-    "D01": ["total_ytd"], "D02": ["same_period_last_year"], "D03": ["summarize"], "D04": ["add_columns"],
+    "D01": ["total_ytd", "total_ytd_calendar"], "D02": ["same_period_last_year", "same_period_calendar"], "D03": ["summarize"], "D04": ["add_columns"],
     "D05": ["categorize"], "D06": ["value_if_single"], "D07": ["lookup_related"], "D08": ["row_level_security"],
     "D09": ["bidirectional_filter"], "D10": ["null_profile"], "D11": ["impute_median"], "D12": ["iqr_outliers"],
     "D13": ["winsorize"], "D14": ["box_stats"], "D15": ["category_frequency"], "D16": ["correlation_matrix"],
@@ -46,8 +46,8 @@ DESCRIBED_IDS = {
     "D23": ["top_groups"], "D24": ["age_brackets"], "D25": ["avg_by_group"],
     "D26": ["gender_by_bracket", "gender_by_bracket_group"], "D27": ["snowflake_join"], "D28": ["review_history"],
     "D29": ["hiring_trend"], "D30": ["rate_by_factor", "rate_within_department", "attrition_factors", "return_factors"], "D31": ["rate_by_year"], "D32": ["rate_by_tenure", "risky_tenure", "survival_by_tenure", "median_tenure"],
-    "D33": ["weekly_trend", "monthly_trend"], "D34": ["seasonality_index"], "D35": ["sales_anomalies"],
-    "D36": ["kpi_summary"], "D37": ["mom_change"], "D38": ["churn_retention_corr"], "D39": ["true_churn"],
+    "D33": ["weekly_trend", "monthly_trend", "moving_average_calendar"], "D34": ["seasonality_index"], "D35": ["sales_anomalies"],
+    "D36": ["kpi_summary", "rolling_customers"], "D37": ["mom_change", "mom_change_calendar"], "D38": ["churn_retention_corr"], "D39": ["true_churn"],
     "D40": ["customer_lifetime_value", "clv_drivers"], "D41": ["geo_performance"], "D42": ["segment_performance"],
     "D43": ["orders_by_category"], "D44": ["sales_by_weekday"],
     "D45": ["shipping_effectiveness", "shipping_effectiveness_by_state"], "D46": ["unit_cost"],

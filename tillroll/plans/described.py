@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import decimals_to_double, pct
-from tillroll.operators import cost, fuzzy, hr, measures, quality
+from tillroll.operators import calendar, cost, fuzzy, hr, measures, quality
 from tillroll.operators import customer as cust
 from tillroll.operators import join as jn
 from tillroll.operators import time as tm
 from tillroll.sources import binding as b
+from tillroll.sources import sketches
 from tillroll.sources.binding import o_return, sales_line, users
 from tillroll.sources.tables import read_table
 
@@ -167,6 +168,34 @@ def sales_anomalies(spark, sf_dir):
     return tm.sales_anomalies(_slo(spark, sf_dir, "order_date", "sales"))
 
 
+CALENDAR = ["state_province", "product_sub_category"]
+
+
+def _cal(spark, sf_dir):
+    return _sl(spark, sf_dir, "order_date", "sales", *CALENDAR)
+
+
+def total_ytd_calendar(spark, sf_dir):
+    return calendar.total_ytd_calendar(_cal(spark, sf_dir), CALENDAR)
+
+
+def same_period_calendar(spark, sf_dir):
+    return calendar.same_period_calendar(_cal(spark, sf_dir), CALENDAR)
+
+
+def moving_average_calendar(spark, sf_dir):
+    return calendar.moving_average_calendar(_cal(spark, sf_dir), CALENDAR)
+
+
+def mom_change_calendar(spark, sf_dir):
+    return calendar.mom_change_calendar(_cal(spark, sf_dir), CALENDAR)
+
+
+def rolling_customers(spark, sf_dir):
+    """Customers of the twelve months that end with each month, per region, from monthly sketches."""
+    return sketches.rolling_customers(_slo(spark, sf_dir, "order_date", "region", "customer_id"), ["region"])
+
+
 # --- customers ----------------------------------------------------------------
 
 def true_churn(spark, sf_dir):

@@ -72,6 +72,14 @@ life AS (SELECT department, CAST(y AS INTEGER) AS tenure_years, r, d, c, CAST(d
 """
 
 
+# every month of every state and sub-category, from its first sale to the last month of the data
+_CALENDAR = (f", held AS (SELECT state_province, product_sub_category, {MSTART} AS month, SUM(sales) AS v FROM sales_line GROUP BY ALL), "
+             "spine AS (SELECT state_province, product_sub_category, CAST(unnest(generate_series(min(month), (SELECT max(month) FROM held), INTERVAL 1 MONTH)) AS DATE) "
+             "AS month FROM held GROUP BY state_province, product_sub_category), "
+             "cal AS (SELECT spine.*, coalesce(v, 0) AS v, v IS NOT NULL AS present FROM spine LEFT JOIN held USING (state_province, product_sub_category, month)) ")
+_CAL_KEYS = "state_province, product_sub_category, month, CAST(v AS DOUBLE) AS value"
+
+
 def _factor_sql(facts: str, factors: tuple) -> str:
     """Gain and chi-square of each factor and pair, from facts (the factors, yes)."""
     sets = [(f,) for f in factors] + [(a, b) for i, a in enumerate(factors) for b in factors[i + 1:]]
@@ -201,6 +209,25 @@ ORACLE_DESCRIBED = {
         f", m AS (SELECT region, {MSTART} AS month, SUM(sales) AS v FROM sales_line GROUP BY 1, 2) "
         "SELECT region, month, CAST(v AS DOUBLE) AS value, CAST(SUM(v) OVER (PARTITION BY region, year(month) "
         "ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS ytd FROM m"),
+    "total_ytd_calendar": _q(
+        _CALENDAR + f"SELECT {_CAL_KEYS}, CAST(SUM(v) OVER (PARTITION BY state_province, product_sub_category, year(month) ORDER BY month) AS DOUBLE) AS ytd, "
+        "present FROM cal"),
+    "same_period_calendar": _q(
+        _CALENDAR + f"SELECT {_CAL_KEYS}, CAST(p AS DOUBLE) AS prior, CAST(v - p AS DOUBLE) / nullif(CAST(p AS DOUBLE), 0) * 100 AS yoy_pct "
+        "FROM (SELECT a.*, b.v AS p FROM cal a LEFT JOIN cal b ON a.state_province = b.state_province "
+        "AND a.product_sub_category = b.product_sub_category AND b.month = a.month - INTERVAL 1 YEAR)"),
+    "moving_average_calendar": _q(
+        _CALENDAR + ", near AS (SELECT *, SUM(" + cents("v") + ") OVER w AS c, COUNT(*) OVER w AS n FROM cal WINDOW w AS "
+        "(PARTITION BY state_province, product_sub_category ORDER BY month RANGE BETWEEN INTERVAL 3 MONTH PRECEDING AND CURRENT ROW)) "
+        f"SELECT {_CAL_KEYS}, CAST({hu('c', 'n')} AS DOUBLE) / 100 AS moving_avg FROM near"),
+    "mom_change_calendar": _q(
+        _CALENDAR + f"SELECT {_CAL_KEYS}, CAST(v - p AS DOUBLE) / nullif(CAST(p AS DOUBLE), 0) * 100 AS mom_pct "
+        "FROM (SELECT *, LAG(v) OVER (PARTITION BY state_province, product_sub_category ORDER BY month) AS p FROM cal)"),
+    "rolling_customers": _q(
+        f", seen AS (SELECT DISTINCT region, {MSTART} AS m, customer_id FROM sales_line), ends AS (SELECT DISTINCT region, "
+        "CAST(m + to_months(CAST(k AS INTEGER)) AS DATE) AS month FROM seen, range(12) t(k) WHERE m + to_months(CAST(k AS INTEGER)) <= (SELECT max(m) FROM seen)) "
+        "SELECT ends.region, month, COUNT(DISTINCT customer_id) AS customers FROM ends JOIN seen ON ends.region = seen.region "
+        "AND m BETWEEN month - INTERVAL 11 MONTH AND month GROUP BY ALL"),
     "same_period_last_year": _q(
         f", m AS (SELECT {MSTART} AS month, SUM(sales) AS v FROM sales_line GROUP BY 1) "
         "SELECT a.month, CAST(a.v AS DOUBLE) AS value, CAST(b.v AS DOUBLE) AS prior, "

@@ -46,6 +46,48 @@ def read_csv_declared(spark: SparkSession, path: str, schema: T.StructType, **op
     return reader.csv(path)
 
 
+def read_csv_with_rejects(spark: SparkSession, path: str, schema: T.StructType, formats: dict[str, str] | None = None,
+                          **options) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of CSV files with a declared schema: no bad value becomes a silent NULL.
+
+    Every field is read as text and converted to its declared type. A record goes to the
+    rejects when a field does not convert, a non-nullable field is empty, or the number of
+    fields is wrong; the others are rows of the declared schema. ``rejects`` has the
+    source_file, the record as CSV text, and ``problems``, one (column, value, reason) per
+    fault. ``formats`` gives date or timestamp patterns by column.
+    """
+    raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields] + [T.StructField("_malformed", T.StringType())])
+    reader = spark.read.schema(raw).option("header", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_malformed")
+    for key, value in options.items():
+        reader = reader.option(key, value)
+    texts = reader.csv(path).withColumn("_file", F.col("_metadata.file_path"))
+    typed, problems = {}, []
+    for field in schema.fields:
+        text = F.col(f"`{field.name}`")
+        pattern = (formats or {}).get(field.name)
+        value = (F.try_to_timestamp(text, F.lit(pattern)) if pattern else F.trim(text)).try_cast(field.dataType) \
+            if not isinstance(field.dataType, T.StringType) else text
+        typed[field.name] = value
+        wrong = F.when(text.isNotNull() & value.isNull(), F.lit(f"not a {field.dataType.simpleString()}"))
+        if not field.nullable:
+            wrong = F.when(text.isNull(), F.lit("missing")).otherwise(wrong)
+        problems.append(F.when(wrong.isNotNull(), F.struct(F.lit(field.name).alias("column"), text.alias("value"), wrong.alias("reason"))))
+    problems.append(F.when(F.col("_malformed").isNotNull(), F.struct(F.lit(None).cast("string").alias("column"), F.col("_malformed").alias("value"),
+                                                                     F.lit("wrong number of fields").alias("reason"))))
+    judged = texts.withColumn("problems", F.array_compact(F.array(*problems)))
+    record = F.coalesce("_malformed", F.to_csv(F.struct(*[F.col(f"`{f.name}`") for f in schema.fields])))
+    rows = judged.where(F.size("problems") == 0).select(*[typed[f.name].alias(f.name) for f in schema.fields])
+    rejects = judged.where(F.size("problems") > 0).select(F.col("_file").alias("source_file"), record.alias("record"), "problems")
+    return rows, rejects
+
+
+def reject_rules(rejects: DataFrame) -> DataFrame:
+    """rule, violations: rejected values by column and reason, to stand beside the rules of ``validate``."""
+    each = rejects.select(F.explode("problems").alias("p"))
+    rule = F.concat_ws(": ", F.lit("ingest"), "p.column", "p.reason")
+    return each.groupBy(rule.alias("rule")).agg(F.count(F.lit(1)).alias("violations"))
+
+
 def read_jdbc(spark: SparkSession, url: str, query_or_table: str, partition_column: str | None = None,
               lower_bound: int | None = None, upper_bound: int | None = None,
               num_partitions: int = 64, **options) -> DataFrame:
