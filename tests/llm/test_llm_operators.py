@@ -413,20 +413,54 @@ def test_masking_changes_secrets_alone(spark):
 
 
 def test_labels_of_one_kind_decide_for_all(spark):
-    only_cards = docs_frame(spark, [(1, "pay 4111111111111111 now", "en", "s")])
-    assert [r.is_secret for r in secret_forest.findings(only_cards).collect()] == [False]
-    unlabelled = docs_frame(spark, [(1, "x 12ab34cd56ef78gh y", "en", "s")])
-    assert [(r.is_secret, r.probability) for r in secret_forest.findings(unlabelled).collect()] == [(True, 1.0)]
+    docs = docs_frame(spark, [(1, "pay 4111111111111111 now", "en", "s"), (2, 'token = "0123456789abcdef0123"', "en", "s")])
+    found = secret_forest.with_features(secret_forest.candidates(docs), [])
+    for label in (0.0, 1.0):
+        rows = secret_forest.findings(docs, reviewed=found.withColumn("label", F.lit(label))).collect()
+        assert [(r.is_secret, r.probability) for r in rows] == [(bool(label), label)] * 2
+    none = secret_forest.findings(docs, reviewed=found.withColumn("label", F.lit(0.0)).limit(0)).collect()
+    assert [(r.is_secret, r.probability) for r in none] == [(True, 1.0)] * 2
 
 
 @pytest.mark.parametrize("rare", [0, 1])
-def test_a_rare_label_is_in_the_training_sample(spark, rare):
-    rng = random.Random(9)
-    secret, card = f'token = "{rng.getrandbits(160):040x}" ends', "card 4111111111111111 ends"
-    common = [(i, f"card {rng.randrange(10**15, 10**16)} ends" if rare else f'token = "{rng.getrandbits(160):040x}" ends', "en", "s") for i in range(400)]
-    rows = docs_frame(spark, [*common, *[(1000 + i, secret if rare else card, "en", "s") for i in range(2)]])
-    got = secret_forest.findings(rows, secret_forest.Forest(train_rows=40)).collect()
-    assert {r.doc_id for r in got if r.is_secret} == ({1000, 1001} if rare else set(range(400)))
+def test_a_rare_label_is_in_the_bounded_sample(spark, rare):
+    key = "AKIA" + "Q7RZ4WXK2M5NTB9C"
+    common = [f"card {10**15 + 7919 * i} ends" if rare else f"key AKIA{10**15 + i:016d} ends" for i in range(400)]
+    rows = [*common, *([f"use {key} ends"] if rare else ["card 4111111111111111 ends"])]
+    docs = docs_frame(spark, [(i % 300, t, "en", "s") for i, t in enumerate(rows + rows)])
+    got = secret_forest.bounded_sample(secret_forest.certain(secret_forest.with_features(secret_forest.candidates(docs), [])), 100).groupBy("label").count().collect()
+    count = {r.label: r["count"] for r in got}
+    assert count[float(rare)] == 1 and 25 <= count[1.0 - rare] <= 85
+
+
+def test_the_forest_judges_equal_strings_by_their_neighbours(spark):
+    rng = random.Random(31)
+    same = [f"{rng.getrandbits(160):040x}" for _ in range(12)]
+    rows = [(i, f'set token = "{x}" here', "en", "s") for i, x in enumerate(same)] + [(100 + i, f"see commit {x} here", "en", "s") for i, x in enumerate(same)]
+    got = {r.doc_id: r.is_secret for r in secret_forest.findings(docs_frame(spark, rows)).collect()}
+    assert got == {i: i < 100 for i, _, _, _ in rows}
+    found = secret_forest.with_features(secret_forest.candidates(docs_frame(spark, rows)), [])
+    assert secret_forest.certain(found).count() == 0          # no rule is certain of any of them
+
+
+def test_the_forest_uses_every_kind_of_feature_and_holds_out(spark):
+    given = common.settled(secret_forest.reviewed_findings(spark, 4000, secret_forest.WORDS))
+    assert 3900 < given.count() <= 4000 and given.select("candidate", "before", "after", "path").distinct().count() > 3000
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = secret_forest.trained(given.where(~held))
+    weight = dict(zip(secret_forest.FEATURES, model.featureImportances.toArray()))
+    assert all(weight[x] > 0.001 for x in ("length", "transitions", "dictionary", "path_test", "path_depth", "named", "other_name", "words_before", "number_before"))
+    out = secret_forest.scored(given.where(held), model).select("label", "is_secret").collect()
+    hit = sum(r.is_secret and r.label == 1 for r in out)
+    assert hit >= 0.95 * sum(r.is_secret for r in out) and hit >= 0.95 * sum(r.label == 1 for r in out)
+
+
+def test_the_dictionary_is_the_corpus_own(spark):
+    docs = docs_frame(spark, [(i, "Window and thread " + ("rare%d" % i) + " the deadbeef1" + (" extra" if i < 3 else ""), "en", "s") for i in range(9)] + [(99, None, "en", "s")])
+    assert secret_forest.dictionary(docs, 2) == ["thread", "window"] and secret_forest.dictionary(docs, 3) == ["extra", "thread", "window"]
+    pattern = re.compile(secret_forest.prefix_pattern(["in", "index", "indexes", "inner", "table", "a.b"]))
+    assert pattern.findall("indexesinnerxtableinindexa.b") == ["indexes", "inner", "table", "in", "index", "a.b"]
+    assert re.compile(secret_forest.prefix_pattern([])).findall("abc") == []
 
 
 def test_assigned_passwords_are_found_whatever_they_look_like(spark):

@@ -49,6 +49,23 @@ def let(value, body) -> F.Column:
     return F.transform(F.array(value), body)[0]
 
 
+def most_frequent(counts: DataFrame, word: str, limit: int) -> list:
+    """The values of ``word`` with the largest counts ``n``, sorted: at most ``limit`` of them.
+
+    A histogram of the counts, by steps of a sixteenth of a doubling, says from which count on
+    the values fit, so no more than ``limit`` leave the executors. Values of one step are in
+    or out together.
+    """
+    counts = settled(counts.withColumn("__step", F.floor(16 * F.log2("n")).cast("int")))
+    least, room = None, limit
+    for step, n in sorted(counts.groupBy("__step").count().collect(), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        least = step
+    return [] if least is None else sorted(r[0] for r in counts.where(F.col("__step") >= least).select(word).collect())
+
+
 def numbered(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
     """Adds ``out``, the 1-based place of each row in its group by ``order``.
 

@@ -6,29 +6,32 @@ a run without blanks, of any length), or a run of at least twelve key characters
 digit in it. Of an unquoted value closing punctuation is no part.
 The text is split at its candidates, so their places and neighbours come from the pieces
 without a join. Features are the candidate's length, its mix of and transitions between
-character classes, how much of it dictionary words cover, the path of the document, and
-the words before and after it. The forest is trained on labelled findings, a bounded
-sample of them, up to half of ``train_rows`` of each label, the same rows at each run.
-
-``labelled`` gives findings their labels where a rule is certain: issued key formats and
-values assigned to a secret's name are secrets; bare numbers, word-like strings and
-values introduced as something else are not, nor are assigned placeholders and references
-to code. Everything else, as an assigned plain word, is left to the forest. A reviewed table with the same columns can be used instead.
+character classes, how much of it the corpus's own frequent words cover, the path of the
+document, and the words before and after it.
+
+The forest is trained on labelled findings. By default these are the reviewed ones that
+ship with the library (``reviewed_findings``: some thousand findings of known kinds, each
+with its reviewer's verdict, which looks at no feature), and those of the corpus that are
+certain by their own characters: issued key formats are secrets; bare numbers and
+placeholders are not. Everything else, whatever stands before it, is left to the forest.
+Another reviewed table with the same columns can be given. A finding that repeats counts
+once; the corpus gives a bounded sample of each label, drawn by hash against a threshold
+set by the label's count, the same at each run.
 
 Defined results: a null or empty text has no candidates; a null path counts as a plain
-one; repeated rows give repeated findings; without labelled findings, or with one kind
-only, every candidate gets that kind (none: all stand). An empty table gives an empty
-result. Only the named columns are read; text in any amount stays in its row.
+one; repeated rows give repeated findings; with given findings of one kind only, every
+candidate gets that kind (none: all stand). An empty table gives an empty result. Only the
+named columns are read; text in any amount stays in its row.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import most_frequent, settled
 
 CANDIDATE = r"(?<![A-Za-z0-9_/+\-])(?=[A-Za-z_/+\-]*[0-9])[A-Za-z0-9_/+\-]{12,}={0,2}"
 BEFORE, AFTER = 60, 30
@@ -45,23 +48,19 @@ STRINGS = f"{ASSIGNED}|{CANDIDATE}"
 PLACEHOLDER = (r"(?i)^(?:a|an|the|is|are|was|were|your|my|our|his|her|their|this|that|to|for|of|and|or|not|none|null|nil|true|false|yes|no|"
                r"required|optional|missing|invalid|expired|wrong|incorrect|empty|unknown|changeme|string|str|text|bytes|int|"
                r"\*+|x+|\.+|-+|<.*|\$[\{(].*|\{\{.*|%[({].*|[a-z_][a-z_.]*[\[(].*|(?:os|self|this|env|config|settings|process)\..*)$")
-#: An assigned value that is surely more than a word of the text.
-MIXED = r"^(?=\S*[^A-Za-z])\S{6,}$"
 KEY_FORMATS = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abpr]-[A-Za-z0-9\-]{10,}$|^AIza[A-Za-z0-9_\-]{35}$"
-#: The dictionary whose cover of a candidate is measured.
-DICTIONARY = ("about|access|account|after|also|and|are|base|build|class|code|config|content|data|date|default|error|example|file|"
-              "first|for|from|function|have|header|html|http|image|index|info|item|key|line|link|list|local|main|message|model|"
-              "name|node|not|number|object|page|param|path|product|query|read|request|result|sample|server|size|source|string|"
-              "system|table|test|text|that|the|this|time|title|type|update|user|value|version|view|with|word")
 
 
 @dataclass(frozen=True)
 class Forest:
-    """Size of the forest and of its training sample, its seed, and the probability that makes a finding."""
+    """Size of the forest, findings it learns from at most (of the corpus, and reviewed ones that ship with
+    it), words of the dictionary at most, its seed, and the probability that makes a finding."""
 
-    trees: int = 20
-    depth: int = 6
+    trees: int = 40
+    depth: int = 8
     train_rows: int = 20_000
+    reviewed_rows: int = 6000
+    dictionary: int = 2000
     seed: int = 5
     stands: float = 0.5
 
@@ -93,8 +92,31 @@ def candidates(docs: DataFrame, text: str = "text", path: str = "source") -> Dat
     return spread.select("doc_id", "text_hash", "nth", start.cast("long").alias("start"), "candidate", "before", "after", "path")
 
 
-def with_features(found: DataFrame) -> DataFrame:
-    """Adds the FEATURES, all doubles, to candidates."""
+def dictionary(docs: DataFrame, words: int, text: str = "text") -> list[str]:
+    """The words of 4 to 12 letters found in most documents: at most ``words``, counted over all texts."""
+    found = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?<![a-z0-9])[a-z]{4,12}(?![a-z0-9])"), F.lit(0))))
+    return most_frequent(docs.select(found.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word", words)
+
+
+def prefix_pattern(words: list[str]) -> str:
+    """A pattern of any of the words, longest first, with common beginnings written once."""
+    tree: dict = {}
+    for word in words:
+        at = tree
+        for letter in word:
+            at = at.setdefault(letter, {})
+        at[""] = {}
+
+    def written(at: dict) -> str:
+        parts = [letter + written(rest) for letter, rest in sorted(at.items()) if letter]
+        inner = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+        return "" if not parts else f"(?:{inner})?" if "" in at else inner
+
+    return written(tree) if words else "(?!)"
+
+
+def with_features(found: DataFrame, words: list[str]) -> DataFrame:
+    """Adds the FEATURES, all doubles, to candidates; ``words`` is the dictionary."""
     c, n = F.col("candidate"), F.length("candidate").cast("double")
 
     def share(chars):
@@ -105,7 +127,7 @@ def with_features(found: DataFrame) -> DataFrame:
 
     edges = "(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"
     lower, where = F.lower("before"), F.lower(F.coalesce("path", F.lit("")))
-    covered = F.length(F.array_join(F.regexp_extract_all(F.lower(c), F.lit(f"({DICTIONARY})"), F.lit(1)), "")) / n
+    covered = F.length(F.array_join(F.regexp_extract_all(F.lower(c), F.lit(prefix_pattern(words)), F.lit(0)), "")) / n
     values = {
         "length": n, "digits": share("0-9"), "uppers": share("A-Z"), "lowers": share("a-z"),
         "transitions": (F.regexp_count(c, F.lit(edges)) / n).cast("double"),
@@ -124,14 +146,82 @@ def with_features(found: DataFrame) -> DataFrame:
     return found.withColumns(values)
 
 
-def labelled(found: DataFrame) -> DataFrame:
-    """Candidates with features and a ``label`` (1: secret, 0: not) where a rule is certain."""
+def certain(found: DataFrame) -> DataFrame:
+    """Candidates with features and a ``label`` (1: secret, 0: not) where the characters alone are certain."""
     c = F.col("candidate")
-    given = (F.col("named") == 1) & (F.col("assigned") == 1)
-    blank = given & c.rlike(PLACEHOLDER)
-    secret = c.rlike(KEY_FORMATS) | (given & ~blank & (F.col("other_name") == 0) & (F.col("dictionary") < 0.3) & c.rlike(MIXED))
-    other = blank | c.rlike("^[0-9_/+\\-]+$") | (F.col("dictionary") >= 0.6) | (F.col("other_name") == 1)
-    return (found.withColumn("label", F.when(secret, 1.0).when(other, 0.0)).where("label IS NOT NULL"))
+    label = F.when(c.rlike(KEY_FORMATS), 1.0).when(c.rlike("^[0-9_/+\\-]+$") | c.rlike(PLACEHOLDER), 0.0)
+    return found.withColumn("label", label).where("label IS NOT NULL")
+
+
+# Kinds of findings with the reviewer's verdict and the paths they are seen in.
+# {..} stands for random characters of a kind, or a word, so that no two findings are equal.
+PLAIN, CODE, TESTS = ["", "notes", "mail"], ["src/app/main.py", "deploy/prod/settings.yml", "repo/lib/client.js"], ["repo/tests/test_api.py", "docs/example/readme.md", "sample/fixture.json"]
+KINDS = [
+    ('{w} {name} = "{hex40}" {w} {w}', 1.0, PLAIN + CODE + TESTS), ("{w} {w} {name}={hex18} {w}", 1.0, PLAIN + CODE), ('{name}: "{hex32}"', 1.0, CODE),
+    ("export {name}={mixed}", 1.0, CODE), ("'{name}': '{mixed}', '{w}': 1", 1.0, CODE), ("{w} bearer {mixed} {w}", 1.0, PLAIN + CODE),
+    ('{name} = "{b64}"', 1.0, CODE + PLAIN), ("{w} the {name}: {pass} {w} {w}", 1.0, PLAIN), ('{name} = "{pass}"', 1.0, CODE + PLAIN),
+    ("login {name}={w}-{w}-{w} now", 1.0, PLAIN), ("{name} = '{pass}{mixed}'", 1.0, CODE), ('{w} {w} {name} = "{w}{hex4}" {w}', 1.0, PLAIN + CODE), ("{name}: {w}{digits4} {w}", 1.0, PLAIN + CODE), ('{name}="{w}{digits4}!" {w}', 1.0, PLAIN + CODE),
+    ("{w} commit {hex40} {w}", 0.0, PLAIN + CODE), ("sha256 {hex40} {w}.tar", 0.0, CODE), ("{w} md5 checksum {hex32} {w}", 0.0, PLAIN + CODE), ('etag: "{hex32}"', 0.0, CODE),
+    ("digest={hex40} {w}", 0.0, CODE), ("uuid {hex8}-{hex4}-{hex4}-{hex12} {w}", 0.0, PLAIN + CODE), ("version {w}_{w}_{digits4}", 0.0, CODE + TESTS),
+    ("{w} card {digits16} {w}", 0.0, PLAIN), ("{w} order {digits16} {w}", 0.0, PLAIN), ("{w} {digits16} {w} {w}", 0.0, PLAIN), ("see {w}_{w}_{w}_{digits4} {w}", 0.0, PLAIN + CODE),
+    ("def {w}_{w}_{w}{digits4}(x):", 0.0, CODE + TESTS), ("{w} {W}{W}{W}{digits4} {w}", 0.0, CODE), ("/usr/{w}/{w}/{w}{digits4} {w}", 0.0, CODE + PLAIN),
+    ("{name}: is required {w}", 0.0, PLAIN), ("the {name}: {w} {w}", 0.0, PLAIN), ("{name} = ${NAME}", 0.0, CODE), ("{name} = get_{w}({digits4})", 0.0, CODE), ("{name}: null, {w}", 0.0, CODE),
+    ('{name} = "{w}"', 0.0, TESTS), ('{name} = "{w}-{w}"', 0.0, TESTS), ('{name} = "test{digits4}"', 0.0, TESTS), ('password = "changeme"', 0.0, CODE + TESTS),
+    ("image {b64} 12 {w}", 0.0, CODE + TESTS), ("{digits4} {hex40} {digits4} {w}", 0.0, PLAIN + CODE),
+    ("{w} {digits4} {mixed} {w}", 0.0, PLAIN), ("row {digits4} {hex32} {w}", 0.0, PLAIN + CODE),
+]
+NAMES = ["password", "passwd", "pwd", "secret", "token", "api_key", "access_key", "auth", "client_secret", "private_key", "TOKEN", "API_KEY"]
+WORDS = ["about", "account", "after", "build", "class", "client", "config", "content", "data", "default", "error", "example", "file", "function", "header", "image",
+         "index", "list", "local", "message", "model", "name", "node", "object", "page", "parser", "query", "report", "request", "result", "server", "source",
+         "string", "system", "table", "thread", "update", "value", "window", "worker", "correct", "horse", "battery", "summer", "winter"]
+
+
+def reviewed_documents(spark: SparkSession, rows: int) -> DataFrame:
+    """(doc_id, text, source, label): one reviewed finding per row, the kinds in turn."""
+    def drawn(tag: str):
+        return F.sha2(F.concat(F.lit(f"{tag}:"), F.col("doc_id").cast("string")), 256)
+
+    def one_of(values, tag: str):
+        values = values if isinstance(values, F.Column) else F.array(*[F.lit(v) for v in values])
+        return F.element_at(values, (F.pmod(F.xxhash64(F.lit(tag), "doc_id"), F.size(values)) + 1).cast("int"))
+
+    kinds = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(label).alias("label"), F.array(*[F.lit(p) for p in paths]).alias("paths")) for t, label, paths in KINDS])
+    df = (spark.range(rows).withColumnRenamed("id", "doc_id")
+          .withColumn("kind", F.element_at(kinds, (F.col("doc_id") % len(KINDS) + 1).cast("int"))))
+    text, hexes = F.col("kind.text"), drawn("hex")
+    mixed = F.regexp_replace(F.base64(F.unhex(drawn("mixed"))), "[+/=]", "x")
+    digits = F.translate(F.regexp_replace(drawn("digits"), "^.", "7"), "abcdef", "135792")
+    values = {"hex40": F.substring(hexes, 1, 40), "hex32": F.substring(hexes, 1, 32), "hex18": F.substring(hexes, 1, 18), "hex12": F.substring(hexes, 1, 12),
+              "hex8": F.substring(hexes, 20, 8), "hex4": F.substring(hexes, 30, 4), "digits16": F.substring(digits, 1, 16), "digits4": F.substring(digits, 20, 4),
+              "b64": F.base64(F.unhex(hexes)), "mixed": F.substring(mixed, 1, 24),
+              "pass": F.concat(F.initcap(one_of(WORDS, "pass")), F.substring(digits, 9, 2), F.substring(mixed, 30, 2), F.lit("!")),
+              "name": one_of(NAMES, "name"), "NAME": F.upper(one_of(NAMES, "other"))}
+    for key, value in values.items():
+        text = F.replace(text, F.lit("{" + key + "}"), value)
+    for nth in range(4):                                     # each word of a text is another one
+        text = F.regexp_replace(text, F.lit(r"^((?:(?!\{w\}).)*)\{w\}"), F.concat(F.lit("$1"), one_of(WORDS, f"w{nth}")))
+        text = F.regexp_replace(text, F.lit(r"^((?:(?!\{W\}).)*)\{W\}"), F.concat(F.lit("$1"), F.initcap(one_of(WORDS, f"W{nth}"))))
+    return df.select("doc_id", text.alias("text"), one_of(F.col("kind.paths"), "path").alias("source"), F.col("kind.label").alias("label"))
+
+
+def reviewed_findings(spark: SparkSession, rows: int, words: list[str]) -> DataFrame:
+    """The reviewed findings with their features and labels."""
+    given = reviewed_documents(spark, rows).coalesce(1)
+    labels = given.select(F.col("doc_id").alias("__reviewed"), "label")
+    found = with_features(candidates(given), words)
+    return found.join(labels, F.col("doc_id") == F.col("__reviewed")).drop("__reviewed")
+
+
+def bounded_sample(labelled: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` of the distinct labelled findings, half of each label as far as they go."""
+    names = ["label", *FEATURES]
+    once = settled(labelled.groupBy(F.xxhash64("candidate", "before").alias("__finding"))
+                   .agg(*[F.min(c).alias(c) for c in names]))
+    counts = {r["label"]: r["n"] for r in once.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bar = F.lit(0)
+    for label, n in counts.items():
+        bar = F.when(F.col("label") == label, F.lit(min(1 << 40, (1 << 40) * (rows // 2) // n))).otherwise(bar)
+    return once.where(F.pmod("__finding", F.lit(1 << 40)) < bar).select(*names)
 
 
 def trained(findings: DataFrame, how: Forest = Forest()):
@@ -139,10 +229,7 @@ def trained(findings: DataFrame, how: Forest = Forest()):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    order = [F.xxhash64("doc_id", "nth", "candidate"), F.col("doc_id"), F.col("nth"), F.col("candidate")]
-    # a sample of each label, so that a rare one is in it however large the table is
-    of = [findings.where(F.col("label") == label).orderBy(*order).limit(how.train_rows // 2) for label in (0.0, 1.0)]
-    sample = settled(of[0].unionByName(of[1]).select("label", *FEATURES).coalesce(1))
+    sample = settled(findings.select("label", *FEATURES).coalesce(1).sortWithinPartitions("label", *FEATURES))
     kinds = sorted(r[0] for r in sample.select("label").distinct().collect())
     if len(kinds) < 2:
         return kinds[0] if kinds else 1.0
@@ -165,9 +252,18 @@ def scored(found: DataFrame, model, how: Forest = Forest()) -> DataFrame:
 
 def findings(docs: DataFrame, how: Forest = Forest(), text: str = "text", path: str = "source",
              reviewed: DataFrame | None = None) -> DataFrame:
-    """Every candidate with its place, probability and verdict; trained on ``reviewed``, else on ``labelled``."""
-    found = settled(with_features(candidates(docs, text, path)))
-    model = trained(reviewed if reviewed is not None else labelled(found), how)
+    """Every candidate with its place, probability and verdict.
+
+    ``reviewed`` (the FEATURES and a label) replaces the findings that the forest learns from;
+    its dictionary should be that of ``docs``.
+    """
+    words = dictionary(docs, how.dictionary, text)
+    found = settled(with_features(candidates(docs, text, path), words))
+    if reviewed is None:
+        known = sorted({*words, *WORDS})
+        reviewed = (reviewed_findings(docs.sparkSession, how.reviewed_rows, known).select("label", *FEATURES)
+                    .unionByName(bounded_sample(certain(found), how.train_rows)))
+    model = trained(reviewed, how)
     return (scored(found, model, how)
             .select("doc_id", "text_hash", "nth", "start", F.length("candidate").cast("long").alias("length"),
                     "candidate", "probability", "is_secret"))
