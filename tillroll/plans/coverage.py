@@ -48,10 +48,13 @@ DESCRIBED_IDS = {
     "D29": ["hiring_trend"], "D30": ["rate_by_factor", "rate_within_department", "attrition_factors", "return_factors"], "D31": ["rate_by_year"], "D32": ["rate_by_tenure", "risky_tenure", "survival_by_tenure", "median_tenure"],
     "D33": ["weekly_trend", "monthly_trend", "moving_average_calendar"], "D34": ["seasonality_index"], "D35": ["sales_anomalies"],
     "D36": ["kpi_summary", "rolling_customers"], "D37": ["mom_change", "mom_change_calendar"], "D38": ["churn_retention_corr"], "D39": ["true_churn"],
-    "D40": ["customer_lifetime_value", "clv_drivers"], "D41": ["geo_performance"], "D42": ["segment_performance"],
+    "D40": ["customer_lifetime_value", "clv_drivers", "customer_lifetime_forecast"], "D41": ["geo_performance"], "D42": ["segment_performance"],
     "D43": ["orders_by_category"], "D44": ["sales_by_weekday"],
     "D45": ["shipping_effectiveness", "shipping_effectiveness_by_state"], "D46": ["unit_cost"],
     "D47": ["extended_cost"], "D48": ["full_cost"], "D49": ["incremental_capacity"],
     "D50": ["make_cost_breakdown"], "D51": ["make_vs_buy"],
     "D52": ["region_sales_net_of_returns", "state_revenue", "priority_by_customer"],
 }
+
+# Keys that SQL cannot express: tested against simulation and formulas instead (tests/test_lifetime.py).
+WITHOUT_SQL = {"customer_lifetime_forecast"}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import decimals_to_double, pct
-from tillroll.operators import calendar, cost, fuzzy, hr, measures, quality
+from tillroll.operators import calendar, cost, fuzzy, hr, lifetime, measures, quality
 from tillroll.operators import customer as cust
 from tillroll.operators import join as jn
 from tillroll.operators import time as tm
@@ -215,6 +215,11 @@ def clv_drivers(spark, sf_dir):
     return cust.clv_drivers(_sl(spark, sf_dir, "customer_id", "order_id", "sales", "profit", "order_date"))
 
 
+def customer_lifetime_forecast(spark, sf_dir):
+    """Expected months with orders, and their value, of every customer's next year."""
+    return lifetime.customer_lifetime_forecast(_slo(spark, sf_dir, "customer_id", "order_date", "sales"))
+
+
 # --- EDA / quality ----------------------------------------------------------------
 
 def null_profile(spark, sf_dir):
