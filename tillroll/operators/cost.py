@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillroll.session import ensure_checkpoint_dir
+
 from tillroll.functions.columns import MONEY, pct
 
 
@@ -93,3 +95,60 @@ def make_vs_buy(components: DataFrame, quotes: DataFrame, make_nre, capacity: in
     saving = F.abs(F.col("make_full") - F.col("buy_full"))
     return j.select("item", "volume", _d("make_full").alias("make_full"), "best_supplier",
                     _d("buy_full").alias("buy_full"), decision.alias("decision"), _d(saving).alias("saving"))
+
+
+# --- one capacity shared by all items -------------------------------------------
+
+_DIGIT = 1 << 16
+
+
+def capacity_cut(items: DataFrame, capacity: int) -> tuple[int, int, int] | None:
+    """(saving, item, units) of the item at which ``capacity`` ends when items are taken by saving per unit,
+    largest first, then by item; None when all fit.
+
+    Found by weighted counted digits: volumes are summed by 16 bits of the saving, then of the
+    item, from the top; each time the digit where the running total passes the capacity is
+    followed. A step sums few numbers (65,536 at most) whatever the number of items, and
+    no item is sorted. ``items`` (item, volume, cents: whole, positive) should be settled,
+    since each step reads it.
+    """
+    left, here, following = capacity, items, []
+    for name, down in (("cents", True), ("item", False)):
+        for shift in (48, 32, 16, 0):
+            digit = F.shiftrightunsigned(F.col(name), shift).bitwiseAND(_DIGIT - 1)
+            rank = -digit if down else digit
+            sums = here.groupBy(rank.alias("rank")).agg(F.sum("volume").alias("v"))
+            upto = F.sum("v").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+            passed = (sums.withColumn("upto", upto).where(F.col("upto") > left)
+                      .agg(F.min(F.struct("rank", (F.col("upto") - F.col("v")).alias("before"))).alias("m")).first()["m"])
+            if passed is None:
+                return None                                  # only at the first step: everything fits
+            left -= passed["before"]
+            here = here.where(rank == passed["rank"])
+            following.append(abs(passed["rank"]))
+    saving, item = (sum(d << s for d, s in zip(part, (48, 32, 16, 0))) for part in (following[:4], following[4:]))
+    return saving, item, int(left)
+
+
+def shared_capacity(components: DataFrame, quotes: DataFrame, capacity: int) -> DataFrame:
+    """How many units of each item to make when all items share ``capacity`` units.
+
+    An item is worth making by what a unit saves: its lowest quoted price less its make cost.
+    Capacity goes to the largest savings first; the item at which it ends is split, and what is
+    left over, or saves nothing, is bought. One-off costs are left out (``make_vs_buy`` has them).
+    """
+    make = components.groupBy("item").agg(F.sum("unit_cost").alias("make_unit"))
+    buy = quotes.groupBy("item").agg(F.min("unit_price").alias("buy_unit"), F.max("volume").alias("volume"))
+    items = make.join(buy, "item").withColumn("cents", ((F.col("buy_unit") - F.col("make_unit")) * 100).cast("long"))
+    ensure_checkpoint_dir(items.sparkSession)
+    items = items.checkpoint(eager=True)
+    worth = (F.col("cents") > 0) & (F.col("volume") > 0)
+    cut = capacity_cut(items.where(worth).select("item", "volume", "cents"), capacity)
+    made = F.col("volume")
+    if cut is not None:
+        saving, item, units = cut
+        first = (F.col("cents") > saving) | ((F.col("cents") == saving) & (F.col("item") < item))
+        made = F.when(first, F.col("volume")).when((F.col("cents") == saving) & (F.col("item") == item), F.lit(units)).otherwise(0)
+    units = F.when(worth, made).otherwise(0).cast("long")
+    return items.select("item", "volume", _d("make_unit").alias("make_unit"), _d("buy_unit").alias("buy_unit"), units.alias("make_units"),
+                        (F.col("volume") - units).alias("buy_units"), ((units * F.col("cents")).cast("double") / 100).alias("saving"))

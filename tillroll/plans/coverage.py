@@ -52,7 +52,7 @@ DESCRIBED_IDS = {
     "D43": ["orders_by_category"], "D44": ["sales_by_weekday"],
     "D45": ["shipping_effectiveness", "shipping_effectiveness_by_state"], "D46": ["unit_cost"],
     "D47": ["extended_cost"], "D48": ["full_cost"], "D49": ["incremental_capacity"],
-    "D50": ["make_cost_breakdown"], "D51": ["make_vs_buy"],
+    "D50": ["make_cost_breakdown"], "D51": ["make_vs_buy", "shared_capacity"],
     "D52": ["region_sales_net_of_returns", "state_revenue", "priority_by_customer"],
 }
 

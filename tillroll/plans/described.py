@@ -25,6 +25,7 @@ RLS_MANAGER = "Chris"
 BIDIRECTIONAL_CATEGORY = "PROMO"
 CORR_COLUMNS = ["sales", "profit", "quantity_ordered_new", "unit_price"]
 BIN_WIDTH = 10000
+SHARED_CAPACITY = 100_000
 ATTRITION_FACTORS = ("overtime", "business_travel", "department", "job_role", "gender", "ethnicity", "age_bracket")
 RETURN_FACTORS = ("ship_mode", "product_category", "product_container", "order_priority", "customer_segment")
 
@@ -430,5 +431,9 @@ def make_vs_buy(spark, sf_dir):
                             b.MACHINE_COST)
 
 
+def shared_capacity(spark, sf_dir):
+    return cost.shared_capacity(b.make_components(spark, sf_dir), b.supplier_quotes(spark, sf_dir), SHARED_CAPACITY)
+
+
 DESCRIBED = {name: fn for name, fn in list(globals().items())
              if callable(fn) and not name.startswith("_") and getattr(fn, "__module__", None) == __name__}

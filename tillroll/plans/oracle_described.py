@@ -493,6 +493,14 @@ ORACLE_DESCRIBED = {
         _COST + "SELECT item, component, CAST(cost_c AS DOUBLE) / 100 AS unit_cost, "
         "(CAST(cost_c AS DOUBLE) / 100) / (CAST(SUM(cost_c) OVER (PARTITION BY item) AS DOUBLE) / 100) * 100 "
         "AS share FROM comp"),
+    "shared_capacity": _q(
+        _COST + ", it AS (SELECT item, volume, unit_c AS make_c, (SELECT min(price_c) FROM quotes WHERE quotes.item = demand.item) AS buy_c "
+        "FROM demand JOIN units USING (item) WHERE source = 'MAKE'), "
+        "queue AS (SELECT *, buy_c > make_c AND volume > 0 AS worth, coalesce(SUM(volume) FILTER (buy_c > make_c) OVER (ORDER BY buy_c - make_c DESC, item "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM it), "
+        "made AS (SELECT *, CAST(if(worth, greatest(0, least(volume, 100000 - before)), 0) AS BIGINT) AS m FROM queue) "
+        "SELECT item, volume, CAST(make_c AS DOUBLE) / 100 AS make_unit, CAST(buy_c AS DOUBLE) / 100 AS buy_unit, m AS make_units, "
+        "volume - m AS buy_units, CAST(m * (buy_c - make_c) AS DOUBLE) / 100 AS saving FROM made"),
     "make_vs_buy": _q(
         _COST + ", mk AS (SELECT m.item, cap.volume, m.unit_c * cap.volume + 200000 + cap.machines * 500000 "
         "AS make_c FROM (SELECT item, unit_c FROM units WHERE source = 'MAKE') m JOIN cap ON m.item = cap.item), "
