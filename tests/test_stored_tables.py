@@ -178,3 +178,24 @@ def test_months_without_sales_have_rows(spark):
     prior = calendar.same_period_calendar(df, ["region"]).where("prior IS NOT NULL").collect()
     assert prior == []
     assert calendar.total_ytd_calendar(df.limit(0), ["region"]).collect() == []
+
+
+def test_bucketed_customer_months_need_no_shuffle_by_customer(spark, sf_small, tmp_path):
+    from tillroll.operators import customer as cust
+    materialize.materialize_customer_months(spark, sf_small, "test_customer_months", str(tmp_path / "cm"), buckets=8)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.sources.bucketing.autoBucketedScan.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        cm = materialize.read_customer_months(spark, "test_customer_months")
+        sl = sales_line(spark, sf_small, ["customer_id", "customer_name", "order_date", "sales"], grain="order")
+        for op, key in ((cust.retention_monthly, "monthly"), (cust.churn_monthly, "months"), (cust.true_churn, None), (cust.customer_month_retained_flag, None),
+                        (cust.customer_first_order, None), (cust.customer_lifespan, None), (cust.coupon_eligibility, None)):
+            got = op(cm)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(customer_id" not in plan, op.__name__
+            assert rows(got, *got.columns) == rows(op(sl), *got.columns), op.__name__
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        spark.sql("DROP TABLE test_customer_months")

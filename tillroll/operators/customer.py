@@ -28,7 +28,10 @@ YES, NO = "Yes", "No"
 
 
 def customer_months(sl: DataFrame) -> DataFrame:
-    """Distinct (customer_id, month) with month = first day of the order month."""
+    """Distinct (customer_id, month) with month = first day of the order month; as they stand where
+    ``sl`` holds customer-months already (``materialize.read_customer_months``)."""
+    if "order_date" not in sl.columns:
+        return sl.select("customer_id", "month")
     return sl.select("customer_id", month_start("order_date").alias("month")).distinct()
 
 
@@ -104,15 +107,22 @@ def retained_flag_by_geo(sl: DataFrame) -> DataFrame:
     return customer_month_retained_flag(sl).join(geo, "customer_id", "left")
 
 
+def _with_span(sl: DataFrame) -> DataFrame:
+    """Adds first_order and last_order to order lines; customer-months have them."""
+    if "order_date" not in sl.columns:
+        return sl
+    return sl.withColumn("first_order", F.col("order_date")).withColumn("last_order", F.col("order_date"))
+
+
 def customer_first_order(sl: DataFrame) -> DataFrame:
-    return (sl.groupBy("customer_id", "customer_name").agg(F.min("order_date").alias("first_order"))
+    return (_with_span(sl).groupBy("customer_id", "customer_name").agg(F.min("first_order").alias("first_order"))
             .select("first_order", "customer_id", "customer_name"))
 
 
 def customer_lifespan(sl: DataFrame) -> DataFrame:
     """First and last order per customer and the days between, longest first (a range sort)."""
-    return (sl.groupBy("customer_id", "customer_name")
-            .agg(F.min("order_date").alias("first_order"), F.max("order_date").alias("last_order"))
+    return (_with_span(sl).groupBy("customer_id", "customer_name")
+            .agg(F.min("first_order").alias("first_order"), F.max("last_order").alias("last_order"))
             .select("first_order", "customer_id", "customer_name", "last_order",
                     F.datediff("last_order", "first_order").alias("inactive_days"))
             .orderBy(F.desc("inactive_days"), "customer_id"))
@@ -129,7 +139,7 @@ def coupon_eligibility(sl: DataFrame, today: str = "2015-06-28", days: int = 118
     """Days since each customer's last order at ``today``; 'Coupon Eligible' when
     at least ``days``, else NULL."""
     today_d = F.lit(dt.date.fromisoformat(today))
-    per = sl.groupBy("customer_id", "customer_name").agg(F.max("order_date").alias("last_date"))
+    per = _with_span(sl).groupBy("customer_id", "customer_name").agg(F.max("last_order").alias("last_date"))
     out = per.select("customer_id", "customer_name", "last_date", today_d.alias("today"),
                      F.datediff(today_d, "last_date").alias("last_order"))
     return out.withColumn("promotional", F.when(F.col("last_order") >= days, F.lit(COUPON_LABEL)))

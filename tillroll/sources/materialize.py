@@ -57,6 +57,27 @@ def read_for_manager(spark: SparkSession, path: str, users: DataFrame, manager:
     return lines.join(F.broadcast(allowed), "region", "left_semi").select(*(columns or lines.columns))
 
 
+# --- customer-months ------------------------------------------------------------
+
+def materialize_customer_months(spark: SparkSession, sf_dir: str, table: str, path: str, buckets: int = 64) -> None:
+    """Write one row per customer and month with orders to ``table``, bucketed and sorted by customer.
+
+    Retention, churn, first and last orders and lifespans all group or order by customer: on
+    this table they start without a shuffle, since the rows of a customer lie in one bucket.
+    """
+    months = (sales_line(spark, sf_dir, ["customer_id", "customer_name", "order_date", "sales", "lines"], grain="order")
+              .groupBy("customer_id", "customer_name", F.trunc("order_date", "MM").alias("month"))
+              .agg(F.min("order_date").alias("first_order"), F.max("order_date").alias("last_order"),
+                   F.count(F.lit(1)).alias("orders"), F.sum("lines").alias("lines"), F.sum("sales").alias("sales")))
+    (months.repartition(buckets, "customer_id").write.mode("overwrite").option("path", path)
+     .bucketBy(buckets, "customer_id").sortBy("customer_id", "month").saveAsTable(table))
+
+
+def read_customer_months(spark: SparkSession, table: str) -> DataFrame:
+    """customer_id, customer_name, month, first_order, last_order, orders, lines, sales."""
+    return spark.table(table)
+
+
 # --- UPDATE of stored lines -----------------------------------------------------
 
 STAGED, READY, REPLACED = "_rewrite_staged", "_rewrite_ready", "_rewrite_replaced"
