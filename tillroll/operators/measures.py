@@ -206,18 +206,19 @@ def shipping_effectiveness(sl: DataFrame, by: list[str] | None = None) -> DataFr
     (half-up 2 dp), exact discrete p50 / p90 of delivery days, shipping cost and
     profit margin %.
 
-    One chain: lines are summed per (group, order, day), an order is marked once
-    per group, and the sums per (group, day) give the day histogram, whose
-    running count holds the quantiles, and the totals.
+    One chain: a line of each group and order is marked (``once``; lines that come
+    with the column are marked already, see ``binding.delivery_lines``), and the sums
+    per (group, day) give the day histogram, whose running count holds the
+    quantiles, and the totals.
     """
     keys = list(by or []) + ["ship_mode"]
     days = F.datediff("ship_date", "order_date").alias("_days")
-    per_order = sl.groupBy(*keys, "order_id", days).agg(
-        F.count(F.lit(1)).alias("_c"), F.sum("shipping_cost").alias("_cost"), F.sum("profit").alias("_p"), F.sum("sales").alias("_s"))
-    once = F.row_number().over(Window.partitionBy(*keys, "order_id").orderBy("_days")) == 1
-    per_day = per_order.withColumn("_once", (once & F.col("order_id").isNotNull()).cast("long")).groupBy(*keys, "_days").agg(
-        F.sum("_once").alias("_orders"), F.sum("_c").alias("_c"), F.sum("_cost").alias("_cost"), F.sum("_p").alias("_p"),
-        F.sum("_s").alias("_s"))
+    once = F.col("once") if "once" in sl.columns else F.row_number().over(
+        Window.partitionBy("order_id", *keys).orderBy("ship_date")) == 1
+    marked = sl.select(*keys, days, "shipping_cost", "profit", "sales", (once & F.col("order_id").isNotNull()).cast("long").alias("_once"))
+    per_day = marked.groupBy(*keys, "_days").agg(
+        F.sum("_once").alias("_orders"), F.count(F.lit(1)).alias("_c"), F.sum("shipping_cost").alias("_cost"), F.sum("profit").alias("_p"),
+        F.sum("sales").alias("_s"))
     counted = F.when(F.col("_days").isNotNull(), F.col("_c")).otherwise(F.lit(0))
     group = Window.partitionBy(*keys)
     upto = group.orderBy("_days").rowsBetween(Window.unboundedPreceding, Window.currentRow)

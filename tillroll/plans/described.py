@@ -120,11 +120,11 @@ def sales_by_weekday(spark, sf_dir):
     return measures.sales_by_weekday(_slo(spark, sf_dir, "order_date", "sales"))
 
 
-_SHIPPING = ("ship_mode", "order_id", "shipping_cost", "profit", "sales", "ship_date", "order_date")
+def shipping_effectiveness(spark, sf_dir):
+    return measures.shipping_effectiveness(b.delivery_lines(spark, sf_dir))
 
 
-def shipping_effectiveness(spark, sf_dir):
-    return measures.shipping_effectiveness(_sl(spark, sf_dir, *_SHIPPING))
+_SHIPPING = ("ship_mode", "order_id", "shipping_cost", "profit", "sales", "ship_date", "order_date")
 
 
 def shipping_effectiveness_by_state(spark, sf_dir):

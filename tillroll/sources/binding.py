@@ -203,6 +203,51 @@ def sales_line(spark: SparkSession, sf_dir: str, columns=None, order_join=None,
     return fact.select(*[exprs[c].alias(c) for c in want], *[F.col(f"_oj_{n}").alias(n) for n in keep])
 
 
+def _compact_lines(li: DataFrame) -> DataFrame:
+    """Lineitem with money as DECIMAL and dates as DATE: the values the order line is made of, in
+    a form that a shuffle compresses far better than DOUBLEs and timestamps."""
+    return li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                     F.col("l_extendedprice").cast(MONEY).alias("_sales"), F.col("l_discount").cast(MONEY).alias("_discount"),
+                     F.col("l_tax").cast(MONEY).alias("_tax"), F.to_date("l_shipdate").alias("_ship_date"))
+
+
+# Lines that one task of ``delivery_lines`` sorts, however many there are in all.
+LINES_PER_TASK = 500_000
+
+
+def _line_tasks(spark: SparkSession, sf_dir: str) -> list[int]:
+    """The number of partitions that keeps tasks to ``LINES_PER_TASK``, as repartition's first argument;
+    none while the session's own number (which AQE may lower) is enough. The count reads no column."""
+    needed = -(-read_table(spark, sf_dir, "lineitem").count() // LINES_PER_TASK)
+    return [needed] if needed > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+
+
+def delivery_lines(spark: SparkSession, sf_dir: str, by_state: bool = False) -> DataFrame:
+    """Order lines with what ``measures.shipping_effectiveness`` reads (and the state), and ``once``:
+    true for one line of each order and ship mode (and state), so orders are counted without an
+    aggregate per order.
+
+    Lines meet part before orders, by a hash of each partition's parts (a key and a price), without
+    a sort. Both sides of the orders join are marked on the order key's own partitions (the first
+    line of an order and mode, the first orders row of a key, and state), whose order the join then
+    reuses: one sort of the lines, nothing kept per order, at most about ``LINES_PER_TASK`` in a task.
+    """
+    part = read_table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").cast(MONEY).alias("_unit_price"))
+    lines = _compact_lines(read_table(spark, sf_dir, "lineitem"))
+    lines = lines.join(part.hint("shuffle_hash"), lines.l_partkey == part.p_partkey).select(
+        F.col("l_orderkey").alias("order_id"), (F.col("l_suppkey") % 4).alias("_mode"), F.col("_ship_date").alias("ship_date"),
+        F.col("_sales").alias("sales"), F.round(F.col("_sales") * F.col("_tax"), 2).cast(MONEY).alias("shipping_cost"),
+        (F.col("_sales") - F.col("l_quantity").cast(MONEY) * F.col("_unit_price")).cast(MONEY).alias("profit"))
+    tasks = _line_tasks(spark, sf_dir)
+    lines = lines.repartition(*tasks, "order_id").withColumn("_line", F.row_number().over(Window.partitionBy("order_id", "_mode").orderBy("ship_date")))
+    state = ["state_province"] if by_state else []
+    orders = sales_line_dims(spark, sf_dir, ["order_date", *state])
+    orders = orders.repartition(*tasks, "_okey").withColumn("_order", F.row_number().over(Window.partitionBy("_okey", *state).orderBy("order_date")))
+    return lines.join(orders, lines.order_id == orders._okey).select(
+        *state, F.concat(F.lit("MODE_"), F.col("_mode").cast("string")).alias("ship_mode"), "order_id", "shipping_cost", "profit",
+        "sales", "ship_date", "order_date", ((F.col("_line") == 1) & (F.col("_order") == 1)).alias("once"))
+
+
 def _order_grain(spark: SparkSession, sf_dir: str, columns) -> DataFrame:
     want = [c for c in ORDER_GRAIN_COLUMNS if columns is None or c in set(columns)]
     bad = set(columns or ()) - set(ORDER_GRAIN_COLUMNS)
