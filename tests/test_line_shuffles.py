@@ -11,7 +11,7 @@ from tillroll.operators import measures
 from tillroll.plans.registry import QUERIES
 from tillroll.sources import binding
 
-SHIPPING = ["shipping_effectiveness"]
+SHIPPING = ["shipping_effectiveness", "shipping_effectiveness_by_state"]
 
 
 @pytest.fixture(scope="module")

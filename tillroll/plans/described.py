@@ -124,11 +124,8 @@ def shipping_effectiveness(spark, sf_dir):
     return measures.shipping_effectiveness(b.delivery_lines(spark, sf_dir))
 
 
-_SHIPPING = ("ship_mode", "order_id", "shipping_cost", "profit", "sales", "ship_date", "order_date")
-
-
 def shipping_effectiveness_by_state(spark, sf_dir):
-    return measures.shipping_effectiveness(_sl(spark, sf_dir, "state_province", *_SHIPPING), ["state_province"])
+    return measures.shipping_effectiveness(b.delivery_lines(spark, sf_dir, by_state=True), ["state_province"])
 
 
 def region_sales_net_of_returns(spark, sf_dir):
