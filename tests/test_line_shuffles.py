@@ -6,11 +6,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tests.test_plans import big, physical  # noqa: F401 - big is a fixture
+from tests.test_plans import big, optimized, physical  # noqa: F401 - big is a fixture
 from tillroll.operators import measures
 from tillroll.plans.registry import QUERIES
 from tillroll.sources import binding
 
+WHOLE = ["orders_with_returns"]
 SHIPPING = ["shipping_effectiveness", "shipping_effectiveness_by_state"]
 
 
@@ -44,6 +45,28 @@ def told(df):
     return sorted(map(str, df.collect()))
 
 
+@pytest.mark.parametrize("key", WHOLE)
+def test_whole_lines_meet_part_before_the_wide_orders(big, sf_small, key):  # noqa: F811
+    plan = optimized(QUERIES[key](big, sf_small)).splitlines()
+
+    def depth(key):
+        return min(len(line) - len(line.lstrip(" :+-")) for line in plan if "Join Inner" in line and key in line)
+
+    assert depth("p_partkey") > depth("o_orderkey")          # deeper = applied earlier
+    assert "timestamp_ntz" not in "".join(line for line in plan if "Join" in line)
+
+
+def test_part_first_gives_the_rows_of_order_first(spark, odd):
+    both = [binding.sales_line(spark, odd, first=first) for first in ("order", "part")]
+    assert both[0].schema == both[1].schema and both[0].count() > 10
+    assert told(both[0]) == told(both[1])
+    keep = (binding.o_return(spark, odd), "left", {"return_order_id": "order_id", "order_status": "order_status"})
+    both = [binding.sales_line(spark, odd, order_join=keep, first=first) for first in ("order", "part")]
+    assert both[0].schema == both[1].schema and told(both[0]) == told(both[1])
+    with pytest.raises(ValueError):
+        binding.sales_line(spark, odd, order_join=(keep[0], "left_semi", {}), first="part")
+
+
 @pytest.mark.parametrize("key", SHIPPING)
 def test_orders_are_counted_on_the_lines_own_partitions(big, sf_small, key, monkeypatch):  # noqa: F811
     plan = physical(QUERIES[key](big, sf_small))

@@ -113,8 +113,8 @@ def _returned_order_details(spark, sf_dir):
 
 
 def _orders_with_returns(spark, sf_dir):
-    """Q69 with the returns left join applied to lineitem, before the dimensions."""
-    return decimals_to_double(sales_line(spark, sf_dir, order_join=(o_return(spark, sf_dir), "left", _RETURN_COLS)))
+    """Q69 with the returns left join applied on the order key's partitions, beside the orders join."""
+    return decimals_to_double(sales_line(spark, sf_dir, order_join=(o_return(spark, sf_dir), "left", _RETURN_COLS), first="part"))
 
 
 def _lookup_return(spark, sf_dir):

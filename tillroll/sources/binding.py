@@ -17,7 +17,9 @@ Scale notes
 * ``orders`` is joined to the customer geography *before* it meets
   ``lineitem``: the fact table is shuffled on the order key once, instead of
   once per dimension; queries at line grain that also need part attributes
-  shuffle it a second time, on the part key.
+  shuffle it a second time, on the part key. Queries that return every line
+  whole meet ``part`` first (``first='part'``): the second shuffle then carries
+  the part's few short values, not the order's and the customer's.
 * ``nation`` and ``region`` are never broadcast by hand; their parquet size is
   known at planning time and Spark's own size threshold broadcasts them. Larger
   sides are left to sort-merge joins that AQE may convert after measuring them.
@@ -106,7 +108,8 @@ def _order_level_exprs() -> dict:
     }
 
 
-def sales_line(spark: SparkSession, sf_dir: str, columns=None, order_join=None, grain: str = "line") -> DataFrame:
+def sales_line(spark: SparkSession, sf_dir: str, columns=None, order_join=None, grain: str = "line",
+               first: str = "order") -> DataFrame:
     """The order-line table, restricted to ``columns`` (all when None).
 
     Columns come out in the declared order of ``SALES_LINE_COLUMNS``.
@@ -125,7 +128,18 @@ def sales_line(spark: SparkSession, sf_dir: str, columns=None, order_join=None,
     partial aggregate per order instead of every line (lines of an order are
     stored together, so the map-side combine is effective), and the aggregate's
     order-key partitioning is reused by the orders join.
+
+    ``first='part'`` joins ``part`` before everything else and derives what it can
+    after the last shuffle, for queries that keep every line: the same rows, fewer
+    bytes shuffled. A filter on orders or customers shrinks the lines early only
+    with ``first='order'``, so it does not go with a semi or inner ``order_join``.
     """
+    if first not in ("order", "part"):
+        raise ValueError(first)
+    if first == "part":
+        if grain != "line" or (order_join is not None and order_join[1] != "left"):
+            raise ValueError("first='part' is for whole lines, with no or a left order_join")
+        return _lines_part_first(spark, sf_dir, columns, order_join)
     if grain == "order":
         return _order_grain(spark, sf_dir, columns)
     if grain == "part":
@@ -211,6 +225,62 @@ def _compact_lines(li: DataFrame) -> DataFrame:
                      F.col("l_tax").cast(MONEY).alias("_tax"), F.to_date("l_shipdate").alias("_ship_date"))
 
 
+def _lines_part_first(spark: SparkSession, sf_dir: str, columns, order_join) -> DataFrame:
+    """``sales_line`` for queries that keep every line: lines meet part, then (shuffled once more,
+    on the order key) the order-keyed table and orders."""
+    known = SALES_LINE_COLUMNS + EXTRA_COLUMNS
+    want = list(SALES_LINE_COLUMNS) if columns is None else [c for c in known if c in set(columns)]
+    missing = set(columns or ()) - set(known)
+    if missing:
+        raise ValueError(f"unknown sales_line columns: {sorted(missing)}")
+    wanted = set(want)
+    fact = _compact_lines(read_table(spark, sf_dir, "lineitem"))
+    if wanted & _NEEDS_PART:
+        part = read_table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_size", "p_name",
+                                                        F.col("p_retailprice").cast(MONEY).alias("_unit_price"))
+        fact = fact.join(part, fact.l_partkey == part.p_partkey).drop("p_partkey")
+    keep = {}
+    if order_join is not None:
+        table, how, keep = order_join
+        keep = dict(keep or {})
+        right = table.select(F.col("order_id").alias("_oj_key"),
+                             *[F.col(src).alias(f"_oj_{name}") for name, src in keep.items()])
+        fact = fact.join(right, fact.l_orderkey == right._oj_key, how)
+    need_customer, need_nation, need_region = (bool(wanted & needs) for needs in (_NEEDS_CUSTOMER, _NEEDS_NATION, _NEEDS_REGION))
+    if wanted & _NEEDS_ORDERS or need_customer or need_nation or need_region:
+        orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority",
+                                                            F.to_date("o_orderdate").alias("_order_date"))
+        if need_customer or need_nation or need_region:
+            geo = _customer_geo(spark, sf_dir, need_customer, need_nation, need_region)
+            orders = orders.join(geo, orders.o_custkey == geo.c_custkey)
+        fact = fact.join(orders, fact.l_orderkey == orders.o_orderkey)
+    sales, unit_price = F.col("_sales"), F.col("_unit_price")
+    exprs = {
+        **_order_level_exprs(),
+        "order_date": F.col("_order_date"),
+        "row_id": F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
+                              F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
+                              sales.cast("string")),
+        "ship_mode": F.concat(F.lit("MODE_"), (F.col("l_suppkey") % 4).cast("string")),
+        "product_category": F.col("p_type"),
+        "product_sub_category": F.col("p_brand"),
+        "product_container": F.concat(F.lit("BOX_"), (F.col("p_size") % 7).cast("string")),
+        "product_name": F.concat(F.col("p_name"), F.lit(" "), F.col("l_partkey").cast("string")),
+        "product_base_margin": (F.col("p_size").cast(MONEY) / F.lit(100)).cast(MONEY),
+        "country": F.lit(COUNTRY),
+        "ship_date": F.col("_ship_date"),
+        "discount": F.col("_discount"),
+        "unit_price": unit_price,
+        "shipping_cost": F.round(sales * F.col("_tax"), 2).cast(MONEY),
+        "profit": (sales - F.col("l_quantity").cast(MONEY) * unit_price).cast(MONEY),
+        "quantity_ordered_new": F.col("l_quantity").cast("int"),
+        "sales": sales,
+        "order_id": F.col("l_orderkey"),
+        "line_number": F.col("l_linenumber"),
+    }
+    return fact.select(*[exprs[c].alias(c) for c in want], *[F.col(f"_oj_{n}").alias(n) for n in keep])
+
+
 # Lines that one task of ``delivery_lines`` sorts, however many there are in all.
 LINES_PER_TASK = 500_000
 

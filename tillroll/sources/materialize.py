@@ -30,7 +30,7 @@ def materialize_sales_line(spark: SparkSession, sf_dir: str, path: str, mode: st
     Lines are range-partitioned by (month, order), so a task holds one stretch of
     months and a large month is spread over several tasks: few files per month.
     """
-    lines = sales_line(spark, sf_dir).withColumn(PARTITION_COLUMN, F.date_format("order_date", "yyyy-MM"))
+    lines = sales_line(spark, sf_dir, first="part").withColumn(PARTITION_COLUMN, F.date_format("order_date", "yyyy-MM"))
     folders = ["region", PARTITION_COLUMN] if by_region else [PARTITION_COLUMN]
     (lines.repartitionByRange(*folders, "order_id")
      .write.mode(mode).partitionBy(*folders).parquet(path))
