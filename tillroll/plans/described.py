@@ -220,7 +220,8 @@ def customer_lifetime_forecast(spark, sf_dir):
 
 def null_profile(spark, sf_dir):
     keep = {"return_order_id": "order_id", "order_status": "order_status"}
-    return quality.null_profile(sales_line(spark, sf_dir, order_join=(o_return(spark, sf_dir), "left", keep)))
+    return quality.null_profile(sales_line(spark, sf_dir, order_join=(o_return(spark, sf_dir), "left", keep),
+                                           first="part"))
 
 
 def _delivery(spark, sf_dir):
