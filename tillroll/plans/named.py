@@ -86,6 +86,16 @@ def _all(fn, **kw):
     return run
 
 
+def _every(fn, **kw):
+    """Bind an operator that returns every order line whole: part meets the lines first."""
+    def run(spark, sf_dir):
+        return fn(sales_line(spark, sf_dir, first="part"), **kw)
+    run.__name__ = fn.__name__
+    return run
+
+
+
+
 def _scan_orders(spark, sf_dir):
     return decimals_to_double(sales_line(spark, sf_dir))
 
@@ -151,7 +161,7 @@ NAMED = {
                          "sales", "profit"),
     "returned_orders_by_region": _returned_orders_by_region("date"),
     "returned_orders_by_region_month": _returned_orders_by_region("month"),
-    "refined_order_priority": _all(tx.refined_order_priority, old="NOT SPECIFIED"),
+    "refined_order_priority": _every(tx.refined_order_priority, old="NOT SPECIFIED"),
     "region_sales_contribution": qo(agg.region_sales_contribution, "region", "sales"),
     "month_region_contribution": q(agg.month_region_contribution, "order_date", "region", "sales", "profit"),
     "returned_order_details": _returned_order_details,
