@@ -168,7 +168,7 @@ NAMED = {
     "lookup_row": _all(jn.lookup_row, row_id=P["row_id"]),
     "lookup_return": _lookup_return,
     "long_subcategory_names": qp(tx.long_subcategory_names, "product_sub_category", min_len=P["subcat_min_len"]),
-    "relabel_subcategory": _all(tx.relabel_subcategory),
+    "relabel_subcategory": _every(tx.relabel_subcategory),
     "monthname_region_sales_profit": q(agg.monthname_region_sales_profit, "order_date", "region", "sales",
                                        "profit"),
     "scan_orders": _scan_orders,
