@@ -96,10 +96,6 @@ def _every(fn, **kw):
 
 
 
-def _scan_orders(spark, sf_dir):
-    return decimals_to_double(sales_line(spark, sf_dir))
-
-
 def _scan_returns(spark, sf_dir):
     return o_return(spark, sf_dir)
 
@@ -171,7 +167,7 @@ NAMED = {
     "relabel_subcategory": _every(tx.relabel_subcategory),
     "monthname_region_sales_profit": q(agg.monthname_region_sales_profit, "order_date", "region", "sales",
                                        "profit"),
-    "scan_orders": _scan_orders,
+    "scan_orders": _every(decimals_to_double),
     "scan_returns": _scan_returns,
     "region_priority_container_index": q(rk.region_priority_container_index, "region", "order_priority",
                                          "product_container", "sales", "profit"),
