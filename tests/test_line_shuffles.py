@@ -11,7 +11,7 @@ from tillroll.operators import measures
 from tillroll.plans.registry import QUERIES
 from tillroll.sources import binding
 
-WHOLE = ["orders_with_returns", "null_profile", "refined_order_priority", "relabel_subcategory", "scan_orders"]
+WHOLE = ["scan_orders", "refined_order_priority", "relabel_subcategory", "describe_orders", "orders_with_returns", "null_profile"]
 SHIPPING = ["shipping_effectiveness", "shipping_effectiveness_by_state"]
 
 

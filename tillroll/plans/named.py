@@ -127,10 +127,6 @@ def _lookup_return(spark, sf_dir):
     return jn.lookup_return(o_return(spark, sf_dir), P["return_order_id"])
 
 
-def _describe_orders(spark, sf_dir):
-    return describe(sales_line(spark, sf_dir))
-
-
 def _sales_extremes(spark, sf_dir):
     sl = sales_line(spark, sf_dir, ["order_date", "state_province", "region", "product_name", "product_sub_category", "sales"])
     return agg.sales_extremes(sl, {"month": month_of_year("order_date"), "state": F.col("state_province"), "region": F.col("region"),
@@ -245,7 +241,7 @@ NAMED = {
     "customer_months": qo(cust.customer_month_of_year, "customer_id", "order_date"),
     "customer_month_retained_flag": qo(cust.customer_month_retained_list, "customer_id", "order_date"),
     "retained_flag_by_geo": qo(cust.retained_flag_by_geo, "customer_id", "order_date", "state_province", "region"),
-    "describe_orders": _describe_orders,
+    "describe_orders": _every(describe),
     "customer_extremes": q(agg.customer_extremes, "customer_id", "customer_name", "quantity_ordered_new", "sales", "profit"),
     "sales_extremes": _sales_extremes,
     "peak_return_period": _peak_return_period,
