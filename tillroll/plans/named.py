@@ -94,8 +94,6 @@ def _every(fn, **kw):
     return run
 
 
-
-
 def _scan_returns(spark, sf_dir):
     return o_return(spark, sf_dir)
 
