@@ -528,6 +528,30 @@ def test_rows_that_share_or_lack_an_id_take_their_own_sources_copies(spark):
     assert out.columns == frame.columns and got == Counter({k: n for k, n in want.items() if n})
 
 
+def test_the_mix_writes_its_narrow_rows_to_few_files(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(rng.choice([None, i]), prose(rng, rng.randrange(1, 9)), "en", rng.choice(["a", "a", "b", None])) for i in range(300)]
+    frame = docs_frame(spark, rows).repartition(40)
+    want = sorted(map(repr, systematic_mix.mixed(frame).collect()))
+    files, settled = [], common.settled
+
+    def counted(df):
+        out = settled(df)
+        files.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(common, "settled", counted)
+    monkeypatch.setattr(systematic_mix, "settled", counted)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = sorted(map(repr, systematic_mix.mixed(frame).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    # the sizes, the targets and the range-partitioned sizes: not one file for each of 40 or 64 parts
+    assert got == want and len(files) == 3 and max(files) <= 8
+
+
 # --- 10 ---------------------------------------------------------------------
 
 def rule_counts(text):

@@ -72,10 +72,11 @@ def numbered(df: DataFrame, group: list[str], order: list[str], out: str) -> Dat
     No group meets in one task: rows are range-partitioned on (group, order), numbered
     inside each (partition, group) cell, and shifted by the rows of the earlier cells of
     the group, of which there are at most one per partition. The range-partitioned rows
-    are settled first, because their partition number is part of the key.
+    are settled first, because their partition number is part of the key. Adaptive
+    execution merges neighbouring ranges, so that they take as many files as their size asks.
     """
     keys = [*group, "__part"]
-    ranged = settled(df.repartitionByRange(shuffle_parts(df.sparkSession), *group, *order)
+    ranged = settled(df.repartitionByRange(*group, *order)
                      .withColumn("__part", F.spark_partition_id()))
     cells = (ranged.groupBy(*keys).agg(F.count("*").alias("__n"))
              .withColumn("__before", F.coalesce(F.sum("__n").over(

@@ -82,8 +82,12 @@ def sampled(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix") -> DataFrame:
-    """One row per document: size, its source's size and target, copies and words taken."""
-    sizes = settled(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    """One row per document: size, its source's size and target, copies and words taken.
+
+    The sizes are narrow: they are written to as many files as they fill, not to one for
+    each part of the texts.
+    """
+    sizes = settled(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).hint("rebalance"))
     return sampled(sizes, weights, most, seed)
 
 
