@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +94,28 @@ def test_an_empty_table_gives_an_empty_result(spark, tmp_path):
     spark.read.parquet(path).limit(0).write.parquet(str(tmp_path / "empty"))
     assert answered(spark, str(tmp_path / "empty"), [(1, 1, 1)], Audit()) == {}
     assert len(answered(spark, path, [], Audit())) == 600 * len({r[2] or "" for r in corpus()[0][:3]})
+
+
+def test_labels_are_never_broadcast(spark, tmp_path):
+    docs = spark.read.parquet(given(spark, str(tmp_path / "docs"), corpus()[0][:9]))
+    spark.range(1000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").write.parquet(str(tmp_path / "labels"))
+    joined = filter_audit.with_labels(filter_audit.masked(docs), spark.read.parquet(str(tmp_path / "labels")), Audit())
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_rows_without_an_id_get_no_label(spark):
+    rows = [(0, False, "en", bytes([i]), 1) for i in range(100)] + [(0, True, "en", bytes([i]), 1) for i in range(100)]
+    labels = spark.createDataFrame([(0, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    joined = filter_audit.with_labels(spark.createDataFrame(rows, "doc_id long, known boolean, part string, key binary, mask int"), labels, Audit())
+    assert {(r.known, r.good, r.toxic, r.n) for r in joined.groupBy("known", "good", "toxic").agg(F.count("*").alias("n")).collect()} == {(False, 0, 0, 100), (True, 1, 1, 100)}
+
+
+def test_state_has_a_bounded_number_of_partitions(spark, tmp_path, monkeypatch):
+    rows, labels = corpus()
+    path = given(spark, str(tmp_path / "docs.parquet"), rows, 4)
+    before, stores = spark.conf.get("spark.sql.shuffle.partitions"), []
+    monkeypatch.setattr(filter_audit, "remove_folder", lambda _, folder: stores.extend(p.name for p in Path(folder.removeprefix("file:")).glob("state/state/0/[0-9]*")))
+    assert answered(spark, path, labels, Audit(stores=3)) == restated(rows, labels)
+    assert sorted(stores) == ["0", "1", "2"] and spark.conf.get("spark.sql.shuffle.partitions") == before
