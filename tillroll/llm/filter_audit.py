@@ -65,7 +65,7 @@ class Audit:
     batches: int = 4
     cell_texts: int = 16
     spread: int = 8
-    stores: int = 512
+    stores: int = 200
 
 
 def text_mask(data: bytes, points: int) -> int:
