@@ -119,3 +119,11 @@ def test_state_has_a_bounded_number_of_partitions(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(filter_audit, "remove_folder", lambda _, folder: stores.extend(p.name for p in Path(folder.removeprefix("file:")).glob("state/state/0/[0-9]*")))
     assert answered(spark, path, labels, Audit(stores=3)) == restated(rows, labels)
     assert sorted(stores) == ["0", "1", "2"] and spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_settled_rows_do_not_all_follow_a_frequent_text(spark):
+    rows = [(i, True, f"l{i % 5}", b"hot", 1, 0, 0) for i in range(50)] + [(100 + i, True, "", bytes([i]), 1, 0, 0) for i in range(5)]
+    got = filter_audit.combined(spark.createDataFrame(rows, "doc_id long, known boolean, part string, key binary, mask int, good int, toxic int").coalesce(1)).collect()
+    settled = [r for r in got if not r.open]
+    assert sum(r.n for r in settled) == 49 and {r["mask"] for r in settled} == {1 | filter_audit.BIT["E"]}
+    assert len({bytes(r.key) for r in settled}) == 5

@@ -118,7 +118,8 @@ def combined(rows: DataFrame) -> DataFrame:
     """Rows folded within each batch: (key, doc_id, part, mask, good, toxic, n, open).
 
     Open rows are those of the least id of a text in the batch; all others are settled:
-    copies, which fail E whatever else comes, and rows without an id, which never do.
+    copies, which fail E whatever else comes, and rows without an id, which never do. Settled
+    rows only go to be added up, so they borrow the keys of open rows and do not all follow a frequent text.
     """
     facts = ["part", "mask", "good", "toxic"]
 
@@ -132,6 +133,8 @@ def combined(rows: DataFrame) -> DataFrame:
             batch["mask"] = batch["mask"] + BIT["E"] * (known & ~is_open)
             first = batch[is_open].groupby(["key", "doc_id", *facts], as_index=False).size().assign(open=True)
             rest = batch[~is_open].groupby(facts, as_index=False).agg(size=("key", "size"), key=("key", "first")).assign(open=False, doc_id=0)
+            if len(first):
+                rest["key"] = first["key"].to_numpy()[np.arange(len(rest)) % len(first)]
             for frame in (first, rest):
                 yield frame.rename(columns={"size": "n"})[["key", "doc_id", *facts, "n", "open"]]
 
